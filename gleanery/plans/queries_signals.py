@@ -1,0 +1,360 @@
+"""Queries over evidence, activity and records: windows, clusters, gates, dedupe, matching."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gleanery.operators import components, dedupe, match, signals, windows
+from gleanery.plans import views
+from gleanery.plans.registry import query
+
+ANCHORED = """anchors AS (
+  WITH RECURSIVE a(product, topic, start) AS (
+    SELECT product, topic, min(created_at) FROM v_evid GROUP BY ALL
+    UNION ALL
+    SELECT a.product, a.topic, min(e.created_at) FROM a JOIN v_evid e ON e.product = a.product AND e.topic = a.topic AND e.created_at > a.start + INTERVAL 14 DAY GROUP BY a.product, a.topic, a.start)
+  SELECT * FROM a),
+placed AS (SELECT e.*, a.start AS window_start FROM v_evid e ASOF JOIN anchors a ON e.product = a.product AND e.topic = a.topic AND e.created_at >= a.start)"""
+
+ROLLED = f"""{ANCHORED},
+types AS (SELECT product, topic, window_start, signal_type, count(*) AS n, min(struct_pack(c := created_at, e := evidence_id)) AS since FROM placed GROUP BY ALL),
+best AS (SELECT product, topic, window_start, signal_type FROM types QUALIFY row_number() OVER (PARTITION BY product, topic, window_start ORDER BY n DESC, since) = 1),
+rolled AS (
+  SELECT product, topic, window_start, count(*) AS n_evidence, min(created_at) AS first_seen_at, arg_max(updated_at, struct_pack(c := created_at, e := evidence_id)) AS last_seen_at, count(DISTINCT author_id) AS n_authors,
+    count(DISTINCT family) AS n_families, count(DISTINCT thread) AS n_threads, count(DISTINCT CASE WHEN allowed THEN author_id END) AS n_allowed_authors, bool_or(implication) AS implication, bool_or(artifact) AS artifact,
+    arg_min(family, struct_pack(c := created_at, e := evidence_id)) AS first_family FROM placed GROUP BY ALL),
+signals AS (SELECT rolled.*, signal_type, CASE WHEN n_authors >= 3 AND n_families >= 2 THEN 'high' ELSE 'medium' END AS confidence FROM rolled JOIN best USING (product, topic, window_start))"""
+
+GATED = f"""{ROLLED},
+reasons AS (
+  SELECT *, CASE WHEN signal_type IN ('BACKLASH', 'EMERGING_TOOL') THEN 'insufficient-evidence' WHEN topic IN ('', 'other') OR NOT implication THEN 'no-product-implication'
+    WHEN n_evidence = 1 AND first_family = 'R' THEN 'single-source' WHEN NOT artifact THEN 'no-concrete-artifact' WHEN NOT (n_families >= 2 OR n_allowed_authors >= 3) THEN 'insufficient-authors'
+    WHEN NOT (last_seen_at - first_seen_at >= INTERVAL 7 DAY OR n_threads >= 2) THEN 'insufficient-recurrence' END AS reason FROM signals),
+gated AS (SELECT *, CASE WHEN reason IS NULL THEN 'PUBLISH' WHEN reason IN ('no-product-implication', 'no-concrete-artifact') THEN 'REVIEW_QUEUE' ELSE 'WATCH' END AS status FROM reasons)"""
+
+CAPPED = f"""{GATED},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY product, status = 'PUBLISH' ORDER BY last_seen_at DESC, topic, window_start) AS place FROM gated),
+capped AS (SELECT * EXCLUDE (status, reason, place), CASE WHEN status = 'PUBLISH' AND place > 4 THEN 'WATCH' ELSE status END AS status, CASE WHEN status = 'PUBLISH' AND place > 4 THEN 'capped' ELSE reason END AS reason FROM ranked)"""
+
+
+def placed(spark, d):
+    return windows.anchored_windows(views.evidence(spark, d), ["product", "topic"], "created_at", 14)
+
+
+def rolled(spark, d):
+    return signals.roll_up(placed(spark, d), ["product", "topic", "window_start"])
+
+
+def gated(spark, d):
+    return signals.gate(rolled(spark, d), lone_family="R")
+
+
+def capped(spark, d):
+    return windows.publish_cap(gated(spark, d), ["product"], [F.col("last_seen_at").desc(), F.col("topic"), F.col("window_start")], signals.PUBLISH_CAP)
+
+
+@query("g1_anchored_windows", f"WITH {views.EVIDENCE}, {ANCHORED} SELECT evidence_id, window_start FROM placed")
+def g1(spark, d):
+    return placed(spark, d).select("evidence_id", "window_start")
+
+
+@query("a1_cluster_roll_up", f"WITH {views.EVIDENCE}, {ROLLED} SELECT * FROM signals")
+def a1(spark, d):
+    return rolled(spark, d)
+
+
+@query("a2_conditional_counts", f"WITH {views.EVIDENCE}, {ROLLED} SELECT product, topic, window_start, n_threads, n_allowed_authors, date_diff('day', first_seen_at, last_seen_at) AS span_days FROM signals")
+def a2(spark, d):
+    return rolled(spark, d).select("product", "topic", "window_start", "n_threads", "n_allowed_authors", F.date_diff("last_seen_at", "first_seen_at").cast("long").alias("span_days"))
+
+
+@query("c13_community_gate", f"WITH {views.EVIDENCE}, {GATED} SELECT product, topic, window_start, status, reason FROM gated")
+def c13(spark, d):
+    return gated(spark, d).select("product", "topic", "window_start", "status", "reason")
+
+
+@query("g3_publish_cap", f"WITH {views.EVIDENCE}, {CAPPED} SELECT product, topic, window_start, status, reason FROM capped")
+def g3(spark, d):
+    return capped(spark, d).select("product", "topic", "window_start", "status", "reason")
+
+
+@query("e3_community_signals", f"WITH {views.EVIDENCE}, {CAPPED} SELECT * FROM capped WHERE status = 'PUBLISH'")
+def e3(spark, d):
+    return capped(spark, d).filter("status = 'PUBLISH'")
+
+
+@query("c20_eligible_signals", f"WITH {views.EVIDENCE}, {CAPPED} SELECT product, topic, window_start, status FROM capped WHERE status = 'PUBLISH' OR (status = 'WATCH' AND reason = 'capped')")
+def c20(spark, d):
+    return capped(spark, d).filter("status = 'PUBLISH' or (status = 'WATCH' and reason = 'capped')").select("product", "topic", "window_start", "status")
+
+
+@query("a5_run_report", f"WITH {views.EVIDENCE}, {CAPPED} SELECT status, coalesce(reason, '') AS reason, count(*) AS n, sum(n_evidence)::BIGINT AS n_evidence, min(first_seen_at) AS since FROM capped GROUP BY ALL")
+def a5(spark, d):
+    return capped(spark, d).groupBy("status", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"), F.sum("n_evidence").alias("n_evidence"), F.min("first_seen_at").alias("since"))
+
+
+@query("e6_capture_funnel", f"""WITH {views.EVIDENCE}, {CAPPED}
+  SELECT '1-evidence' AS stage, count(*) AS n FROM v_evid UNION ALL SELECT '2-clusters', count(*) FROM signals UNION ALL SELECT '3-passed', count(*) FROM gated WHERE status = 'PUBLISH' UNION ALL SELECT '4-published', count(*) FROM capped WHERE status = 'PUBLISH'""")
+def e6(spark, d):
+    # gated and capped share one pass over the clusters
+    rows = capped(spark, d)
+    late = rows.agg(
+        F.count("*").alias("2-clusters"), F.count_if((F.col("status") == "PUBLISH") | F.coalesce(F.col("reason") == "capped", F.lit(False))).alias("3-passed"), F.count_if(F.col("status") == "PUBLISH").alias("4-published"), F.sum("n_evidence").alias("1-evidence")
+    )
+    return late.unpivot([], ["1-evidence", "2-clusters", "3-passed", "4-published"], "stage", "n")
+
+
+AS_OF = "2000-01-01"
+
+
+@query("c15_evidence_window", f"""WITH {views.EVIDENCE} SELECT evidence_id, created_at <= TIMESTAMP '{AS_OF}' AND created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AS current, created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AS with_future,
+  abs(epoch_us(created_at) - epoch_us(TIMESTAMP '{AS_OF}')) <= 14 * 86400000000 AS near FROM v_evid""")
+def c15(spark, d):
+    as_of, t = F.lit(AS_OF).cast("timestamp"), F.col("created_at")
+    return views.evidence(spark, d).select("evidence_id", signals.evidence_window(t, as_of, 30).alias("current"), signals.evidence_window(t, as_of, 30, future=True).alias("with_future"), signals.near(t, as_of, 14).alias("near"))
+
+
+@query("c16_allowlist", f"WITH {views.EVIDENCE} SELECT evidence_id FROM v_evid WHERE repo IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < {views.ALLOWED_NATIONS})")
+def c16(spark, d):
+    allowed = views.table(spark, d, "supplier").filter(F.col("s_nationkey") < views.ALLOWED_NATIONS)
+    rows = views.evidence(spark, d)
+    return rows.join(allowed, rows["repo"] == allowed["s_suppkey"], "left_semi").select("evidence_id")
+
+
+@query("g1_activity_windows", f"""WITH {views.ACTIVITY}, anchors AS (WITH RECURSIVE a(event_type, user_id, start) AS (
+    SELECT event_type, user_id, min(ts) FROM v_ev GROUP BY ALL UNION ALL
+    SELECT a.event_type, a.user_id, min(e.ts) FROM a JOIN v_ev e ON e.event_type = a.event_type AND e.user_id = a.user_id AND e.ts > a.start + INTERVAL 2 DAY GROUP BY a.event_type, a.user_id, a.start) SELECT * FROM a)
+  SELECT event_type, user_id, start AS window_start, count(*) AS n FROM v_ev e ASOF JOIN anchors a USING (event_type, user_id, ts) GROUP BY ALL""".replace("USING (event_type, user_id, ts)", "ON e.event_type = a.event_type AND e.user_id = a.user_id AND e.ts >= a.start").replace("SELECT event_type, user_id, start AS", "SELECT e.event_type, e.user_id, start AS"))
+def g1_events(spark, d):
+    return windows.anchored_windows(views.activity(spark, d), ["event_type", "user_id"], "ts", 2).groupBy("event_type", "user_id", "window_start").agg(F.count("*").alias("n"))
+
+
+@query("g2_epoch_buckets", f"WITH {views.ACTIVITY} SELECT event_type, CAST(floor(epoch_ms(ts) / 1209600000.0) AS BIGINT) AS bucket, count(*) AS n FROM v_ev GROUP BY ALL")
+def g2(spark, d):
+    return views.activity(spark, d).groupBy("event_type", windows.epoch_bucket(F.col("ts"), 14).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("g4_running_cap", f"""WITH {views.ACTIVITY}, r AS (SELECT *, count(*) FILTER (WHERE k % 2 = 0) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM v_ev) SELECT event_id FROM r WHERE n < 12""")
+def g4(spark, d):
+    return windows.running_cap(views.activity(spark, d), ["user_id"], [F.col("ts"), F.col("event_id")], F.col("k") % 2 == 0, 12).select("event_id")
+
+
+@query("s22_channel_limit", f"WITH {views.ACTIVITY} SELECT event_id, user_id FROM v_ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 10")
+def s22(spark, d):
+    return windows.first_n(views.activity(spark, d), ["user_id"], [F.col("ts"), F.col("event_id")], 10).select("event_id", "user_id")
+
+
+@query("g5_streaks", f"""WITH {views.ACTIVITY}, l AS (SELECT *, lag(event_type) OVER w AS b, row_number() OVER w AS rn FROM v_ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  s AS (SELECT *, rn > 1 AND b = event_type AS same FROM l), i AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM s)
+  SELECT event_id, same AS same_as_before, CAST(row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS INTEGER) AS streak FROM i""")
+def g5(spark, d):
+    return windows.streaks(views.activity(spark, d), ["user_id"], [F.col("ts"), F.col("event_id")], "event_type").select("event_id", "same_as_before", "streak")
+
+
+@query("g8_preference_bump", f"""WITH {views.ITEMS}, p AS (SELECT id, source, role, organization, topic, relevance > 90 AS pref, row_number() OVER (PARTITION BY source ORDER BY published_at DESC, id) AS pos FROM v_item),
+  n AS (SELECT *, lag(role) OVER w AS c, lag(pref) OVER w AS pp, lag(topic) OVER w AS o, lag(topic, 2) OVER w AS oo, lead(topic) OVER w AS nx FROM p WINDOW w AS (PARTITION BY source ORDER BY pos)),
+  s AS (SELECT source, min(pos) AS swap FROM n WHERE pref AND c = role AND NOT pp AND (oo IS NULL OR oo <> topic) AND (nx IS NULL OR nx <> o) GROUP BY source)
+  SELECT id, CAST(CASE WHEN pos = swap THEN pos - 1 WHEN pos = swap - 1 THEN pos + 1 ELSE pos END AS INTEGER) AS seat FROM n LEFT JOIN s USING (source)""")
+def g8(spark, d):
+    from pyspark.sql import Window
+
+    rows = views.items(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("source").orderBy(F.col("published_at").desc(), "id"))).withColumn("pref", F.col("relevance") > 90)
+    return windows.preference_bump(rows, ["source"], "pos", "role", "topic", "pref").select("id", "seat")
+
+
+# ------------------------------------------------------------------------ dedupe
+
+LAUNCH_TITLE = "trim(regexp_replace(regexp_replace(replace(replace(lower(title), '''', ''), '’', ''), '\\b(?:introducing|announcing|launching|releasing)\\b', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+
+GREEDY = """SELECT * FROM (WITH RECURSIVE
+  ordered AS (SELECT id, k1, k2, row_number() OVER (ORDER BY {order}) AS n FROM keyed),
+  walk(n, id, kept, seen) AS (
+    SELECT n, id, true, list_filter([k1, k2], lambda x: x IS NOT NULL) FROM ordered WHERE n = 1
+    UNION ALL
+    SELECT o.n, o.id, NOT list_has_any(w.seen, list_filter([o.k1, o.k2], lambda x: x IS NOT NULL)),
+      CASE WHEN list_has_any(w.seen, list_filter([o.k1, o.k2], lambda x: x IS NOT NULL)) THEN w.seen ELSE list_concat(w.seen, list_filter([o.k1, o.k2], lambda x: x IS NOT NULL)) END
+    FROM walk w JOIN ordered o ON o.n = w.n + 1)
+  SELECT id, kept FROM walk)"""
+
+
+def launch_keys(rows):
+    from gleanery.functions.text import launch_title
+
+    title = F.nullif(launch_title(F.col("title")), F.lit(""))
+    return [F.concat(F.lit("url:"), F.col("canonical_url")), F.concat(F.lit("title:"), F.col("org"), F.lit(":"), title)]
+
+
+@query("d1_greedy_dedupe", f"WITH {views.RECORDS}, keyed AS (SELECT id, authority, published_at, 'url:' || canonical_url AS k1, 'title:' || org || ':' || nullif({LAUNCH_TITLE}, '') AS k2 FROM v_rec) " + GREEDY.format(order="authority DESC, published_at, id"))
+def d1(spark, d):
+    rows = views.records(spark, d)
+    return dedupe.greedy_dedupe(rows, "id", [(-F.col("authority")).alias("a"), F.col("published_at"), F.col("id")], launch_keys(rows)).select("id", "kept")
+
+
+@query("d2_paper_dedupe", """WITH keyed AS (SELECT doc_id AS id, 'a:' || md5(text) AS k1, 't:' || nullif(trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')), '') || ':' || source AS k2 FROM documents) """ + GREEDY.format(order="id"))
+def d2(spark, d):
+    from gleanery.functions.text import spaced
+
+    docs = views.table(spark, d, "documents")
+    title = F.nullif(spaced(F.split_part("text", F.lit("\n"), F.lit(1))), F.lit(""))
+    keys = [F.concat(F.lit("a:"), F.md5("text")), F.concat(F.lit("t:"), title, F.lit(":"), F.col("source"))]
+    return dedupe.greedy_dedupe(docs, "doc_id", [F.col("doc_id")], keys).select("id", "kept")
+
+
+@query("u_pri_priority_union", """WITH both_ AS (SELECT doc_id, text, source, 0 AS rank FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id + 1000000000, text, source, 1 FROM documents WHERE doc_id % 2 = 0),
+  keyed AS (SELECT doc_id AS id, rank, 'a:' || md5(text) AS k1, CAST(NULL AS VARCHAR) AS k2 FROM both_) """ + GREEDY.format(order="rank, id"))
+def u_pri(spark, d):
+    docs = views.table(spark, d, "documents")
+    a = docs.filter("lang = 'en'").select("doc_id", "text", F.lit(0).alias("rank"))
+    b = docs.filter("doc_id % 2 = 0").select((F.col("doc_id") + 1000000000).alias("doc_id"), "text", F.lit(1).alias("rank"))
+    return dedupe.greedy_dedupe(a.unionByName(b), "doc_id", [F.col("rank"), F.col("doc_id")], [F.concat(F.lit("a:"), F.md5("text"))]).select("id", "kept")
+
+
+@query("d3_keep_first", f"WITH {views.ACTIVITY} SELECT user_id, k, event_id FROM v_ev QUALIFY row_number() OVER (PARTITION BY user_id, k ORDER BY ts, event_id) = 1")
+def d3(spark, d):
+    return dedupe.keep_first(views.activity(spark, d), ["user_id", "k"], [F.col("ts"), F.col("event_id")]).select("user_id", "k", "event_id")
+
+
+@query("d4_keep_last", f"WITH {views.ACTIVITY} SELECT user_id, k, event_id, value FROM v_ev QUALIFY row_number() OVER (PARTITION BY user_id, k ORDER BY ts DESC, event_id DESC) = 1")
+def d4(spark, d):
+    return dedupe.keep_last(views.activity(spark, d), ["user_id", "k"], F.struct("ts", "event_id")).select("user_id", "k", "event_id", "value")
+
+
+D5_START, D5_END = "1998-01-01", "1998-03-01"
+
+
+@query("d5_capped_accept", f"""WITH {views.EVIDENCE}, w AS (SELECT *, CASE WHEN signal_type = 'EMERGING_TOOL' THEN 'feature-request' WHEN NOT artifact AND NOT implication THEN 'no-evidence' END AS reject FROM v_evid WHERE created_at >= TIMESTAMP '{D5_START}' AND created_at < TIMESTAMP '{D5_END}'),
+  first AS (SELECT evidence_id, row_number() OVER (PARTITION BY repo, product, topic ORDER BY created_at, evidence_id) = 1 AS won FROM w WHERE reject IS NULL),
+  o AS (SELECT w.*, coalesce(reject, CASE WHEN won THEN 'accepted' ELSE 'duplicate' END) AS outcome FROM w LEFT JOIN first USING (evidence_id)),
+  n AS (SELECT *, count(*) FILTER (WHERE outcome = 'accepted') OVER (PARTITION BY repo ORDER BY created_at, evidence_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o)
+  SELECT evidence_id, outcome FROM n WHERE before < 5""")
+def d5(spark, d):
+    rows = views.evidence(spark, d).filter((F.col("created_at") >= F.lit(D5_START).cast("timestamp")) & (F.col("created_at") < F.lit(D5_END).cast("timestamp")))
+    reject = F.when(F.col("signal_type") == "EMERGING_TOOL", "feature-request").when(~F.col("artifact") & ~F.col("implication"), "no-evidence")
+    return dedupe.capped_accept(rows, "repo", "evidence_id", [F.col("created_at"), F.col("evidence_id")], [F.concat_ws("|", "product", "topic")], reject, 5).select("evidence_id", "outcome")
+
+
+@query("d6_keep_max_by_name", "SELECT lower(p_brand) AS name, arg_max(p_partkey, struct_pack(p := p_retailprice, k := p_partkey)) AS best FROM part GROUP BY ALL")
+def d6(spark, d):
+    return views.table(spark, d, "part").groupBy(F.lower("p_brand").alias("name")).agg(F.max_by("p_partkey", F.struct("p_retailprice", "p_partkey")).alias("best"))
+
+
+@query("d7_recent_suppression", f"""WITH {views.ACTIVITY}, a AS (WITH RECURSIVE r(event_type, user_id, ts) AS (SELECT event_type, user_id, min(ts) FROM v_ev GROUP BY ALL UNION ALL
+    SELECT r.event_type, r.user_id, min(e.ts) FROM r JOIN v_ev e ON e.event_type = r.event_type AND e.user_id = r.user_id AND e.ts >= r.ts + INTERVAL 7 DAY GROUP BY r.event_type, r.user_id, r.ts) SELECT * FROM r)
+  SELECT min(e.event_id) AS event_id FROM v_ev e JOIN a ON e.event_type = a.event_type AND e.user_id = a.user_id AND e.ts = a.ts GROUP BY a.event_type, a.user_id, a.ts""")
+def d7(spark, d):
+    return dedupe.suppress_recent(views.activity(spark, d), ["event_type", "user_id"], "ts", "event_id", 7).select("event_id")
+
+
+# ---------------------------------------------------------------------- matching
+
+
+def typed_records(spark, d):
+    rows = views.records(spark, d)
+    return rows.withColumns({
+        "event_type": F.when(F.length("title") % 2 == 0, "product-launch").otherwise("model-release"), "source_rank": (F.length("url") % 3).cast("int"), "is_signal": F.length("summary") % 2 == 0,
+        "impact_score": (F.length("title") % 50 + 40).cast("int"), "novelty_score": (F.length("summary") % 50 + 40).cast("int"), "capabilities": F.array(F.substring("title", 1, 1), F.substring("title", 2, 1)),
+    })
+
+
+TYPED = f"""{views.RECORDS}, typed AS (SELECT *, CASE WHEN length(title) % 2 = 0 THEN 'product-launch' ELSE 'model-release' END AS event_type, CAST(length(url) % 3 AS INTEGER) AS source_rank, length(summary) % 2 = 0 AS is_signal,
+  CAST(length(title) % 50 + 40 AS INTEGER) AS impact_score, CAST(length(summary) % 50 + 40 AS INTEGER) AS novelty_score, [substring(title, 1, 1), substring(title, 2, 1)] AS capabilities FROM v_rec),
+toks AS (SELECT id, org, version, published_at, unnest(list_distinct(list_filter([nullif(regexp_replace(lower(product), '[^a-z0-9.-]+', '', 'g'), ''), nullif(regexp_replace(lower(model), '[^a-z0-9.-]+', '', 'g'), '')], lambda x: x IS NOT NULL))) AS token FROM typed),
+pairs AS (SELECT DISTINCT l.id AS left_id, r.id AS right_id FROM toks l JOIN toks r ON l.org = r.org AND l.token = r.token AND l.id < r.id
+  WHERE abs(epoch_us(l.published_at) - epoch_us(r.published_at)) <= 7 * 86400000000 AND NOT coalesce(lower(l.version) <> lower(r.version), false))"""
+
+DECIDED = f"""{TYPED},
+words AS (SELECT *, list_distinct(list_filter(string_split({LAUNCH_TITLE}, ' '), lambda w: w <> '')) AS ws FROM typed),
+sim AS (SELECT left_id, right_id, l.product AS lp, r.product AS rp, l.model AS lm, r.model AS rm, l.version AS lv, r.version AS rv, l.event_type AS le, r.event_type AS re, l.title AS lt, r.title AS rt, l.published_at AS la, r.published_at AS ra,
+  CASE WHEN len(l.ws) = 0 OR len(r.ws) = 0 THEN 0.0 ELSE len(list_intersect(l.ws, r.ws))::DOUBLE / len(list_distinct(list_concat(l.ws, r.ws))) END AS similarity FROM pairs JOIN words l ON l.id = left_id JOIN words r ON r.id = right_id),
+decided AS (SELECT left_id, right_id, similarity, CASE WHEN coalesce(lower(lv) <> lower(rv), false) THEN false
+  WHEN coalesce(lower(lm) = lower(rm), false) AND abs(epoch_us(la) - epoch_us(ra)) <= 172800000000 AND regexp_matches(lt, '(?i)\\b(introducing|announcing|launch|release|released|available)\\b') AND regexp_matches(rt, '(?i)\\b(introducing|announcing|launch|release|released|available)\\b') THEN true
+  WHEN coalesce(lower(lm) = lower(rm), false) AND similarity >= 0.2 THEN true WHEN coalesce(lower(lp) = lower(rp), false) AND le = re AND similarity >= 0.35 THEN true WHEN similarity < 0.12 THEN false END AS decision FROM sim)"""
+
+PAIR_KEY = "substring(sha256(CASE WHEN left_id < right_id THEN left_id || '|' || right_id ELSE right_id || '|' || left_id END), 1, 24)"
+MATCHED = f"""{DECIDED}, table_ AS (SELECT DISTINCT {PAIR_KEY} AS pk, true AS answer FROM decided WHERE decision IS NULL AND similarity >= 0.15),
+matched AS (SELECT left_id, right_id, {PAIR_KEY} AS pair_key, decision, coalesce(decision, answer, false) AS matched FROM decided LEFT JOIN table_ ON pk = {PAIR_KEY})"""
+
+COMPONENTS = f"""{MATCHED}, links AS (SELECT left_id AS a, right_id AS b FROM matched WHERE matched UNION ALL SELECT right_id, left_id FROM matched WHERE matched),
+comp AS (SELECT id, min(reach) AS component FROM (WITH RECURSIVE c(id, reach) AS (SELECT id, id FROM typed UNION SELECT c.id, links.b FROM c JOIN links ON links.a = c.reach) SELECT * FROM c) GROUP BY id)"""
+
+EVENTS = f"""{COMPONENTS},
+rolled AS (SELECT component, arg_min(struct_pack(id := id, url := url, title := title, org := org), struct_pack(a := -authority, b := -source_rank, c := is_signal, d := published_at, e := id)) AS p, min(published_at) AS published_at, max(authority) AS authority, count(*) AS n_sources,
+  arg_min(product, struct_pack(a := -authority, d := published_at, e := id)) FILTER (WHERE product IS NOT NULL) AS product, arg_min(model, struct_pack(a := -authority, d := published_at, e := id)) FILTER (WHERE model IS NOT NULL) AS model,
+  arg_min(version, struct_pack(a := -authority, d := published_at, e := id)) FILTER (WHERE version IS NOT NULL) AS version, count(DISTINCT lower(version)) > 1 AS version_conflict, max(impact_score) AS impact_score, max(novelty_score) AS novelty_score,
+  array_to_string(list_sort(list_distinct(flatten(list(capabilities)))), ',') AS capabilities FROM typed JOIN comp USING (id) GROUP BY component),
+events_ AS (SELECT substring(sha256(concat_ws('|', p.org, coalesce(product, ''), coalesce(model, ''), coalesce(version, ''), strftime(published_at, '%Y-%m-%d'), component)), 1, 16) AS event_id, p.id AS primary_id, p.org AS org, p.title AS title, component, published_at, authority, n_sources, product, model, version, version_conflict, impact_score, novelty_score, capabilities FROM rolled)"""
+
+
+def pairs(spark, d):
+    rows = typed_records(spark, d)
+    return rows, match.candidate_pairs(rows)
+
+
+def matched(spark, d):
+    rows, found = pairs(spark, d)
+    decided = match.decide(found, rows)
+    from gleanery.functions.text import pair_key
+
+    table = decided.filter("decision is null and similarity >= 0.15").select(pair_key(F.col("left_id"), F.col("right_id")).alias("pair_key"), F.lit(True).alias("answer")).distinct()
+    return rows, match.resolve(decided, table)
+
+
+def events(spark, d):
+    rows, m = matched(spark, d)
+    return match.roll_up_events(rows, components.connected_components(rows, m.filter("matched")))
+
+
+@query("j4_blocked_pairs", f"WITH {TYPED} SELECT * FROM pairs")
+def j4(spark, d):
+    return pairs(spark, d)[1]
+
+
+@query("j5_pair_decisions", f"WITH {DECIDED} SELECT left_id, right_id, round(similarity, 6) AS similarity, decision FROM decided")
+def j5(spark, d):
+    rows, found = pairs(spark, d)
+    return match.decide(found, rows).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("j6_resolved_pairs", f"WITH {MATCHED} SELECT * FROM matched")
+def j6(spark, d):
+    return matched(spark, d)[1]
+
+
+@query("a11_components", f"WITH {COMPONENTS} SELECT id, component FROM comp")
+def a11(spark, d):
+    rows, m = matched(spark, d)
+    return components.connected_components(rows, m.filter("matched"))
+
+
+@query("a3_event_roll_up", f"WITH {EVENTS} SELECT * FROM events_")
+def a3(spark, d):
+    return events(spark, d)
+
+
+@query("g6_primary_source", f"WITH {EVENTS} SELECT component, primary_id FROM events_")
+def g6(spark, d):
+    return events(spark, d).select("component", "primary_id")
+
+
+LIMITS = "(VALUES ('example.com', 60, 60), ('example.net', 70, 50), ('example.org', 50, 70)) t(o, novelty, impact)"
+PUBLISHABLE = f"{EVENTS}, ok AS (SELECT e.* FROM events_ e JOIN {LIMITS} ON org = o WHERE novelty_score >= novelty AND impact_score >= impact AND authority >= 70)"
+
+
+def publishable(spark, d):
+    limits = spark.createDataFrame([("example.com", 60, 60), ("example.net", 70, 50), ("example.org", 50, 70)], "o string, novelty int, impact int")
+    return events(spark, d).join(F.broadcast(limits), F.col("org") == F.col("o")).filter("novelty_score >= novelty and impact_score >= impact and authority >= 70")
+
+
+@query("c12_publication_thresholds", f"WITH {PUBLISHABLE} SELECT event_id FROM ok")
+def c12(spark, d):
+    return publishable(spark, d).select("event_id")
+
+
+@query("t5_published_events", f"WITH {PUBLISHABLE} SELECT event_id, published_at, impact_score FROM ok ORDER BY published_at DESC, impact_score DESC, event_id LIMIT 50")
+def t5(spark, d):
+    return publishable(spark, d).select("event_id", "published_at", "impact_score").orderBy(F.desc("published_at"), F.desc("impact_score"), "event_id").limit(50)
+
+
+@query("e1_launch_events", f"WITH {PUBLISHABLE} SELECT event_id, primary_id, org, title, n_sources, product, model, version FROM ok")
+def e1(spark, d):
+    return publishable(spark, d).select("event_id", "primary_id", "org", "title", "n_sources", "product", "model", "version")

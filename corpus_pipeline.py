@@ -36,10 +36,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark")).agg(F.max("copies").alias("copies")).filter("copies > 0")
-    named = docs.withColumn("mark", F.xxhash64("text"))
-    taken = named.join(copies, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark")).agg(F.max("copies").alias("times")).filter("times > 0")
+    named = docs.select(*COLUMNS, F.xxhash64("text").alias("own_mark"))
+    taken = named.join(copies, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("own_mark") == F.col("of_mark")))
+    return taken.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

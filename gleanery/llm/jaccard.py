@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import mix, split_words, staged, text_or_empty, windows_of
+from gleanery.llm.common import discard, mix, sliced, split_words, staged, text_or_empty, windows_of
 
 NGRAM = 3
 PERCENT = 90  # documents link when their similarity is at least this
@@ -18,6 +18,7 @@ REGION_SETS = 1500  # sets that one task joins
 REGION_SHINGLES = 3_000_000
 PIVOTS = 16
 DEPTH = 4
+SLICE = 1000  # texts worked on at once
 
 
 # ---------------------------------------------------------------- shingle sets
@@ -120,15 +121,21 @@ class Classes:
 
 
 def keyed_sets(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, key, cells of each row of (doc_id, text)."""
+    """doc_id, n, key, cells of each row of (doc_id, text).
+
+    A task gives the cells of a set once: copies of a text need none.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes = Classes(percent)
-        for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                part = batch.iloc[lo : lo + 1000]
-                sets = shingle_sets(part["text"].tolist(), ngram)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n": [len(s) for s in sets], "key": [set_key(s) for s in sets], "cells": [classes.cells(s) for s in sets]})
+        seen: set[int] = set()  # keys of this task's rows
+        for part in sliced(batches, SLICE):
+            sets = shingle_sets(part["text"].tolist(), ngram)
+            keys, cells = [set_key(s) for s in sets], []
+            for key, s in zip(keys, sets):
+                cells.append(np.empty(0, dtype=np.int64) if key in seen else classes.cells(s))
+                seen.add(key)
+            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n": [len(s) for s in sets], "key": keys, "cells": cells})
 
     return docs.mapInPandas(run, "doc_id long, n long, key long, cells array<long>")
 
@@ -237,7 +244,10 @@ def join_region(keys: np.ndarray, sets: list[np.ndarray], home: np.ndarray, othe
 
 
 def link_sets(sets: DataFrame, percent: int = PERCENT, region_sets: int = REGION_SETS, region_shingles: int = REGION_SHINGLES, most_pivots: int = PIVOTS) -> DataFrame:
-    """Edges (a, b) that connect all linked sets of each island; ``sets`` has island, key, n, shingles.
+    """Edges (a, b) that connect all linked sets of each island.
+
+    ``sets`` has island, key, n, shingles and need, how many tasks the island
+    would fill.
 
     Sets of different islands are further apart than the radius r.  An island
     that fits one task is one region.  In a larger one, pivots are drawn and
@@ -248,12 +258,8 @@ def link_sets(sets: DataFrame, percent: int = PERCENT, region_sets: int = REGION
     homes and blocks of all, each pair of blocks joined by one task, so
     every pair of home and other meets exactly.
     """
-    weights = sets.groupBy(F.col("island").alias("of")).agg(F.count("*").alias("m"), F.sum("n").alias("w"))
-    need = F.ceil(F.greatest(F.col("m") / region_sets, F.col("w") / region_shingles)).cast("int")
-    placed = staged(sets.join(weights.select("of", need.alias("need")), F.col("island") == F.col("of")).drop("of"), "islands")
-    one = placed.filter("need <= 1").select("island", F.lit(0).alias("region"), "key", "n", "shingles", F.lit(True).alias("home"))
-
-    large = placed.filter("need > 1")
+    one = sets.filter("need <= 1").select("island", F.lit(0).alias("region"), "key", "n", "shingles", F.lit(True).alias("home"))
+    large = staged(sets.filter("need > 1"), "islands")
     drawn = large.withColumn("slot", F.pmod(F.xxhash64("key"), F.least("need", F.lit(most_pivots)))).groupBy("island", "slot").agg(F.min(F.struct(F.xxhash64("key", F.lit(2)), "shingles")).alias("pivot"))
     pivots = drawn.groupBy(F.col("island").alias("of")).agg(F.array_sort(F.collect_list(F.struct("slot", "pivot.shingles"))).alias("pivots"))  # most_pivots an island
     width = 2 * (1 - percent / 100) + 1e-9
@@ -306,25 +312,28 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     are documents of their own.  Sets are told apart by 64-bit hashes.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    keyed = staged(keyed_sets(rows, ngram, percent), "sets")
-    once = keyed.filter("size(cells) > 0").select("key", "cells").dropDuplicates(["key"])
+    celled = staged(keyed_sets(rows, ngram, percent), "cells")
+    keyed = staged(celled.select("doc_id", "n", "key"), "sets")
     by_cell = Window.partitionBy("cell").orderBy("key")
-    pairs = once.select("key", F.explode("cells").alias("cell")).withColumn("least", F.first("key").over(by_cell)).filter("least != key")
+    pairs = celled.select("key", F.explode("cells").alias("cell")).withColumn("least", F.first("key").over(by_cell)).filter("least != key")
     candidates = components(pairs.select(F.col("key").alias("a"), F.col("least").alias("b")))
     islands = staged(candidates.select(F.col("node").alias("of"), F.col("component").alias("island")), "candidates")
+    discard(celled)  # the edges are written; nothing goes back to the cells
 
-    chosen = keyed.join(islands, F.col("key") == F.col("of")).groupBy("key").agg(F.min("doc_id").alias("one"), F.first("island").alias("island"))
+    chosen = keyed.join(islands, F.col("key") == F.col("of")).groupBy("key").agg(F.min("doc_id").alias("one"), F.first("island").alias("island"), F.first("n").alias("n"))
+    chosen = staged(chosen, "chosen")
+    size = F.greatest(F.count("*") / limits.get("region_sets", REGION_SETS), F.sum("n") / limits.get("region_shingles", REGION_SHINGLES))
+    need = chosen.groupBy(F.col("island").alias("of")).agg(F.ceil(size).cast("int").alias("need"))
+    named = chosen.join(need, F.col("island") == F.col("of")).select("key", "one", "island", "need")
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                part = batch.iloc[lo : lo + 1000]
-                sets = shingle_sets(part["text"].tolist(), ngram)
-                same = np.array([set_key(s) for s in sets], dtype=np.int64) == part["key"].to_numpy()  # equal ids may have other texts
-                yield pd.DataFrame({"island": part["island"], "key": part["key"], "n": [len(s) for s in sets], "shingles": [s.astype(np.int64) for s in sets]})[same]
-
-    texts = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["one"])).select("island", "key", "text")
-    sets = texts.mapInPandas(shingles, "island long, key long, n long, shingles array<long>").dropDuplicates(["key"])
+        for part in sliced(batches, SLICE):
+            sets = shingle_sets(part["text"].tolist(), ngram)
+            same = np.array([set_key(s) for s in sets], dtype=np.int64) == part["key"].to_numpy()  # equal ids may have other texts
+            yield pd.DataFrame({"island": part["island"].array, "need": part["need"].array, "key": part["key"].array, "n": [len(s) for s in sets], "shingles": [s.astype(np.int64) for s in sets]})[same]
+
+    texts = staged(rows.join(named, rows["doc_id"].eqNullSafe(named["one"])).select("island", "need", "key", "text"), "texts")
+    sets = texts.mapInPandas(shingles, "island long, need int, key long, n long, shingles array<long>")
     linked = components(link_sets(sets, percent, **limits)).withColumnsRenamed({"node": "of", "component": "head"})
     named = keyed.select("doc_id", "n", "key").join(linked, F.col("key") == F.col("of"), "left").select("doc_id", "n", F.coalesce("head", "key").alias("head"))
     named = staged(named, "named")

@@ -52,6 +52,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return rows.select("source", "source_size", target.alias("target"))
 
 
+def feature():
+    """What a document's tilt is multiplied by: 1 for one of mean size, at least a half; 1 in a source without words."""
+    return (1 + F.coalesce(F.try_divide(F.col("size"), F.col("mean_size")), F.lit(1.0))) / 2
+
+
+def tilted_rate(most: int):
+    return F.least(F.lit(float(most)), F.exp(F.col("tilt") * feature()))
+
+
 def solve_tilts(groups: DataFrame, targets: DataFrame, most: int = MOST, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """source, target, mean_size, tilt: rates min(most, exp(tilt * z)) meet the target.
 
@@ -67,8 +76,7 @@ def solve_tilts(groups: DataFrame, targets: DataFrame, most: int = MOST, steps:
     start = F.when(F.col("target") > 0, F.log(F.col("target") / F.col("source_size"))).otherwise(0.0)
     state = targets.join(means, same(targets["source"], means["of"])).select("source", "target", "mean_size", start.alias("tilt"), F.lit(-80.0).alias("low"), F.lit(80.0).alias("high"))
     state = staged(state, "tilts")
-    z = (1 + F.col("size") / F.col("mean_size")) / 2
-    rate = F.least(F.lit(float(most)), F.exp(F.col("tilt") * z))
+    z, rate = feature(), tilted_rate(most)
     words = F.col("n") * F.col("size") * rate
     off = F.col("taken") - F.col("target")
     newton = F.col("tilt") - F.try_divide(off, F.col("slope"))
@@ -94,7 +102,7 @@ def round_groups(groups: DataFrame, tilts: DataFrame, most: int = MOST) -> DataF
     times, for the words that this leaves over or short.
     """
     of = tilts.withColumnRenamed("source", "of")
-    rate = F.least(F.lit(float(most)), F.exp(F.col("tilt") * (1 + F.col("size") / F.col("mean_size")) / 2))
+    rate = tilted_rate(most)
     along = Window.partitionBy("source").orderBy(F.col("size").desc())  # sizes, not documents
     upto = F.floor(F.round(F.sum("expected").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)), 6) + 0.5)
     rows = groups.join(of, same(groups["source"], of["of"])).select("source", "size", "n", "target", (F.col("n") * rate).alias("expected"))
@@ -146,7 +154,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST,
     own = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("before") + F.col("rank") < F.col("copies") % F.col("n"), 1).otherwise(0)
     ranked = ranked.select("doc_id", "mark", "source", "size", own.cast("long").alias("own"))
     about = targets.withColumnRenamed("source", "of").join(tilts.select(F.col("source").alias("named"), "tilt", "mean_size"), same(F.col("of"), F.col("named")))
-    rate = F.least(F.lit(float(most)), F.exp(F.col("tilt") * (1 + F.coalesce(F.try_divide(F.col("size"), F.col("mean_size")), F.lit(0.0))) / 2))
+    rate = tilted_rate(most)
     return ranked.join(about, same(F.col("source"), F.col("of"))).select(
         "doc_id", "mark", "source", "size", "source_size", "target", rate.alias("rate"), F.col("own").alias("copies"), (F.col("own") * F.col("size")).alias("taken")
     )

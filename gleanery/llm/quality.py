@@ -10,55 +10,95 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import split_words, staged, text_or_empty, windows_of
+from gleanery.llm.common import mix, sliced, staged, text_or_empty, windows_of
 
 #: Labelled and unlabelled rows that the fit uses at most, each; the scores cover all rows.
 FIT_ROWS = 20000
 EPOCHS = 400
 PUNCTUATION = "#*$%&|<>!?.,;:"
 N_FEATURES = 34
+SLICE = 500
 
+_BYTES = np.arange(256)
+IS_SPACE = np.isin(_BYTES, [9, 10, 11, 12, 13, 32])
+IS_UPPER = (_BYTES >= 65) & (_BYTES <= 90)
+IS_LOWER = (_BYTES >= 97) & (_BYTES <= 122)
+IS_DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
+IS_LETTER = IS_UPPER | IS_LOWER | (_BYTES >= 128)
+
+
+def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.zeros(len(a)), where=b > 0)
 
-def share(a, b):
-    return a / b if b else 0.0
-
-
-def text_features(text: str, hashes: np.ndarray) -> np.ndarray:
-    """Numbers about form only: character classes, lines, words and repeats of a whole text."""
-    n, words = len(text), len(hashes)
-    if not words:
-        return np.zeros(N_FEATURES)
-    lines = [x for x in text.split("\n") if x.strip()]
-    tokens = text.split()
-    sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) if tokens else np.zeros(1, dtype=np.int64)
-    marks = [text.count(c) for c in PUNCTUATION]
-    letters = sum(map(str.isalpha, text)) if not text.isascii() else len(text.translate(NOT_LETTERS))
-    upper = sum(map(str.isupper, tokens))
-    ends = sum(x.rstrip()[-1] in ".!?" for x in lines)
-    distinct = len(np.unique(hashes))
-    four, _ = windows_of(hashes, np.array([words]), 4)
-    line_sizes = np.array([len(x) for x in lines] or [0])
-    return np.array([
-        np.log1p(words), np.log1p(len(lines)), share(words, len(lines)) / 50, sizes.mean() / 10, sizes.std() / 10, share(letters, n), share(upper, words),
-        *[min(10.0, share(m, words)) for m in marks], share(sum(m > 0 for m in marks[:8]), 8), share(ends, len(lines)), share(distinct, words), share(len(np.unique(four)), len(four)),
-        share(len(set(lines)), len(lines)), share(np.median(line_sizes), 500), share(sum(x.isdigit() for x in tokens), words), share(int((sizes <= 3).sum()), words), share(int((sizes > 12).sum()), words),
-        share(sum(t[:1].isupper() for t in tokens), words), min(1.0, words / 20), min(1.0, words / 100), float(words < 10),
-    ])
 
+def distinct(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """How many different hashes each owner has."""
+    _, first = np.unique(mix(hashes + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+    return np.bincount(owner[first], minlength=n)
 
-NOT_LETTERS = {c: None for c in range(128) if not chr(c).isalpha()}
+
+def text_features(texts: list[str]) -> np.ndarray:
+    """Numbers about form only, a row for each whole text: bytes by class, words, lines and repeats.
+
+    Worked out over the joined bytes of all texts at once; zeros for a text
+    without words.
+    """
+    n = len(texts)
+    raw = [t.encode("utf-8", "surrogatepass") + b"\n" for t in texts]
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    sizes = np.fromiter(map(len, raw), dtype=np.int64, count=n)
+    owner = np.repeat(np.arange(n), sizes)
+    table = np.bincount(owner * 256 + data, minlength=n * 256).reshape(n, 256).astype(np.float64)
+    space = IS_SPACE[data]
+    edges = np.diff(np.concatenate(([1], space.view(np.int8))))
+    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    if not len(starts):
+        return np.zeros((n, N_FEATURES))
+    ends = ends[ends > starts[0]]
+    of = owner[starts]
+    count = lambda mask: np.bincount(of[mask], minlength=n).astype(np.float64)
+    total = lambda values: np.bincount(of, weights=values, minlength=n)
+    words = np.bincount(of, minlength=n).astype(np.float64)
+    length = (ends - starts).astype(np.float64)
+    within = lambda flags: (c := np.concatenate(([0], np.cumsum(flags[data], dtype=np.int64))))[ends] - c[starts]
+    upper, lower, digit = within(IS_UPPER), within(IS_LOWER), within(IS_DIGIT)
+    mean = ratio(total(length), words)
+    spread = np.sqrt(np.maximum(0, ratio(total(length**2), words) - mean**2))
+
+    # word hashes: a polynomial over the bytes, moved to position 0
+    step = np.uint64(0x9E3779B97F4A7C15 | 1)
+    back = np.uint64(pow(int(step), -1, 1 << 64))
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(data) - 1, step, dtype=np.uint64))))
+        undo = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(data) - 1, back, dtype=np.uint64))))
+        sums = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)))
+        hashes = mix((sums[ends] - sums[starts]) * undo[starts])
+    grams, gram_owner = windows_of(hashes, words.astype(np.int64), 4)
+
+    newline = np.flatnonzero(data == 10)
+    before = data[np.maximum(newline - 1, 0)]
+    line_owner = owner[newline]
+    lines = np.bincount(line_owner, minlength=n).astype(np.float64)
+    ended = np.bincount(line_owner[np.isin(before, list(b".!?"))], minlength=n)
+    different = np.array([len(set(t.split("\n"))) for t in texts], dtype=np.float64)
+    marks = table[:, [ord(c) for c in PUNCTUATION]]
+    size = sizes.astype(np.float64) - 1
+    out = np.column_stack([
+        np.log1p(words), np.log1p(lines), ratio(words, lines) / 50, mean / 10, spread / 10, ratio(table[:, IS_LETTER].sum(1), size), ratio(count((upper > 0) & (lower == 0) & (length > 1)), words),
+        np.minimum(10, marks / np.maximum(words, 1)[:, None]), (marks[:, :8] > 0).mean(1), ratio(ended, lines), ratio(distinct(of, hashes, n), words), ratio(distinct(gram_owner, grams, n), np.bincount(gram_owner, minlength=n)),
+        ratio(different, lines), ratio(size, lines) / 500, ratio(count(digit == length), words), ratio(count(length <= 3), words), ratio(count(length > 12), words), ratio(count(IS_UPPER[data[starts]]), words),
+        np.minimum(1, words / 20), np.minimum(1, words / 100), words < 10,
+    ])
+    out[words == 0] = 0
+    return out.astype(np.float32)
 
 
 def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, features of every row; zeros for a text without words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"].tolist()
-            hashes, counts = split_words(texts)
-            ends = np.cumsum(counts)
-            rows = [text_features(t, hashes[e - c : e]).astype(np.float32) for t, e, c in zip(texts, ends, counts)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "features": rows})
+        for part in sliced(batches, SLICE):
+            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "features": list(text_features(part["text"].tolist()))})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, "doc_id long, features array<float>")
 
@@ -177,11 +217,10 @@ def filter_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, fit_r
     model = learn(staged(document_features(docs, id_col, text_col), "features"), labels, fit_rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch[text_col].tolist()]
-            hashes, counts = split_words(texts)
-            ends = np.cumsum(counts)
-            x = np.array([text_features(t, hashes[e - c : e]).astype(np.float32) for t, e, c in zip(texts, ends, counts)], dtype=np.float64).reshape(-1, N_FEATURES)
-            yield batch[model.score(x) >= least] if model else batch
+        for part in sliced(batches, SLICE):
+            if model is None:
+                yield part
+            else:
+                yield part[model.score(text_features(["" if t is None else t for t in part[text_col]]).astype(np.float64)) >= least]
 
     return docs.mapInPandas(run, docs.schema)

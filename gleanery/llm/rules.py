@@ -9,14 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import split_words, text_or_empty, windows_of
+from gleanery.llm.common import sliced, split_words, text_or_empty, windows_of
 
 BUCKETS = 1 << 16
 REPEAT_WINDOW = 8
+SLICE = 1000  # texts worked on at once
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: A text is rejected if its n-grams are, on average, e**LEAST_RATIO as likely in trusted text as in raw text.
-LEAST_RATIO = -0.5
+#: A text is rejected if its n-grams are, on average, less than e**LEAST_RATIO times as likely in trusted as in raw text.
+LEAST_RATIO = -0.25
 SYMBOLS = "#*$%&|<>"
 
 
@@ -32,10 +33,10 @@ def bucket_counts(docs: DataFrame, text_col: str = "text", trusted_col: str = "t
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
-            buckets, owner = ngram_buckets(*split_words(batch["text"].tolist(), lower=True))
+        for part in sliced(batches, SLICE):
+            buckets, owner = ngram_buckets(*split_words(part["text"].tolist(), lower=True))
             raw += np.bincount(buckets, minlength=BUCKETS)
-            trusted = batch["trusted"].to_numpy(dtype=bool)
+            trusted = part["trusted"].to_numpy(dtype=bool)
             target += np.bincount(buckets[trusted[owner]], minlength=BUCKETS)
         some = np.flatnonzero(raw)
         yield pd.DataFrame({"bucket": some, "raw": raw[some], "target": target[some]})
@@ -45,22 +46,38 @@ def bucket_counts(docs: DataFrame, text_col: str = "text", trusted_col: str = "t
     return each.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(counts: DataFrame) -> np.ndarray:
-    """log p(bucket | trusted) - log p(bucket | raw), smoothed; BUCKETS numbers at any corpus size.
+SMOOTHING = 1.0
 
-    Both multinomials share a prior proportional to the raw counts, so that a
-    bucket that trusted text lacks by chance counts for little and one that it
-    lacks although raw text is full of it counts for much.
-    """
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+
+def totals(counts: DataFrame) -> np.ndarray:
+    """Rows raw and target of the counts of all buckets: 2 x BUCKETS numbers at any corpus size."""
+    out = np.zeros((2, BUCKETS), dtype=np.int64)
     for row in counts.collect():  # at most BUCKETS rows
-        raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
-    if not target.sum():
-        return np.zeros(BUCKETS)
-    p_raw = (raw + 1) / (raw.sum() + BUCKETS)
-    prior = 0.02 * target.sum()
-    p_target = (target + prior * p_raw) / (target.sum() + prior)
-    return np.log(p_target) - np.log(p_raw)
+        out[:, row["bucket"]] = row["raw"], row["target"]
+    return out
+
+
+def log_ratios(texts: list[str], all_counts: np.ndarray) -> np.ndarray:
+    """Mean log p(n-gram | trusted) - log p(n-gram | raw) of each text; 0 without words or trusted text.
+
+    A text's own n-grams are taken from the raw counts first, so that it is judged
+    by the others; a trusted text stays in the target.  What raw text would lead one to expect in the trusted text
+    (raw count times the share of trusted n-grams) and what is there are both
+    smoothed by one occurrence: rare n-grams say little, frequent ones that
+    trusted text lacks say much.
+    """
+    buckets, owner = ngram_buckets(*split_words(texts, lower=True))
+    sizes = np.bincount(owner, minlength=len(texts))
+    raw_total, target_total = all_counts[0].sum(), all_counts[1].sum()
+    if not len(buckets) or not target_total:
+        return np.zeros(len(texts))
+    pairs, own = np.unique(owner * BUCKETS + buckets, return_counts=True)
+    who, bucket = pairs // BUCKETS, pairs % BUCKETS
+    raw, target = all_counts[0][bucket] - own, all_counts[1][bucket]
+    rest = target_total / np.maximum(raw_total - sizes[who], target_total)
+    each = np.log((target + SMOOTHING) / (raw * rest + SMOOTHING))
+    sums = np.bincount(who, weights=own * each, minlength=len(texts))
+    return np.divide(sums, sizes, out=np.zeros(len(texts)), where=sizes > 0)
 
 
 def symbol_count(text: str) -> int:
@@ -109,22 +126,18 @@ def apply_rules(docs: DataFrame, trusted: DataFrame, least_ratio: float = LEAST_
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     marks = trusted.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(True).alias("trusted")).distinct()
-    ratios = log_ratios(bucket_counts(rows.join(marks, "doc_id", "left")))
+    counted = totals(bucket_counts(rows.join(marks, "doc_id", "left")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"].tolist()
+        for part in sliced(batches, SLICE):
+            texts = part["text"].tolist()
             hashes, counts = split_words(texts)
             ends = np.cumsum(counts)
-            low, low_counts = split_words(texts, lower=True)
-            buckets, owner = ngram_buckets(low, low_counts)
-            sums = np.bincount(owner, weights=ratios[buckets], minlength=len(texts))
-            sizes = np.bincount(owner, minlength=len(texts))
-            mean = np.divide(sums, sizes, out=np.zeros(len(texts)), where=sizes > 0)
+            mean = log_ratios(texts, counted)
             repeats = np.array([repeated_words(hashes[e - c : e]) for e, c in zip(ends, counts)], dtype=np.int64)
             failed = (counts < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * counts)
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"), "n_words": counts, "word_chars": [word_chars(t) for t in texts], "n_symbols": [symbol_count(t) for t in texts],
+                "doc_id": part["doc_id"].astype("Int64").array, "n_words": counts, "word_chars": [word_chars(t) for t in texts], "n_symbols": [symbol_count(t) for t in texts],
                 "n_dup_lines": [repeated_lines(t) for t in texts], "n_repeat_words": repeats, "base_failed": failed, "log_ratio": mean, "kept": ~failed & (mean >= least_ratio),
             })
 

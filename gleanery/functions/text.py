@@ -87,7 +87,8 @@ def pair_key(a: Column, b: Column, size: int = 24) -> Column:
 
 def clamp_score(x: Column) -> Column:
     """A number from 0 to 100, rounded; what is not a number is null."""
-    return F.least(F.lit(100), F.greatest(F.lit(0), rounded(x.try_cast("double")))).cast("int")
+    n = x.try_cast("double")
+    return F.when(n.isNotNull(), F.least(F.lit(100), F.greatest(F.lit(0), rounded(n)))).cast("int")
 
 
 def cut(text: Column, most: int) -> Column:

@@ -85,7 +85,7 @@ def plain(markdown: str) -> str:
     """Markdown and tags taken off, white space squeezed."""
     text = re.sub(r"!?\[([^\]]*)\]\([^)]+\)", r"\1", markdown)
     text = re.sub(r"`([^`]+)`", r"\1", text)
-    return " ".join(re.sub(r"<[^>]+>", " ", re.sub(r"[*_~#>]+", " ", text)).split())
+    return " ".join(re.sub(r"[*_~#>]+", " ", re.sub(r"<[^>]+>", " ", text)).split())
 
 
 def note_entries(body: str, kind: str) -> Iterator[tuple[str, str, str]]:

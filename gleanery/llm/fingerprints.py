@@ -8,10 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import staged, text_or_empty
+from gleanery.llm.common import sliced, text_or_empty
 
 WINDOW = 64  # bytes of a feature
 SPAN = 64  # neighbouring features among which the rarest wins
@@ -20,6 +20,7 @@ LEVELS = 1000  # entropy classes
 FILTER_BITS = 2048
 FILTER_FEATURES = 128
 CHUNK = 1 << 16
+SLICE = 200  # texts worked on at once
 
 
 def _steps() -> np.ndarray:
@@ -63,33 +64,46 @@ def rarest(ranks: np.ndarray) -> np.ndarray:
     span = min(SPAN, n)
     if not n:
         return np.empty(0, dtype=np.int64)
-    code = (ranks.astype(np.int64) << 40) | np.arange(n, dtype=np.int64)
+    shift, kind = (20, np.int32) if n < 1 << 20 else (40, np.int64)  # ranks take 11 bits
+    code = (ranks.astype(kind) << shift) | np.arange(n, dtype=kind)
     least, width = code, 1
     while width * 2 <= span:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     if width < span:
         least = np.minimum(least[: n - span + 1], least[span - width : span - width + n - span + 1])
-    wins = np.bincount(least & ((1 << 40) - 1), minlength=n)
+    wins = np.bincount(least & ((1 << shift) - 1), minlength=n)
     chosen = np.flatnonzero(wins >= min(WINS, len(least)))
     return chosen if len(chosen) else np.array([int(np.argmin(code))])
 
 
-def features(raw: bytes, ranking: np.ndarray) -> list[bytes]:
-    """The selected byte windows of a text, in order; a text shorter than one is its only feature."""
-    if len(raw) < WINDOW:
-        return [raw] if raw else []
-    starts = rarest(ranking[entropy_classes(np.frombuffer(raw, dtype=np.uint8))])
-    return [raw[s : s + WINDOW] for s in starts.tolist()]
+def joined_classes(raws: list[bytes]) -> Iterator[np.ndarray]:
+    """Entropy classes of the windows of each text, worked out over the joined bytes."""
+    classes = entropy_classes(np.frombuffer(b"".join(raws), dtype=np.uint8))
+    at = 0
+    for raw in raws:
+        yield classes[at : max(at, at + len(raw) - WINDOW + 1)]
+        at += len(raw)
 
 
-def digest(raw: bytes, ranking: np.ndarray) -> np.ndarray:
-    """Chained filters, one row of FILTER_BITS flags for each FILTER_FEATURES features."""
-    found = list(dict.fromkeys(features(raw, ranking)))
-    out = np.zeros((-(-len(found) // FILTER_FEATURES), FILTER_BITS), dtype=bool)
-    for k, feature in enumerate(found):
-        words = np.frombuffer(hashlib.sha1(feature).digest(), dtype="<u4")
-        out[k // FILTER_FEATURES, words % FILTER_BITS] = True
+def digests(texts: list[str], ranking: np.ndarray) -> list[np.ndarray]:
+    """Chained filters of each text, one row of FILTER_BITS flags for each FILTER_FEATURES features.
+
+    The features are the selected byte windows, each once, in order; a text
+    shorter than a window is its only feature, an empty one has none.
+    """
+    raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+    out = []
+    for raw, classes in zip(raws, joined_classes(raws)):
+        if len(raw) < WINDOW:
+            found = [raw] if raw else []
+        else:
+            found = list(dict.fromkeys(raw[s : s + WINDOW] for s in rarest(ranking[classes]).tolist()))
+        filters = np.zeros((-(-len(found) // FILTER_FEATURES), FILTER_BITS), dtype=bool)
+        if found:
+            hashes = np.frombuffer(b"".join(hashlib.sha1(f).digest() for f in found), dtype="<u4").reshape(-1, 5)
+            filters[np.repeat(np.arange(len(found)) // FILTER_FEATURES, 5), (hashes % FILTER_BITS).ravel()] = True
+        out.append(filters)
     return out
 
 
@@ -129,11 +143,9 @@ def class_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(LEVELS + 1, dtype=np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                if len(raw) >= WINDOW:
-                    total += np.bincount(entropy_classes(raw), minlength=LEVELS + 1)
+        for part in sliced(batches, SLICE):
+            for classes in joined_classes([t.encode("utf-8", "surrogatepass") for t in part["text"]]):
+                total += np.bincount(classes, minlength=LEVELS + 1)
         yield pd.DataFrame({"entropy": np.flatnonzero(total), "n": total[np.flatnonzero(total)]})
 
     each = docs.select(text_or_empty(text_col).alias("text")).mapInPandas(run, "entropy int, n long")
@@ -161,9 +173,9 @@ def fingerprint(docs: DataFrame, ranking: np.ndarray, id_col: str = "doc_id", te
     """doc_id, fingerprint of each row; a null text is an empty one, with an empty fingerprint."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            prints = [to_string(digest(t.encode("utf-8", "surrogatepass"), ranking)) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fingerprint": prints})
+        for part in sliced(batches, SLICE):
+            prints = [to_string(d) for d in digests(part["text"].tolist(), ranking)]
+            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "fingerprint": prints})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, "doc_id long, fingerprint string")
 
@@ -217,17 +229,19 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the row before, with its digest
-        for batch in batches:
-            out = []
-            for where, doc, text, end in zip(batch["range"], batch["doc_id"], batch["text"], batch["end"]):
-                own = digest(text.encode("utf-8", "surrogatepass"), ranking)
+        for part in sliced(batches, SLICE):
+            own = digests(part["text"].tolist(), ranking)
+            todo = []
+            for where, doc, text, end, print_ in zip(part["range"], part["doc_id"], part["text"], part["end"], own):
                 if held is not None:
                     assert held[0] == where
-                    edited = edited_text(held[2], text)
-                    changed = digest(edited.encode("utf-8", "surrogatepass"), ranking)
-                    sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((held[1], len(held[2]), sha, to_string(held[3]), to_string(changed), likeness(held[3], changed), likeness(held[3], own)))
-                held = None if end else (where, doc, text, own)
+                    todo.append((held[1], held[2], edited_text(held[2], text), held[3], print_))
+                held = None if end else (where, doc, text, print_)
+            changed = digests([t[2] for t in todo], ranking)
+            out = [
+                (doc, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), to_string(mine), to_string(other), likeness(mine, other), likeness(mine, following))
+                for (doc, text, edited, mine, following), other in zip(todo, changed)
+            ]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in EDITED.split(", ")]).astype({"doc_id": "Int64"})
 
     return dealt.mapInPandas(run, EDITED)

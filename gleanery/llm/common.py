@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -57,6 +58,14 @@ def sliced(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]
             yield batch.iloc[lo : lo + rows]
 
 
+def map_rows(rows: DataFrame, run: Callable, schema: str, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """mapInPandas with the id columns carried as text: pandas would turn long columns with nulls into doubles."""
+    as_text = re.sub(rf"\b({'|'.join(ids)}) long", r"\1 string", schema)
+    given = {c: F.col(c).cast("string") for c in ids if c in rows.columns}
+    out = rows.withColumns(given).mapInPandas(run, as_text)
+    return out.withColumns({c: F.col(c).cast("long") for c in ids})
+
+
 def discard(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     spark = df.sparkSession

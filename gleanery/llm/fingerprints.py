@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import sliced, text_or_empty
+from gleanery.llm.common import map_rows, sliced, text_or_empty
 
 WINDOW = 64  # bytes of a feature
 SPAN = 64  # neighbouring features among which the rarest wins
@@ -175,9 +175,9 @@ def fingerprint(docs: DataFrame, ranking: np.ndarray, id_col: str = "doc_id", te
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in sliced(batches, SLICE):
             prints = [to_string(d) for d in digests(part["text"].tolist(), ranking)]
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "fingerprint": prints})
+            yield pd.DataFrame({"doc_id": part["doc_id"].array, "fingerprint": prints})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, "doc_id long, fingerprint string")
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), run, "doc_id long, fingerprint string")
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -242,6 +242,6 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 (doc, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), to_string(mine), to_string(other), likeness(mine, other), likeness(mine, following))
                 for (doc, text, edited, mine, following), other in zip(todo, changed)
             ]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in EDITED.split(", ")]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in EDITED.split(", ")])
 
-    return dealt.mapInPandas(run, EDITED)
+    return map_rows(dealt, run, EDITED)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import discard, mix, sliced, split_words, staged, text_or_empty, windows_of
+from gleanery.llm.common import discard, map_rows, mix, sliced, split_words, staged, text_or_empty, windows_of
 
 NGRAM = 3
 PERCENT = 90  # documents link when their similarity is at least this
@@ -135,9 +135,9 @@ def keyed_sets(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> D
             for key, s in zip(keys, sets):
                 cells.append(np.empty(0, dtype=np.int64) if key in seen else classes.cells(s))
                 seen.add(key)
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n": [len(s) for s in sets], "key": keys, "cells": cells})
+            yield pd.DataFrame({"doc_id": part["doc_id"].array, "n": [len(s) for s in sets], "key": keys, "cells": cells})
 
-    return docs.mapInPandas(run, "doc_id long, n long, key long, cells array<long>")
+    return map_rows(docs, run, "doc_id long, n long, key long, cells array<long>")
 
 
 # ------------------------------------------------------------------- components

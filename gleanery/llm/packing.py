@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import staged, text_or_empty
+from gleanery.llm.common import map_rows, sliced, staged, text_or_empty
 
 #: Pieces that one task packs together; each group wastes about one sequence.
 GROUP_PIECES = 16384
+SLICE = 1000  # texts worked on at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
@@ -69,15 +70,15 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = Encoder(tokenizer or default_tokenizer())
-        for batch in batches:
+        for part in sliced(batches, SLICE):
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
+            for doc, text in zip(part["doc_id"], part["text"]):
                 ids = np.append(encode(text), np.uint32(end_id)).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     rows.append((doc, k, start, length, zlib.crc32(ids[start : start + length].tobytes())))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, PIECES)
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), run, PIECES)
 
 
 def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,5 +135,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
         bins, offsets = place(rows["length"].to_numpy(), capacity)
         return rows.drop(columns=["packing_group"]).assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
-    dealt = part.withColumn("row", row).withColumn("packing_group", F.pmod(F.xxhash64("row"), F.lit(groups)))
-    return full.unionByName(dealt.groupBy("packing_group").applyInPandas(run, PACKED))
+    dealt = part.withColumns({"row": row, "doc_id": F.col("doc_id").cast("string")}).withColumn("packing_group", F.pmod(F.xxhash64("row"), F.lit(groups)))
+    packed = dealt.groupBy("packing_group").applyInPandas(run, PACKED.replace("doc_id long", "doc_id string"))
+    return full.unionByName(packed.withColumn("doc_id", F.col("doc_id").cast("long")))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import text_or_empty
+from gleanery.llm.common import map_rows, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -274,6 +274,6 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 every = {k: base[k] + extra[k] for k in KINDS}
                 sha = hashlib.sha256(joined(base).encode()).hexdigest()
                 rows.append((doc, *(len(base[k]) for k in KINDS), sha, joined(every), sum(map(len, extra.values())), redact(text, every)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, SCHEMA)
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), run, SCHEMA)

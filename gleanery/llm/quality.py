@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import mix, sliced, staged, text_or_empty, windows_of
+from gleanery.llm.common import map_rows, mix, sliced, staged, text_or_empty, windows_of
 
 #: Labelled and unlabelled rows that the fit uses at most, each; the scores cover all rows.
 FIT_ROWS = 20000
@@ -98,9 +98,9 @@ def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in sliced(batches, SLICE):
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "features": list(text_features(part["text"].tolist()))})
+            yield pd.DataFrame({"doc_id": part["doc_id"].array, "features": list(text_features(part["text"].tolist()))})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, "doc_id long, features array<float>")
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), run, "doc_id long, features array<float>")
 
 
 @dataclass
@@ -206,9 +206,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.array(batch["features"].tolist(), dtype=np.float64).reshape(-1, N_FEATURES)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": model.score(x) if model else np.full(len(x), 0.5)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": model.score(x) if model else np.full(len(x), 0.5)})
 
-    scored = features.mapInPandas(run, SCHEMA)
+    scored = map_rows(features, run, SCHEMA)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -223,4 +223,7 @@ def filter_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, fit_r
             else:
                 yield part[model.score(text_features(["" if t is None else t for t in part[text_col]]).astype(np.float64)) >= least]
 
-    return docs.mapInPandas(run, docs.schema)
+    whole = [f.name for f in docs.schema if f.dataType.typeName() in ("long", "integer", "short", "byte")]  # pandas has no nulls in these
+    out = docs.withColumns({c: F.col(c).cast("string") for c in whole})
+    out = out.mapInPandas(run, out.schema)
+    return out.withColumns({c: F.col(c).cast(docs.schema[c].dataType) for c in whole})

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import sliced, split_words, text_or_empty, windows_of
+from gleanery.llm.common import map_rows, sliced, split_words, text_or_empty, windows_of
 
 BUCKETS = 1 << 16
 REPEAT_WINDOW = 8
@@ -137,11 +137,11 @@ def apply_rules(docs: DataFrame, trusted: DataFrame, least_ratio: float = LEAST_
             repeats = np.array([repeated_words(hashes[e - c : e]) for e, c in zip(ends, counts)], dtype=np.int64)
             failed = (counts < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * counts)
             yield pd.DataFrame({
-                "doc_id": part["doc_id"].astype("Int64").array, "n_words": counts, "word_chars": [word_chars(t) for t in texts], "n_symbols": [symbol_count(t) for t in texts],
+                "doc_id": part["doc_id"].array, "n_words": counts, "word_chars": [word_chars(t) for t in texts], "n_symbols": [symbol_count(t) for t in texts],
                 "n_dup_lines": [repeated_lines(t) for t in texts], "n_repeat_words": repeats, "base_failed": failed, "log_ratio": mean, "kept": ~failed & (mean >= least_ratio),
             })
 
-    return rows.mapInPandas(run, SCHEMA)
+    return map_rows(rows, run, SCHEMA)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

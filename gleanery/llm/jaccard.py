@@ -243,6 +243,23 @@ def join_region(keys: np.ndarray, sets: list[np.ndarray], home: np.ndarray, othe
     return edges
 
 
+def rare_cells(large: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between sets of an island that share one of their rarest shingles.
+
+    With the shingles of an island in one order, rarest first, two linked sets
+    share one of their first n - ceil(percent n / 100) + 1: otherwise too few
+    are left to share.  A passage that many texts quote is not rare, so sets
+    that have only that in common part here.
+    """
+    each = large.select("island", "key", "n", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("island", "shingle").agg(F.count("*").alias("often"))
+    place = F.dense_rank().over(Window.partitionBy("island", "key").orderBy("often", "shingle"))
+    first = each.join(often, ["island", "shingle"]).withColumn("place", place)
+    first = first.filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("often") > 1))
+    least = F.first("key").over(Window.partitionBy("island", "shingle").orderBy("key"))
+    return first.select("key", least.alias("least")).filter("least != key").select(F.col("key").alias("a"), F.col("least").alias("b"))
+
+
 def link_sets(sets: DataFrame, percent: int = PERCENT, region_sets: int = REGION_SETS, region_shingles: int = REGION_SHINGLES, most_pivots: int = PIVOTS) -> DataFrame:
     """Edges (a, b) that connect all linked sets of each island.
 
@@ -250,7 +267,8 @@ def link_sets(sets: DataFrame, percent: int = PERCENT, region_sets: int = REGION
     would fill.
 
     Sets of different islands are further apart than the radius r.  An island
-    that fits one task is one region.  In a larger one, pivots are drawn and
+    that fits one task is one region.  A larger one first falls apart into
+    islands of its own by ``rare_cells``.  In one that is still larger, pivots are drawn and
     each set goes to the Voronoi region of its nearest pivot, as a home, and
     as a guest to every region whose pivot is at most 2 r further away: by
     the triangle inequality a linked pair is then together in the home region of
@@ -259,7 +277,14 @@ def link_sets(sets: DataFrame, percent: int = PERCENT, region_sets: int = REGION
     every pair of home and other meets exactly.
     """
     one = sets.filter("need <= 1").select("island", F.lit(0).alias("region"), "key", "n", "shingles", F.lit(True).alias("home"))
-    large = staged(sets.filter("need > 1"), "islands")
+    whole = staged(sets.filter("need > 1"), "islands")
+    finer = components(rare_cells(whole, percent)).select(F.col("node").alias("of"), F.col("component").alias("finer"))
+    parts = staged(whole.select("key", "n").distinct().join(finer, F.col("key") == F.col("of")), "finer")
+    again = parts.groupBy(F.col("finer").alias("of_finer")).agg(F.ceil(F.greatest(F.count("*") / region_sets, F.sum("n") / region_shingles)).cast("int").alias("needed"))
+    named = parts.join(again, F.col("finer") == F.col("of_finer")).select("of", "finer", "needed")
+    split = whole.join(named, F.col("key") == F.col("of")).select(F.col("finer").alias("island"), "key", "n", "shingles", F.col("needed").alias("need"))
+    one = one.unionByName(split.filter("need <= 1").select("island", F.lit(0).alias("region"), "key", "n", "shingles", F.lit(True).alias("home")))
+    large = staged(split.filter("need > 1"), "islands")
     drawn = large.withColumn("slot", F.pmod(F.xxhash64("key"), F.least("need", F.lit(most_pivots)))).groupBy("island", "slot").agg(F.min(F.struct(F.xxhash64("key", F.lit(2)), "shingles")).alias("pivot"))
     pivots = drawn.groupBy(F.col("island").alias("of")).agg(F.array_sort(F.collect_list(F.struct("slot", "pivot.shingles"))).alias("pivots"))  # most_pivots an island
     width = 2 * (1 - percent / 100) + 1e-9

@@ -126,7 +126,8 @@ def apply_rules(docs: DataFrame, trusted: DataFrame, least_ratio: float = LEAST_
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     marks = trusted.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(True).alias("trusted")).distinct()
-    counted = totals(bucket_counts(rows.join(marks, "doc_id", "left")))
+    # the marks grow with the labels, so they are never broadcast: texts are shuffled once, at every size
+    counted = totals(bucket_counts(rows.join(marks.hint("merge"), "doc_id", "left")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in sliced(batches, SLICE):

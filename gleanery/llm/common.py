@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -67,10 +68,12 @@ def map_rows(rows: DataFrame, run: Callable, schema: str, ids: tuple[str, ...] =
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a staged table that nothing reads any more."""
+    """Delete a staged table that nothing reads any more, and let Spark's cleaner drop the shuffles made from it."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -323,6 +323,14 @@ def link_sets(sets: DataFrame, percent: int = PERCENT, region_sets: int = REGION
     return tasks.groupBy("island", "region", "x", "y").applyInPandas(run, "a long, b long")
 
 
+def candidate_islands(celled: DataFrame) -> DataFrame:
+    """of, island: components of the sets that share a cell, as a written table."""
+    by_cell = Window.partitionBy("cell").orderBy("key")
+    pairs = celled.select("key", F.explode("cells").alias("cell")).withColumn("least", F.first("key").over(by_cell)).filter("least != key")
+    candidates = components(pairs.select(F.col("key").alias("a"), F.col("least").alias("b")))
+    return staged(candidates.select(F.col("node").alias("of"), F.col("component").alias("island")), "candidates")
+
+
 def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
@@ -339,10 +347,7 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     celled = staged(keyed_sets(rows, ngram, percent), "cells")
     keyed = staged(celled.select("doc_id", "n", "key"), "sets")
-    by_cell = Window.partitionBy("cell").orderBy("key")
-    pairs = celled.select("key", F.explode("cells").alias("cell")).withColumn("least", F.first("key").over(by_cell)).filter("least != key")
-    candidates = components(pairs.select(F.col("key").alias("a"), F.col("least").alias("b")))
-    islands = staged(candidates.select(F.col("node").alias("of"), F.col("component").alias("island")), "candidates")
+    islands = candidate_islands(celled)
     discard(celled)  # the edges are written; nothing goes back to the cells
 
     chosen = keyed.join(islands, F.col("key") == F.col("of")).groupBy("key").agg(F.min("doc_id").alias("one"), F.first("island").alias("island"), F.first("n").alias("n"))

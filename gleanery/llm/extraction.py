@@ -5,15 +5,17 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import map_rows
 
-BLOCK_PAGES = 64  # pages of a host that one wrapper is induced from, at most
+CANDIDATES = 64  # pages of a host that its references are picked from: those with the least hashes of content
+BUCKET_PAGES = 64  # a host is not split below so many pages
 REFERENCES = 4  # pages that each page is aligned with
 AGREE = 3  # references that must show a text unchanged before it counts as template
 
@@ -244,73 +246,126 @@ def host_of(column: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(column).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def pick_references(trees: list[Node]) -> list[Node]:
-    """Pages whose texts differ most plainly: no two share their longest block or first heading."""
+def longest_text(tree: Node) -> str:
+    return max((x.text for x, _ in leaves(tree)), key=len, default="")
+
+
+def pick_references(pages: Iterable[str]) -> list[int]:
+    """Which pages differ most plainly: no two share their longest block or first heading."""
     out, seen = [], set()
-    for tree in trees:
-        texts = [x.text for x, _ in leaves(tree)]
+    for k, page in enumerate(pages):
+        texts = [x.text for x, _ in leaves(parse(page))]
         if texts:
             marks = {max(texts, key=len), *texts[-1:]} if len(texts) < 3 else {max(texts, key=len)}
             if not marks & seen:
                 seen |= marks
-                out.append(tree)
+                out.append(k)
         if len(out) > REFERENCES:
             break
     return out
 
 
-def extract_block(pages: list[str]) -> list[str]:
-    """Main texts of pages of one host, each aligned with a few others that tell other things."""
+def references_of(pages: list[str]) -> list[tuple[Node, str]]:
+    """Reference pages as weighed trees, each with its longest text."""
     trees = [parse(p) for p in pages]
     for t in trees:
         weigh(t)
-    references = pick_references(trees)
-    out = []
-    for tree in trees:
-        longest = max((x.text for x, _ in leaves(tree)), key=len, default="")
-        others = [r for r in references if r is not tree and longest not in {max((x.text for x, _ in leaves(r)), key=len)}][:REFERENCES]
-        for r in others:
-            align(tree, r)
-        out.append(extract(tree, len(others)))
-    return out
+    return [(t, longest_text(t)) for t in trees]
+
+
+def extract_page(page: str, references: list[tuple[Node, str]]) -> str:
+    """Main text of a page, aligned with the references of its host that tell other things."""
+    tree = parse(page)
+    weigh(tree)
+    longest = longest_text(tree)
+    others = [r for r, text in references if text != longest][:REFERENCES]
+    for r in others:
+        align(tree, r)
+    return extract(tree, len(others))
+
+
+def extract_block(pages: list[str]) -> list[str]:
+    """Main texts of pages of one host, with references among themselves."""
+    references = references_of([pages[k] for k in pick_references(pages)])
+    return [extract_page(p, references) for p in pages]
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
+OUT = ["page_id", "url", "text", "n_chars"]
+WRITE_PAGES = 64  # rows of a result batch
+
+
+def split_references(rows: DataFrame, split: DataFrame, n: int) -> DataFrame:
+    """host, rank, html: the references of the hosts in ``split``, picked once for each host."""
+    contents = rows.join(F.broadcast(split), "host", "left_semi").select("host", "content").distinct()
+    least = contents.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("content"))).filter(F.col("n") <= CANDIDATES)
+    upto = least.groupBy("host").agg(F.max("content").alias("upto"))
+    found = rows.join(F.broadcast(upto), "host").filter(F.col("content") <= F.col("upto")).groupBy("host", "content").agg(F.min("html").alias("html"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = ((host, html) for batch in batches for host, html in zip(batch["host"], batch["html"]))
+        for host, group in groupby(every, key=lambda r: r[0]):
+            pages = [html for _, html in group]
+            picked = pick_references(pages)
+            yield pd.DataFrame({"host": [host] * len(picked), "rank": range(len(picked)), "html": [pages[k] for k in picked]})
+
+    return found.repartition(n, "host").sortWithinPartitions("host", "content").select("host", "html").mapInPandas(run, "host string, rank long, html string")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars (code points) of every page.
 
-    Pages are dealt by ranges of (host, hash of id and url), which Spark cuts
-    from a sample of the keys: a host with any share of the pages spreads over
-    many tasks and small hosts share one.  Within its sorted range a task takes
-    ``BLOCK_PAGES`` pages of a host at a time, induces the wrapper from them
-    and extracts them, so memory is bounded by a block.
+    Every page is aligned with the references of its host, which depend on the
+    host's pages only: among the ``CANDIDATES`` different contents with the least
+    hashes, the first that differ plainly.  How pages are dealt does not matter.
+
+    A host with more than a quarter of a task's share is split into buckets of
+    that size; its references are picked beforehand and go to each bucket, at
+    most 8 a task.  Other hosts are one bucket, sorted by content, so that their
+    candidates come first.  Buckets are dealt by ranges, which Spark cuts from a
+    sample; a bucket is never cut.  A task holds the candidates of a host and the
+    ids of their copies.
 
     A null page is an empty one, with empty text.  A page without any other of
     its host, or only copies of itself, keeps what the element names tell.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host_of(url_col).alias("host"))
-    rows = rows.withColumn("key", F.xxhash64("page_id", "url"))
+    rows = rows.withColumn("content", F.xxhash64("html"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = rows.repartitionByRange(n, "host", "key").sortWithinPartitions("host", "key")
+    share = max(BUCKET_PAGES, rows.count() // (4 * n))
+    split = rows.groupBy("host").count().filter(F.col("count") > share).select("host", F.ceil(F.col("count") / share).alias("parts"))  # at most 4 * n hosts
+    dealt = rows.join(F.broadcast(split), "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    dealt = dealt.select("page_id", "url", "html", "host", F.pmod(F.xxhash64("page_id", "url"), "parts").alias("part"), "parts", F.lit(1).alias("kind"), "content")
+    shared = split_references(rows, split, n).join(F.broadcast(split), "host").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    shared = shared.select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), "html", "host", "part", "parts", F.lit(0).alias("kind"), F.col("rank").alias("content"))
+    every = dealt.unionByName(shared).repartitionByRange(n, "host", "part").sortWithinPartitions("host", "part", "kind", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block: list[tuple] = []
-
-        def done() -> pd.DataFrame:
-            texts = extract_block([r[2] for r in block])
-            return pd.DataFrame({"page_id": [r[0] for r in block], "url": [r[1] for r in block], "text": texts, "n_chars": [len(t) for t in texts]})
-
-        host = None
-        for batch in batches:
-            for row in zip(batch["page_id"], batch["url"], batch["html"], batch["host"]):
-                if block and (row[3] != host or len(block) >= BLOCK_PAGES):
-                    yield done()
-                    block = []
-                host = row[3]
-                block.append(row)
-        if block:
-            yield done()
-
-    return map_rows(sorted_rows, run, SCHEMA, ("page_id",))
+        columns = ("page_id", "url", "html", "host", "part", "parts", "kind")
+        stream = (row for batch in batches for row in zip(*(batch[c] for c in columns)))
+        for (_, _, parts), bucket in groupby(stream, key=lambda r: r[3:6]):
+            given, held, contents = [], [], []
+            for row in bucket:  # the references of a split host, or the candidates of another with their copies
+                if row[6] == 0:
+                    given.append(row[2])
+                    continue
+                if parts == 1 and (not contents or row[2] != contents[-1]):
+                    contents.append(row[2])
+                held.append((*row[:2], contents[-1] if parts == 1 else row[2]))
+                if parts > 1 or len(contents) > CANDIDATES:
+                    break
+            if parts == 1:
+                given = [contents[k] for k in pick_references(contents[:CANDIDATES])]
+            references = references_of(given)
+            done, last, text = [], None, ""
+            for row in chain(held, bucket):
+                if row[2] != last:
+                    last, text = row[2], extract_page(row[2], references)
+                done.append((row[0], row[1], text, len(text)))
+                if len(done) == WRITE_PAGES:
+                    yield pd.DataFrame(done, columns=OUT)
+                    done = []
+            if done:
+                yield pd.DataFrame(done, columns=OUT)
+
+    return map_rows(every, run, SCHEMA, ("page_id",))

@@ -110,6 +110,24 @@ def test_pages_query(spark):
     assert extraction.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def noticed_pages(rng, n):
+    """Pages of one host with a notice that neither element nor class names tell."""
+    return [(k, f"https://one.host/{k}", f"<html><body><div><p>All our letters are free.</p><p>{prose(rng, 30)}</p><p>{prose(rng, 31)}</p></div></body></html>") for k in range(n)]
+
+
+@pytest.mark.parametrize("n, partitions", [(65, 1), (67, 4), (30, 16), (300, 3)])
+def test_every_page_has_the_references_of_its_host(spark, n, partitions):
+    rows = noticed_pages(random.Random(5), n) + [(1000, "https://alone.host/", "<p>one page</p>")]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == n + 1
+    assert [r["page_id"] for r in got if "letters" in r["text"]] == []
+
+
 # ----------------------------------------------------------------------- packing
 
 

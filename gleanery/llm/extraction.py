@@ -193,14 +193,13 @@ def leaves(node: Node) -> list[tuple[Node, bool]]:
     return out
 
 
-def inside(leaf: Node, top: Node) -> bool:
-    while leaf is not None and leaf is not top:
-        leaf = leaf.parent
-    return leaf is top
+def main_nodes(root: Node, texts: list[Node]) -> list[Node]:
+    """Where the article is, given the texts that vary.
 
-
-def main_node(root: Node, texts: list[Node]) -> Node:
-    """Where the article is: the article or main element with most text, else where text that varies is dense."""
+    The outermost article and main elements, all that hold such text, if
+    together they have at least half of it (else they are teasers); without them
+    the smallest node that holds all of it: nothing that varies is left outside.
+    """
     size: Counter[int] = Counter()
     nodes: dict[int, Node] = {}
     for leaf in texts:
@@ -209,35 +208,34 @@ def main_node(root: Node, texts: list[Node]) -> Node:
             nodes[id(up)] = up
             size[id(up)] += max(0, len(leaf.text) - leaf.links)
             up = up.parent
-    for tags in (("article",), ("main",)):
-        named = [x for x in nodes.values() if x.tag in tags]
-        if named:
-            best = max(named, key=lambda x: size[id(x)])
-            if size[id(best)]:
-                return best
+    named, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if x.tag in ("article", "main") and size[id(x)]:
+            named.append(x)
+        else:
+            stack += [c for c in x.children if id(c) in nodes]
+    if named and 2 * sum(size[id(x)] for x in named) >= size[id(root)]:
+        return named
     here = root
-    while True:  # go down while one child keeps almost all of the text
-        below = [c for c in here.children if c.children and size[id(c)] >= 0.8 * size[id(here)] > 0]
-        if not below:
-            return here
+    while below := [c for c in here.children if c.children and size[id(c)] == size[id(here)] > 0]:
         here = below[0]
+    return [here]
 
 
 def extract(root: Node, references: int) -> str:
     """The content slots of an aligned page, block by block."""
     every = leaves(root)
-    open_texts = [x for x, aside in every if not aside]
-    if not open_texts:
-        return ""
-    top = main_node(root, open_texts)
+    varying = [(x, aside) for x, aside in every if not (references >= AGREE and x.fixed >= AGREE and x.fixed * 10 >= 6 * references)]
+    tops = main_nodes(root, [x for x, aside in varying if not aside])
     # headings and bylines of <header> inside the article belong to it
+    held = {id(x): top for top in tops for x, _ in leaves(top)}
     kept = []
-    for x, aside in every:
-        if aside or not inside(x, top):
+    for x, aside in varying:
+        if aside or id(x) not in held:
             continue
-        template = references >= AGREE and x.fixed >= AGREE and x.fixed * 10 >= 6 * references
-        mostly_links = x.links > 0.8 * len(x.text) and top.tag not in ("article", "main")
-        if not template and not mostly_links:
+        mostly_links = x.links > 0.8 * len(x.text) and held[id(x)].tag not in ("article", "main")
+        if not mostly_links:
             kept.append(x.text)
     return "\n".join(kept)
 

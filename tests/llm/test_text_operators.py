@@ -110,6 +110,19 @@ def test_pages_query(spark):
     assert extraction.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_nothing_that_varies_is_left_outside_the_main_node():
+    rng = random.Random(12)
+    said = [[prose(rng, n) for n in (6, 12, 300, 8)] for _ in range(6)]
+    want = ["\n".join(s) for s in said]
+    plain = [f"<body><div><h1>{a}</h1><p>{b}</p><div><p>{c}</p><p>{d}</p></div></div><div><p>All our letters are free.</p></div></body>" for a, b, c, d in said]
+    assert extraction.extract_block(plain) == want
+    assert extraction.extract_block([f"<body><div><h1>{a}</h1><p>{b}</p><p>{c}</p><p>{d}</p></div></body>" for a, b, c, d in said]) == want
+    several = [f"<body><article><h1>{a}</h1><p>{b}</p></article><article><p>{c}</p></article><div><article><p>{d}</p></article></div></body>" for a, b, c, d in said]
+    assert extraction.extract_block(several) == want
+    teased = [f"<body><div><h1>{a}</h1><p>{b}</p><p>{c}</p></div><article><p>{d}</p></article></body>" for a, b, c, d in said]
+    assert extraction.extract_block(teased) == want
+
+
 def noticed_pages(rng, n):
     """Pages of one host with a notice that neither element nor class names tell."""
     return [(k, f"https://one.host/{k}", f"<html><body><div><p>All our letters are free.</p><p>{prose(rng, 30)}</p><p>{prose(rng, 31)}</p></div></body></html>") for k in range(n)]

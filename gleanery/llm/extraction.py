@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain, groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from gleanery.llm.common import map_rows
 CANDIDATES = 64  # pages of a host that its references are picked from: those with the least hashes of content
 BUCKET_PAGES = 64  # a host is not split below so many pages
 REFERENCES = 4  # pages that each page is aligned with
+TABLE_CELLS = 40000  # longer lists are split before they are aligned
 AGREE = 3  # references that must show a text unchanged before it counts as template
 
 # Element kinds of HTML.
@@ -129,12 +131,66 @@ def parse(page: str) -> Node:
     return root
 
 
+def best_scores(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> np.ndarray:
+    """The weight of the best alignment of all of ``a`` with each head of ``b``."""
+    row = np.zeros(len(b) + 1, dtype=np.int64)
+    for code, weight in zip(a, wa):
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + np.where(b == code, np.minimum(wb, weight), 0)))
+    return row
+
+
+def matched(a: list, b: list, wa: list[int], wb: list[int]) -> list[tuple[int, int]]:
+    """Order-preserving pairs of equal elements with most weight (a pair's is the lesser one).
+
+    Exact for lists of any length: those too long for a table are split where
+    the best alignment is (Hirschberg), so memory is linear in them.
+    """
+    common = set(a) & set(b)
+    if not common:
+        return []
+    at, bt = [i for i, x in enumerate(a) if x in common], [j for j, y in enumerate(b) if y in common]
+    numbers = {x: k for k, x in enumerate(common)}
+    xs, ys = np.array([numbers[a[i]] for i in at], dtype=np.int64), np.array([numbers[b[j]] for j in bt], dtype=np.int64)
+    vs, ws = np.array([wa[i] for i in at], dtype=np.int64), np.array([wb[j] for j in bt], dtype=np.int64)
+    out, stack = [], [(0, len(at), 0, len(bt))]
+    while stack:
+        lo, hi, left, right = stack.pop()
+        n, m = hi - lo, right - left
+        if not n or not m:
+            continue
+        if n > 1 and n * m > TABLE_CELLS:
+            mid = (lo + hi) // 2
+            ahead = best_scores(xs[lo:mid], ys[left:right], vs[lo:mid], ws[left:right])
+            behind = best_scores(xs[mid:hi][::-1], ys[left:right][::-1], vs[mid:hi][::-1], ws[left:right][::-1])[::-1]
+            cut = left + int(np.argmax(ahead + behind))
+            stack += [(lo, mid, left, cut), (mid, hi, cut, right)]
+            continue
+        x, y, v, w = xs[lo:hi].tolist(), ys[left:right].tolist(), vs[lo:hi].tolist(), ws[left:right].tolist()
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            row, below = best[i], best[i + 1]
+            for j in range(m - 1, -1, -1):
+                keep = below[j + 1] + min(v[i], w[j]) if x[i] == y[j] else 0
+                row[j] = max(keep, below[j], row[j + 1])
+        i = j = 0
+        while i < n and j < m:
+            if x[i] == y[j] and best[i][j] == best[i + 1][j + 1] + min(v[i], w[j]):
+                out.append((at[lo + i], bt[left + j]))
+                i, j = i + 1, j + 1
+            elif best[i][j] == best[i + 1][j]:
+                i += 1
+            else:
+                j += 1
+    return sorted(out)
+
+
 def align(a: Node, b: Node) -> None:
     """Simple tree matching; texts of ``a`` that its partner in ``b`` repeats are marked as fixed.
 
-    Two children match if their labels are equal; among order-preserving
-    matches the one with most nodes is taken.  Equal heads and tails of the
-    label lists are matched outright and only the middle needs the table.
+    Children that are equal with all under them match first, in order and with
+    most nodes.  Between two of them children match if their labels are equal;
+    again the order-preserving matches with most nodes are taken, where equal
+    heads and tails of the label lists are matched outright.
     """
     stack = [(a, b)]
     while stack:
@@ -143,34 +199,32 @@ def align(a: Node, b: Node) -> None:
             x.fixed += x.text == y.text
             continue
         xs, ys = x.children, y.children
-        lo, hi = 0, 0
-        while lo < min(len(xs), len(ys)) and xs[lo].label == ys[lo].label:
-            stack.append((xs[lo], ys[lo]))
-            lo += 1
-        while hi < min(len(xs), len(ys)) - lo and xs[-1 - hi].label == ys[-1 - hi].label:
-            stack.append((xs[-1 - hi], ys[-1 - hi]))
-            hi += 1
-        xs, ys = xs[lo : len(xs) - hi], ys[lo : len(ys) - hi]
-        if xs and ys and len(xs) * len(ys) <= 40000:
-            best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-            for i in range(len(xs) - 1, -1, -1):
-                row, below, own = best[i], best[i + 1], xs[i]
-                for j in range(len(ys) - 1, -1, -1):
-                    keep = below[j + 1] + min(own.heavy, ys[j].heavy) if own.label == ys[j].label else 0
-                    row[j] = max(keep, below[j], row[j + 1])
-            i = j = 0
-            while i < len(xs) and j < len(ys):
-                if xs[i].label == ys[j].label and best[i][j] == best[i + 1][j + 1] + min(xs[i].heavy, ys[j].heavy):
-                    stack.append((xs[i], ys[j]))
-                    i, j = i + 1, j + 1
-                elif best[i][j] == best[i + 1][j]:
-                    i += 1
-                else:
-                    j += 1
+        same = matched([c.key for c in xs], [c.key for c in ys], [c.heavy for c in xs], [c.heavy for c in ys])
+        i = j = 0
+        for p, q in [*same, (len(xs), len(ys))]:
+            pair_up(xs[i:p], ys[j:q], stack)
+            if p < len(xs):
+                stack.append((xs[p], ys[q]))
+            i, j = p + 1, q + 1
+
+
+def pair_up(xs: list[Node], ys: list[Node], stack: list[tuple[Node, Node]]) -> None:
+    """Add the pairs of two lists of children that match by label."""
+    lo, hi = 0, 0
+    while lo < min(len(xs), len(ys)) and xs[lo].label == ys[lo].label:
+        stack.append((xs[lo], ys[lo]))
+        lo += 1
+    while hi < min(len(xs), len(ys)) - lo and xs[-1 - hi].label == ys[-1 - hi].label:
+        stack.append((xs[-1 - hi], ys[-1 - hi]))
+        hi += 1
+    xs, ys = xs[lo : len(xs) - hi], ys[lo : len(ys) - hi]
+    if xs and ys:
+        pairs = matched([c.label for c in xs], [c.label for c in ys], [c.heavy for c in xs], [c.heavy for c in ys])
+        stack += [(xs[p], ys[q]) for p, q in pairs]
 
 
 def weigh(node: Node) -> int:
-    """Set ``heavy``, the number of nodes under each node, without recursion."""
+    """Set ``heavy``, the number of nodes under each node, and ``key``, equal for equal subtrees, without recursion."""
     order, stack = [], [node]
     while stack:
         x = stack.pop()
@@ -178,6 +232,7 @@ def weigh(node: Node) -> int:
         stack += x.children
     for x in reversed(order):
         x.heavy = 1 + sum(c.heavy for c in x.children)
+        x.key = hash((x.label, x.text, *(c.key for c in x.children)))
     return node.heavy
 
 

@@ -123,6 +123,31 @@ def test_nothing_that_varies_is_left_outside_the_main_node():
     assert extraction.extract_block(teased) == want
 
 
+def test_long_lists_of_children_are_aligned():
+    rng = random.Random(13)
+    pages, want = [], []
+    for k in range(5):
+        own = [(rng.choice(["p", "h2", "ul", "div"]), f"{k} {j} {prose(rng, 4)}") for j in range(600 + 7 * k)]
+        half = len(own) // 2
+        parts = [*own[:half], ("p", "All our letters are free."), *own[half:]]
+        pages.append("<body><div>" + "".join(f"<{t} class='c{rng.randrange(3)}'>{x}</{t}>" if x[0].isdigit() else f"<p>{x}</p>" for t, x in parts) + "</div></body>")
+        want.append("\n".join(x for _, x in own))
+    assert extraction.extract_block(pages) == want
+
+
+def test_matched_lists_weigh_as_much_as_the_whole_table(monkeypatch):
+    rng = random.Random(14)
+    for _ in range(60):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(40))] for _ in range(2))
+        wa, wb = [rng.randrange(1, 9) for _ in a], [rng.randrange(1, 9) for _ in b]
+        monkeypatch.setattr(extraction, "TABLE_CELLS", 10**9)
+        table = extraction.matched(a, b, wa, wb)
+        monkeypatch.setattr(extraction, "TABLE_CELLS", 6)
+        split = extraction.matched(a, b, wa, wb)
+        assert all(a[i] == b[j] for i, j in split) and all(p < q and r < s for (p, r), (q, s) in zip(split, split[1:]))
+        assert sum(min(wa[i], wb[j]) for i, j in split) == sum(min(wa[i], wb[j]) for i, j in table)
+
+
 def noticed_pages(rng, n):
     """Pages of one host with a notice that neither element nor class names tell."""
     return [(k, f"https://one.host/{k}", f"<html><body><div><p>All our letters are free.</p><p>{prose(rng, 30)}</p><p>{prose(rng, 31)}</p></div></body></html>") for k in range(n)]

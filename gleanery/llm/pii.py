@@ -46,6 +46,17 @@ ESCAPED = re.compile(r"&(?:#0*64|#[xX]0*40|commat|#0*46|#[xX]0*2[eE]|period);|%4
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])[ \t]+@[ \t]*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[ \t]*@[ \t]+(?=[A-Za-z0-9])")
 # Endings that make plain words ("name at host dot com") an address.
 ENDINGS = frozenset("com org net edu gov mil int info biz name io co ai app dev me tv us uk de fr es it nl be ch at eu ca au jp cn in br mx ru pl se no dk fi pt example test invalid local".split())
+# Country codes and common generic endings, for addresses whose at and dot are both words.
+COUNTRIES = """ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz
+de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp
+ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om
+pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz
+ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"""
+GENERIC = """academy agency art asia bank bar best blog build business cat center church city click cloud club codes community company computer consulting coop design digital email energy events
+expert finance fit fun fund games global group health help host house inc jobs land law legal life link live llc ltd marketing media mobi money museum network news ngo one ong online
+page paris party photo photos pics plus press pro properties pub rest run sale school science services shop site social software solutions space store studio support systems tax team
+tech technology tel tips today tools top town trade travel university video vip website wiki work works world wtf xxx xyz zone berlin wien koeln hamburg bayern nyc london tokyo"""
+WORDED_ENDINGS = ENDINGS.union(COUNTRIES.split(), GENERIC.split())
 
 
 def luhn(digits: str) -> bool:
@@ -148,6 +159,7 @@ def worded_addresses(text: str) -> list[tuple[int, int, str]]:
     """``at`` and ``dot`` in words, only where what they join ends like an address.
 
     ``name at host dot com``, ``name at host.com`` and ``1 dot 2 dot 3 dot 4``.
+    With a dot in words any country code or common generic ending will do.
     """
     out: list[tuple[int, int, str]] = []
     dots = [m.span() for m in WORD_DOT.finditer(text)]
@@ -161,7 +173,7 @@ def worded_addresses(text: str) -> list[tuple[int, int, str]]:
             found.append(by_start[pos])
             pos = by_start[pos][1]
         parts = re.split(rf"[ \t]+{_DOT}[ \t]+|\.", text[m.end() : pos], flags=re.I)
-        if len(parts) > 1 and parts[-1].lower() in ENDINGS and parts[0].lower() not in ARTICLES:
+        if len(parts) > 1 and parts[-1].lower() in (WORDED_ENDINGS if found else ENDINGS) and parts[0].lower() not in ARTICLES:
             left = m.start()
             while True:
                 start = left
@@ -182,7 +194,7 @@ def half_plain(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in re.finditer(rf"@[A-Za-z0-9-]+(?:(?:\.|[ \t]+{_DOT}[ \t]+)[A-Za-z0-9-]+)+", text, re.I):
         last = re.split(rf"\.|[ \t]+{_DOT}[ \t]+", m.group(), flags=re.I)[-1]
-        if last.lower() in ENDINGS:
+        if last.lower() in WORDED_ENDINGS:
             out += [(m.start() + d.start(), m.start() + d.end(), ".") for d in WORD_DOT.finditer(m.group())]
     return out
 
@@ -205,21 +217,25 @@ LABEL = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
 WORDED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:[ \t]+{_DOT}[ \t]+[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 ARTICLES = ("the", "a", "an", "this", "that")
 BRACKETED = re.compile(rf"[\[({{<][ \t]*(?:{_AT}|{_DOT}|@|\.)[ \t]*[\])}}>]")
-AT_HOST = re.compile(r" (?:at|arroba|arobase|klammeraffe) +[a-z0-9-]+\.[a-z]")
-TWO_NAMES = re.compile(rf"{_DIGIT}[ \t,.-]+(?:{_DIGIT}|[0-9])")
+AT_HOST = re.compile(rf" {_AT} +[a-z0-9-]+\.[a-z0-9-]")
+NEAR_NAME = re.compile(rf"{_DIGIT}[ \t,.-]+(?:{_DIGIT}|[0-9])|[0-9][ \t,.-]+{_DIGIT}")  # a spelled digit beside another digit
+FOLDED = str.maketrans("ſıİ", "sii")  # what patterns that ignore case take for s and i, and lower() does not
 DOT_WORDS = (" dot ", " punto ", " point ", " punkt ")
 
 
 def suspect(text: str) -> bool:
-    """Whether any transducer could change the text; cheap, as most texts are plain."""
+    """Whether any transducer could change the text; cheap, as most texts are plain.
+
+    Each test is a part that the pattern of a transducer cannot do without.
+    """
     if not text.isascii() and UNUSUAL.search(text):
         return True
     if ("&" in text or "%40" in text) and ESCAPED.search(text):
         return True
     if "@" in text and SPACED_AT.search(text):
         return True
-    low = text.lower().replace("\t", " ")
-    return any(w in low for w in DOT_WORDS) or bool(AT_HOST.search(low) or BRACKETED.search(low) or TWO_NAMES.search(low))
+    low = (text if text.isascii() else text.translate(FOLDED)).lower().replace("\t", " ")
+    return any(w in low for w in DOT_WORDS) or bool(AT_HOST.search(low) or BRACKETED.search(low) or NEAR_NAME.search(low))
 
 
 def all_spans(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:

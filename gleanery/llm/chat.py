@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,8 +13,9 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import map_rows
 
-CALL = "struct<call_id: string, name: string, arguments: string, valid: boolean, problem: string>"
-PARSED = f"conv_id long, turn long, role string, content string, answers string, calls array<{CALL}>"
+CALL = "struct<call_id: string, name: string, arguments: string, json: boolean>"
+TOOL = "struct<name: string, schema: string>"
+PARSED = f"conv_id long, turn long, role string, content string, answers string, calls array<{CALL}>, tools array<{TOOL}>"
 
 
 def canonical(value) -> str:
@@ -24,51 +27,186 @@ def canonical(value) -> str:
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
-def problem(value, schema: dict, at: str = "") -> str | None:
-    """What is wrong with ``value`` under a JSON schema (type, enum, properties, required, additionalProperties, items); None if nothing."""
+# Keywords that problem() evaluates, and those that assert nothing.
+CHECKED = frozenset("""type enum const properties required additionalProperties patternProperties propertyNames minProperties maxProperties dependentRequired items prefixItems contains minItems maxItems uniqueItems
+minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength maxLength pattern allOf anyOf oneOf not if then else $ref""".split())
+NOTES = frozenset("title description default examples example deprecated readOnly writeOnly format $schema $id $comment $defs definitions contentMediaType contentEncoding strict".split())
+DEEPEST = 64  # schemas within schemas, as $ref may turn in circles
+
+
+def same(a, b) -> bool:
+    """Equality of JSON values: true is not 1, but 1.0 is."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(same(v, b[k]) for k, v in a.items())
+    return a == b
+
+
+def referred(root, ref: str):
+    """The part of a schema that a local reference names; None if there is none."""
+    if not isinstance(ref, str) or not (ref == "#" or ref.startswith("#/")):
+        return None
+    for part in ref.split("/")[1:]:
+        part = part.replace("~1", "/").replace("~0", "~")
+        if isinstance(root, dict):
+            root = root.get(part)
+        else:
+            root = root[int(part)] if isinstance(root, list) and part.isdigit() and int(part) < len(root) else None
+    return root
+
+
+def problem(value, schema, at: str = "") -> str | None:
+    """What is wrong with ``value`` under a JSON schema; None if nothing.
+
+    A schema with a keyword that is neither evaluated nor a mere note, or that
+    cannot be read, makes the value ``unchecked``, never valid.
+    """
+    try:
+        return first_problem(value, schema, at, schema, 0)
+    except Unchecked as e:
+        return f"{at or '/'}: unchecked, {e}"
+    except (TypeError, ValueError, AttributeError, KeyError, ArithmeticError, RecursionError, re.error):
+        return f"{at or '/'}: unchecked, schema cannot be read"
+
+
+class Unchecked(Exception):
+    """A schema says what problem() does not evaluate."""
+
+
+def first_problem(value, schema, at: str, root, depth: int) -> str | None:
+    if isinstance(schema, bool):
+        return None if schema else f"{at or '/'}: not allowed"
+    if not isinstance(schema, dict):
+        raise Unchecked("schema is no object")
+    if depth > DEEPEST:
+        raise Unchecked("schemas too deep")
+    if other := sorted(set(schema) - CHECKED - NOTES):
+        raise Unchecked(other[0])
+    if isinstance(schema.get("items"), list):
+        raise Unchecked("items as a list")
+    go = lambda v, s, to=at: first_problem(v, s, to, root, depth + 1)
+    here = at or "/"
+    if "$ref" in schema:
+        target = referred(root, schema["$ref"])
+        if target is None:
+            raise Unchecked("$ref")
+        if found := go(value, target):
+            return found
     kinds = schema.get("type")
     if kinds is not None:
         kinds = [kinds] if isinstance(kinds, str) else kinds
         fits = any(isinstance(value, TYPES[k]) and not (isinstance(value, bool) and k in ("integer", "number")) or k == "integer" and isinstance(value, float) and value.is_integer() for k in kinds)
         if not fits:
-            return f"{at or '/'}: not {' or '.join(kinds)}"
-    if "enum" in schema and value not in schema["enum"]:
-        return f"{at or '/'}: not one of the allowed values"
+            return f"{here}: not {' or '.join(kinds)}"
+    if "enum" in schema and not any(same(value, x) for x in schema["enum"]):
+        return f"{here}: not one of the allowed values"
+    if "const" in schema and not same(value, schema["const"]):
+        return f"{here}: not the allowed value"
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        if "minimum" in schema and value < schema["minimum"] or "exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"]:
+            return f"{here}: too small"
+        if "maximum" in schema and value > schema["maximum"] or "exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"]:
+            return f"{here}: too large"
+        if "multipleOf" in schema and Decimal(str(value)) % Decimal(str(schema["multipleOf"])):
+            return f"{here}: not a multiple"
+    if isinstance(value, str):
+        if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
+            return f"{here}: wrong length"
+        if "pattern" in schema and not re.search(schema["pattern"], value):
+            return f"{here}: does not match the pattern"
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, patterns, other = schema.get("properties", {}), schema.get("patternProperties", {}), schema.get("additionalProperties", True)
         for name in schema.get("required", []):
             if name not in value:
                 return f"{at}/{name}: missing"
+        for name, needed in schema.get("dependentRequired", {}).items():
+            for n in needed if name in value else []:
+                if n not in value:
+                    return f"{at}/{n}: missing"
+        if not schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", len(value)):
+            return f"{here}: wrong number of properties"
         for name, item in value.items():
-            if name in known:
-                if found := problem(item, known[name], f"{at}/{name}"):
-                    return found
-            elif schema.get("additionalProperties") is False:
+            if "propertyNames" in schema and go(name, schema["propertyNames"]):
+                return f"{at}/{name}: name not allowed"
+            under = [known[name]] if name in known else []
+            under += [s for p, s in patterns.items() if re.search(p, name)]
+            if not under and other is False:
                 return f"{at}/{name}: unknown"
-    if isinstance(value, list) and "items" in schema:
+            for s in under or [other]:
+                if found := go(item, s, f"{at}/{name}"):
+                    return found
+    if isinstance(value, list):
+        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
+            return f"{here}: wrong number of items"
+        if schema.get("uniqueItems") and any(same(x, y) for k, x in enumerate(value) for y in value[:k]):
+            return f"{here}: items repeat"
+        heads = schema.get("prefixItems", [])
         for k, item in enumerate(value):
-            if found := problem(item, schema["items"], f"{at}/{k}"):
+            if found := go(item, heads[k] if k < len(heads) else schema.get("items", True), f"{at}/{k}"):
                 return found
+        if "contains" in schema and all(go(x, schema["contains"]) for x in value):
+            return f"{here}: holds no item that fits"
+    for part in schema.get("allOf", []):
+        if found := go(value, part):
+            return found
+    if "anyOf" in schema and all([go(value, p) for p in schema["anyOf"]]):
+        return f"{here}: fits none of the schemas"
+    if "oneOf" in schema and sum(go(value, p) is None for p in schema["oneOf"]) != 1:
+        return f"{here}: does not fit exactly one of the schemas"
+    if "not" in schema and go(value, schema["not"]) is None:
+        return f"{here}: fits what it must not"
+    if "if" in schema:
+        part = "then" if go(value, schema["if"]) is None else "else"
+        if part in schema and (found := go(value, schema[part])):
+            return found
     return None
 
 
-def read_call(raw: dict, schemas: dict[str, dict]) -> dict:
+def declared(role: str | None, text: str | None) -> list[dict]:
+    """Tools that a system or developer message declares: a JSON object with ``tools``, a list of ``{"name", "parameters"}``, or with both under ``function``."""
+    if role not in ("system", "developer") or not (text or "").lstrip().startswith("{"):
+        return []
+    try:
+        body = json.loads(text)
+    except (ValueError, RecursionError):
+        return []
+    out = []
+    tools = body.get("tools") if isinstance(body, dict) else None
+    for tool in tools if isinstance(tools, list) else []:
+        inner = tool.get("function") if isinstance(tool, dict) and isinstance(tool.get("function"), dict) else tool
+        if isinstance(inner, dict) and isinstance(inner.get("name"), str):
+            schema = next((inner[k] for k in ("parameters", "input_schema", "inputSchema") if k in inner), {"type": "object"})
+            out.append({"name": inner["name"], "schema": canonical(schema)})
+    return out
+
+
+def read_call(raw: dict) -> dict:
     """One call, ``{"id", "name", "arguments"}`` or with name and arguments under ``function``."""
     inner = raw.get("function") if isinstance(raw.get("function"), dict) else raw
     name, arguments = inner.get("name"), inner.get("arguments", {})
-    wrong = None
+    is_json = True
     if isinstance(arguments, str):
         try:
             arguments = json.loads(arguments)
-        except ValueError:
-            wrong = "/: not JSON"
-    if wrong is None:
-        wrong = f"no schema for {name}" if name not in schemas else problem(arguments, schemas[name])
+        except (ValueError, RecursionError):
+            is_json = False
     call_id = raw.get("id")
-    return {"call_id": None if call_id is None else str(call_id), "name": None if name is None else str(name), "arguments": canonical(arguments), "valid": wrong is None, "problem": wrong}
+    return {"call_id": None if call_id is None else str(call_id), "name": None if name is None else str(name), "arguments": canonical(arguments), "json": is_json}
+
+
+def call_problem(call: dict, schemas: dict) -> str | None:
+    """What is wrong with the arguments of a call, given the schemas by name."""
+    if not call["json"]:
+        return "/: not JSON"
+    if call["name"] not in schemas:
+        return f"no schema for {call['name']}"
+    return problem(json.loads(call["arguments"]), schemas[call["name"]])
 
 
-def read_message(role: str | None, text: str | None, schemas: dict[str, dict]) -> tuple[str, str | None, list[dict]]:
+def read_message(role: str | None, text: str | None) -> tuple[str, str | None, list[dict]]:
     """content, the id that a tool result answers, and the calls of a message.
 
     A text that is a JSON object with ``tool_calls`` (a list) holds calls; one of
@@ -88,7 +226,7 @@ def read_message(role: str | None, text: str | None, schemas: dict[str, dict]) -
                 return content, str(body["tool_call_id"]), []
             calls = body.get("tool_calls")
             if isinstance(calls, list) and calls:
-                return content, None, [read_call(c, schemas) for c in calls if isinstance(c, dict)]
+                return content, None, [read_call(c) for c in calls if isinstance(c, dict)]
     return text, None, []
 
 
@@ -107,6 +245,10 @@ def link_tools(messages: DataFrame, schemas: dict[str, dict] | None = None) -> D
     of several calls with one id is the one answered.  Null turns come first;
     null roles are ``""``; null texts are empty content; repeated rows are
     rows of their own and rank alike.
+
+    n_valid counts the calls whose arguments fit their schema: the one in
+    ``schemas``, or else the one that the conversation declares (``declared``;
+    of several for a name the first by turn).  A call without a schema is not valid.
     """
     registry = schemas or {}
 
@@ -114,9 +256,9 @@ def link_tools(messages: DataFrame, schemas: dict[str, dict] | None = None) -> D
         for batch in batches:
             rows = []
             for conv, turn, role, text in zip(batch["conv_id"], batch["turn"], batch["role"], batch["text"]):
-                content, answers, calls = read_message(role, text, registry)
-                rows.append((conv, turn, role or "", content, answers, calls))
-            yield pd.DataFrame(rows, columns=["conv_id", "turn", "role", "content", "answers", "calls"])
+                content, answers, calls = read_message(role, text)
+                rows.append((conv, turn, role or "", content, answers, calls, declared(role, text)))
+            yield pd.DataFrame(rows, columns=["conv_id", "turn", "role", "content", "answers", "calls", "tools"])
 
     given = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     parsed = map_rows(given, run, PARSED, ("conv_id", "turn"))
@@ -128,26 +270,37 @@ def link_tools(messages: DataFrame, schemas: dict[str, dict] | None = None) -> D
     answered = linked.groupBy(F.col("of").alias("of_a"), F.col("made.turn").alias("turn_a")).agg(F.count("*").alias("n_answered"), F.collect_set("call_id").alias("ids"))  # the calls of one message
     rows = parsed.join(linked, parsed["conv_id"].eqNullSafe(F.col("of")) & (parsed["answers"] == F.col("call_id")), "left")
     rows = rows.join(answered, rows["conv_id"].eqNullSafe(F.col("of_a")) & rows["turn"].eqNullSafe(F.col("turn_a")) & (F.size("calls") > 0), "left")
+    tools = parsed.filter(F.size("tools") > 0).select("conv_id", "turn", F.posexplode("tools").alias("k", "tool"))
+    tools = tools.groupBy(F.col("conv_id").alias("of_t"), F.col("tool.name").alias("tool")).agg(F.min(F.struct("turn", "k", "tool.schema"))["schema"].alias("tool_schema"))
+    tools = tools.groupBy("of_t").agg(F.collect_list(F.struct(F.col("tool").alias("name"), F.col("tool_schema").alias("schema"))).alias("known"))  # the tools of one conversation
+    rows = rows.join(tools, rows["conv_id"].eqNullSafe(F.col("of_t")) & (F.size("calls") > 0), "left")
     is_result, is_linked = F.col("answers").isNotNull(), F.col("call_id").isNotNull()
     first = F.col("given").eqNullSafe(F.struct("turn", "content"))
     status = F.when(is_result & ~is_linked, "orphan").when(is_result & ~first, "repeat").when(is_result, "result").when(F.size("calls") > 0, "calls").otherwise("message")
     own_ids = F.transform("calls", lambda c: c["call_id"])
     rows = rows.select(
         "conv_id", "turn", "role", F.coalesce("made.turn", "turn").alias("anchor"), F.when(is_linked, F.col("made.k") + 1).otherwise(0).cast("int").alias("step"), F.size("calls").alias("n_calls"),
-        F.size(F.filter("calls", lambda c: c["valid"])).alias("n_valid"), F.coalesce(F.size(F.array_intersect(own_ids, F.col("ids"))), F.lit(0)).alias("n_answered"), status.alias("status"), "content", "answers", "calls",
+        F.coalesce(F.size(F.array_intersect(own_ids, F.col("ids"))), F.lit(0)).alias("n_answered"), status.alias("status"), "content", "answers", "calls", "known",
     )
     schema = "conv_id long, turn long, role string, anchor long, step int, n_calls int, n_valid int, n_answered int, status string, json string"
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            lines = []
-            for role, content, answers, calls in zip(batch["role"], batch["content"], batch["answers"], batch["calls"]):
+            lines, valid = [], []
+            for role, content, answers, calls, known in zip(batch["role"], batch["content"], batch["answers"], batch["calls"], batch["known"]):
+                fits = 0
+                if calls is not None and len(calls):
+                    schemas_here = {t["name"]: json.loads(t["schema"]) for t in (known if known is not None else [])} | registry
+                    fits = sum(call_problem(c, schemas_here) is None for c in calls)
+                valid.append(fits)
                 body: dict = {"role": role, "content": content}
                 if answers is not None:
                     body["tool_call_id"] = answers
                 if calls is not None and len(calls):
                     body["tool_calls"] = [{"id": c["call_id"], "type": "function", "function": {"name": c["name"], "arguments": c["arguments"]}} for c in calls]
                 lines.append(canonical(body))
-            yield batch.drop(columns=["content", "answers", "calls"]).assign(json=lines)
+            out = batch.drop(columns=["content", "answers", "calls", "known"]).assign(json=lines)
+            out.insert(6, "n_valid", valid)
+            yield out
 
     return map_rows(rows, write, schema, ("conv_id", "turn", "anchor"))

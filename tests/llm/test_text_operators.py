@@ -405,3 +405,36 @@ def test_schema_problems():
     assert chat.problem({"a": [3]}, schema) == "/a/0: not one of the allowed values"
     assert chat.problem({"a": [], "b": 1}, schema) == "/b: unknown"
     assert chat.problem([], schema) == "/: not object"
+
+
+def test_calls_are_checked_against_the_tools_of_their_conversation(spark):
+    tools = '{"tools":[{"type":"function","function":{"name":"f","parameters":{"type":"object","required":["x"],"properties":{"x":{"type":"integer","minimum":1}}}}},{"name":"g","parameters":{"unevaluatedItems":false}}]}'
+    call = '{"tool_calls":[{"id":"a","name":"f","arguments":{"x":1}},{"id":"b","name":"f","arguments":{"x":0}},{"id":"c","name":"g","arguments":{}},{"id":"d","name":"f","arguments":"{"}]}'
+    rows = [(1, 0, "system", tools), (1, 1, "assistant", call), (2, 0, "user", tools), (2, 1, "assistant", call), (None, 0, "system", tools), (None, 1, "assistant", call)]
+    got = chat.link_tools(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r["conv_id"], r["turn"]): r["n_valid"] for r in got} == {(1, 0): 0, (1, 1): 1, (2, 0): 0, (2, 1): 0, (None, 0): 0, (None, 1): 1}
+
+
+@pytest.mark.parametrize(
+    "schema, good, bad",
+    [
+        ({"const": 1}, 1.0, True),
+        ({"minimum": 1, "exclusiveMaximum": 3}, 1, 3),
+        ({"multipleOf": 0.1}, 0.3, 0.35),
+        ({"pattern": "^a", "maxLength": 2}, "ab", "abc"),
+        ({"minItems": 1, "uniqueItems": True}, [1, True], [1, 1.0]),
+        ({"prefixItems": [{"type": "string"}], "items": {"type": "integer"}}, ["a", 1], ["a", "b"]),
+        ({"contains": {"const": 2}}, [1, 2], [1]),
+        ({"anyOf": [{"type": "string"}, {"type": "null"}]}, None, 1),
+        ({"oneOf": [{"minimum": 1}, {"minimum": 2}]}, 1, 2),
+        ({"allOf": [{"type": "string"}], "not": {"const": "a"}}, "b", "a"),
+        ({"$defs": {"n": {"type": "object", "properties": {"next": {"$ref": "#/$defs/n"}}}}, "$ref": "#/$defs/n"}, {"next": {"next": {}}}, {"next": {"next": 1}}),
+        ({"patternProperties": {"^x": {"type": "integer"}}, "additionalProperties": {"type": "string"}}, {"x1": 1, "y": "s"}, {"y": 1}),
+        ({"if": {"required": ["a"]}, "then": {"required": ["b"]}}, {"c": 1}, {"a": 1}),
+        (True, 1, None),
+        ({"unevaluatedProperties": False}, None, {}),
+    ],
+)
+def test_schema_keywords(schema, good, bad):
+    assert (chat.problem(good, schema) is None) == (schema != {"unevaluatedProperties": False})
+    assert (chat.problem(bad, schema) is None) == (schema is True)

@@ -27,4 +27,6 @@ def connected_components(nodes: DataFrame, pairs: DataFrame, id_col: str = "id",
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components are unfinished after {most_rounds} rounds")
     return nodes.select(F.col(id_col).alias("id")).join(edges.select(F.col("a").alias("id"), F.col("b").alias("m")), "id", "left").select("id", F.coalesce("m", "id").alias("component"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from gleanery.operators.storage import saved
 
 
-def greedy_dedupe(rows: DataFrame, id_col: str, order: Sequence[Column], keys: Sequence[Column], most_rounds: int = 100) -> DataFrame:
+def greedy_dedupe(rows: DataFrame, id_col: str, order: Sequence[Column], keys: Sequence[Column], most_rounds: int | None = None) -> DataFrame:
     """Id, kept, target_id, hit_key: rows in order are kept unless a kept row before shares a key.
 
     The lexicographically first independent set, not connected components:
@@ -18,7 +19,9 @@ def greedy_dedupe(rows: DataFrame, id_col: str, order: Sequence[Column], keys: S
     that is first on all its keys is kept, and rows that share a key with a kept
     row are dropped; both are aggregations by key, so no pairs arise.  Null keys
     are no keys.  ``order`` has to be total; its columns must be fixed ascending.
-    target_id is the kept row at the first key that hits one.
+    target_id is the kept row at the first key that hits one.  Every round decides
+    the first open row at least, so the rounds end; an error tells if
+    ``most_rounds`` are not enough.
     """
     ord_ = F.struct(*order)
     listed = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), k.cast("string").alias("key")) for i, k in enumerate(keys)]), lambda x: x["key"].isNotNull())
@@ -27,9 +30,11 @@ def greedy_dedupe(rows: DataFrame, id_col: str, order: Sequence[Column], keys: S
     done = open_rows.filter(F.size("keys") == 0).select("id", F.lit(True).alias("kept"), F.lit(None).cast(rows.schema[id_col].dataType).alias("target_id"), F.lit(None).cast("string").alias("hit_key"))
     open_rows = open_rows.filter(F.size("keys") > 0)
     kept_keys = None
-    for _ in range(most_rounds):
+    for done_rounds in count():
         if open_rows.isEmpty():
             break
+        if done_rounds == most_rounds:
+            raise RuntimeError(f"rows are still open after {most_rounds} rounds")
         exploded = open_rows.select("id", "ord", F.explode("keys").alias("k")).select("id", "ord", "k.i", "k.key")
         firsts = exploded.groupBy("key").agg(F.min("ord").alias("first"))
         led = exploded.join(firsts, "key").groupBy("id").agg(F.bool_and(F.col("ord") == F.col("first")).alias("leads"))
@@ -39,6 +44,8 @@ def greedy_dedupe(rows: DataFrame, id_col: str, order: Sequence[Column], keys: S
         now = open_rows.select("id").join(hits, "id", "left").join(winners.select("id", F.lit(True).alias("won")), "id", "left")
         now = saved(now.select("id", F.when(F.col("won"), True).when(F.col("hit").isNotNull(), False).alias("kept"), F.when(F.col("won").isNull(), F.col("hit.winner")).alias("target_id"), F.when(F.col("won").isNull(), F.col("hit.key")).alias("hit_key")))
         done = done.unionByName(now.filter("kept is not null"))
+        if done_rounds % 50 == 49:
+            done = saved(done)  # a union of many tables is slow to plan
         open_rows = saved(open_rows.join(now.filter("kept is null").select("id"), "id", "left_semi"))
     return done
 

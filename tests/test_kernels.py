@@ -103,3 +103,19 @@ def test_ten_launches_leave_room_for_the_other_roles():
     rows += [base | {"id": "adopt", "role": "ADOPTION", "tier": None, "organization": "a", "topic": "a"}, base | {"id": "paper", "role": "CAPABILITY", "tier": None, "organization": "p", "topic": "p"}]
     order = [rows[i]["id"] for i in ranking.seat_order(rows, 10)]
     assert order[0].startswith("t") and {"adopt", "paper"} <= set(order)
+
+
+def test_round_caps_do_not_end_silently(spark):
+    from gleanery.llm import jaccard
+    from gleanery.operators import components, dedupe
+
+    chain = spark.createDataFrame([(k, f"k{k}", f"k{k + 1}") for k in range(8)], "id long, a string, b string")
+    with pytest.raises(RuntimeError):
+        dedupe.greedy_dedupe(chain, "id", [F.col("id")], [F.col("a"), F.col("b")], most_rounds=2)
+    got = dedupe.greedy_dedupe(chain, "id", [F.col("id")], [F.col("a"), F.col("b")]).collect()
+    assert sorted((r["id"], r["kept"]) for r in got) == [(k, k % 2 == 0) for k in range(8)]
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(8)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.connected_components(chain, pairs.withColumnsRenamed({"a": "left_id", "b": "right_id"}), most_rounds=1)
+    with pytest.raises(RuntimeError):
+        jaccard.components(pairs, most_rounds=1)

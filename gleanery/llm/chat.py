@@ -11,16 +11,38 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import map_rows
+from gleanery.llm.common import map_rows, staged
 
 CALL = "struct<call_id: string, name: string, arguments: string, json: boolean>"
 TOOL = "struct<name: string, schema: string>"
 PARSED = f"conv_id long, turn long, role string, content string, answers string, calls array<{CALL}>, tools array<{TOOL}>"
 
 
+SURROGATE = re.compile("[\ud800-\udfff]")  # half of a pair, which UTF-8 cannot hold
+
+
+def stored(text: str) -> str:
+    """A string that a table can hold: lone surrogates as JSON escapes."""
+    return SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys and no spaces."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys and no spaces; numbers that JSON lacks are refused, lone surrogates escaped."""
+    return stored(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def refused(name: str):
+    raise ValueError(name)
+
+
+def parsed_json(text: str):
+    """The value of a JSON text; ValueError if it is none, holds NaN or an infinite number, or nests too deep to be written again."""
+    try:
+        value = json.loads(text, parse_constant=refused)
+        canonical(value)
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+    return value
 
 
 # JSON schema types and the Python types they admit.
@@ -170,16 +192,17 @@ def declared(role: str | None, text: str | None) -> list[dict]:
     if role not in ("system", "developer") or not (text or "").lstrip().startswith("{"):
         return []
     try:
-        body = json.loads(text)
-    except (ValueError, RecursionError):
+        body = parsed_json(text)
+    except ValueError:
         return []
     out = []
     tools = body.get("tools") if isinstance(body, dict) else None
     for tool in tools if isinstance(tools, list) else []:
         inner = tool.get("function") if isinstance(tool, dict) and isinstance(tool.get("function"), dict) else tool
         if isinstance(inner, dict) and isinstance(inner.get("name"), str):
+            name = stored(inner["name"])
             schema = next((inner[k] for k in ("parameters", "input_schema", "inputSchema") if k in inner), {"type": "object"})
-            out.append({"name": inner["name"], "schema": canonical(schema)})
+            out.append({"name": name, "schema": canonical(schema)})
     return out
 
 
@@ -190,11 +213,16 @@ def read_call(raw: dict) -> dict:
     is_json = True
     if isinstance(arguments, str):
         try:
-            arguments = json.loads(arguments)
-        except (ValueError, RecursionError):
+            arguments = parsed_json(arguments)
+        except ValueError:
             is_json = False
     call_id = raw.get("id")
-    return {"call_id": None if call_id is None else str(call_id), "name": None if name is None else str(name), "arguments": canonical(arguments), "json": is_json}
+    return {"call_id": None if call_id is None else named(call_id), "name": None if name is None else named(name), "arguments": canonical(arguments), "json": is_json}
+
+
+def named(value) -> str:
+    """An identifier or a name as a string; what is none is taken as its JSON."""
+    return stored(value) if isinstance(value, str) else canonical(value)
 
 
 def call_problem(call: dict, schemas: dict) -> str | None:
@@ -216,14 +244,14 @@ def read_message(role: str | None, text: str | None) -> tuple[str, str | None, l
     head = text.lstrip()[:1]
     if head == "{":
         try:
-            body = json.loads(text)
-        except (ValueError, RecursionError):
+            body = parsed_json(text)
+        except ValueError:
             body = None
         if isinstance(body, dict):
             content = body.get("content", "")
             content = content if isinstance(content, str) else canonical(content)
             if role == "tool" and body.get("tool_call_id") is not None:
-                return content, str(body["tool_call_id"]), []
+                return content, named(body["tool_call_id"]), []
             calls = body.get("tool_calls")
             if isinstance(calls, list) and calls:
                 return content, None, [read_call(c) for c in calls if isinstance(c, dict)]
@@ -244,7 +272,9 @@ def link_tools(messages: DataFrame, schemas: dict[str, dict] | None = None) -> D
     without a call), ``repeat`` (a later result for an answered call).  The first
     of several calls with one id is the one answered.  Null turns come first;
     null roles are ``""``; null texts are empty content; repeated rows are
-    rows of their own and rank alike.
+    rows of their own and rank alike.  A text that is not strict JSON (NaN, infinite
+    numbers, nesting too deep to be written again) is plain content; lone
+    surrogates stay JSON escapes.
 
     n_valid counts the calls whose arguments fit their schema: the one in
     ``schemas``, or else the one that the conversation declares (``declared``;
@@ -257,18 +287,22 @@ def link_tools(messages: DataFrame, schemas: dict[str, dict] | None = None) -> D
             rows = []
             for conv, turn, role, text in zip(batch["conv_id"], batch["turn"], batch["role"], batch["text"]):
                 content, answers, calls = read_message(role, text)
-                rows.append((conv, turn, role or "", content, answers, calls, declared(role, text)))
+                rows.append((conv, turn, role or "", canonical(content), answers, calls, declared(role, text)))
             yield pd.DataFrame(rows, columns=["conv_id", "turn", "role", "content", "answers", "calls", "tools"])
 
     given = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    parsed = map_rows(given, run, PARSED, ("conv_id", "turn"))
+    parsed = staged(map_rows(given, run, PARSED, ("conv_id", "turn")), "messages")  # parsed once
     calls = parsed.filter(F.size("calls") > 0).select("conv_id", "turn", F.posexplode("calls").alias("k", "call")).filter(F.col("call.call_id").isNotNull())
     first_call = calls.groupBy(F.col("conv_id").alias("of"), F.col("call.call_id").alias("call_id")).agg(F.min(F.struct("turn", "k")).alias("made"))
     results = parsed.filter(F.col("answers").isNotNull())
     first_result = results.groupBy(F.col("conv_id").alias("of_r"), F.col("answers").alias("answered")).agg(F.min(F.struct("turn", "content")).alias("given"))
     linked = first_call.join(first_result, F.col("of").eqNullSafe(F.col("of_r")) & (F.col("call_id") == F.col("answered"))).select("of", "call_id", "made", "given")
     answered = linked.groupBy(F.col("of").alias("of_a"), F.col("made.turn").alias("turn_a")).agg(F.count("*").alias("n_answered"), F.collect_set("call_id").alias("ids"))  # the calls of one message
-    rows = parsed.join(linked, parsed["conv_id"].eqNullSafe(F.col("of")) & (parsed["answers"] == F.col("call_id")), "left")
+    # most messages hold neither calls nor an answer: they go past the joins
+    is_plain = (F.size("calls") == 0) & F.col("answers").isNull()
+    plain = parsed.filter(is_plain)
+    bound = parsed.filter(~is_plain)
+    rows = bound.join(linked, bound["conv_id"].eqNullSafe(F.col("of")) & (bound["answers"] == F.col("call_id")), "left")
     rows = rows.join(answered, rows["conv_id"].eqNullSafe(F.col("of_a")) & rows["turn"].eqNullSafe(F.col("turn_a")) & (F.size("calls") > 0), "left")
     tools = parsed.filter(F.size("tools") > 0).select("conv_id", "turn", F.posexplode("tools").alias("k", "tool"))
     tools = tools.groupBy(F.col("conv_id").alias("of_t"), F.col("tool.name").alias("tool")).agg(F.min(F.struct("turn", "k", "tool.schema"))["schema"].alias("tool_schema"))
@@ -282,6 +316,11 @@ def link_tools(messages: DataFrame, schemas: dict[str, dict] | None = None) -> D
         "conv_id", "turn", "role", F.coalesce("made.turn", "turn").alias("anchor"), F.when(is_linked, F.col("made.k") + 1).otherwise(0).cast("int").alias("step"), F.size("calls").alias("n_calls"),
         F.coalesce(F.size(F.array_intersect(own_ids, F.col("ids"))), F.lit(0)).alias("n_answered"), status.alias("status"), "content", "answers", "calls", "known",
     )
+    none = F.lit(0).cast("int")
+    rows = plain.select(
+        "conv_id", "turn", "role", F.col("turn").alias("anchor"), none.alias("step"), none.alias("n_calls"), none.alias("n_answered"), F.lit("message").alias("status"),
+        "content", "answers", "calls", F.lit(None).cast(rows.schema["known"].dataType).alias("known"),
+    ).unionByName(rows)
     schema = "conv_id long, turn long, role string, anchor long, step int, n_calls int, n_valid int, n_answered int, status string, json string"
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,7 +332,7 @@ def link_tools(messages: DataFrame, schemas: dict[str, dict] | None = None) -> D
                     schemas_here = {t["name"]: json.loads(t["schema"]) for t in (known if known is not None else [])} | registry
                     fits = sum(call_problem(c, schemas_here) is None for c in calls)
                 valid.append(fits)
-                body: dict = {"role": role, "content": content}
+                body: dict = {"role": role, "content": json.loads(content)}
                 if answers is not None:
                     body["tool_call_id"] = answers
                 if calls is not None and len(calls):

@@ -93,7 +93,7 @@ def base_spans(text: str) -> dict[str, list[Span]]:
     """The plain identifiers of each kind, leftmost and without overlap."""
     return {
         "email": emails(text) if "@" in text else [],
-        "ip": [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split("."))],
+        "ip": [m.span() for m in IP.finditer(text) if all(len(d := p.lstrip("0")) < 4 and int(d or 0) <= 255 for p in m.group().split("."))],
         "card": [m.span() for m in CARD.finditer(text) if 16 <= len(d := only_digits(m.group())) <= 19 and luhn(d)],
         "phone": [m.span() for m in PHONE.finditer(text) if 8 <= len(only_digits(m.group())) <= 15] if "+" in text else [],
     }

@@ -370,6 +370,43 @@ def test_whatever_the_transducers_change_is_suspect():
             assert pii.suspect(t), t
 
 
+def disguised(rng, kind):
+    """A random identifier of a kind, and a random disguise of it."""
+    names = "zero one two three four five six seven eight nine".split()
+    wide = lambda s: "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in s)
+    if kind == "email":
+        plain = f"{rng.choice(['jane', 'john.roe', 'info7', 'a-b_c'])}@{rng.choice(['mail', 'uni-1', 'example'])}.{rng.choice(['com', 'org', 'de', 'co.uk'])}"
+        look = str.maketrans("aeopc", "аеорс")
+        return rng.choice([plain.replace("@", " at ").replace(".", " dot "), plain.replace("@", " [at] ").replace(".", " [dot] "), plain.replace("@", "(at)"), wide(plain), plain.translate(look), plain.replace("@", "&#64;"), plain.replace("@", " @ "), plain.replace("@", "\u200b@")])
+    if kind == "ip":
+        plain = ".".join(str(rng.randrange(256)) for _ in range(4))
+        return rng.choice([plain.replace(".", " dot "), wide(plain), plain.replace(".", "[.]"), plain.replace(".", "[dot]"), plain.replace(".", "\u2024")])
+    if kind == "card":
+        digits = "4" + "".join(str(rng.randrange(10)) for _ in range(14))
+        digits += next(d for d in "0123456789" if pii.luhn(digits + d))
+        grouped = " ".join(digits[k : k + 4] for k in range(0, 16, 4))
+        spelled = " ".join(names[int(d)] for d in digits)
+        return rng.choice([wide(digits), spelled, grouped.translate({48 + k: 0x660 + k for k in range(10)}), grouped[:-1] + " " + names[int(digits[-1])]])
+    digits = "".join(str(rng.randrange(10)) for _ in range(rng.randrange(9, 13)))
+    return rng.choice(["plus " + " ".join(names[int(d)] for d in digits), wide("+" + digits), "+" + " ".join(names[int(d)] for d in digits[:4]) + " " + digits[4:], "+" + digits[:3] + "\u2011" + digits[3:]])
+
+
+@pytest.mark.parametrize("kind", pii.KINDS)
+def test_recall_of_planted_disguises(kind):
+    rng, found, n = random.Random(17), 0, 400
+    for _ in range(n):
+        shown = disguised(rng, kind)
+        before = prose(rng, 5) + rng.choice([". ", ": ", " - "])
+        base, extra = pii.all_spans(before + shown + ". " + prose(rng, 5))
+        found += any(s < len(before) + len(shown) and e > len(before) for s, e in base[kind] + extra[kind])
+    assert found >= 0.9 * n
+
+
+def test_long_runs_of_digits_do_not_fail():
+    assert pii.base_spans("1." + "0" * 5000 + ".1.1")["ip"] == [(0, 5006)]
+    assert not any(pii.base_spans("1." + "9" * 5000 + ".1.1")[k] for k in ("email", "ip", "card", "phone"))
+
+
 def test_plain_prose_has_no_pii():
     for t in ["look at the dot com boom", "he is at home. Then he left", "one two three", "meet at 5 dot 30", "a point of view at example", "un deux trois"]:
         assert not any(v for spans in pii.all_spans(t) for v in spans.values()), t
@@ -398,6 +435,59 @@ def test_tool_calls_meet_their_results(spark):
     assert chat.link_tools(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def brute_links(rows):
+    """Status, anchor and step of each message by reading the conversations from the start."""
+    made, given, out = {}, {}, []
+    parsed = [(conv, turn, *chat.read_message(role, text)) for conv, turn, role, text in rows]
+    for conv, turn, _, _, calls in sorted(parsed, key=lambda m: m[1]):
+        for k, call in enumerate(calls):
+            if call["call_id"] is not None:
+                made.setdefault((conv, call["call_id"]), (turn, k))
+    for conv, turn, content, answers, _ in sorted(parsed, key=lambda m: m[1]):
+        if answers is not None:
+            given.setdefault((conv, answers), turn)
+    for conv, turn, _, answers, calls in parsed:
+        link = made.get((conv, answers)) if answers is not None else None
+        status = "calls" if calls else "message"
+        if answers is not None:
+            status = "orphan" if link is None else "result" if given[(conv, answers)] == turn else "repeat"
+        out.append((conv, turn, status, link[0] if link else turn, link[1] + 1 if link else 0, sum(made.get((conv, c["call_id"]), (None,))[0] == turn and (conv, c["call_id"]) in given for c in calls)))
+    return sorted(out)
+
+
+def test_links_equal_brute_force(spark):
+    rng = random.Random(16)
+    rows = []
+    for conv in range(30):
+        for turn in range(rng.randrange(1, 12)):
+            kind = rng.randrange(3)
+            name = lambda: f"c{rng.randrange(6)}"
+            if kind == 0:
+                rows.append((conv, turn, "assistant", '{"tool_calls":[' + ",".join('{"id":"%s","name":"f","arguments":{}}' % i for i in rng.sample([f"c{k}" for k in range(6)], rng.randrange(1, 4))) + "]}"))
+            elif kind == 1:
+                rows.append((conv, turn, "tool", '{"tool_call_id":"%s","content":"%d"}' % (name(), turn)))
+            else:
+                rows.append((conv, turn, "user", prose(rng, 4)))
+    got = chat.link_tools(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r["conv_id"], r["turn"], r["status"], r["anchor"], r["step"], r["n_answered"]) for r in got) == brute_links(rows)
+
+
+def test_messages_that_are_hard_to_serialise(spark):
+    import json
+
+    deep = "[" * 900 + "]" * 900
+    texts = [
+        '{"tool_calls":[{"id":"a","name":"f","arguments":"%s"}]}' % deep, '{"tool_calls":[{"id":"b","name":"f","arguments":%s}]}' % ("[" * 60000 + "]" * 60000), '{"tool_calls":[{"id":["x"],"name":["f",1],"arguments":{}}]}',
+        '{"tool_call_id":"a","content":"\\ud800 half"}', '{"tool_calls":[{"id":"\\ud800","name":"\\udfff","arguments":{"x":"\\udc00"}}]}', '{"tool_calls":[{"id":"n","name":"f","arguments":{"x":NaN}}]}', '{"tool_calls":[{"id":"i","name":"f","arguments":"{\\"x\\":1e999}"}]}',
+        '{"tool_calls":[{"id":"d","name":"f","arguments":{"x":%s}}]}' % ("9" * 5000), "x" * 300000, '{"tools":[{"name":"\\ud801","parameters":%s}]}' % deep,
+    ]
+    rows = [(1, k, role, t) for k, t in enumerate(texts) for role in ("assistant", "tool", "system")]
+    got = chat.link_tools(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        json.loads(r["json"], parse_constant=chat.refused)
+
+
 def test_schema_problems():
     schema = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "array", "items": {"enum": [1, 2]}}}}
     assert chat.problem({"a": [1, 2]}, schema) is None

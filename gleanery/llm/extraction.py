@@ -31,10 +31,13 @@ SCOPES = frozenset("html body article main section div table td th ul ol dl bloc
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 # Words in class and id names of page furniture.
 ASIDE_NAMES = re.compile(
-    r"(?:^|[-_ ])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|nav\w*|menu\w*|breadcrumb\w*|header|masthead|footer|foot|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|comment\w*|disqus\w*|"
-    r"respon[ds]\w*|reply|replies|share\w*|sharing|social\w*|related\w*|recommend\w*|newsletter|subscri\w*|signup|login|search\w*|form|widget\w*|toolbar|pager|pagination|tags|skip|copyright|legal)(?:$|[-_ ])", re.I,
+    r"(?:.*[-_])?(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar\w*|nav|navbar|navigation|menu\w*|breadcrumb\w*|masthead|footer|cookies?|consent|gdpr|notices?|popup|modal|overlay|comments?|commentlist|disqus\w*|"
+    r"respond|responses?|replies|share|sharing|social\w*|related\w*|recommend\w*|newsletter|subscri\w*|signup|login|search|searchform|widgets?|toolbar|pager|pagination|skip|copyright)(?:[-_].*)?", re.I,
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+# Names that also stand for parts of an article: they only count outside of article and main elements.
+SIDE_NAMES = re.compile(r"(?:site|page|top|global|main)?[-_]?header|head|foot|side|side[-_]?(?:nav|menu|col\w*|panel|rail)|(?:left|right)[-_]?(?:side|bar|col\w*|rail)|alert|form|tags|legal|reply", re.I)
+ARTICLE_NAMES = re.compile(r"(?:entry|article|post|story|content)[-_]?(?:header|head|title|content|body|text|main)", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"'=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACES = re.compile(r"\s+")
 
@@ -48,7 +51,14 @@ class Node:
         self.text, self.links, self.fixed, self.heavy = "", 0, 0, 0
 
 
-def element(tag: str, raw: str, parent: Node) -> Node:
+def named_aside(names: list[str], within: bool) -> bool:
+    """Whether class or id names are those of page furniture; ``within`` an article fewer are."""
+    if any(ARTICLE_NAMES.fullmatch(n) for n in names):
+        return False
+    return any(ASIDE_NAMES.fullmatch(n) or (not within and SIDE_NAMES.fullmatch(n)) for n in names)
+
+
+def element(tag: str, raw: str, parent: Node, within: bool = False) -> Node:
     """A node with its label (tag and class) and whether its name marks page furniture."""
     aside, label = tag in NEVER, tag
     if raw and ("class" in raw or "id" in raw or "role" in raw or "hidden" in raw or "style" in raw):
@@ -56,7 +66,7 @@ def element(tag: str, raw: str, parent: Node) -> Node:
         name = f"{found.get('class', '')} {found.get('id', '')}"
         label = f"{tag}.{found.get('class', '')}"
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
-        aside = aside or bool(hidden) or found.get("role", "").lower() in ASIDE_ROLES or (tag not in ("body", "html", "article", "main") and bool(ASIDE_NAMES.search(name)))
+        aside = aside or bool(hidden) or found.get("role", "").lower() in ASIDE_ROLES or (tag not in ("body", "html", "article", "main") and named_aside(name.split(), within))
     return Node(tag, parent, label, aside)
 
 
@@ -69,6 +79,15 @@ def parse(page: str) -> Node:
     root = Node("#root", None)
     here, buffer, linked, anchors, at = root, [], 0, 0, 0
     n = len(page)
+    opened: Counter[str] = Counter()  # open elements by tag: what is not open need not be looked for
+    ending = 0  # of them, those whose end tag may be left out
+
+    def leave(up: Node) -> None:
+        nonlocal here, ending
+        while here is not up:
+            opened[here.tag] -= 1
+            ending -= here.tag in CLOSES
+            here = here.parent
 
     def flush() -> None:
         nonlocal buffer, linked
@@ -107,14 +126,16 @@ def parse(page: str) -> Node:
                 at = end.end() if end else n
                 continue
             up = here  # an open element that this one ends
-            while up is not root and up.tag not in SCOPES and tag not in CLOSES.get(up.tag, ()):
+            while ending and up is not root and up.tag not in SCOPES and tag not in CLOSES.get(up.tag, ()):
                 up = up.parent
-            if tag in CLOSES.get(up.tag, ()):
-                here = up.parent
-            node = element(tag, raw, here)
+            if ending and tag in CLOSES.get(up.tag, ()):
+                leave(up.parent)
+            node = element(tag, raw, here, opened["article"] + opened["main"] > 0)
             here.children.append(node)
             if tag not in VOID and not raw.rstrip().endswith("/"):
                 here = node
+                opened[tag] += 1
+                ending += tag in CLOSES
         elif closing:
             closing = closing.lower()
             if closing in INLINE:
@@ -123,10 +144,10 @@ def parse(page: str) -> Node:
                 continue
             flush()
             up = here
-            while up is not root and up.tag != closing and not (up.tag in SCOPES and closing not in SCOPES):
+            while opened[closing] and up is not root and up.tag != closing and not (up.tag in SCOPES and closing not in SCOPES):
                 up = up.parent
             if up is not root and up.tag == closing:
-                here = up.parent
+                leave(up.parent)
     flush()
     return root
 
@@ -255,21 +276,22 @@ def main_nodes(root: Node, texts: list[Node]) -> list[Node]:
     together they have at least half of it (else they are teasers); without them
     the smallest node that holds all of it: nothing that varies is left outside.
     """
-    size: Counter[int] = Counter()
-    nodes: dict[int, Node] = {}
-    for leaf in texts:
-        up = leaf.parent
-        while up is not None:
-            nodes[id(up)] = up
-            size[id(up)] += max(0, len(leaf.text) - leaf.links)
-            up = up.parent
+    own = {id(x): max(0, len(x.text) - x.links) for x in texts}
+    size: dict[int, int] = {}
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack += x.children
+    for x in reversed(order):
+        size[id(x)] = own.get(id(x), 0) + sum(size[id(c)] for c in x.children)
     named, stack = [], [root]
     while stack:
         x = stack.pop()
         if x.tag in ("article", "main") and size[id(x)]:
             named.append(x)
         else:
-            stack += [c for c in x.children if id(c) in nodes]
+            stack += [c for c in x.children if size[id(c)]]
     if named and 2 * sum(size[id(x)] for x in named) >= size[id(root)]:
         return named
     here = root

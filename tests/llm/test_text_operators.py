@@ -123,6 +123,43 @@ def test_nothing_that_varies_is_left_outside_the_main_node():
     assert extraction.extract_block(teased) == want
 
 
+def test_parts_of_an_article_are_not_taken_for_furniture():
+    rng = random.Random(18)
+    for shape in ("<div class='entry-header'><h1>{}</h1></div><p>{}</p>", "<header class='article-header'><h1>{}</h1></header><p>{}</p>", "<h1>{}</h1><section class='side-by-side'><p>{}</p></section>", "<h1 data-x=it's>{}</h1><p title=5\">{}</p>"):
+        said = [[prose(rng, 6), prose(rng, 30)] for _ in range(5)]
+        assert extraction.extract_block([page(f"<article>{shape.format(*s)}</article>") for s in said]) == ["\n".join(s) for s in said]
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    start = time.monotonic()
+    for tag in ("div", "x-y", "li", "span"):
+        deep = f"<{tag}>a" * 10000 + "deep" + f"</{tag}></b>" * 10000
+        assert extraction.extract_block([deep])[0].endswith("deep")
+    assert time.monotonic() - start < 20
+
+
+def furnished(rng, k):
+    """A page whose furniture neither elements nor names tell, and its blocks."""
+    blocks = [prose(rng, rng.randrange(3, 40)) for _ in range(rng.randrange(2, 12))]
+    tags = ["h1"] + [rng.choice(["p", "p", "p", "h2", "div"]) for _ in blocks[1:]]
+    body = "".join(f"<{t}>{b}</{t}>" for t, b in zip(tags, blocks))
+    extra = rng.choice(["", "<p>This page was put on the web by our own staff.</p>"])
+    return f"<html><body><div><p>The Daily Letter</p><ul><li>Home</li><li>News</li></ul></div><div>{body}{extra}<p>Tell us what you think of it.</p></div><div><p>All rights are ours.</p><p>Written in the north.</p></div></body></html>", blocks
+
+
+def test_recall_and_precision_on_unnamed_furniture():
+    rng = random.Random(19)
+    pages = [furnished(rng, k) for k in range(60)]
+    right = got = want = 0
+    for (_, blocks), text in zip(pages, extraction.extract_block([p for p, _ in pages])):
+        lines = text.split("\n")
+        right += len(set(lines) & set(blocks))
+        got, want = got + len(lines), want + len(blocks)
+    assert right >= 0.97 * want and right >= 0.93 * got
+
+
 def test_long_lists_of_children_are_aligned():
     rng = random.Random(13)
     pages, want = [], []

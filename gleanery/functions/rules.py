@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -20,9 +21,23 @@ class Rule:
     pattern: str
 
 
+def _words(part: str, last: bool) -> bool:
+    """Whether all alternatives of a plain group start (or end) with an ASCII word character."""
+    return all(re.fullmatch(r"[A-Za-z0-9_]", a[-1 if last else 0] if a else "") for a in part.split("|"))
+
+
+def ascii_edges(pattern: str) -> str:
+    """The pattern with each word edge as one look-around, where what stands beside it tells the side of the word."""
+    pattern = re.sub(r"\\b(?=[A-Za-z0-9_])", "(?<![A-Za-z0-9_])", pattern)
+    pattern = re.sub(r"\\b(?=\((?:\?:)?([\w |'-]+)\))", lambda m: "(?<![A-Za-z0-9_])" if _words(m[1], False) else m[0], pattern)
+    pattern = re.sub(r"(?<=[A-Za-z0-9_])(?<!\\[A-Za-z])\\b", "(?![A-Za-z0-9_])", pattern)
+    pattern = re.sub(r"(\((?:\?:)?([\w |'-]+)\))\\b", lambda m: m[1] + "(?![A-Za-z0-9_])" if _words(m[2], True) else m[0], pattern)
+    return pattern.replace(r"\b", WORD_EDGE)
+
+
 def found(text: Column, pattern: str) -> Column:
     """Whether a pattern with ASCII word edges occurs in a text, in any case; null is false."""
-    return F.coalesce(text.rlike("(?i)" + pattern.replace(r"\b", WORD_EDGE)), F.lit(False))
+    return F.coalesce(text.rlike("(?i)" + ascii_edges(pattern)), F.lit(False))
 
 
 def classify_first(text: Column, rules: Sequence[Rule], default: str = "other") -> Column:

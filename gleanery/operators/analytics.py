@@ -27,10 +27,11 @@ def preferences(used: DataFrame, user: str, weight: str, fields: Mapping[str, Co
     return rows.groupBy(user, "p.kind", "p.key").agg(F.sum(F.col("_w") * F.col("p.f")).cast("long").alias("weight"))
 
 
-def boosts(items: DataFrame, prefs: DataFrame, id_col: str, fields: Mapping[str, tuple[Column, int]], tags: tuple[str, int], cap: int) -> DataFrame:
-    """User, item, boost: weighted look-ups of an item's fields and tags in the preferences, capped."""
+def boosts(items: DataFrame, prefs: DataFrame, id_col: str, fields: Mapping[str, tuple[Column, int]], tags: tuple[str, int], cap: int, among: DataFrame | None = None) -> DataFrame:
+    """User, item, boost: weighted look-ups of an item's fields and tags in the preferences, capped; for all users, or for the (user, item) rows of ``among``."""
     pairs = [F.struct(F.lit(k).alias("kind"), v.cast("string").alias("key"), F.lit(f).alias("f")) for k, (v, f) in fields.items()]
     tagged = F.transform(tags[0], lambda t: F.struct(F.lit("tag").alias("kind"), F.lower(t).alias("key"), F.lit(tags[1]).alias("f")))
     keys = items.select(id_col, F.explode(F.concat(F.array(*pairs), tagged)).alias("p")).select(id_col, "p.*")
     user = next(c for c in prefs.columns if c not in ("kind", "key", "weight"))
-    return keys.join(prefs, ["kind", "key"]).groupBy(user, id_col).agg(F.least(F.lit(cap).cast("long"), F.sum(F.col("weight") * F.col("f"))).alias("boost"))
+    known = keys.join(prefs, ["kind", "key"]) if among is None else keys.join(among, id_col).join(prefs, [user, "kind", "key"])
+    return known.groupBy(user, id_col).agg(F.least(F.lit(cap).cast("long"), F.sum(F.col("weight") * F.col("f"))).alias("boost"))

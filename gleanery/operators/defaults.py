@@ -26,9 +26,9 @@ def product(repository: Column, title: Column, body: Column) -> Column:
     return F.coalesce(F.try_element_at(pairs, F.coalesce(repository, F.lit(""))), classify_first(body_of(title, body), lex.PRODUCTS, "unknown"))
 
 
-def signal_type(topic: Column, title: Column, body: Column) -> Column:
+def finding_type(topic: Column, title: Column, body: Column) -> Column:
     """Backlash, workflow shift, migration or unexpected use, in this order; friction otherwise."""
-    text, p = body_of(title, body), lex.SIGNAL_TYPES
+    text, p = body_of(title, body), lex.FINDING_TYPES
     return F.when(found(text, p["BACKLASH"]), "BACKLASH").when(topic == "workflow-skills", "WORKFLOW_SHIFT").when(found(text, p["MIGRATION"]), "MIGRATION").when(found(text, p["UNEXPECTED_USE"]), "UNEXPECTED_USE").otherwise("FRICTION")
 
 

@@ -16,12 +16,12 @@ def roll_up(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A1, A2: one row per cluster of evidence.
 
     last_seen_at is the update time of the row created last, not the latest
-    update.  signal_type is the most frequent one; of equally frequent ones the
+    update.  finding_type is the most frequent one; of equally frequent ones the
     one seen first.  Ties in time go by evidence_id.
     """
     seen = F.struct("created_at", "evidence_id")
-    types = rows.groupBy(*keys, "signal_type").agg(F.count("*").alias("n"), F.min(seen).alias("since"))
-    best = types.groupBy(*keys).agg(F.min_by("signal_type", F.struct(-F.col("n"), "since")).alias("signal_type"))
+    types = rows.groupBy(*keys, "finding_type").agg(F.count("*").alias("n"), F.min(seen).alias("since"))
+    best = types.groupBy(*keys).agg(F.min_by("finding_type", F.struct(-F.col("n"), "since")).alias("finding_type"))
     parts = rows.groupBy(*keys).agg(
         F.count("*").alias("n_evidence"), F.min("created_at").alias("first_seen_at"), F.max_by("updated_at", seen).alias("last_seen_at"), F.count_distinct("author_id").alias("n_authors"), F.count_distinct("family").alias("n_families"),
         F.count_distinct("thread").alias("n_threads"), F.count_distinct(F.when(F.col("allowed"), F.col("author_id"))).alias("n_allowed_authors"), F.bool_or("implication").alias("implication"), F.bool_or("artifact").alias("artifact"),
@@ -30,14 +30,14 @@ def roll_up(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return parts.join(best, list(keys)).withColumn("confidence", F.when((F.col("n_authors") >= 3) & (F.col("n_families") >= 2), "high").otherwise("medium"))
 
 
-def gate(signals: DataFrame, weak_types: Sequence[str] = ("BACKLASH", "EMERGING_TOOL"), lone_family: str = "hn", no_topic: str = "other") -> DataFrame:
+def gate(findings: DataFrame, weak_types: Sequence[str] = ("BACKLASH", "EMERGING_TOOL"), lone_family: str = "hn", no_topic: str = "other") -> DataFrame:
     """Status and reason of each cluster, by ordered rules."""
     c = F.col
     lone = c("n_evidence") == 1
     spread = (c("n_families") >= 2) | (c("n_allowed_authors") >= 3)
     recurs = (F.unix_micros("last_seen_at") - F.unix_micros("first_seen_at") >= RECURRENCE_DAYS * 86_400_000_000) | (c("n_threads") >= 2)
     reason = cascade(
-        (c("signal_type").isin(*weak_types), "insufficient-evidence"),
+        (c("finding_type").isin(*weak_types), "insufficient-evidence"),
         (c("topic").isNull() | c("topic").isin("", no_topic) | ~c("implication"), "no-product-implication"),
         (lone & (c("first_family") == lone_family), "single-source"),
         (~c("artifact"), "no-concrete-artifact"),
@@ -45,16 +45,16 @@ def gate(signals: DataFrame, weak_types: Sequence[str] = ("BACKLASH", "EMERGING_
         (~recurs, "insufficient-recurrence"),
     )
     status = F.when(reason.isNull(), "PUBLISH").when(reason.isin("no-product-implication", "no-concrete-artifact"), "REVIEW_QUEUE").otherwise("WATCH")
-    return signals.withColumns({"reason": reason, "status": status})
+    return findings.withColumns({"reason": reason, "status": status})
 
 
-def publish_signals(evidence: DataFrame, cap: int = PUBLISH_CAP, days: float = CLUSTER_DAYS, feed: Sequence[str] = ("product",)) -> DataFrame:
+def publish_findings(evidence: DataFrame, cap: int = PUBLISH_CAP, days: float = CLUSTER_DAYS, feed: Sequence[str] = ("product",)) -> DataFrame:
     """E3 core: anchored windows, roll-up, gate, and the cap per feed."""
     from gleanery.operators.windows import anchored_windows, publish_cap
 
     placed = anchored_windows(evidence, ["product", "topic"], "created_at", days)
-    signals = gate(roll_up(placed, ["product", "topic", "window_start"]))
-    return publish_cap(signals, feed, [F.col("last_seen_at").desc(), F.col("topic"), F.col("window_start")], cap)
+    findings = gate(roll_up(placed, ["product", "topic", "window_start"]))
+    return publish_cap(findings, feed, [F.col("last_seen_at").desc(), F.col("topic"), F.col("window_start")], cap)
 
 
 def evidence_window(ts: Column, as_of: Column, days: float, future: bool = False) -> Column:

@@ -23,7 +23,7 @@ def join_groups(evidence: DataFrame, groups: DataFrame) -> DataFrame:
 def cluster_facts(members: DataFrame, friction_keys: list[str]) -> DataFrame:
     """A4: one row of aggregates per group."""
     c = F.col
-    rough = (c("signal_type") == "FRICTION") | F.arrays_overlap("capability_keys", F.array(*[F.lit(k) for k in friction_keys]))
+    rough = (c("finding_type") == "FRICTION") | F.arrays_overlap("capability_keys", F.array(*[F.lit(k) for k in friction_keys]))
     rough = F.coalesce(rough, F.lit(False))
     is_ = lambda r: F.bool_or(c("role") == r)
     return members.groupBy("group_id").agg(

@@ -73,11 +73,11 @@ def roll_up_events(records: DataFrame, components: DataFrame) -> DataFrame:
     """One event per component.
 
     The primary source has the highest authority, then the best source rank,
-    then it is not a signal, then it is the earliest, then its id is smallest.
+    then it is not a cue, then it is the earliest, then its id is smallest.
     product, model and version are the first that are known, by authority.
     """
     rows = records.join(components.select(F.col("id").alias("of"), "component"), F.col("id") == F.col("of"))
-    primary = F.struct(-F.col("authority"), -F.col("source_rank"), F.col("is_signal"), F.col("published_at"), F.col("id"))
+    primary = F.struct(-F.col("authority"), -F.col("source_rank"), F.col("is_cue"), F.col("published_at"), F.col("id"))
     known = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(-F.col("authority"), F.col("published_at"), F.col("id")))).alias(c)
     events = rows.groupBy("component").agg(
         F.min_by(F.struct("id", "url", "title", "org"), primary).alias("primary"), F.min("published_at").alias("published_at"), F.max("authority").alias("authority"), F.count("*").alias("n_sources"),

@@ -26,6 +26,12 @@ def attention_class(role: Column, tier: Column, product_capability: Column, disq
     return F.when(disqualified | (role == "BACKGROUND"), "BACKGROUND").when(high, "HIGH").otherwise("MEDIUM")
 
 
+def rank_order(column=F.col) -> list[Column]:
+    """The order among rows of one class, role and tier: latest first; with a tier by impact and novelty; then by id."""
+    tiered = lambda name: F.when(column("tier").isNotNull(), column(name)).desc_nulls_last()
+    return [column("published_at").desc(), tiered("impact"), tiered("novelty"), column("id")]
+
+
 def candidates(items: DataFrame, feed: str, seats: int) -> DataFrame:
     """The rows among which the first ``seats`` seats of each feed are, by nested caps.
 
@@ -34,66 +40,78 @@ def candidates(items: DataFrame, feed: str, seats: int) -> DataFrame:
     2 K of each organisation and of each topic and the first 5 K in all are
     enough; a seat's winner is never among the rest.
     """
-    order = [F.desc("published_at"), F.desc("impact"), F.desc("novelty"), F.col("id")]
     group = [feed, "attention", "role", "tier"]
     for keys, cap in ((["organization", "topic"], seats), (["organization"], 2 * seats), (["topic"], 2 * seats), ([], 5 * seats)):
-        items = items.withColumn("_n", F.row_number().over(Window.partitionBy(*group, *keys).orderBy(*order))).filter(F.col("_n") <= cap).drop("_n")
+        items = items.withColumn("_n", F.row_number().over(Window.partitionBy(*group, *keys).orderBy(*rank_order()))).filter(F.col("_n") <= cap).drop("_n")
     return items
 
 
 CLASSES = ("HIGH", "MEDIUM", "BACKGROUND")
-SEED_ROLES = ("SUPPLY", "ADOPTION", "CAPABILITY")
+SEED_ROLES = ("SUPPLY", "ADOPTION", "CAPABILITY")  # fixed values: the order in which the window wants its roles
 
 
-def seat_order(rows: list[dict], seats: int, window: int = 10) -> list[int]:
-    """Indexes of ``rows``, which are in rank order, in the order of their seats.
+def foremost(rows: pd.DataFrame) -> int:
+    """Label of the row that comes first.
 
-    Each seat takes the best class that is left; within it, where something
-    remains: another organisation than the seat before, at most two of a role
-    in a row within the window (a T1 may break that), another topic, a role that
-    the window lacks, and T1 before T2.
+    Of rows of one time, those with a tier go by impact, novelty and id, those
+    without by id; the first of either meet by id.
     """
-    left = list(range(len(rows)))
-    out: list[int] = []
-    while left and len(out) < seats:
-        pool = next(p for k in CLASSES if (p := [i for i in left if rows[i]["attention"] == k]))
-        inside = len(out) < window
-        before = rows[out[-1]] if out else None
+    latest = rows[rows["published_at"] == rows["published_at"].max()]
+    tiered = latest[latest["tier"].notna()].sort_values(["impact", "novelty", "id"], ascending=[False, False, True]).head(1)
+    plain = latest[latest["tier"].isna()].sort_values("id").head(1)
+    return pd.concat([tiered, plain]).sort_values("id").index[0]
 
-        def narrow(pool: list[int], keep) -> list[int]:
-            return [i for i in pool if keep(rows[i])] or pool
 
+def seat_order(items: list[dict], seats: int, window: int = 10) -> list[int]:
+    """Indexes of ``items`` in the order of their seats.
+
+    A seat takes the best class that is left and then prefers, each where any
+    row is left by it: another organisation than the seat before; in the window,
+    after two seats of one role, another role, or else a T1; another topic.  In
+    the window the first seed role that no seat has yet comes next; T1 goes
+    before T2 before all else when that role is SUPPLY or no role is
+    missing.  Beyond the window tiers do not matter.
+    """
+    rows = pd.DataFrame(items)
+    left, taken = rows.assign(attention=rows["attention"].map(CLASSES.index)), []
+    while len(left) and len(taken) < seats:
+        pool = left[left["attention"] == left["attention"].min()]
+
+        def prefer(*tests) -> None:
+            nonlocal pool
+            for test in tests:
+                if (hit := test(pool)).any():
+                    pool = pool[hit]
+                    return
+
+        before = rows.loc[taken[-1]] if taken else None
+        inside = len(taken) < window
         if before is not None:
-            pool = narrow(pool, lambda r: r["organization"] != before["organization"])
-        if inside and len(out) >= 2 and rows[out[-1]]["role"] == rows[out[-2]]["role"]:
-            pool = narrow(pool, lambda r: r["role"] != rows[out[-1]]["role"] or r["tier"] == "T1")
-        if before is not None:
-            pool = narrow(pool, lambda r: r["topic"] != before["topic"])
+            prefer(lambda p: p["organization"] != before["organization"])
+            if inside and len(taken) > 1 and rows.loc[taken[-2], "role"] == before["role"]:
+                prefer(lambda p: p["role"] != before["role"], lambda p: p["tier"] == "T1")
+            prefer(lambda p: p["topic"] != before["topic"])
         if inside:
-            seen = {rows[i]["role"] for i in out}
-            for role in SEED_ROLES if out else ():
-                if role not in seen and any(rows[i]["role"] == role for i in pool):
-                    pool = [i for i in pool if rows[i]["role"] == role]
-                    break
-        for tier in ("T1", "T2"):
-            if tiered := [i for i in pool if rows[i]["tier"] == tier]:
-                pool = tiered
-                break
-        out.append(pool[0])
-        left.remove(pool[0])
-    return out
+            seated = set(rows.loc[taken, "role"])
+            seed = next((r for r in SEED_ROLES if r not in seated and (pool["role"] == r).any()), None)
+            if seed:
+                prefer(lambda p: p["role"] == seed)
+            if seed in (None, "SUPPLY") or not taken:
+                prefer(lambda p: p["tier"] == "T1", lambda p: p["tier"] == "T2")
+        taken.append(foremost(pool))
+        left = left.drop(index=taken[-1])
+    return taken
 
 
 def rank_feed(items: DataFrame, feed: str, seats: int = 10, window: int = 10) -> DataFrame:
     """The first ``seats`` rows of each feed with their ``seat``.
 
-    Ties go by time, impact, novelty and id, a total order.  The loop over
+    Ties are broken by id, so the order is total.  The loop over
     seats sees only the bounded candidates of one feed.
     """
     columns: Sequence[str] = [feed, "id", "attention", "role", "tier", "organization", "topic", "published_at", "impact", "novelty"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["published_at", "impact", "novelty", "id"], ascending=[False, False, False, True], kind="stable").reset_index(drop=True)
         order = seat_order(rows.to_dict("records"), seats, window)
         return pd.DataFrame({feed: rows[feed].iloc[order].to_numpy(), "id": rows["id"].iloc[order].to_numpy(), "seat": range(1, len(order) + 1)})
 

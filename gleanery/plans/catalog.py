@@ -1,4 +1,4 @@
 """All named queries of the library."""
 
-from gleanery.plans import queries_insights, queries_items, queries_signals, queries_sources, queries_streaming  # noqa: F401
+from gleanery.plans import queries_insights, queries_items, queries_findings, queries_sources, queries_streaming  # noqa: F401
 from gleanery.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.operators import components, dedupe, match, signals, windows
+from gleanery.operators import components, dedupe, match, findings, windows
 from gleanery.plans import views
 from gleanery.plans.registry import query
 
@@ -17,19 +17,19 @@ ANCHORED = """anchors AS (
 placed AS (SELECT e.*, a.start AS window_start FROM v_evid e ASOF JOIN anchors a ON e.product = a.product AND e.topic = a.topic AND e.created_at >= a.start)"""
 
 ROLLED = f"""{ANCHORED},
-types AS (SELECT product, topic, window_start, signal_type, count(*) AS n, min(struct_pack(c := created_at, e := evidence_id)) AS since FROM placed GROUP BY ALL),
-best AS (SELECT product, topic, window_start, signal_type FROM types QUALIFY row_number() OVER (PARTITION BY product, topic, window_start ORDER BY n DESC, since) = 1),
+types AS (SELECT product, topic, window_start, finding_type, count(*) AS n, min(struct_pack(c := created_at, e := evidence_id)) AS since FROM placed GROUP BY ALL),
+best AS (SELECT product, topic, window_start, finding_type FROM types QUALIFY row_number() OVER (PARTITION BY product, topic, window_start ORDER BY n DESC, since) = 1),
 rolled AS (
   SELECT product, topic, window_start, count(*) AS n_evidence, min(created_at) AS first_seen_at, arg_max(updated_at, struct_pack(c := created_at, e := evidence_id)) AS last_seen_at, count(DISTINCT author_id) AS n_authors,
     count(DISTINCT family) AS n_families, count(DISTINCT thread) AS n_threads, count(DISTINCT CASE WHEN allowed THEN author_id END) AS n_allowed_authors, bool_or(implication) AS implication, bool_or(artifact) AS artifact,
     arg_min(family, struct_pack(c := created_at, e := evidence_id)) AS first_family FROM placed GROUP BY ALL),
-signals AS (SELECT rolled.*, signal_type, CASE WHEN n_authors >= 3 AND n_families >= 2 THEN 'high' ELSE 'medium' END AS confidence FROM rolled JOIN best USING (product, topic, window_start))"""
+findings AS (SELECT rolled.*, finding_type, CASE WHEN n_authors >= 3 AND n_families >= 2 THEN 'high' ELSE 'medium' END AS confidence FROM rolled JOIN best USING (product, topic, window_start))"""
 
 GATED = f"""{ROLLED},
 reasons AS (
-  SELECT *, CASE WHEN signal_type IN ('BACKLASH', 'EMERGING_TOOL') THEN 'insufficient-evidence' WHEN topic IN ('', 'other') OR NOT implication THEN 'no-product-implication'
+  SELECT *, CASE WHEN finding_type IN ('BACKLASH', 'EMERGING_TOOL') THEN 'insufficient-evidence' WHEN topic IN ('', 'other') OR NOT implication THEN 'no-product-implication'
     WHEN n_evidence = 1 AND first_family = 'R' THEN 'single-source' WHEN NOT artifact THEN 'no-concrete-artifact' WHEN NOT (n_families >= 2 OR n_allowed_authors >= 3) THEN 'insufficient-authors'
-    WHEN NOT (last_seen_at - first_seen_at >= INTERVAL 7 DAY OR n_threads >= 2) THEN 'insufficient-recurrence' END AS reason FROM signals),
+    WHEN NOT (last_seen_at - first_seen_at >= INTERVAL 7 DAY OR n_threads >= 2) THEN 'insufficient-recurrence' END AS reason FROM findings),
 gated AS (SELECT *, CASE WHEN reason IS NULL THEN 'PUBLISH' WHEN reason IN ('no-product-implication', 'no-concrete-artifact') THEN 'REVIEW_QUEUE' ELSE 'WATCH' END AS status FROM reasons)"""
 
 CAPPED = f"""{GATED},
@@ -42,15 +42,15 @@ def placed(spark, d):
 
 
 def rolled(spark, d):
-    return signals.roll_up(placed(spark, d), ["product", "topic", "window_start"])
+    return findings.roll_up(placed(spark, d), ["product", "topic", "window_start"])
 
 
 def gated(spark, d):
-    return signals.gate(rolled(spark, d), lone_family="R")
+    return findings.gate(rolled(spark, d), lone_family="R")
 
 
 def capped(spark, d):
-    return windows.publish_cap(gated(spark, d), ["product"], [F.col("last_seen_at").desc(), F.col("topic"), F.col("window_start")], signals.PUBLISH_CAP)
+    return windows.publish_cap(gated(spark, d), ["product"], [F.col("last_seen_at").desc(), F.col("topic"), F.col("window_start")], findings.PUBLISH_CAP)
 
 
 @query("g1_anchored_windows", f"WITH {views.EVIDENCE}, {ANCHORED} SELECT evidence_id, window_start FROM placed")
@@ -58,12 +58,12 @@ def g1(spark, d):
     return placed(spark, d).select("evidence_id", "window_start")
 
 
-@query("a1_cluster_roll_up", f"WITH {views.EVIDENCE}, {ROLLED} SELECT * FROM signals")
+@query("a1_cluster_roll_up", f"WITH {views.EVIDENCE}, {ROLLED} SELECT * FROM findings")
 def a1(spark, d):
     return rolled(spark, d)
 
 
-@query("a2_conditional_counts", f"WITH {views.EVIDENCE}, {ROLLED} SELECT product, topic, window_start, n_threads, n_allowed_authors, date_diff('day', first_seen_at, last_seen_at) AS span_days FROM signals")
+@query("a2_conditional_counts", f"WITH {views.EVIDENCE}, {ROLLED} SELECT product, topic, window_start, n_threads, n_allowed_authors, date_diff('day', first_seen_at, last_seen_at) AS span_days FROM findings")
 def a2(spark, d):
     return rolled(spark, d).select("product", "topic", "window_start", "n_threads", "n_allowed_authors", F.date_diff("last_seen_at", "first_seen_at").cast("long").alias("span_days"))
 
@@ -78,12 +78,12 @@ def g3(spark, d):
     return capped(spark, d).select("product", "topic", "window_start", "status", "reason")
 
 
-@query("e3_community_signals", f"WITH {views.EVIDENCE}, {CAPPED} SELECT * FROM capped WHERE status = 'PUBLISH'")
+@query("e3_community_findings", f"WITH {views.EVIDENCE}, {CAPPED} SELECT * FROM capped WHERE status = 'PUBLISH'")
 def e3(spark, d):
     return capped(spark, d).filter("status = 'PUBLISH'")
 
 
-@query("c20_eligible_signals", f"WITH {views.EVIDENCE}, {CAPPED} SELECT product, topic, window_start, status FROM capped WHERE status = 'PUBLISH' OR (status = 'WATCH' AND reason = 'capped')")
+@query("c20_eligible_findings", f"WITH {views.EVIDENCE}, {CAPPED} SELECT product, topic, window_start, status FROM capped WHERE status = 'PUBLISH' OR (status = 'WATCH' AND reason = 'capped')")
 def c20(spark, d):
     return capped(spark, d).filter("status = 'PUBLISH' or (status = 'WATCH' and reason = 'capped')").select("product", "topic", "window_start", "status")
 
@@ -94,7 +94,7 @@ def a5(spark, d):
 
 
 @query("e6_capture_funnel", f"""WITH {views.EVIDENCE}, {CAPPED}
-  SELECT '1-evidence' AS stage, count(*) AS n FROM v_evid UNION ALL SELECT '2-clusters', count(*) FROM signals UNION ALL SELECT '3-passed', count(*) FROM gated WHERE status = 'PUBLISH' UNION ALL SELECT '4-published', count(*) FROM capped WHERE status = 'PUBLISH'""")
+  SELECT '1-evidence' AS stage, count(*) AS n FROM v_evid UNION ALL SELECT '2-clusters', count(*) FROM findings UNION ALL SELECT '3-passed', count(*) FROM gated WHERE status = 'PUBLISH' UNION ALL SELECT '4-published', count(*) FROM capped WHERE status = 'PUBLISH'""")
 def e6(spark, d):
     # gated and capped share one pass over the clusters
     rows = capped(spark, d)
@@ -111,7 +111,7 @@ AS_OF = "2000-01-01"
   abs(epoch_us(created_at) - epoch_us(TIMESTAMP '{AS_OF}')) <= 14 * 86400000000 AS near FROM v_evid""")
 def c15(spark, d):
     as_of, t = F.lit(AS_OF).cast("timestamp"), F.col("created_at")
-    return views.evidence(spark, d).select("evidence_id", signals.evidence_window(t, as_of, 30).alias("current"), signals.evidence_window(t, as_of, 30, future=True).alias("with_future"), signals.near(t, as_of, 14).alias("near"))
+    return views.evidence(spark, d).select("evidence_id", findings.evidence_window(t, as_of, 30).alias("current"), findings.evidence_window(t, as_of, 30, future=True).alias("with_future"), findings.near(t, as_of, 14).alias("near"))
 
 
 @query("c16_allowlist", f"WITH {views.EVIDENCE} SELECT evidence_id FROM v_evid WHERE repo IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < {views.ALLOWED_NATIONS})")
@@ -200,12 +200,12 @@ def d2(spark, d):
     return dedupe.greedy_dedupe(docs, "doc_id", [F.col("doc_id")], keys).select("id", "kept")
 
 
-@query("u_pri_priority_union", """WITH both_ AS (SELECT doc_id, text, source, 0 AS rank FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id + 1000000000, text, source, 1 FROM documents WHERE doc_id % 2 = 0),
+@query("u_pri_priority_union", """WITH both_ AS (SELECT doc_id, text, source, 0 AS rank FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id + 1000000000, text, source, 1 FROM documents),
   keyed AS (SELECT doc_id AS id, rank, 'a:' || md5(text) AS k1, CAST(NULL AS VARCHAR) AS k2 FROM both_) """ + GREEDY.format(order="rank, id"))
 def u_pri(spark, d):
     docs = views.table(spark, d, "documents")
     a = docs.filter("lang = 'en'").select("doc_id", "text", F.lit(0).alias("rank"))
-    b = docs.filter("doc_id % 2 = 0").select((F.col("doc_id") + 1000000000).alias("doc_id"), "text", F.lit(1).alias("rank"))
+    b = docs.select((F.col("doc_id") + 1000000000).alias("doc_id"), "text", F.lit(1).alias("rank"))
     return dedupe.greedy_dedupe(a.unionByName(b), "doc_id", [F.col("rank"), F.col("doc_id")], [F.concat(F.lit("a:"), F.md5("text"))]).select("id", "kept")
 
 
@@ -222,14 +222,14 @@ def d4(spark, d):
 D5_START, D5_END = "1998-01-01", "1998-03-01"
 
 
-@query("d5_capped_accept", f"""WITH {views.EVIDENCE}, w AS (SELECT *, CASE WHEN signal_type = 'EMERGING_TOOL' THEN 'feature-request' WHEN NOT artifact AND NOT implication THEN 'no-evidence' END AS reject FROM v_evid WHERE created_at >= TIMESTAMP '{D5_START}' AND created_at < TIMESTAMP '{D5_END}'),
+@query("d5_capped_accept", f"""WITH {views.EVIDENCE}, w AS (SELECT *, CASE WHEN finding_type = 'EMERGING_TOOL' THEN 'feature-request' WHEN NOT artifact AND NOT implication THEN 'no-evidence' END AS reject FROM v_evid WHERE created_at >= TIMESTAMP '{D5_START}' AND created_at < TIMESTAMP '{D5_END}'),
   first AS (SELECT evidence_id, row_number() OVER (PARTITION BY repo, product, topic ORDER BY created_at, evidence_id) = 1 AS won FROM w WHERE reject IS NULL),
   o AS (SELECT w.*, coalesce(reject, CASE WHEN won THEN 'accepted' ELSE 'duplicate' END) AS outcome FROM w LEFT JOIN first USING (evidence_id)),
   n AS (SELECT *, count(*) FILTER (WHERE outcome = 'accepted') OVER (PARTITION BY repo ORDER BY created_at, evidence_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o)
   SELECT evidence_id, outcome FROM n WHERE before < 5""")
 def d5(spark, d):
     rows = views.evidence(spark, d).filter((F.col("created_at") >= F.lit(D5_START).cast("timestamp")) & (F.col("created_at") < F.lit(D5_END).cast("timestamp")))
-    reject = F.when(F.col("signal_type") == "EMERGING_TOOL", "feature-request").when(~F.col("artifact") & ~F.col("implication"), "no-evidence")
+    reject = F.when(F.col("finding_type") == "EMERGING_TOOL", "feature-request").when(~F.col("artifact") & ~F.col("implication"), "no-evidence")
     return dedupe.capped_accept(rows, "repo", "evidence_id", [F.col("created_at"), F.col("evidence_id")], [F.concat_ws("|", "product", "topic")], reject, 5).select("evidence_id", "outcome")
 
 
@@ -251,12 +251,12 @@ def d7(spark, d):
 def typed_records(spark, d):
     rows = views.records(spark, d)
     return rows.withColumns({
-        "event_type": F.when(F.length("title") % 2 == 0, "product-launch").otherwise("model-release"), "source_rank": (F.length("url") % 3).cast("int"), "is_signal": F.length("summary") % 2 == 0,
+        "event_type": F.when(F.length("title") % 2 == 0, "product-launch").otherwise("model-release"), "source_rank": (F.length("url") % 3).cast("int"), "is_cue": F.length("summary") % 2 == 0,
         "impact_score": (F.length("title") % 50 + 40).cast("int"), "novelty_score": (F.length("summary") % 50 + 40).cast("int"), "capabilities": F.array(F.substring("title", 1, 1), F.substring("title", 2, 1)),
     })
 
 
-TYPED = f"""{views.RECORDS}, typed AS (SELECT *, CASE WHEN length(title) % 2 = 0 THEN 'product-launch' ELSE 'model-release' END AS event_type, CAST(length(url) % 3 AS INTEGER) AS source_rank, length(summary) % 2 = 0 AS is_signal,
+TYPED = f"""{views.RECORDS}, typed AS (SELECT *, CASE WHEN length(title) % 2 = 0 THEN 'product-launch' ELSE 'model-release' END AS event_type, CAST(length(url) % 3 AS INTEGER) AS source_rank, length(summary) % 2 = 0 AS is_cue,
   CAST(length(title) % 50 + 40 AS INTEGER) AS impact_score, CAST(length(summary) % 50 + 40 AS INTEGER) AS novelty_score, [substring(title, 1, 1), substring(title, 2, 1)] AS capabilities FROM v_rec),
 toks AS (SELECT id, org, version, published_at, unnest(list_distinct(list_filter([nullif(regexp_replace(lower(product), '[^a-z0-9.-]+', '', 'g'), ''), nullif(regexp_replace(lower(model), '[^a-z0-9.-]+', '', 'g'), '')], lambda x: x IS NOT NULL))) AS token FROM typed),
 pairs AS (SELECT DISTINCT l.id AS left_id, r.id AS right_id FROM toks l JOIN toks r ON l.org = r.org AND l.token = r.token AND l.id < r.id
@@ -278,7 +278,7 @@ COMPONENTS = f"""{MATCHED}, links AS (SELECT left_id AS a, right_id AS b FROM ma
 comp AS (SELECT id, min(reach) AS component FROM (WITH RECURSIVE c(id, reach) AS (SELECT id, id FROM typed UNION SELECT c.id, links.b FROM c JOIN links ON links.a = c.reach) SELECT * FROM c) GROUP BY id)"""
 
 EVENTS = f"""{COMPONENTS},
-rolled AS (SELECT component, arg_min(struct_pack(id := id, url := url, title := title, org := org), struct_pack(a := -authority, b := -source_rank, c := is_signal, d := published_at, e := id)) AS p, min(published_at) AS published_at, max(authority) AS authority, count(*) AS n_sources,
+rolled AS (SELECT component, arg_min(struct_pack(id := id, url := url, title := title, org := org), struct_pack(a := -authority, b := -source_rank, c := is_cue, d := published_at, e := id)) AS p, min(published_at) AS published_at, max(authority) AS authority, count(*) AS n_sources,
   arg_min(product, struct_pack(a := -authority, d := published_at, e := id)) FILTER (WHERE product IS NOT NULL) AS product, arg_min(model, struct_pack(a := -authority, d := published_at, e := id)) FILTER (WHERE model IS NOT NULL) AS model,
   arg_min(version, struct_pack(a := -authority, d := published_at, e := id)) FILTER (WHERE version IS NOT NULL) AS version, count(DISTINCT lower(version)) > 1 AS version_conflict, max(impact_score) AS impact_score, max(novelty_score) AS novelty_score,
   array_to_string(list_sort(list_distinct(flatten(list(capabilities)))), ',') AS capabilities FROM typed JOIN comp USING (id) GROUP BY component),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from gleanery.operators import insights, ranking, signals, windows
+from gleanery.operators import insights, ranking, findings, windows
 from gleanery.plans import views
 from gleanery.plans.queries_items import PAPER, paper_gated
 from gleanery.plans.registry import query
@@ -18,23 +18,23 @@ GROUPS = [("metal", ["STEEL", "METAL"], ["STEEL"], None), ("brass-supply", ["BRA
 def evidence(spark, d):
     """Evidence of three roles with capability keys, by topic, size of window and family."""
     rows = views.evidence(spark, d)
-    rows = rows.filter(signals.evidence_window(c("created_at"), F.lit(AS_OF).cast("timestamp"), 21))
+    rows = rows.filter(findings.evidence_window(c("created_at"), F.lit(AS_OF).cast("timestamp"), 21))
     word = lambda k: F.when(F.contains(F.upper("topic"), F.lit(k)), k)
     keys = F.array_compact(F.array(word("STEEL"), word("METAL"), word("BRASS"), word("PROMO"), word("ECONOMY"), F.when(c("artifact"), "BIG"), F.when(c("family") == "R", "RETURN")))
     role = F.when(c("family") == "N", "SUPPLY").when(c("family") == "A", "CAPABILITY").otherwise("ADOPTION")
     current = c("created_at") >= F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(days=F.lit(7))
-    return rows.select(c("evidence_id").alias("object_id"), role.alias("role"), keys.alias("capability_keys"), c("product").alias("organization"), c("topic").alias("product_family"), "signal_type", current.alias("current"), (~c("implication")).alias("hidden"), "updated_at")
+    return rows.select(c("evidence_id").alias("object_id"), role.alias("role"), keys.alias("capability_keys"), c("product").alias("organization"), c("topic").alias("product_family"), "finding_type", current.alias("current"), (~c("implication")).alias("hidden"), "updated_at")
 
 
 EVIDENCE = f"""{views.EVIDENCE}, q AS (SELECT evidence_id AS object_id, CASE family WHEN 'N' THEN 'SUPPLY' WHEN 'A' THEN 'CAPABILITY' ELSE 'ADOPTION' END AS role,
   list_filter([CASE WHEN contains(upper(topic), 'STEEL') THEN 'STEEL' END, CASE WHEN contains(upper(topic), 'METAL') THEN 'METAL' END, CASE WHEN contains(upper(topic), 'BRASS') THEN 'BRASS' END, CASE WHEN contains(upper(topic), 'PROMO') THEN 'PROMO' END,
     CASE WHEN contains(upper(topic), 'ECONOMY') THEN 'ECONOMY' END, CASE WHEN artifact THEN 'BIG' END, CASE WHEN family = 'R' THEN 'RETURN' END], lambda x: x IS NOT NULL) AS capability_keys,
-  product AS organization, topic AS product_family, signal_type, created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AS current, NOT implication AS hidden, updated_at
+  product AS organization, topic AS product_family, finding_type, created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AS current, NOT implication AS hidden, updated_at
   FROM v_evid WHERE created_at <= TIMESTAMP '{AS_OF}' AND created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 21 DAY),
 g(group_id, keys, required, grole) AS (VALUES {', '.join(f"('{i}', {k}, {r}, {'NULL' if o is None else repr(o)})" for i, k, r, o in GROUPS)}),
 m0 AS (SELECT g.*, q.* FROM g JOIN q ON list_has_any(capability_keys, keys) AND (grole IS NULL OR grole = role)),
 m AS (SELECT * FROM m0 WHERE group_id IN (SELECT group_id FROM (SELECT group_id, any_value(required) AS req, list_distinct(flatten(list(capability_keys))) AS have FROM m0 GROUP BY group_id) WHERE list_has_all(have, req))),
-x AS (SELECT *, coalesce(signal_type = 'FRICTION' OR list_contains(capability_keys, 'RETURN'), false) AS rough FROM m),
+x AS (SELECT *, coalesce(finding_type = 'FRICTION' OR list_contains(capability_keys, 'RETURN'), false) AS rough FROM m),
 facts AS (SELECT group_id, count(DISTINCT object_id) AS n_members, count(DISTINCT CASE WHEN role = 'ADOPTION' THEN product_family ELSE organization END) AS n_independent, bool_or(role = 'SUPPLY') AS supply, bool_or(role = 'CAPABILITY') AS capability,
   bool_or(role = 'ADOPTION') AS adoption, bool_or(current) AS current, bool_or(role = 'ADOPTION' AND rough) AS friction, bool_and(rough) AS all_friction, bool_or(hidden) AS hidden, max(updated_at) AS updated_at FROM x GROUP BY group_id),
 r AS (SELECT *, (supply OR capability) AND adoption AND friction AS ready, CAST(supply AS INT) + CAST(capability AS INT) + CAST(adoption AS INT) = 1 AS one FROM facts),
@@ -95,7 +95,7 @@ def t4(spark, d):
 
 @query("p31_stance", f"WITH {EVIDENCE} SELECT group_id, object_id, CASE WHEN role = 'ADOPTION' AND rough THEN 'contradicts' WHEN role = 'CAPABILITY' THEN 'enables' ELSE 'supports' END AS stance FROM x")
 def p31_stance(spark, d):
-    rough = F.coalesce((c("signal_type") == "FRICTION") | F.array_contains("capability_keys", "RETURN"), F.lit(False))
+    rough = F.coalesce((c("finding_type") == "FRICTION") | F.array_contains("capability_keys", "RETURN"), F.lit(False))
     return members(spark, d).select("group_id", "object_id", F.when((c("role") == "ADOPTION") & rough, "contradicts").when(c("role") == "CAPABILITY", "enables").otherwise("supports").alias("stance"))
 
 
@@ -111,13 +111,34 @@ def ranked_items(spark, d):
     return rows.withColumns({"attention": ranking.attention_class(c("role"), c("tier"), c("relevance") >= 80, F.exists("tags", lambda t: t == "x3")), "novelty": c("trend")})
 
 
-@query("g7_greedy_ranking")
+RANKED = f"""{views.ITEMS},
+item AS (SELECT *, CASE WHEN role = 'SUPPLY' AND impact >= 80 THEN 'T1' WHEN role = 'SUPPLY' AND impact >= 60 THEN 'T2' END AS tier FROM v_item),
+classed AS (SELECT *, trend AS novelty, CASE WHEN list_contains(tags, 'x3') OR role = 'BACKGROUND' THEN 3 WHEN role = 'ADOPTION' OR (role = 'SUPPLY' AND tier IS NOT NULL) OR (role = 'CAPABILITY' AND relevance >= 80) THEN 1 ELSE 2 END AS class FROM item)"""
+SEATED = """seats(lang, seat, id, org, topic, role, role2, taken, roles) AS (
+  SELECT DISTINCT lang, 0, '', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, []::VARCHAR[], []::VARCHAR[] FROM pool
+  UNION ALL
+  (WITH s0 AS (SELECT s.lang, s.seat, s.org, s.topic, s.role, s.role2, s.taken, s.roles, p.id, p.organization, p.topic AS own_topic, p.role AS own_role, p.tier, p.published_at, p.impact, p.novelty, p.class
+      FROM seats s JOIN pool p ON p.lang = s.lang AND NOT list_contains(s.taken, p.id) WHERE s.seat < 20),
+    s1 AS (SELECT * FROM s0 QUALIFY class = min(class) OVER (PARTITION BY lang)),
+    s2 AS (SELECT *, CASE WHEN seat > 0 AND organization = org THEN 1 ELSE 0 END AS o FROM s1 QUALIFY o = min(o) OVER (PARTITION BY lang)),
+    s3 AS (SELECT *, CASE WHEN seat < 10 AND role = role2 THEN CASE WHEN own_role <> role THEN 0 WHEN tier = 'T1' THEN 1 ELSE 2 END ELSE 0 END AS r FROM s2 QUALIFY r = min(r) OVER (PARTITION BY lang)),
+    s4 AS (SELECT *, CASE WHEN seat > 0 AND own_topic = topic THEN 1 ELSE 0 END AS t FROM s3 QUALIFY t = min(t) OVER (PARTITION BY lang)),
+    s5 AS (SELECT *, min(CASE WHEN seat < 10 AND NOT list_contains(roles, own_role) THEN CASE own_role WHEN 'SUPPLY' THEN 1 WHEN 'ADOPTION' THEN 2 WHEN 'CAPABILITY' THEN 3 END END) OVER (PARTITION BY lang) AS seed FROM s4),
+    s6 AS (SELECT * FROM s5 WHERE seed IS NULL OR own_role = ['SUPPLY', 'ADOPTION', 'CAPABILITY'][seed]),
+    s7 AS (SELECT *, CASE WHEN seat = 0 OR (seat < 10 AND coalesce(seed, 1) = 1) THEN CASE tier WHEN 'T1' THEN 0 WHEN 'T2' THEN 1 ELSE 2 END ELSE 0 END AS g FROM s6 QUALIFY g = min(g) OVER (PARTITION BY lang)),
+    s8 AS (SELECT * FROM s7 QUALIFY published_at = max(published_at) OVER (PARTITION BY lang)),
+    s9 AS (SELECT * FROM s8 QUALIFY row_number() OVER (PARTITION BY lang, tier IS NULL ORDER BY CASE WHEN tier IS NOT NULL THEN impact END DESC, CASE WHEN tier IS NOT NULL THEN novelty END DESC, id) = 1)
+  SELECT lang, seat + 1, id, organization, own_topic, own_role, role, list_append(taken, id), list_append(roles, own_role) FROM s9 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY id) = 1))"""
+
+
+@query("g7_greedy_ranking", f"WITH RECURSIVE {RANKED}, pool AS (SELECT * FROM classed), {SEATED} SELECT lang, id, seat FROM seats WHERE seat > 0")
 def g7(spark, d):
-    """Feeds are languages; pinned by tests against the whole greedy loop."""
+    """Feeds are languages; tests hold it against the greedy loop over all rows, too."""
     return ranking.rank_feed(ranked_items(spark, d), "lang", 20)
 
 
-@query("e5_unified_feed")
+@query("e5_unified_feed", f"""WITH RECURSIVE {RANKED}, pool AS (SELECT * FROM classed QUALIFY row_number() OVER (PARTITION BY title, source ORDER BY published_at DESC, id) = 1), {SEATED}
+  SELECT s.lang, s.seat, s.id, p.title, s.role, coalesce(p.tier, '') AS tier, CASE class WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'BACKGROUND' END AS attention FROM seats s JOIN pool p ON p.id = s.id WHERE seat > 0""")
 def e5(spark, d):
     """Keep-first by title and source, then the ranking with its cues."""
     from gleanery.operators.dedupe import keep_first
@@ -136,9 +157,9 @@ def e2(spark, d):
     return windows.publish_cap(rows, ["source"], [F.desc("n_chars"), c("doc_id")], 6, reason="cap").select("doc_id", "status", "cap")
 
 
-@query("p26_unique_parts", "WITH p AS (SELECT doc_id, list_distinct(list_filter(string_split(substring(text, 1, 1000), chr(10)), lambda l: trim(l) <> '')) AS parts FROM documents) SELECT doc_id, len(list_filter(parts, lambda a: len(list_filter(parts, lambda b: b <> a AND contains(b, a))) = 0))::BIGINT AS n FROM p")
+@query("p26_unique_parts", "WITH p AS (SELECT doc_id, list_distinct(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) AS parts FROM documents) SELECT doc_id, len(list_filter(parts, lambda a: len(list_filter(parts, lambda b: b <> a AND contains(b, a))) = 0))::BIGINT AS n FROM p")
 def p26(spark, d):
-    parts = F.array_distinct(F.filter(F.split(F.substring("text", 1, 1000), "\n"), lambda x: F.trim(x) != ""))
+    parts = F.array_distinct(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
     kept = F.filter("parts", lambda a: ~F.exists("parts", lambda b: (a != b) & F.contains(b, a)))
     return views.table(spark, d, "documents").select("doc_id", parts.alias("parts")).select("doc_id", F.size(kept).cast("long").alias("n"))
 

@@ -309,9 +309,9 @@ def c4(spark, d):
     return views.table(spark, d, "customer").filter(~is_bot(c("c_name"), c("c_mktsegment"), r"(\[bot\]$|7$)", "MACHINERY")).select("c_custkey")
 
 
-@query("c5_signal_type", f"WITH {views.EVIDENCE} SELECT evidence_id, CASE WHEN signal_type = 'EMERGING_TOOL' THEN 'BACKLASH' WHEN topic LIKE 'P%' THEN 'WORKFLOW_SHIFT' WHEN NOT implication THEN 'MIGRATION' ELSE 'FRICTION' END AS kind FROM v_evid")
+@query("c5_finding_type", f"WITH {views.EVIDENCE} SELECT evidence_id, CASE WHEN finding_type = 'EMERGING_TOOL' THEN 'BACKLASH' WHEN topic LIKE 'P%' THEN 'WORKFLOW_SHIFT' WHEN NOT implication THEN 'MIGRATION' ELSE 'FRICTION' END AS kind FROM v_evid")
 def c5(spark, d):
-    kind = F.when(c("signal_type") == "EMERGING_TOOL", "BACKLASH").when(F.startswith("topic", F.lit("P")), "WORKFLOW_SHIFT").when(~c("implication"), "MIGRATION").otherwise("FRICTION")
+    kind = F.when(c("finding_type") == "EMERGING_TOOL", "BACKLASH").when(F.startswith("topic", F.lit("P")), "WORKFLOW_SHIFT").when(~c("implication"), "MIGRATION").otherwise("FRICTION")
     return views.evidence(spark, d).select("evidence_id", kind.alias("kind"))
 
 
@@ -434,10 +434,10 @@ def j10(spark, d):
     return rows.filter("role != 'CAPABILITY'").join(done, "id", "left_anti").select("id", "composite").orderBy(F.desc("composite"), "id").limit(20)
 
 
-@query("j11_insight_links", f"WITH {views.ITEMS}, ins AS (SELECT doc_id AS insight, 'dc-' || 'i' || lpad(CAST(doc_id * 3 % 200 AS VARCHAR), 9, '0') AS ref FROM documents WHERE doc_id % 4 = 0) SELECT id, min(insight) AS insight FROM v_item JOIN ins ON regexp_replace(ref, '^dc-', '') = id GROUP BY id")
+@query("j11_insight_links", f"WITH {views.ITEMS}, ins AS (SELECT doc_id AS insight, 'dc-' || 'i' || lpad(CAST(doc_id * 3 AS VARCHAR), 9, '0') AS ref FROM documents) SELECT id, min(insight) AS insight FROM v_item JOIN ins ON regexp_replace(ref, '^dc-', '') = id GROUP BY id")
 def j11(spark, d):
-    ref = F.concat(F.lit("dc-i"), F.lpad((c("doc_id") * 3 % 200).cast("string"), 9, "0"))
-    links = docs(spark, d).filter("doc_id % 4 = 0").select(c("doc_id").alias("insight"), F.regexp_replace(ref, "^dc-", "").alias("of"))
+    ref = F.concat(F.lit("dc-i"), F.lpad((c("doc_id") * 3).cast("string"), 9, "0"))
+    links = docs(spark, d).select(c("doc_id").alias("insight"), F.regexp_replace(ref, "^dc-", "").alias("of"))
     return views.items(spark, d).join(links, c("id") == c("of")).groupBy("id").agg(F.min("insight").alias("insight"))
 
 
@@ -470,15 +470,18 @@ def a8(spark, d):
     return views.items(spark, d).rollup("role").agg(F.count("*").alias("n")).select(F.coalesce("role", F.lit("all")).alias("grp"), "n")
 
 
-PREFS = f"""{views.ITEMS}, {views.ACTIVITY}, used AS (SELECT user_id, CASE WHEN event_type = 'purchase' THEN 14 ELSE 10 END AS w, v_item.* FROM v_ev JOIN v_item ON id = 'i' || lpad(CAST(event_id % 200 AS VARCHAR), 9, '0')),
+PREFS = f"""{views.ITEMS}, {views.ACTIVITY}, used AS (SELECT user_id, CASE WHEN event_type = 'purchase' THEN 14 ELSE 10 END AS w, v_item.* FROM v_ev JOIN v_item ON id = 'i' || lpad(CAST(event_id // 10 AS VARCHAR), 9, '0')),
   prefs AS (SELECT user_id, 'source' AS kind, source AS key, sum(w) * 10 AS weight FROM used GROUP BY ALL UNION ALL SELECT user_id, 'role', role, sum(w) * 10 FROM used GROUP BY ALL
   UNION ALL SELECT user_id, 'tag', lower(tag), sum(w) * 6 FROM (SELECT user_id, w, unnest(tags) AS tag FROM used) WHERE NOT starts_with(lower(tag), 'ai-') GROUP BY ALL)"""
 
 
+def used(spark, d):
+    return views.activity(spark, d).select("user_id", F.when(c("event_type") == "purchase", 14).otherwise(10).alias("w"), F.concat(F.lit("i"), F.lpad(F.floor(c("event_id") / 10).cast("string"), 9, "0")).alias("item"))
+
+
 def prefs(spark, d):
-    rows = views.items(spark, d)
-    used = views.activity(spark, d).select("user_id", F.when(c("event_type") == "purchase", 14).otherwise(10).alias("w"), F.concat(F.lit("i"), F.lpad((c("event_id") % 200).cast("string"), 9, "0")).alias("item"))
-    return analytics.preferences(used.join(rows, c("item") == c("id")), "user_id", "w", {"source": c("source"), "role": c("role")}, "tags")
+    rows = used(spark, d).join(views.items(spark, d), c("item") == c("id"))
+    return analytics.preferences(rows, "user_id", "w", {"source": c("source"), "role": c("role")}, "tags")
 
 
 @query("a9_preference_vectors", f"WITH {PREFS} SELECT user_id, kind, key, CAST(weight AS BIGINT) AS weight FROM prefs")
@@ -487,9 +490,11 @@ def a9(spark, d):
 
 
 @query("t6_personal_boost", f"""WITH {PREFS}, keys AS (SELECT id, 'source' AS kind, source AS key, 6 AS f FROM v_item UNION ALL SELECT id, 'role', role, 4 FROM v_item UNION ALL SELECT id, 'tag', lower(tag), 3 FROM (SELECT id, unnest(tags) AS tag FROM v_item))
-  SELECT user_id, id, CAST(least(4800, sum(weight * f)) AS BIGINT) AS boost FROM keys JOIN prefs USING (kind, key) WHERE user_id < 20 GROUP BY ALL""")
+  SELECT user_id, id, CAST(least(4800, sum(weight * f)) AS BIGINT) AS boost FROM (SELECT DISTINCT user_id, id FROM used) JOIN keys USING (id) JOIN prefs USING (user_id, kind, key) GROUP BY ALL""")
 def t6(spark, d):
-    return analytics.boosts(views.items(spark, d), prefs(spark, d).filter("user_id < 20"), "id", {"source": (c("source"), 6), "role": (c("role"), 4)}, ("tags", 3), 4800)
+    """For each user the items that they met."""
+    met = used(spark, d).select("user_id", c("item").alias("id")).distinct()
+    return analytics.boosts(views.items(spark, d), prefs(spark, d), "id", {"source": (c("source"), 6), "role": (c("role"), 4)}, ("tags", 3), 4800, among=met)
 
 
 @query("a10_venue_discovery", "SELECT p_type AS venue, count(*) AS n, max(CASE WHEN contains(lower(p_type), seed) OR contains(seed, lower(p_type)) THEN seed END) AS seed FROM part, (VALUES ('brass'), ('steel'), ('promo')) s(seed) GROUP BY p_type".replace("count(*)", "count(DISTINCT p_partkey)"))

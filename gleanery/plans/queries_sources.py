@@ -146,10 +146,10 @@ def s10(spark, d):
     return payloads.captured_papers(landed, "body", "day").select("paper_id", "day", F.array_join("authors", ";").alias("authors"))
 
 
-@query("s11_works_with_abstract", "SELECT CAST(doc_id AS VARCHAR) AS id, md5(array_to_string(list_filter(regexp_split_to_array(substring(text, 1, 300), '[^A-Za-z]+'), lambda w: w <> ''), ' ')) AS abstract FROM documents WHERE lang = 'en'")
+@query("s11_works_with_abstract", "SELECT CAST(doc_id AS VARCHAR) AS id, md5(array_to_string(list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda w: w <> ''), ' ')) AS abstract FROM documents")
 def s11(spark, d):
-    docs = views.table(spark, d, "documents").filter("lang = 'en'")
-    words = F.filter(F.split(F.substring("text", 1, 300), "[^A-Za-z]+"), lambda w: w != "")
+    docs = views.table(spark, d, "documents")
+    words = F.filter(F.split("text", "[^A-Za-z]+"), lambda w: w != "")
     index = docs.select("doc_id", F.posexplode(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("m"))
     rows = docs.select("doc_id").join(index, "doc_id", "left").select(F.to_json(F.struct(F.array(F.struct(c("doc_id").cast("string").alias("id"), F.lit("t").alias("title"), c("m").alias("abstract_inverted_index"))).alias("results"))).alias("body"))
     return payloads.works(rows, "body").select("id", F.md5(F.coalesce("abstract", F.lit(""))).alias("abstract"))

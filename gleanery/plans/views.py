@@ -23,7 +23,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.md5(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents, day)).alias("evidence_id"), F.col("o_custkey").alias("author_id"), F.col("l_returnflag").alias("family"),
         F.col("p_brand").alias("product"), F.col("p_type").alias("topic"), F.col("l_suppkey").alias("repo"), (F.col("s_nationkey") < ALLOWED_NATIONS).alias("allowed"), F.col("l_orderkey").alias("thread"),
         F.col("l_shipdate").cast("timestamp").alias("created_at"), (F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(days=F.col("l_linenumber"))).alias("updated_at"), (F.col("l_quantity") > 25).alias("artifact"), (F.col("l_discount") > 0.03).alias("implication"),
-        F.when((F.col("o_orderstatus") == "P") & (F.col("l_linestatus") == "F"), "MIGRATION").when(F.col("o_orderstatus") == "P", "EMERGING_TOOL").when(F.col("l_linestatus") == "O", "FRICTION").otherwise("WORKFLOW_SHIFT").alias("signal_type"),
+        F.when((F.col("o_orderstatus") == "P") & (F.col("l_linestatus") == "F"), "MIGRATION").when(F.col("o_orderstatus") == "P", "EMERGING_TOOL").when(F.col("l_linestatus") == "O", "FRICTION").otherwise("WORKFLOW_SHIFT").alias("finding_type"),
     )
 
 
@@ -31,7 +31,7 @@ EVIDENCE = f"""v_evid AS (
   SELECT md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT), strftime(l_shipdate, '%Y-%m-%d'))) AS evidence_id,
     o_custkey AS author_id, l_returnflag AS family, p_brand AS product, p_type AS topic, l_suppkey AS repo, s_nationkey < {ALLOWED_NATIONS} AS allowed, l_orderkey AS thread,
     l_shipdate AS created_at, l_shipdate + to_days(CAST(l_linenumber AS INTEGER)) AS updated_at, l_quantity > 25 AS artifact, l_discount > 0.03 AS implication,
-    CASE WHEN o_orderstatus = 'P' AND l_linestatus = 'F' THEN 'MIGRATION' WHEN o_orderstatus = 'P' THEN 'EMERGING_TOOL' WHEN l_linestatus = 'O' THEN 'FRICTION' ELSE 'WORKFLOW_SHIFT' END AS signal_type
+    CASE WHEN o_orderstatus = 'P' AND l_linestatus = 'F' THEN 'MIGRATION' WHEN o_orderstatus = 'P' THEN 'EMERGING_TOOL' WHEN l_linestatus = 'O' THEN 'FRICTION' ELSE 'WORKFLOW_SHIFT' END AS finding_type
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 

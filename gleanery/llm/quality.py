@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import map_rows, mix, sliced, staged, text_or_empty, windows_of
 
-#: Labelled and unlabelled rows that the fit uses at most, each; the scores cover all rows.
+#: Trusted positive rows that the fit uses at most; unlabelled text is summed up over all rows.
 FIT_ROWS = 20000
+#: Points that stand for all unlabelled rows, each weighted by the rows nearest to it.
+POINTS = 2048
 EPOCHS = 400
 PUNCTUATION = "#*$%&|<>!?.,;:"
 N_FEATURES = 34
@@ -124,35 +126,42 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS, hidden: int = 24, seed: int = 7) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, weights: np.ndarray, prior: float, epochs: int = EPOCHS, hidden: int = 24, seed: int = 7, signed: bool = True) -> Model:
     """Minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss.
 
     Where the negative part falls below zero, the step goes the other way on
-    that part alone, as the non-negative estimator asks for.
+    that part alone, as the non-negative estimator asks for.  Unlabelled points
+    count by their weights, which add up to 1.  Not ``signed``, positives are only told from
+    unlabelled points: R_p(+) + R_u(-).
     """
     rng = np.random.default_rng(seed)
-    every = np.r_[positive, unlabelled]
-    mean, scale = every.mean(0), every.std(0) + 1e-6
+    mean = weights @ unlabelled
+    scale = np.sqrt(weights @ (unlabelled - mean) ** 2) + 1e-6
     prepare = lambda x: np.c_[np.clip((x - mean) / scale, -6, 6), np.ones(len(x))]
     xp, xu = prepare(positive), prepare(unlabelled)
+    even = np.full(len(xp), 1 / len(xp))
     w1 = rng.normal(0, 1 / np.sqrt(xp.shape[1]), (xp.shape[1], hidden))
     w2 = rng.normal(0, 1 / np.sqrt(hidden), hidden + 1)
     moments = [np.zeros_like(w1), np.zeros_like(w1), np.zeros_like(w2), np.zeros_like(w2)]
 
-    def gradient(x: np.ndarray, sign: float, w1: np.ndarray, w2: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    def gradient(x: np.ndarray, weight: np.ndarray, sign: float) -> tuple[float, np.ndarray, np.ndarray]:
         """Mean logistic loss with all labels ``sign``, and its gradients."""
         h = x @ w1
         a = np.c_[np.maximum(h, 0), np.ones(len(x))]
         z = sign * (a @ w2)
-        dz = -sign * sigmoid(-z) / len(x)
-        return float(np.logaddexp(0, -z).mean()), x.T @ (np.outer(dz, w2[:-1]) * (h > 0)), a.T @ dz
+        dz = -sign * sigmoid(-z) * weight
+        return float(np.logaddexp(0, -z) @ weight), x.T @ (np.outer(dz, w2[:-1]) * (h > 0)), a.T @ dz
 
     for t in range(1, epochs + 1):
-        pos = gradient(xp, 1.0, w1, w2)
-        pos_neg = gradient(xp, -1.0, w1, w2)
-        unl_neg = gradient(xu, -1.0, w1, w2)
-        negative = unl_neg[0] - prior * pos_neg[0]
-        g = [prior * p + u - prior * n for p, u, n in zip(pos[1:], unl_neg[1:], pos_neg[1:])] if negative >= 0 else [prior * n - u for u, n in zip(unl_neg[1:], pos_neg[1:])]
+        pos, unl_neg = gradient(xp, even, 1.0), gradient(xu, weights, -1.0)
+        if signed:
+            pos_neg = gradient(xp, even, -1.0)
+            if unl_neg[0] >= prior * pos_neg[0]:
+                g = [prior * p + u - prior * n for p, u, n in zip(pos[1:], unl_neg[1:], pos_neg[1:])]
+            else:
+                g = [prior * n - u for u, n in zip(unl_neg[1:], pos_neg[1:])]
+        else:
+            g = [p + u for p, u in zip(pos[1:], unl_neg[1:])]
         for k, (w, d) in enumerate(((w1, g[0] + 1e-4 * w1), (w2, g[1] + 1e-4 * w2))):
             moments[2 * k] = 0.9 * moments[2 * k] + 0.1 * d
             moments[2 * k + 1] = 0.999 * moments[2 * k + 1] + 0.001 * d * d
@@ -160,24 +169,78 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
     return Model(mean, scale, w1, w2, prior)
 
 
-def train(features: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
-    """Fit on the rows of ``labels`` (doc_id, positive) that ``features`` has, and on unlabelled rows.
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, weights: np.ndarray, rows: float, seed: int = 11) -> float:
+    """Share of positives in unlabelled text, from trusted positives and unlabelled text alone.
+
+    A network tells half of the positives from half of the unlabelled points;
+    the others are scored.  Among those scored highest nearly all are positive, so that the share of
+    unlabelled text above a threshold is the prior times the share of positives
+    above it.  The threshold is where the upper confidence bound of that ratio
+    is least.  The halves then change places, and the mean is taken.  ``rows`` is
+    the number of unlabelled rows that the points stand for.
+    """
+    rng = np.random.default_rng(seed)
+    half = lambda n: np.array_split(rng.permutation(n), 2) if n > 1 else [np.arange(n)] * 2
+    (p0, p1), (u0, u1) = half(len(positive)), half(len(unlabelled))
+    found = []
+    for p_learn, p_rest, u_learn, u_rest in ((p0, p1, u0, u1), (p1, p0, u1, u0)):
+        model = fit(positive[p_learn], unlabelled[u_learn], weights[u_learn] / weights[u_learn].sum(), 0.5, epochs=EPOCHS // 4, seed=seed, signed=False)
+        p, u, w = np.sort(model.score(positive[p_rest])), model.score(unlabelled[u_rest]), weights[u_rest] / weights[u_rest].sum()
+        at = np.argsort(u)
+        above = np.append(np.cumsum(w[at][::-1])[::-1], 0.0)  # share of unlabelled text with at least this score
+        cuts = np.quantile(p, np.linspace(0, 0.99, 100))
+        q_p = 1 - np.searchsorted(p, cuts) / len(p)
+        q_u = above[np.searchsorted(u[at], cuts)]
+        slack = np.sqrt(np.log(40) / (2 * len(p))) + np.sqrt(np.log(40) / (2 * max(rows / 2, 1)))
+        best = int(np.argmin((q_u + slack) / np.maximum(q_p, 1e-9)))
+        found.append(q_u[best] / q_p[best])
+    return float(np.clip(np.mean(found), 0.02, 0.98))
+
+
+def weighted_points(features: DataFrame, points: int = POINTS) -> tuple[np.ndarray, np.ndarray, int]:
+    """Means and shares of the rows nearest to each of a few drawn rows, and how many rows there are.
+
+    Every row counts; what reaches the driver is bounded by ``points``.
+    """
+    drawn = features.select(F.xxhash64("doc_id", "features").alias("h"), "features").orderBy("h", "features").limit(points).select("features").toPandas()
+    if not len(drawn):
+        return np.empty((0, N_FEATURES)), np.empty(0), 0
+    centres = np.unique(np.array(drawn["features"].tolist(), dtype=np.float64), axis=0)
+    scale = centres.std(0) + 1e-6
+    near = (centres / scale).astype(np.float32)
+    offset = (near**2).sum(1) / 2
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, sums = np.zeros(len(near), dtype=np.int64), np.zeros((len(near), N_FEATURES))
+        for part in sliced(batches, SLICE):
+            x = np.array(part["features"].tolist(), dtype=np.float64).reshape(-1, N_FEATURES)
+            at = np.argmax((x / scale).astype(np.float32) @ near.T - offset, axis=1)
+            np.add.at(n, at, 1)
+            np.add.at(sums, at, x)
+        some = np.flatnonzero(n)
+        yield pd.DataFrame({"point": some, "n": n[some], "sums": list(sums[some])})
+
+    each = features.select("features").mapInPandas(run, "point int, n long, sums array<double>")
+    total = each.groupBy("point").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[k]) for k in range(N_FEATURES)]).alias("sums")).orderBy("point").toPandas()
+    n = total["n"].to_numpy(dtype=np.float64)
+    return np.array(total["sums"].tolist()) / n[:, None], n / n.sum(), int(n.sum())
+
+
+def train(features: DataFrame, positives: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
+    """Fit on the rows of ``features`` whose doc_id is in ``positives``, and on all of ``features`` as unlabelled text.
 
-    At most ``fit_rows`` of either, those with the smallest hash of their id.
-    The class prior is the share of positives among the trusted labels, which
-    are a sample of the corpus.  None if there is no positive row.
+    At most ``fit_rows`` positives, those with the smallest hash of their id.
+    The class prior comes from ``estimate_prior``; negative labels are never
+    used.  None if there is no positive row.
     """
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    named = features.filter(F.col("doc_id").isNotNull())
-    known = labels.groupBy("doc_id").agg(F.max("positive").alias("positive"))
-    marked = named.join(known, "doc_id").orderBy(*order).limit(fit_rows).select("features", "positive").toPandas()
-    other = named.join(known, "doc_id", "left_anti").orderBy(*order).limit(fit_rows).select("features").toPandas()
-    if not len(marked) or not marked["positive"].any():
+    known = positives.select("doc_id").distinct()
+    marked = features.join(known, "doc_id").orderBy(*order, "features").limit(fit_rows).select("features").toPandas()
+    if not len(marked):
         return None
     x = np.array(marked["features"].tolist(), dtype=np.float64)
-    prior = float(np.clip(marked["positive"].mean(), 0.02, 0.98))
-    unlabelled = np.r_[x, np.array(other["features"].tolist(), dtype=np.float64).reshape(-1, x.shape[1])]  # labelled rows are web text too
-    return fit(x[marked["positive"].to_numpy(dtype=bool)], unlabelled, prior)
+    unlabelled, weights, rows = weighted_points(features)
+    return fit(x, unlabelled, weights, estimate_prior(x, unlabelled, weights, rows))
 
 
 def held_out(column: str = "doc_id"):
@@ -185,8 +248,9 @@ def held_out(column: str = "doc_id"):
 
 
 def learn(features: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
-    known = labels.filter(F.col("quality").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("positive"))
-    return train(features.filter(~held_out()), known, fit_rows)
+    """The model of rows that are not held out; a document with both labels is no trusted positive."""
+    known = labels.filter(F.col("quality").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("least"))
+    return train(features.filter(~held_out()), known.filter("least = 1"), fit_rows)
 
 
 SCHEMA = "doc_id long, score double"

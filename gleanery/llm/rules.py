@@ -58,13 +58,14 @@ def totals(counts: DataFrame) -> np.ndarray:
 
 
 def log_ratios(texts: list[str], all_counts: np.ndarray) -> np.ndarray:
-    """Mean log p(n-gram | trusted) - log p(n-gram | raw) of each text; 0 without words or trusted text.
-
-    A text's own n-grams are taken from the raw counts first, so that it is judged
-    by the others; a trusted text stays in the target.  What raw text would lead one to expect in the trusted text
-    (raw count times the share of trusted n-grams) and what is there are both
-    smoothed by one occurrence: rare n-grams say little, frequent ones that
-    trusted text lacks say much.
+    """Mean log p(n-gram) - log q(n-gram) of each text; 0 without words or trusted text.
+
+    p is the multinomial of trusted text, q that of raw text, both over all
+    buckets.  A text's own n-grams are taken from the raw counts first, so that
+    it is judged by the others; a trusted text stays in the target.  p is
+    smoothed by one occurrence a bucket, q by as many as make up the same share
+    of its mass (the ratio of the totals): so rare n-grams say little, frequent
+    ones that trusted text lacks say much.
     """
     buckets, owner = ngram_buckets(*split_words(texts, lower=True))
     sizes = np.bincount(owner, minlength=len(texts))
@@ -73,9 +74,11 @@ def log_ratios(texts: list[str], all_counts: np.ndarray) -> np.ndarray:
         return np.zeros(len(texts))
     pairs, own = np.unique(owner * BUCKETS + buckets, return_counts=True)
     who, bucket = pairs // BUCKETS, pairs % BUCKETS
-    raw, target = all_counts[0][bucket] - own, all_counts[1][bucket]
-    rest = target_total / np.maximum(raw_total - sizes[who], target_total)
-    each = np.log((target + SMOOTHING) / (raw * rest + SMOOTHING))
+    left = (raw_total - sizes)[who]
+    alpha = SMOOTHING * np.maximum(left, target_total) / target_total
+    p = (all_counts[1][bucket] + SMOOTHING) / (target_total + SMOOTHING * BUCKETS)
+    q = (all_counts[0][bucket] - own + alpha) / (left + alpha * BUCKETS)
+    each = np.log(p) - np.log(q)
     sums = np.bincount(who, weights=own * each, minlength=len(texts))
     return np.divide(sums, sizes, out=np.zeros(len(texts)), where=sizes > 0)
 

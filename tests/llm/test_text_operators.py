@@ -297,6 +297,34 @@ def test_quality_learns_from_positives_alone(spark):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in got if r["predicted"]}
 
 
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.8])
+def test_the_prior_is_estimated_without_negatives(prior):
+    rng = np.random.default_rng(3)
+    draw = lambda n, good: rng.normal(1.0 if good else -1.0, 1.0, (n, 6))
+    n = 3000
+    mixed = np.concatenate([draw(int(n * prior), True), draw(n - int(n * prior), False)])
+    assert abs(quality.estimate_prior(draw(1500, True), mixed, np.full(n, 1 / n), n) - prior) < 0.1
+
+
+def test_weighted_points_cover_all_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (500, quality.N_FEATURES)).astype(np.float32)
+    rows = spark.createDataFrame([(k, [float(v) for v in f]) for k, f in enumerate(x)], "doc_id long, features array<float>")
+    points, weights, n = quality.weighted_points(rows, points=40)
+    assert n == 500 and len(points) <= 40 and weights.sum() == pytest.approx(1)
+    assert weights @ points == pytest.approx(x.astype(np.float64).mean(0), abs=1e-6)
+    every, even, _ = quality.weighted_points(rows, points=500)
+    assert len(every) == 500 and even == pytest.approx(1 / 500)
+
+
+def test_negative_labels_are_not_learnt_from(spark):
+    rng = random.Random(21)
+    rows = [(k, prose(rng, 30) if k % 3 else "#" * 50) for k in range(90)]
+    labels = [(k, int(k % 3 > 0)) for k in range(90)]
+    score = lambda some: {r["doc_id"]: r["score"] for r in quality.score_quality(documents(spark, rows), spark.createDataFrame(some, "doc_id long, quality int")).collect()}
+    assert score(labels) == pytest.approx(score([x for x in labels if x[1]]))
+
+
 def test_quality_of_awkward_rows(spark):
     labels = spark.createDataFrame([(2, 1), (7, 1), (None, 1), (6, None)], "doc_id long, quality int")
     got = quality.score_quality(documents(spark, awkward()), labels).collect()
@@ -334,6 +362,34 @@ def test_rules_equal_brute_force(spark):
         assert r["base_failed"] == (len(words) < 20 or 100 * repeats > 30 * len(words)) and r["kept"] <= (not r["base_failed"])
 
 
+def test_log_ratios_equal_the_two_multinomials():
+    rng = random.Random(20)
+    texts, trusted = [prose(rng, rng.randrange(0, 60)) for _ in range(40)], [k % 3 == 0 for k in range(40)]
+    grams = [rules.ngram_buckets(*rules.split_words([t], lower=True))[0].tolist() for t in texts]
+    counts = np.zeros((2, rules.BUCKETS), dtype=np.int64)
+    for g, good in zip(grams, trusted):
+        for b in g:
+            counts[0, b] += 1
+            counts[1, b] += good
+    got = rules.log_ratios(texts, counts)
+    for g, ratio in zip(grams, got):
+        raw = counts[0].astype(float)
+        np.subtract.at(raw, g, 1)
+        alpha = max(1.0, raw.sum() / counts[1].sum())
+        p, q = counts[1] + 1.0, raw + alpha
+        p, q = p / p.sum(), q / q.sum()
+        assert p.sum() == pytest.approx(1) and q.sum() == pytest.approx(1)
+        assert ratio == pytest.approx(np.mean([np.log(p[b]) - np.log(q[b]) for b in g]) if g else 0.0)
+
+
+def test_the_verdict_is_the_base_rules_and_the_threshold(spark):
+    rng = random.Random(22)
+    rows = [(k, prose(rng, rng.choice([5, 25, 80]))) for k in range(60)]
+    trusted = spark.createDataFrame([(k,) for k in range(0, 60, 2)], "doc_id long")
+    for r in rules.apply_rules(documents(spark, rows), trusted, least_ratio=0.01).collect():
+        assert r["kept"] == (not r["base_failed"] and r["log_ratio"] >= 0.01)
+
+
 def test_the_ratio_tells_trusted_words_from_others(spark):
     rng = random.Random(10)
     odd = [f"z{k}" for k in range(300)]

@@ -26,65 +26,62 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
-    """The window minima of each document, with their surroundings.
-
-    The window that starts at a line is the shortest run from it with
-    ``min_words`` words; the line with the least hash in it is its fingerprint.
-    What a window holds decides which line that is, so two equal runs with
-    ``min_words`` words always share a fingerprint.  ``span`` (two hashes) names
-    the window's content; ``left`` and ``right`` are the hashes of the lines
-    around it, fewer than ``min_words`` words on either side: beyond them the
-    run would hold a window of its own.
+    """The windows of each document, each with the line whose hash is least in it, its fingerprint.
+
+    A window is a shortest run of lines with ``min_words`` words: the one that
+    starts at a line, or the one that ends there.  What a window holds decides
+    which line is its minimum, so equal runs with ``min_words`` words always
+    share a fingerprint.  A line with that many words is a window by
+    itself; the minima thin out where lines are short.  ``span`` (two hashes) names the window's content.  lo and hi
+    are line numbers, first and last count lines with a word.
     """
     doc = Window.partitionBy("doc_id", "mark").orderBy("pos")
     once = lines.withColumn("before", F.lag("pos").over(doc)).filter(F.col("before").isNull() | (F.col("before") != F.col("pos")))  # repeated rows
-    placed = once.withColumn("start", F.sum("words").over(doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words"))
-    by_start = Window.partitionBy("doc_id", "mark").orderBy("start")
-    ahead = by_start.rangeBetween(0, min_words - 1)
-    around = placed.withColumns({
-        "held": F.collect_list(F.struct("h1", "h2", "pos")).over(ahead),
-        "n_words": F.sum("words").over(ahead),
-        "left": F.collect_list("h1").over(by_start.rowsBetween(1 - min_words, -1)),
-        "right": F.collect_list("h1").over(by_start.rowsBetween(0, 2 * min_words - 2)),
-        "at": F.collect_list("pos").over(by_start.rowsBetween(1 - min_words, 2 * min_words - 2)),
-    }).filter(F.col("n_words") >= min_words)
-    hashes = F.transform("held", lambda x: x["h1"])
-    return around.select(
-        "doc_id", "mark", "pos", F.array_min(hashes).alias("fingerprint"), F.xxhash64(hashes).alias("span1"), F.xxhash64(F.transform("held", lambda x: x["h2"])).alias("span2"),
-        F.size("held").alias("n_lines"), F.reverse("left").alias("left"), F.slice(F.col("right"), F.size("held") + 1, F.lit(min_words - 1)).alias("right"), "at",
+    upto = doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = once.withColumns({"stop": F.sum("words").over(upto), "k": F.row_number().over(doc)})
+    line = F.struct("h1", "h2", "pos", "k", "words", "stop")
+    ahead = Window.partitionBy("doc_id", "mark").orderBy("pos").rowsBetween(0, min_words - 1)
+    behind = Window.partitionBy("doc_id", "mark").orderBy("pos").rowsBetween(1 - min_words, 0)
+    start = F.col("stop") - F.col("words")
+    around = placed.withColumns({"from": F.collect_list(line).over(ahead), "till": F.collect_list(line).over(behind)})
+    around = around.withColumns({"from": F.filter("from", lambda x: x["stop"] - x["words"] - start < min_words), "till": F.filter("till", lambda x: F.col("stop") - x["stop"] < min_words)})
+    n_from = F.element_at("from", -1)["stop"] - start
+    n_till = F.col("stop") - F.element_at("till", 1)["stop"] + F.element_at("till", 1)["words"]
+    # a run that ends here is another than that which starts at its first line only if it has enough words without this one
+    held = F.array_compact(F.array(F.when(n_from >= min_words, F.col("from")), F.when(n_till - F.col("words") >= min_words, F.col("till"))))
+    runs = around.select("doc_id", "mark", F.explode(held).alias("held"))
+    hashes, ends = F.transform("held", lambda x: x["h1"]), (F.element_at("held", 1), F.element_at("held", -1))
+    return runs.select(
+        "doc_id", "mark", ends[0]["pos"].alias("lo"), ends[1]["pos"].alias("hi"), ends[0]["k"].alias("first"), ends[1]["k"].alias("last"),
+        F.array_min(hashes).alias("fingerprint"), F.xxhash64(hashes).alias("span1"), F.xxhash64(F.transform("held", lambda x: x["h2"])).alias("span2"),
     )
 
 
-def equal_head(a: str, b: str, most: int) -> Column:
-    """How many first elements of two arrays are equal, up to ``most``."""
-    equal = [F.when((F.size(a) >= k) & (F.size(b) >= k) & (F.slice(a, 1, k) == F.slice(b, 1, k)), 1).otherwise(0) for k in range(1, most + 1)]
-    return sum(equal, F.lit(0))
-
-
 def repeated_ranges(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, mark, lo, hi: line ranges (inclusive) that repeat an earlier run.
+    """doc_id, mark, lo, hi, first, last: windows that repeat an earlier one.
 
-    Fingerprints that occur once leave; for the others the window's first
-    occurrence, by (doc_id, mark, position), is found and each later one is
-    joined with that one only, so a window in a third of all rows gives a row
-    for each occurrence, not for each pair.  The match is then extended both ways
-    as far as the lines are equal.
+    Windows meet by fingerprint and content; each joins with the first occurrence only, by (doc_id, mark,
+    position), so a window in a third of all rows gives a row for each
+    occurrence, not for each pair.  Any longer run that repeats consists of windows that do, so the matches extend both ways
+    as far as windows follow one another.
     """
     found = fingerprints(lines, min_words)
-    seen = found.groupBy("fingerprint", "span1", "span2").agg(F.min(F.struct("doc_id", "mark", "pos", "left", "right")).alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1)
-    seen = seen.select(*[F.col(c).alias(f"s_{c}") for c in ("fingerprint", "span1", "span2")], "first")
+    key = ("fingerprint", "span1", "span2")
+    seen = found.groupBy(*key).agg(F.min(F.struct("doc_id", "mark", "lo", "hi")).alias("earliest"), F.count("*").alias("n")).filter(F.col("n") > 1)
+    seen = seen.select(*[F.col(c).alias(f"s_{c}") for c in key], "earliest")
     pairs = found.join(seen, (F.col("fingerprint") == F.col("s_fingerprint")) & (F.col("span1") == F.col("s_span1")) & (F.col("span2") == F.col("s_span2")))
-    later = pairs.filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")) & (F.col("pos") == F.col("first.pos"))))
-    later = later.withColumns({"f_left": F.col("first.left"), "f_right": F.col("first.right")})
-    later = later.withColumns({"back": equal_head("left", "f_left", min_words - 1), "on": equal_head("right", "f_right", min_words - 1)})
-    here = F.size("left")  # where the window starts in `at`
-    return later.select("doc_id", "mark", F.element_at("at", (here - F.col("back") + 1).cast("int")).alias("lo"), F.element_at("at", (here + F.col("n_lines") + F.col("on")).cast("int")).alias("hi"))
+    later = pairs.filter(~F.col("earliest").eqNullSafe(F.struct("doc_id", "mark", "lo", "hi")))
+    return later.select("doc_id", "mark", "lo", "hi", "first", "last")
 
 
 def merged(ranges: DataFrame) -> DataFrame:
-    """doc_id, mark, gaps: the ranges of each document, merged and in order."""
-    doc = Window.partitionBy("doc_id", "mark").orderBy("lo", "hi")
-    rows = ranges.withColumn("new", F.coalesce(F.col("lo") > F.max("hi").over(doc.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True)).cast("int"))
+    """doc_id, mark, gaps: the ranges of each document, merged and in order.
+
+    Ranges between which no line with a word lies are one: white space
+    between two deleted lines goes with them.
+    """
+    doc = Window.partitionBy("doc_id", "mark").orderBy("first", "last")
+    rows = ranges.withColumn("new", F.coalesce(F.col("first") > F.max("last").over(doc.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True)).cast("int"))
     rows = rows.withColumn("island", F.sum("new").over(doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     rows = rows.groupBy("doc_id", "mark", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return rows.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("gaps"))  # ranges of one document
@@ -93,9 +90,12 @@ def merged(ranges: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Delete runs of lines that repeat an earlier run of ``min_words`` words or more.
 
-    Earlier is by (doc_id, line); within a document too.  Returns doc_id, text
+    Earlier is by (doc_id, line); within a document too.  A line goes if any run
+    with ``min_words`` words that holds it occurred before, in whichever
+    document.  Returns doc_id, text
     (without the deleted lines), n_lines, n_deleted; lines are split at \\n and
-    those without a word count as lines but neither start nor end a run.
+    those without a word count as lines but neither start nor end a run; they go
+    where the lines around them go.
 
     DataFrame operations only.  Texts are shuffled once, to meet their ranges;
     all else moves hashes and positions.  A null text stays null, with no lines;
@@ -122,40 +122,26 @@ def emptied(text: Column, n_deleted: Column) -> Column:
 
 
 ORACLE_SQL = """
-WITH rows AS (SELECT DISTINCT doc_id, text FROM documents),
-lines AS (
-  SELECT doc_id, text AS whole, u.pos - 1 AS pos, regexp_replace(u.line, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS line
-  FROM rows, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) u
-  WHERE text IS NOT NULL),
-worded AS (
-  SELECT *, len(regexp_extract_all(line, '[^ \\t\\n\\x0B\\f\\r]+')) AS words, row_number() OVER (PARTITION BY doc_id, whole ORDER BY pos) AS k
-  FROM lines WHERE line <> ''),
-started AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, whole ORDER BY k) - words AS start FROM worded),
-windows AS (
-  SELECT doc_id, whole, k, string_agg(line, chr(10)) OVER w AS content, sum(words) OVER w AS n, count(*) OVER w AS m
-  FROM started WINDOW w AS (PARTITION BY doc_id, whole ORDER BY start RANGE BETWEEN CURRENT ROW AND 4 FOLLOWING)),
-ranked AS (
-  SELECT *, first_value({'d': doc_id, 'w': whole, 'k': k}) OVER (PARTITION BY content ORDER BY doc_id NULLS FIRST, k) AS f
-  FROM windows WHERE n >= 5),
-later AS (SELECT * FROM ranked WHERE NOT (doc_id = f.d AND k = f.k)),
-steps AS (
-  SELECT l.doc_id, l.whole, l.k, l.m, l.f, s.side, s.i,
-    CASE WHEN s.side = 0 THEN l.k - s.i ELSE l.k + l.m - 1 + s.i END AS mine, CASE WHEN s.side = 0 THEN l.f.k - s.i ELSE l.f.k + l.m - 1 + s.i END AS theirs
-  FROM later l, (SELECT side, i FROM range(2) a(side), range(1, 5) b(i)) s),
-hits AS (
-  SELECT t.doc_id, t.k, t.side, t.i, a.line = b.line AS ok
-  FROM steps t LEFT JOIN worded a ON a.doc_id = t.doc_id AND a.k = t.mine LEFT JOIN worded b ON b.doc_id = t.f.d AND b.k = t.theirs),
-reach AS (SELECT doc_id, k, side, coalesce(min(CASE WHEN coalesce(ok, false) THEN NULL ELSE i END), 5) - 1 AS n FROM hits GROUP BY ALL),
-spans AS (
-  SELECT l.doc_id, l.k - a.n AS lo, l.k + l.m - 1 + b.n AS hi FROM later l
-  JOIN reach a ON a.doc_id = l.doc_id AND a.k = l.k AND a.side = 0 JOIN reach b ON b.doc_id = l.doc_id AND b.k = l.k AND b.side = 1),
-cuts AS (SELECT s.doc_id, a.pos AS lo, b.pos AS hi FROM spans s JOIN worded a ON a.doc_id = s.doc_id AND a.k = s.lo JOIN worded b ON b.doc_id = s.doc_id AND b.k = s.hi),
-gone AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS pos FROM cuts),
+WITH rows AS (SELECT DISTINCT doc_id, text, md5(text) AS mark FROM documents WHERE text IS NOT NULL),
 split AS (
-  SELECT doc_id, u.pos - 1 AS pos, u.line FROM rows, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) u),
+  SELECT doc_id, mark, u.pos, u.raw, regexp_replace(u.raw, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS line
+  FROM rows, LATERAL (SELECT unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos) u),
+lines AS (SELECT *, count(*) FILTER (WHERE line <> '') OVER (PARTITION BY doc_id, mark ORDER BY pos) AS k FROM split),
+counted AS (SELECT *, len(regexp_extract_all(line, '[^ \\t\\n\\x0B\\f\\r]+')) AS words FROM lines WHERE line <> ''),
+worded AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, mark ORDER BY k) AS stop FROM counted),
+windows AS (
+  SELECT doc_id, mark, k AS lo, k + count(*) OVER f - 1 AS hi, string_agg(line, chr(10)) OVER f AS content, sum(words) OVER f AS n
+  FROM worded WINDOW f AS (PARTITION BY doc_id, mark ORDER BY stop - words RANGE BETWEEN CURRENT ROW AND 4 FOLLOWING)
+  UNION
+  SELECT doc_id, mark, k - count(*) OVER b + 1, k, string_agg(line, chr(10)) OVER b, sum(words) OVER b
+  FROM worded WINDOW b AS (PARTITION BY doc_id, mark ORDER BY stop RANGE BETWEEN 4 PRECEDING AND CURRENT ROW)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id NULLS FIRST, mark, lo) AS place FROM windows WHERE n >= 5),
+gone AS (SELECT DISTINCT doc_id, mark, unnest(range(lo, hi + 1)) AS k FROM ranked WHERE place > 1),
+marked AS (
+  SELECT l.*, a.k IS NOT NULL AND (l.line <> '' OR b.k IS NOT NULL) AS deleted FROM lines l
+  LEFT JOIN gone a ON a.doc_id = l.doc_id AND a.mark = l.mark AND a.k = l.k LEFT JOIN gone b ON b.doc_id = l.doc_id AND b.mark = l.mark AND b.k = l.k + 1),
 kept AS (
-  SELECT s.doc_id, string_agg(s.line, chr(10) ORDER BY s.pos) FILTER (WHERE g.pos IS NULL) AS text, count(*) AS n_lines, count(g.pos) AS n_deleted
-  FROM split s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.pos = s.pos GROUP BY s.doc_id)
+  SELECT doc_id, mark, string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT deleted) AS text, count(*) AS n_lines, count(*) FILTER (WHERE deleted) AS n_deleted FROM marked GROUP BY ALL)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_deleted, 0) AS n_deleted
-FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id AND k.mark = md5(d.text)
 """

@@ -16,48 +16,42 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def brute_lines(rows, least=lines.MIN_WORDS):
-    """Every span of lines with ``least`` words against all earlier ones; equal neighbours are added."""
-    docs = {}
-    for i, t in rows:
-        if t is not None:
-            docs[(i, t)] = [(k, x.strip(" \t\n\x0b\x0c\r")) for k, x in enumerate(t.split("\n"))]
-    worded = {d: [(k, x) for k, x in v if x] for d, v in docs.items()}
+    """All runs of lines with ``least`` words against all runs that start earlier; wordless lines go with their neighbours."""
+    docs = {(i, t): t.split("\n") for i, t in rows if t is not None}
+    worded = {d: [(p, x.strip(" \t\n\x0b\x0c\r")) for p, x in enumerate(v) if x.strip(" \t\n\x0b\x0c\r")] for d, v in docs.items()}
     order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0))
-    first, gone = {}, {d: set() for d in docs}
+    seen, gone = set(), {d: set() for d in docs}
     for d in order:
         seq = worded[d]
         for a in range(len(seq)):
-            n, b = 0, a
-            while b < len(seq) and n < least:
+            n, runs = 0, []
+            for b in range(a, len(seq)):
                 n += len(WORD.findall(seq[b][1]))
-                b += 1
-            if n < least:
-                continue
-            key = tuple(x for _, x in seq[a:b])
-            if key not in first:
-                first[key] = (d, a)
-                continue
-            f, fa = first[key]
-            lo, hi = a, b - 1
-            flo, fhi = fa, fa + b - a - 1
-            for _ in range(least - 1):
-                if lo > 0 and flo > 0 and seq[lo - 1][1] == worded[f][flo - 1][1]:
-                    lo, flo = lo - 1, flo - 1
-                else:
-                    break
-            for _ in range(least - 1):
-                if hi + 1 < len(seq) and fhi + 1 < len(worded[f]) and seq[hi + 1][1] == worded[f][fhi + 1][1]:
-                    hi, fhi = hi + 1, fhi + 1
-                else:
-                    break
-            gone[d].update(range(seq[lo][0], seq[hi][0] + 1))
-    return {d: "\n".join(x for k, x in enumerate(d[1].split("\n")) if k not in gone[d]) for d in docs}
+                if n >= least:
+                    runs.append((tuple(x for _, x in seq[a : b + 1]), b))
+            for key, b in runs:
+                if key in seen:
+                    gone[d].update(range(a, b + 1))
+            seen.update(key for key, _ in runs)
+    out = {}
+    for d, v in docs.items():
+        at = [p for p, _ in worded[d]]
+        deleted = {at[k] for k in gone[d]} | {p for k in gone[d] if k + 1 in gone[d] for p in range(at[k], at[k + 1])}
+        out[d] = "\n".join(x for p, x in enumerate(v) if p not in deleted)
+    return out
+
+
+def test_a_run_that_repeats_another_than_the_first_occurrence_goes(spark):
+    long = "one two three four five"
+    rows = [(1, f"{long}\nother"), (2, f"{long}\nz"), (3, f"begin\n{long}\n\nz\nend"), (4, f"z\n{long}")]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {1: f"{long}\nother", 2: "z", 3: "begin\nend", 4: "z"}
 
 
 def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(4)
     pool = [prose(rng, rng.choice([1, 2, 3, 6, 12])) for _ in range(25)]
-    rows = [(k, "\n".join(rng.choice(pool + [" ", ""]) for _ in range(rng.randrange(1, 12)))) for k in range(60)]
+    rows = [(k, "\n".join(rng.choice(pool + [" ", "", "z", "y y"]) for _ in range(rng.randrange(1, 12)))) for k in range(60)]
     want = brute_lines(rows)
     got = lines.dedup_lines(documents(spark, rows)).collect()
     assert len(got) == len(rows)

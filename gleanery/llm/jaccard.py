@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,6 +20,10 @@ REGION_SETS = 1500  # sets that one task joins
 REGION_SHINGLES = 3_000_000
 PIVOTS = 16
 DEPTH = 4
+CELL_SETS = 4000  # sets of a cell that one task holds against each other
+HOT_ROUNDS = 3
+SKETCH_BITS = 7
+SKETCH = 1 << SKETCH_BITS
 SLICE = 1000  # texts worked on at once
 
 
@@ -120,10 +126,21 @@ class Classes:
         return np.concatenate(out).astype(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Distances to ``SKETCH`` pivots: how many shingles lie in each of so many parts of the universe.
+
+    The parts are disjoint, so the differences of two sketches add up to at most
+    the symmetric difference of the sets (counts stop at 255, which only lessens
+    them): the triangle inequality over all pivots at once.
+    """
+    part = (mix(s ^ np.uint64(0x589965CC75374CC3)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    return np.minimum(np.bincount(part, minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
 def keyed_sets(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, key, cells of each row of (doc_id, text).
+    """doc_id, n, key, sketch, cells of each row of (doc_id, text).
 
-    A task gives the cells of a set once: copies of a text need none.
+    A task gives the cells and the sketch of a set once: copies of a text need none.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,13 +148,128 @@ def keyed_sets(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> D
         seen: set[int] = set()  # keys of this task's rows
         for part in sliced(batches, SLICE):
             sets = shingle_sets(part["text"].tolist(), ngram)
-            keys, cells = [set_key(s) for s in sets], []
+            keys, cells, sketches = [set_key(s) for s in sets], [], []
             for key, s in zip(keys, sets):
-                cells.append(np.empty(0, dtype=np.int64) if key in seen else classes.cells(s))
+                new = key not in seen
+                cells.append(classes.cells(s) if new else np.empty(0, dtype=np.int64))
+                sketches.append(sketch(s) if new else None)
                 seen.add(key)
-            yield pd.DataFrame({"doc_id": part["doc_id"].array, "n": [len(s) for s in sets], "key": keys, "cells": cells})
+            yield pd.DataFrame({"doc_id": part["doc_id"].array, "n": [len(s) for s in sets], "key": keys, "sketch": sketches, "cells": cells})
+
+    return map_rows(docs, run, "doc_id long, n long, key long, sketch binary, cells array<long>")
+
+
+# -------------------------------------------------------------- sketches in cells
+
+
+def most_apart(a, b, percent: int):
+    """The symmetric difference that linked sets of these sizes have at most."""
+    return (100 - percent) * (a + b) // (100 + percent)
+
+
+def may_link(n: np.ndarray, sketches: np.ndarray, x: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Which of ``others`` neither size nor sketch keeps from linking with ``x``."""
+    fits = (n[others] * 100 >= percent * n[x]) & (n[x] * 100 >= percent * n[others])
+    others = others[fits]
+    apart = np.abs(sketches[others] - sketches[x]).sum(1, dtype=np.int64)
+    return others[apart <= most_apart(n[others], n[x], percent)]
+
+
+def cell_edges(keys: np.ndarray, n: np.ndarray, sketches: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges of a forest that joins all sets of a cell which may link.
+
+    Sets are taken one by one as pivots and held against all of other
+    components, until all that are left are in one.
+    """
+    m = len(keys)
+    label, todo, edges = np.arange(m), np.ones(m, dtype=bool), []
+    for x in range(m):
+        rest = label[todo]
+        if (rest == rest[0]).all():
+            break
+        todo[x] = False
+        hit = may_link(n, sketches, x, np.flatnonzero(label != label[x]), percent)
+        for name in np.unique(label[hit]):
+            edges.append((int(keys[x]), int(keys[hit[label[hit] == name][0]])))
+            label[label == name] = label[x]
+    return edges
 
-    return map_rows(docs, run, "doc_id long, n long, key long, cells array<long>")
+
+def read_sketches(values) -> np.ndarray:
+    return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int16)
+
+
+def joined_cells(members: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) of all cells of (cell, key, n, sketch); a task holds one cell at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in chain(batches, [None]):
+            rows = pd.concat([x for x in (held, batch) if x is not None]) if held is not None or batch is not None else None
+            if rows is None or not len(rows):
+                continue
+            cells = rows["cell"].to_numpy()
+            done = len(rows) if batch is None else int(np.flatnonzero(cells == cells[-1])[0])  # the last cell may go on
+            held, rows = rows.iloc[done:], rows.iloc[:done]
+            if not done:
+                continue
+            cells, keys, n, sketches = cells[:done], rows["key"].to_numpy(), rows["n"].to_numpy(), read_sketches(rows["sketch"])
+            starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+            ends = np.append(starts[1:], done)
+            two = starts[ends - starts == 2]
+            apart = np.abs(sketches[two] - sketches[two + 1]).sum(1, dtype=np.int64)
+            near = two[(apart <= most_apart(n[two], n[two + 1], percent)) & (np.minimum(n[two], n[two + 1]) * 100 >= percent * np.maximum(n[two], n[two + 1]))]
+            edges = list(zip(keys[near].tolist(), keys[near + 1].tolist()))
+            for lo, hi in zip(starts, ends):
+                if hi - lo > 2:
+                    edges += cell_edges(keys[lo:hi], n[lo:hi], sketches[lo:hi], percent)
+            yield pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
+
+    return members.select("cell", "key", "n", "sketch").repartition("cell").sortWithinPartitions("cell").mapInPandas(run, "a long, b long")
+
+
+def hot_cells(members: DataFrame, percent: int, cell_sets: int, most_pivots: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Edges of cells too large for a task, and what is left of them for ``joined_cells``.
+
+    In rounds: a cell draws a few of its sets as pivots.  A set within reach of
+    a pivot (it may link with it) is settled by an edge to it; a set that may link with one settled there is
+    within twice the reach and gets an edge to the pivot too, so no two sets
+    that may link part.  What is settled with no pivot goes on alone, to a task if it is small enough by
+    then.  What is still too large after ``HOT_ROUNDS`` is tied together, for
+    the exact join to part.
+    """
+    edges, small = [], []
+    for level in range(HOT_ROUNDS):
+        slot = F.pmod(F.xxhash64("key", F.lit(10 + level)), F.lit(most_pivots))
+        drawn = members.groupBy("cell", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("key", F.lit(30 + level)), "key", "n", "sketch")).alias("p"))
+        pivots = drawn.groupBy(F.col("cell").alias("of")).agg(F.collect_list(F.struct("p.key", "p.n", "p.sketch")).alias("pivots"))  # most_pivots a cell
+
+        def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                links, settled = [], []
+                for n, own, around in zip(batch["n"], read_sketches(batch["sketch"]), batch["pivots"]):
+                    pn = np.array([p["n"] for p in around], dtype=np.int64)
+                    apart = np.abs(read_sketches([p["sketch"] for p in around]) - own).sum(1, dtype=np.int64)
+                    near = apart <= most_apart(n, pn, percent)
+                    partner = 100 * n // percent + 1  # a set that links with this one is no larger
+                    reach = most_apart(n, partner, percent) + most_apart(partner, pn, percent) + 2
+                    links.append([p["key"] for p, ok in zip(around, apart <= reach) if ok])
+                    settled.append(bool(near.any()))
+                yield batch[["cell", "key", "n", "sketch"]].assign(links=links, settled=settled)
+
+        shape = "cell long, key long, n long, sketch binary, links array<long>, settled boolean"
+        done = staged(members.join(pivots, F.col("cell") == F.col("of")).select("cell", "key", "n", "sketch", "pivots").mapInPandas(settle, shape), "hot")
+        edges.append(done.select(F.col("key").alias("a"), F.explode("links").alias("b")).filter("a != b"))
+        rest = done.filter(~F.col("settled")).select("cell", "key", "n", "sketch")
+        counts = rest.groupBy(F.col("cell").alias("of")).agg(F.count("*").alias("m"))
+        rest = rest.join(counts, F.col("cell") == F.col("of"))
+        small.append(rest.filter(F.col("m") <= cell_sets))
+        members = rest.filter(F.col("m") > cell_sets).select("cell", "key", "n", "sketch")
+        if members.isEmpty():
+            return edges, small
+    least = members.groupBy(F.col("cell").alias("of")).agg(F.min("key").alias("b"))
+    edges.append(members.join(least, F.col("cell") == F.col("of")).select(F.col("key").alias("a"), "b").filter("a != b"))
+    return edges, small
 
 
 # ------------------------------------------------------------------- components
@@ -175,6 +307,11 @@ def distance(overlap, a, b):
     return 1.0 - overlap / (a + b - overlap)
 
 
+def links_at(overlap, a, b, percent: int):
+    """Whether sets of sizes a and b with this overlap link."""
+    return 100 * overlap >= percent * (a + b - overlap)
+
+
 def overlap_with(s: np.ndarray, other: np.ndarray) -> int:
     if len(s) > len(other):
         s, other = other, s
@@ -185,14 +322,14 @@ def overlap_with(s: np.ndarray, other: np.ndarray) -> int:
     return int((other[at] == s).sum())
 
 
-def join_region(keys: np.ndarray, sets: list[np.ndarray], home: np.ndarray, other: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+def join_region(keys: np.ndarray, sets: list[np.ndarray], home: np.ndarray, other: np.ndarray, percent: int = PERCENT, tied: bool = False) -> list[tuple[int, int]]:
     """Edges of a forest with the components of the links between home and other sets.
 
     Sets are taken one by one, the most typical first, as pivots and compared
     exactly with all candidates of other components.  A candidate is left out
     only if its size, or the triangle inequality over the first pivot, excludes a
     link.  When all sets that are not yet pivots are in one component, no
-    further comparison can change the components.
+    further comparison can change the components.  ``tied`` homes are one component from the start.
     """
     m = len(keys)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -202,6 +339,8 @@ def join_region(keys: np.ndarray, sets: list[np.ndarray], home: np.ndarray, othe
     common = np.bincount(codes)
     typical = np.add.reduceat(common[codes], starts) / sizes
     label = np.arange(m)
+    if tied and home.any():
+        label[home] = np.flatnonzero(home)[0]
     edges: list[tuple[int, int]] = []
     todo = np.ones(m, dtype=bool)
     first: np.ndarray | None = None
@@ -245,91 +384,123 @@ def join_region(keys: np.ndarray, sets: list[np.ndarray], home: np.ndarray, othe
     return edges
 
 
-def rare_cells(large: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between sets of an island that share one of their rarest shingles.
-
-    With the shingles of an island in one order, rarest first, two linked sets
-    share one of their first n - ceil(percent n / 100) + 1: otherwise too few
-    are left to share.  A passage that many texts quote is not rare, so sets
-    that have only that in common part here.
-    """
-    each = large.select("island", "key", "n", F.explode("shingles").alias("shingle"))
-    often = each.groupBy("island", "shingle").agg(F.count("*").alias("often"))
-    place = F.dense_rank().over(Window.partitionBy("island", "key").orderBy("often", "shingle"))
-    first = each.join(often, ["island", "shingle"]).withColumn("place", place)
-    first = first.filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("often") > 1))
-    least = F.first("key").over(Window.partitionBy("island", "shingle").orderBy("key"))
-    return first.select("key", least.alias("least")).filter("least != key").select(F.col("key").alias("a"), F.col("least").alias("b"))
-
-
 def link_sets(sets: DataFrame, percent: int = PERCENT, region_sets: int = REGION_SETS, region_shingles: int = REGION_SHINGLES, most_pivots: int = PIVOTS) -> DataFrame:
     """Edges (a, b) that connect all linked sets of each island.
 
     ``sets`` has island, key, n, shingles and need, how many tasks the island
-    would fill.
-
-    Sets of different islands are further apart than the radius r.  An island
-    that fits one task is one region.  A larger one first falls apart into
-    islands of its own by ``rare_cells``.  In one that is still larger, pivots are drawn and
-    each set goes to the Voronoi region of its nearest pivot, as a home, and
-    as a guest to every region whose pivot is at most 2 r further away: by
-    the triangle inequality a linked pair is then together in the home region of
-    either.  A region that is still too large for a task is cut into blocks of
-    homes and blocks of all, each pair of blocks joined by one task, so
-    every pair of home and other meets exactly.
+    would fill.  Sets of different islands are further apart than the radius r.
+
+    An island that fits one task is one region.  A larger one draws pivots.  A
+    set within r of its nearest pivot is settled in that pivot's Voronoi
+    region, tied to it by an edge, as to every other pivot within r.  By the
+    triangle inequality a set linked with one settled there is within 2 r of the
+    pivot: such sets are replicated to the region as guests, unless edges
+    between pivots tie them to it anyhow, and meet its sets exactly.  Sets
+    that no pivot settles can link with settled ones only as guests; among
+    themselves they are an island of their own, joined recursively with fresh
+    pivots.  Regions too large for a task are cut into blocks of settled sets and blocks
+    of guests; so is what ``DEPTH`` rounds leave unsettled.
     """
-    one = sets.filter("need <= 1").select("island", F.lit(0).alias("region"), "key", "n", "shingles", F.lit(True).alias("home"))
-    whole = staged(sets.filter("need > 1"), "islands")
-    finer = components(rare_cells(whole, percent)).select(F.col("node").alias("of"), F.col("component").alias("finer"))
-    parts = staged(whole.select("key", "n").distinct().join(finer, F.col("key") == F.col("of")), "finer")
-    again = parts.groupBy(F.col("finer").alias("of_finer")).agg(F.ceil(F.greatest(F.count("*") / region_sets, F.sum("n") / region_shingles)).cast("int").alias("needed"))
-    named = parts.join(again, F.col("finer") == F.col("of_finer")).select("of", "finer", "needed")
-    split = whole.join(named, F.col("key") == F.col("of")).select(F.col("finer").alias("island"), "key", "n", "shingles", F.col("needed").alias("need"))
-    one = one.unionByName(split.filter("need <= 1").select("island", F.lit(0).alias("region"), "key", "n", "shingles", F.lit(True).alias("home")))
-    large = staged(split.filter("need > 1"), "islands")
-    drawn = large.withColumn("slot", F.pmod(F.xxhash64("key"), F.least("need", F.lit(most_pivots)))).groupBy("island", "slot").agg(F.min(F.struct(F.xxhash64("key", F.lit(2)), "shingles")).alias("pivot"))
-    pivots = drawn.groupBy(F.col("island").alias("of")).agg(F.array_sort(F.collect_list(F.struct("slot", "pivot.shingles"))).alias("pivots"))  # most_pivots an island
+    base = ["island", "region", "key", "n", "shingles"]
+    zero, yes, no = F.lit(0), F.lit(True), F.lit(False)
+    whole = lambda rows: rows.select("island", F.lit(-1).alias("region"), "key", "n", "shingles", zero.alias("x"), zero.alias("y"), yes.alias("home"), yes.alias("other"))
+    blocks = lambda m, w: F.greatest(F.lit(1), F.ceil(F.greatest(m / region_sets, w / region_shingles))).cast("int")
     width = 2 * (1 - percent / 100) + 1e-9
 
+    def gridded(rows: DataFrame) -> DataFrame:
+        """(..., home, other) rows cut into blocks: every home meets every other of its region in one task."""
+        of = lambda flag, v: F.sum(F.when(F.col(flag), v).otherwise(0))
+        grid = rows.groupBy(F.col("island").alias("of"), F.col("region").alias("of_r")).agg(blocks(of("home", 1), of("home", F.col("n"))).alias("rows"), blocks(of("other", 1), of("other", F.col("n"))).alias("columns"))
+        cut = rows.join(grid, (F.col("island") == F.col("of")) & (F.col("region") == F.col("of_r")))
+        row, column = F.pmod(F.xxhash64("key", F.lit(3)), "rows").cast("int"), F.pmod(F.xxhash64("key", F.lit(4)), "columns").cast("int")
+        as_home = cut.filter("home").select(*base, row.alias("x"), F.explode(F.sequence(zero, F.col("columns") - 1)).alias("y"), yes.alias("home"), no.alias("other"))
+        as_other = cut.filter("other").select(*base, F.explode(F.sequence(zero, F.col("rows") - 1)).alias("x"), column.alias("y"), no.alias("home"), yes.alias("other"))
+        return as_home.unionByName(as_other)
+
     def voronoi(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        at, keys, centres, tied = None, [], [], []
+        for part in (x for batch in batches for x in sliced([batch], SLICE)):
             rows = []
-            for island, key, n, shingles, around in zip(batch["island"], batch["key"], batch["n"], batch["shingles"], batch["pivots"]):
+            for island, salt, slot, key, n, shingles in zip(part["island"], part["salt"], part["slot"], part["key"], part["n"], part["shingles"]):
                 own = np.asarray(shingles)
-                d = np.array([distance(overlap_with(own, p := np.asarray(x["shingles"])), n, len(p)) for x in around])
-                nearest = int(np.argmin(d))
-                rows += [(island, int(q), key, n, own, int(q) == nearest) for q in np.flatnonzero(d <= d[nearest] + width)]
-            yield pd.DataFrame(rows, columns=["island", "region", "key", "n", "shingles", "home"])
-
-    shape = "island long, region int, key long, n long, shingles array<long>, home boolean"
-    dealt = large.join(pivots, F.col("island") == F.col("of")).select("island", "key", "n", "shingles", "pivots").mapInPandas(voronoi, shape)
-    dealt = staged(dealt, "regions")
-    blocks = lambda m, w: F.greatest(F.lit(1), F.ceil(F.greatest(m / region_sets, w / region_shingles))).cast("int")
-    homes_n, homes_w = F.sum(F.col("home").cast("long")), F.sum(F.when(F.col("home"), F.col("n")).otherwise(0))
-    grid = dealt.groupBy(F.col("island").alias("of"), F.col("region").alias("of_r")).agg(blocks(homes_n, homes_w).alias("rows"), blocks(F.count("*"), F.sum("n")).alias("columns"))
-    cut = dealt.join(grid, (F.col("island") == F.col("of")) & (F.col("region") == F.col("of_r")))
-    row, column = F.pmod(F.xxhash64("key", F.lit(3)), "rows").cast("int"), F.pmod(F.xxhash64("key", F.lit(4)), "columns").cast("int")
-    base = ["island", "region", "key", "n", "shingles"]
-    as_home = cut.filter("home").select(*base, row.alias("x"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("y"), F.lit(True).alias("home"), F.lit(False).alias("other"))
-    as_other = cut.select(*base, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("x"), column.alias("y"), F.lit(False).alias("home"), F.lit(True).alias("other"))
-    zero = F.lit(0)
-    tasks = one.select(*base, zero.alias("x"), zero.alias("y"), F.lit(True).alias("home"), F.lit(True).alias("other")).unionByName(as_home).unionByName(as_other)
+                if at != (island, salt):
+                    at, keys, centres, tied = (island, salt), [], [], []
+                if slot >= 0:  # the pivots come first
+                    linked = [q for q, c in enumerate(centres) if links_at(overlap_with(own, c), n, len(c), percent)]
+                    group = {len(centres)}.union(*(tied[q] for q in linked))
+                    keys.append(int(key))
+                    centres.append(own)
+                    tied.append(group)
+                    for q in group:
+                        tied[q] = group
+                    continue
+                overlap = np.array([overlap_with(own, c) for c in centres], dtype=np.int64)
+                sizes = np.array([len(c) for c in centres], dtype=np.int64)
+                near, d = links_at(overlap, n, sizes, percent), distance(overlap, n, sizes)
+                guest = ~near & (d <= width)
+                settled = int(np.argmin(np.where(near, d, 2.0))) if near.any() else -1
+                if settled >= 0:
+                    guest[sorted(tied[settled])] = False  # a chain of linked pivots ties it to these regions
+                rows.append((island, key, n, own, settled, [k for k, ok in zip(keys, near) if ok and k != key], np.flatnonzero(guest).tolist()))
+            yield pd.DataFrame(rows, columns=["island", "key", "n", "shingles", "settled", "links", "guests"])
+
+    shape = "island long, key long, n long, shingles array<long>, settled int, links array<long>, guests array<int>"
+    tasks, edges = [whole(sets.filter("need <= 1"))], []
+    large = staged(sets.filter("need > 1"), "islands")
+    for level in range(DEPTH):
+        if large.isEmpty():
+            break
+        slot = F.pmod(F.xxhash64("key", F.lit(level)), F.least("need", F.lit(most_pivots)))
+        drawn = large.groupBy("island", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("key", F.lit(20 + level)), "key", "n", "shingles")).alias("p"))
+        parts = large.select(F.col("island").alias("of"), "need").distinct()
+        first = drawn.join(parts, F.col("island") == F.col("of")).select("island", F.explode(F.sequence(zero, F.col("need") - 1)).alias("salt"), "slot", "p.key", "p.n", "p.shingles")
+        rows = large.select("island", F.pmod(F.xxhash64("key", F.lit(5)), "need").cast("int").alias("salt"), F.lit(-1).cast("long").alias("slot"), "key", "n", "shingles")
+        spread = first.unionByName(rows).repartition("island", "salt").sortWithinPartitions("island", "salt", F.col("slot") < 0, "slot")
+        dealt = staged(spread.mapInPandas(voronoi, shape), "regions")
+        edges.append(dealt.select(F.col("key").alias("a"), F.explode("links").alias("b")))
+        guests = dealt.select("island", F.explode("guests").alias("region"), "key", "n", "shingles", no.alias("home"), yes.alias("other"))
+        visited = guests.select(F.col("island").alias("of"), F.col("region").alias("of_r")).distinct()
+        homes = dealt.filter("settled >= 0").select("island", F.col("settled").alias("region"), "key", "n", "shingles", yes.alias("home"), no.alias("other"))
+        homes = homes.join(visited, (F.col("island") == F.col("of")) & (F.col("region") == F.col("of_r")), "left_semi")
+        tasks.append(gridded(homes.unionByName(guests)).withColumn("region", F.col("region") + level * most_pivots))
+        rest = dealt.filter("settled < 0")
+        size = rest.groupBy(F.col("island").alias("of")).agg(blocks(F.count("*"), F.sum("n")).alias("need"))
+        rest = rest.join(size, F.col("island") == F.col("of")).select("island", "key", "n", "shingles", "need")
+        tasks.append(whole(rest.filter("need <= 1")).withColumn("region", F.lit(-2 - level)))
+        large = staged(rest.filter("need > 1"), "islands")
+    else:
+        tasks.append(gridded(large.select("island", F.lit(-2 - DEPTH).alias("region"), "key", "n", "shingles", yes.alias("home"), yes.alias("other"))))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         flags = rows.groupby("key")[["home", "other"]].any()
-        sets = dict(zip(rows["key"], rows["shingles"]))
+        held = dict(zip(rows["key"], rows["shingles"]))
         keys = flags.index.to_numpy()
-        edges = join_region(keys, [np.asarray(sets[k]) for k in keys], flags["home"].to_numpy(), flags["other"].to_numpy(), percent) if len(keys) > 1 else []
-        return pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
+        tied = int(rows["region"].iloc[0]) >= 0
+        linked = join_region(keys, [np.asarray(held[k]) for k in keys], flags["home"].to_numpy(), flags["other"].to_numpy(), percent, tied) if len(keys) > 1 else []
+        return pd.DataFrame(linked, columns=["a", "b"], dtype=np.int64)
 
-    return tasks.groupBy("island", "region", "x", "y").applyInPandas(run, "a long, b long")
+    every = reduce(DataFrame.unionByName, tasks)
+    return reduce(DataFrame.unionByName, edges, every.groupBy("island", "region", "x", "y").applyInPandas(run, "a long, b long"))
 
 
-def candidate_islands(celled: DataFrame) -> DataFrame:
-    """of, island: components of the sets that share a cell, as a written table."""
-    by_cell = Window.partitionBy("cell").orderBy("key")
-    pairs = celled.select("key", F.explode("cells").alias("cell")).withColumn("least", F.first("key").over(by_cell)).filter("least != key")
-    candidates = components(pairs.select(F.col("key").alias("a"), F.col("least").alias("b")))
+def candidate_islands(celled: DataFrame, sets: DataFrame, percent: int = PERCENT, cell_sets: int = CELL_SETS, most_pivots: int = PIVOTS) -> DataFrame:
+    """of, island: components of the sets that share a cell and may link, as a written table.
+
+    ``sets`` has key, n and sketch.  Cells with the same sets are joined once.
+    """
+    by_cell = Window.partitionBy("cell")
+    every = celled.select("key", F.explode("cells").alias("cell")).withColumns({"least": F.min("key").over(by_cell), "most": F.max("key").over(by_cell)})
+    members = staged(every.filter("least != most").select("cell", "key").distinct(), "members")
+    named = members.groupBy("cell").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("key")).alias("held1"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("held2"))
+    kept = staged(named.groupBy("m", "held1", "held2").agg(F.min("cell").alias("of")).select("of", "m"), "kept")
+    about = sets.select(F.col("key").alias("key_of"), "n", "sketch")
+    rows = members.join(kept, F.col("cell") == F.col("of")).join(about, F.col("key") == F.col("key_of")).select("cell", "key", "n", "sketch", "m")
+    edges, small = [], []
+    if not kept.filter(F.col("m") > cell_sets).isEmpty():
+        edges, small = hot_cells(staged(rows.filter(F.col("m") > cell_sets), "hot"), percent, cell_sets, most_pivots)
+    edges.append(joined_cells(rows.filter(F.col("m") <= cell_sets), percent))
+    edges += [joined_cells(x, percent) for x in small]
+    candidates = components(reduce(DataFrame.unionByName, edges))
     return staged(candidates.select(F.col("node").alias("of"), F.col("component").alias("island")), "candidates")
 
 
@@ -349,11 +520,12 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     celled = staged(keyed_sets(rows, ngram, percent), "cells")
     keyed = staged(celled.select("doc_id", "n", "key"), "sets")
-    islands = candidate_islands(celled)
-    discard(celled)  # the edges are written; nothing goes back to the cells
+    unique = staged(celled.groupBy("key").agg(F.min("doc_id").alias("one"), F.max("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")), "unique")
+    regions = {k: v for k, v in limits.items() if k != "cell_sets"}
+    islands = candidate_islands(celled, unique, percent, limits.get("cell_sets", CELL_SETS), limits.get("most_pivots", PIVOTS))
+    discard(celled)  # its members are written; nothing goes back to the cells
 
-    chosen = keyed.join(islands, F.col("key") == F.col("of")).groupBy("key").agg(F.min("doc_id").alias("one"), F.first("island").alias("island"), F.first("n").alias("n"))
-    chosen = staged(chosen, "chosen")
+    chosen = staged(unique.join(islands, F.col("key") == F.col("of")).select("key", "one", "island", "n"), "chosen")
     size = F.greatest(F.count("*") / limits.get("region_sets", REGION_SETS), F.sum("n") / limits.get("region_shingles", REGION_SHINGLES))
     need = chosen.groupBy(F.col("island").alias("of")).agg(F.ceil(size).cast("int").alias("need"))
     named = chosen.join(need, F.col("island") == F.col("of")).select("key", "one", "island", "need")
@@ -364,9 +536,10 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
             same = np.array([set_key(s) for s in sets], dtype=np.int64) == part["key"].to_numpy()  # equal ids may have other texts
             yield pd.DataFrame({"island": part["island"].array, "need": part["need"].array, "key": part["key"].array, "n": [len(s) for s in sets], "shingles": [s.astype(np.int64) for s in sets]})[same]
 
-    texts = staged(rows.join(named, rows["doc_id"].eqNullSafe(named["one"])).select("island", "need", "key", "text"), "texts")
+    # the chosen rows grow with the corpus, so they are never broadcast: texts are shuffled once, at every size
+    texts = staged(rows.join(named.hint("merge"), rows["doc_id"].eqNullSafe(named["one"])).select("island", "need", "key", "text"), "texts")
     sets = texts.mapInPandas(shingles, "island long, need int, key long, n long, shingles array<long>")
-    linked = components(link_sets(sets, percent, **limits)).withColumnsRenamed({"node": "of", "component": "head"})
+    linked = components(link_sets(sets, percent, **regions)).withColumnsRenamed({"node": "of", "component": "head"})
     named = keyed.select("doc_id", "n", "key").join(linked, F.col("key") == F.col("of"), "left").select("doc_id", "n", F.coalesce("head", "key").alias("head"))
     named = staged(named, "named")
     least = named.filter("n > 0").groupBy(F.col("head").alias("of")).agg(F.min("doc_id").alias("least"))

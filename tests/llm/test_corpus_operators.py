@@ -49,7 +49,7 @@ def clusters(seed, sizes, n_words, edits):
     return [(k, t) for k, (_, t) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("n, percent, limits", [(3, 90, {}), (3, 90, {"region_sets": 5, "most_pivots": 3}), (5, 80, {"region_sets": 8})])
+@pytest.mark.parametrize("n, percent, limits", [(3, 90, {}), (3, 90, {"region_sets": 5, "most_pivots": 3}), (5, 80, {"region_sets": 8}), (5, 80, {"cell_sets": 3, "region_sets": 6, "most_pivots": 2})])
 def test_jaccard_equals_all_pairs(spark, n, percent, limits):
     rows = clusters(n + percent, [1] * 10 + [4, 9, 30, 45], [9, 14, 40, 120, 300], 4) + [(1000 + (i or 0), t) for i, t in awkward() if t is None or len(t) < 10000]
     got = jaccard.jaccard_components(documents(spark, rows), ngram=n, percent=percent, **limits).collect()
@@ -73,6 +73,12 @@ def test_no_linked_pair_loses_its_cell():
                 assert set(classes.cells(x).tolist()) & set(classes.cells(y).tolist())
 
 
+def test_unfinished_components_are_an_error(spark):
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(8)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        jaccard.components(pairs, most_rounds=1)
+
+
 def test_jaccard_of_awkward_rows(spark):
     got = jaccard.jaccard_components(documents(spark, awkward()))
     assert got.count() == len(awkward())

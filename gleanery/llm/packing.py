@@ -95,9 +95,9 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
         size = int(lengths[i])
         gaps = np.flatnonzero(count[size:capacity])
         if len(gaps):
-            change = count[gaps] - count[gaps + size]
+            change = 2 * (count[gaps] - count[gaps + size]) + 2
             if gaps[0] == 0:
-                change[0] = -count[size] - 1  # a bin that becomes full leaves the sum
+                change[0] = 1 - 2 * count[size]  # a bin that becomes full leaves the sum
             rest = int(gaps[np.argmin(change)])
             gap = rest + size
             which = open_bins[gap].pop()

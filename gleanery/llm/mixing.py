@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import staged
 
 MOST = 3  # copies of a document at most, and target over source size at most
-STEPS = 30  # Newton steps at most
+STEPS = 100  # Newton steps at most; some ten are usual
 TOLERANCE = 1e-6
 SALTS = 256
 REPAIRS = 4
@@ -65,12 +65,14 @@ def solve_tilts(groups: DataFrame, targets: DataFrame, most: int = MOST, steps:
     """source, target, mean_size, tilt: rates min(most, exp(tilt * z)) meet the target.
 
     ``groups`` has source, size and n, the number of documents that share them.
-    Of all rates w <= most with sum(w * size) = target, those with the least
-    relative entropy to 1 tilt exponentially: their dual is convex in one number
-    a source.  z = (1 + size / mean size) / 2 tempers the tilt, so that long
-    documents neither vanish nor crowd out the rest.  A Newton step is one
+    Of all rates w <= most with sum(w * size) = target, these minimise the entropy
+    balance sum(size / z * (w log w - w + 1)), the relative entropy of w to 1 with
+    weights size / z.  Its dual, sum(size / z * exp(tilt * z)) - tilt * target, is convex in one
+    number a source.  z = (1 + size / mean size) / 2 tempers the tilt, so that long
+    documents neither vanish nor crowd out the rest; z = size would be the
+    plain relative entropy, z = 1 one rate for all.  A Newton step on the dual is one
     aggregation over the groups of all sources at once; one that leaves the
-    bracket around the solution is replaced by its middle.
+    bracket around the solution is replaced by its middle.  It is an error if ``steps`` are not enough.
     """
     means = groups.groupBy("source").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean_size")).withColumnRenamed("source", "of")
     start = F.when(F.col("target") > 0, F.log(F.col("target") / F.col("source_size"))).otherwise(0.0)
@@ -91,6 +93,8 @@ def solve_tilts(groups: DataFrame, targets: DataFrame, most: int = MOST, steps:
         if state.filter(~F.col("done")).isEmpty():
             break
         state = state.drop("done")
+    else:
+        raise RuntimeError(f"tilts have not converged after {steps} steps")
     return state.select("source", "target", "mean_size", "tilt")
 
 
@@ -132,7 +136,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST,
     spreads over many tasks.
 
     A null text has size 0; null sources are one source, the last.  Rows with
-    equal ids are ranked by their place in the table.  Documents of size 0 are
+    equal ids are ranked by their texts.  Documents of size 0 are
     taken at the rate of their source, with 0 words.  A source without words has
     target 0.
     """
@@ -147,10 +151,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST,
     parts = salted.groupBy("source", "size", "salt").agg(F.count("*").alias("m"))
     before = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)  # SALTS rows at most
     parts = parts.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0)))
-    parts = parts.join(counts.withColumnsRenamed({"source": "of", "size": "of_size"}), same(F.col("source"), F.col("of")) & (F.col("size") == F.col("of_size")))
+    # as many rows as (source, size, salt) occur: never broadcast
+    parts = parts.join(counts.hint("merge").withColumnsRenamed({"source": "of", "size": "of_size"}), same(F.col("source"), F.col("of")) & (F.col("size") == F.col("of_size")))
     parts = parts.select(F.col("source").alias("of"), F.col("size").alias("of_size"), F.col("salt").alias("of_salt"), "before", "n", "copies")
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("order", "row")) - 1)
-    ranked = ranked.join(parts, same(F.col("source"), F.col("of")) & (F.col("size") == F.col("of_size")) & (F.col("salt") == F.col("of_salt")))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("order", "mark", "row")) - 1)  # rows that share order and mark are alike
+    ranked = ranked.join(parts.hint("merge"), same(F.col("source"), F.col("of")) & (F.col("size") == F.col("of_size")) & (F.col("salt") == F.col("of_salt")))
     own = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("before") + F.col("rank") < F.col("copies") % F.col("n"), 1).otherwise(0)
     ranked = ranked.select("doc_id", "mark", "source", "size", own.cast("long").alias("own"))
     about = targets.withColumnRenamed("source", "of").join(tilts.select(F.col("source").alias("named"), "tilt", "mean_size"), same(F.col("of"), F.col("named")))

@@ -20,6 +20,7 @@ LEVELS = 1000  # entropy classes
 FILTER_BITS = 2048
 FILTER_FEATURES = 128
 CHUNK = 1 << 16
+RANGE_BYTES = 1 << 26  # of text that one task works through
 SLICE = 200  # texts worked on at once
 
 
@@ -152,8 +153,8 @@ def class_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return each.groupBy("entropy").agg(F.sum("n").alias("n"))
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Rank of each entropy class, rarest first; classes never seen come first of all.
+def rarity(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
+    """Rank of each entropy class, rarest first (classes never seen come first of all), and how many windows all texts have.
 
     The table has LEVELS + 1 entries at any corpus size.  The extreme classes
     (constant runs, almost random bytes) are rare and would win everywhere, so
@@ -166,7 +167,7 @@ def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     ranking = np.empty(LEVELS + 1, dtype=np.int64)
     ranking[order] = np.arange(LEVELS + 1)
     ranking[: LEVELS // 10] += LEVELS + 1
-    return ranking
+    return ranking, int(counts.sum())
 
 
 def fingerprint(docs: DataFrame, ranking: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,6 +190,24 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half] if half else text
 
 
+def ranges(cuts: np.ndarray):
+    """A function of (id, text hash of 32 bits) that gives the range of a row, descending, from the ascending cuts.
+
+    A cut that is there m times is an id with rows for m ranges: these are
+    dealt by hash, as many hashes to each.
+    """
+
+    @F.pandas_udf("int")
+    def of(low: pd.Series, hashed: pd.Series) -> pd.Series:
+        x = low.to_numpy()
+        first, last = np.searchsorted(cuts, x, side="left"), np.searchsorted(cuts, x, side="right")
+        m = last - first
+        inside = m - (hashed.to_numpy() * np.maximum(m, 1) >> 32)  # 1 to m, the largest hashes first
+        return pd.Series(len(cuts) - last + np.where(m > 0, inside, 0))
+
+    return of
+
+
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """Fingerprint every text and its edited text, and compare.
 
@@ -196,30 +215,32 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     last, rows with one id are ordered by their text); after the last comes the
     first.  Rows are dealt by ranges of doc_id; each range gets a copy of the
     row that follows its last one, so texts are shuffled once and every range
-    is worked through in order by one task, one row in memory at a time.
+    is worked through in order by one task, one row in memory at a time.  There are
+    as many ranges as give each about ``RANGE_BYTES``; rows that share one id,
+    or have none, and would fill several ranges are split by the hashes of their texts.
 
     A null text is an empty one.  One row is its own next document.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     spark = rows.sparkSession
-    ranking = rarity(docs, text_col)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranking, size = rarity(docs, text_col)
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     # the cuts are a few numbers; any cuts give the same result
-    cuts = [float(x) for x in rows.filter(F.col("doc_id").isNotNull()).agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10000)).first()[0] or []]
-    cuts = sorted({int(x) for x in cuts}, reverse=True)
     low = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    part = sum((F.when(low <= c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int") if len(cuts) <= 16 else F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= low))
-    keyed = rows.withColumn("range", part)
+    parts = [k / n for k in range(1, n)] or [0.5]
+    cuts = rows.agg(F.percentile_approx(low, parts, max(10000, 10 * n))).first()[0] or []
+    keyed = rows.withColumn("sha", F.sha2("text", 256))
+    keyed = keyed.withColumn("range", ranges(np.array(sorted(cuts), dtype=np.int64))(low, F.conv(F.substring("sha", 1, 8), 16, 10).cast("long")))
     # the first row of each range, by (doc_id, text) descending; it ends the range before it
-    heads = keyed.groupBy("range").agg(F.max(F.struct(low.alias("low"), F.sha2("text", 256).alias("sha"))).alias("top"))
+    heads = keyed.groupBy("range").agg(F.max(F.struct(low.alias("low"), "sha")).alias("top"))
     tops = sorted(((r["range"], r["top"]["low"], r["top"]["sha"]) for r in heads.collect()))  # one row a range
     if not tops:
         return rows.select("doc_id").mapInPandas(lambda batches: iter(()), EDITED)
     before = {tops[k][0]: tops[k - 1][0] for k in range(len(tops))}  # the first range's head ends the last range
-    picked = spark.createDataFrame([(r, l, s, before[r]) for r, l, s in tops], "`range` int, low long, sha string, ends int")
+    picked = spark.createDataFrame([(r, l, s, before[r]) for r, l, s in tops], "`range` int, top_low long, top_sha string, ends int")
     ends = (
-        keyed.join(F.broadcast(picked.select("range", F.col("low").alias("top_low"), "sha", "ends")), "range")
-        .filter((low == F.col("top_low")) & (F.sha2("text", 256) == F.col("sha")))
+        keyed.join(F.broadcast(picked), "range")  # one row a range
+        .filter((low == F.col("top_low")) & (F.col("sha") == F.col("top_sha")))
         .groupBy("ends")
         .agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))  # equal rows only
         .select(F.col("ends").alias("range"), "doc_id", "text", F.lit(True).alias("end"))

@@ -209,6 +209,45 @@ def test_fast_and_exact_tokens_are_the_same():
         assert encode(t).tolist() == exact.encode(t, add_special_tokens=False).ids
 
 
+def test_fast_tokens_are_exact_for_every_character(sf_dir):
+    import sys
+
+    import pandas as pd
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    encode, exact = packing.Encoder(path), Tokenizer.from_file(path)
+    every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c} {c}1{c}{c}\n" for c in every[k : k + 400]) for k in range(0, len(every), 400)]
+    texts += pd.read_parquet(f"{sf_dir}/documents.parquet")["text"].dropna().tolist()
+    for t, want in zip(texts, exact.encode_batch(texts, add_special_tokens=False)):
+        assert encode(t).tolist() == want.ids
+
+
+def test_placement_equals_the_rule():
+    """Each piece, longest first, against every open bin: the sum of squares has to be the least."""
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        lengths, capacity = rng.integers(1, 60, 80), 60
+        bins, offsets = packing.place(lengths, capacity)
+        gaps: dict[int, int] = {}
+
+        def squares(gaps):
+            n = np.bincount([g for g in gaps.values() if g], minlength=capacity + 1)
+            return int((n.astype(np.int64) ** 2).sum())
+
+        for i in np.argsort(-lengths, kind="stable"):
+            room = [b for b, g in gaps.items() if g >= lengths[i]]
+            if not room:
+                assert bins[i] not in gaps and offsets[i] == 0
+                gaps[int(bins[i])] = capacity - int(lengths[i])
+                continue
+            assert bins[i] in room and offsets[i] == capacity - gaps[int(bins[i])]
+            best = min(squares(gaps | {b: gaps[b] - int(lengths[i])}) for b in room)
+            gaps[int(bins[i])] -= int(lengths[i])
+            assert squares(gaps) == best
+
+
 def test_packing_is_a_round_trip(spark):
     import zlib
 
@@ -262,6 +301,61 @@ def test_fingerprints_tell_edits_from_other_texts(spark):
         assert 0.3 < r["near_edited"] < 0.8 and r["near_next"] < 0.15
 
 
+def brute_digest(text, ranking):
+    """The features of a text by the definition, one window at a time, in one long chain of filters."""
+    raw = text.encode()
+    w, span = fingerprints.WINDOW, fingerprints.SPAN
+    if len(raw) < w:
+        found = [raw] if raw else []
+    else:
+        rank = []
+        for k in range(len(raw) - w + 1):
+            n = np.bincount(np.frombuffer(raw[k : k + w], dtype=np.uint8))
+            s = int(sum(fingerprints.STEPS[:v].sum() for v in n if v))
+            bits = np.log2(w) - s / (1 << 20) / w
+            rank.append(int(ranking[int(np.clip(np.round(bits / np.log2(w) * fingerprints.LEVELS), 0, fingerprints.LEVELS))]))
+        size = min(span, len(rank))
+        wins = [0] * len(rank)
+        for k in range(len(rank) - size + 1):
+            wins[min(range(k, k + size), key=lambda j: (rank[j], j))] += 1
+        chosen = [k for k, n in enumerate(wins) if n >= min(fingerprints.WINS, len(rank) - size + 1)] or [min(range(len(rank)), key=lambda j: (rank[j], j))]
+        found = list(dict.fromkeys(raw[k : k + w] for k in chosen))
+    filters = []
+    for k, f in enumerate(found):
+        if k % fingerprints.FILTER_FEATURES == 0:
+            filters.append(np.zeros(fingerprints.FILTER_BITS, dtype=bool))
+        for b in range(0, 20, 4):
+            filters[-1][int.from_bytes(hashlib.sha1(f).digest()[b : b + 4], "little") % fingerprints.FILTER_BITS] = True
+    return np.array(filters).reshape(-1, fingerprints.FILTER_BITS)
+
+
+def test_fingerprints_equal_brute_force(spark):
+    rng = random.Random(23)
+    rows = [(k, prose(rng, rng.choice([1, 5, 20, 200]))) for k in range(12)] + [(5, prose(rng, 30)), (5, prose(rng, 40)), (None, prose(rng, 30)), (None, prose(rng, 12)), (None, None), (20, "")]
+    ranking, _ = fingerprints.rarity(documents(spark, rows))
+    order = sorted(((-(1 << 63) if i is None else i, hashlib.sha256((t or "").encode()).hexdigest(), t or "") for i, t in rows), reverse=True)
+    want = []
+    for (i, _, text), (_, _, following) in zip(order, order[1:] + order[:1]):
+        edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        mine, other, after = (brute_digest(x, ranking) for x in (text, edited, following))
+        want.append((max(i, -1), len(text), hashlib.sha256(edited.encode()).hexdigest(), fingerprints.to_string(mine), fingerprints.to_string(other), fingerprints.likeness(mine, other), fingerprints.likeness(mine, after)))
+    for partitions in (1, 3, 9):
+        got = fingerprints.fingerprint_edits(documents(spark, rows), partitions=partitions).collect()
+        assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == sorted(want)
+
+
+def test_rows_of_one_id_are_spread_in_order():
+    rng = np.random.default_rng(6)
+    x = np.sort(np.where(rng.random(4000) < 0.5, 7, rng.integers(0, 15, 4000)))
+    hashed = rng.integers(0, 1 << 32, 4000)
+    cuts = np.sort(np.quantile(x, np.arange(1, 10) / 10, method="nearest")).astype(np.int64)
+    import pandas as pd
+
+    part = fingerprints.ranges(cuts).func(pd.Series(x), pd.Series(hashed)).to_numpy()
+    order = np.lexsort((-hashed, -x))
+    assert (np.diff(part[order]) >= 0).all() and len(set(part[x == 7])) >= 4 and np.bincount(part).max() < 1000
+
+
 def test_fingerprints_of_awkward_rows(spark):
     got = fingerprints.fingerprint_edits(documents(spark, awkward()), partitions=3).collect()
     assert len(got) == len(awkward())

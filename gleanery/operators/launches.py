@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,3 +25,13 @@ def qualify(records: DataFrame, excluded: Column, minor: Column, evidence: Colum
 def enrichment_skip(trusted: Column, sparse: Column, excluded: Column, entity: Column, first_party: Column) -> Column:
     """C11: why a record's page is not fetched, null if it is."""
     return cascade((~trusted, "untrusted-channel"), (~sparse, "rich-surface"), (excluded, "excluded"), (~entity, "no-entity"), (~first_party, "third-party"))
+
+
+def with_pages(records: DataFrame, provider: Callable[[DataFrame], DataFrame], key: str, url: str) -> DataFrame:
+    """Records with the responses that a provider of pages gives for them.
+
+    The provider maps a table (key, url) of pages that are asked for to one of (key, columns
+    of the response); a page that it does not return leaves nulls.
+    """
+    pages = provider(records.select(key, url).distinct())
+    return records.join(pages.drop(url), key, "left")

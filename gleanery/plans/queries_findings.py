@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.operators import components, dedupe, match, findings, windows
+from gleanery.operators import components, dedupe, findings, match, windows
+from gleanery.operators.storage import stored
 from gleanery.plans import views
 from gleanery.plans.registry import query
 
@@ -37,12 +38,13 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY product, status = 'PUBLISH'
 capped AS (SELECT * EXCLUDE (status, reason, place), CASE WHEN status = 'PUBLISH' AND place > 4 THEN 'WATCH' ELSE status END AS status, CASE WHEN status = 'PUBLISH' AND place > 4 THEN 'capped' ELSE reason END AS reason FROM ranked)"""
 
 
-def placed(spark, d):
-    return windows.anchored_windows(views.evidence(spark, d), ["product", "topic"], "created_at", 14)
+def placed(rows):
+    """Evidence with its window; both are read several times, so both are stored."""
+    return stored(windows.anchored_windows(stored(rows, "evidence"), ["product", "topic"], "created_at", 14), "placed")
 
 
 def rolled(spark, d):
-    return findings.roll_up(placed(spark, d), ["product", "topic", "window_start"])
+    return findings.roll_up(placed(views.evidence(spark, d)), ["product", "topic", "window_start"])
 
 
 def gated(spark, d):
@@ -50,12 +52,16 @@ def gated(spark, d):
 
 
 def capped(spark, d):
-    return windows.publish_cap(gated(spark, d), ["product"], [F.col("last_seen_at").desc(), F.col("topic"), F.col("window_start")], findings.PUBLISH_CAP)
+    return published(gated(spark, d))
+
+
+def published(rows):
+    return windows.publish_cap(rows, ["product"], [F.col("last_seen_at").desc(), F.col("topic"), F.col("window_start")], findings.PUBLISH_CAP)
 
 
 @query("g1_anchored_windows", f"WITH {views.EVIDENCE}, {ANCHORED} SELECT evidence_id, window_start FROM placed")
 def g1(spark, d):
-    return placed(spark, d).select("evidence_id", "window_start")
+    return windows.anchored_windows(stored(views.evidence(spark, d).select("evidence_id", "product", "topic", "created_at"), "evidence"), ["product", "topic"], "created_at", 14).select("evidence_id", "window_start")
 
 
 @query("a1_cluster_roll_up", f"WITH {views.EVIDENCE}, {ROLLED} SELECT * FROM findings")
@@ -78,11 +84,6 @@ def g3(spark, d):
     return capped(spark, d).select("product", "topic", "window_start", "status", "reason")
 
 
-@query("e3_community_findings", f"WITH {views.EVIDENCE}, {CAPPED} SELECT * FROM capped WHERE status = 'PUBLISH'")
-def e3(spark, d):
-    return capped(spark, d).filter("status = 'PUBLISH'")
-
-
 @query("c20_eligible_findings", f"WITH {views.EVIDENCE}, {CAPPED} SELECT product, topic, window_start, status FROM capped WHERE status = 'PUBLISH' OR (status = 'WATCH' AND reason = 'capped')")
 def c20(spark, d):
     return capped(spark, d).filter("status = 'PUBLISH' or (status = 'WATCH' and reason = 'capped')").select("product", "topic", "window_start", "status")
@@ -249,7 +250,10 @@ def d7(spark, d):
 
 
 def typed_records(spark, d):
-    rows = views.records(spark, d)
+    return typed(views.records(spark, d))
+
+
+def typed(rows):
     return rows.withColumns({
         "event_type": F.when(F.length("title") % 2 == 0, "product-launch").otherwise("model-release"), "source_rank": (F.length("url") % 3).cast("int"), "is_cue": F.length("summary") % 2 == 0,
         "impact_score": (F.length("title") % 50 + 40).cast("int"), "novelty_score": (F.length("summary") % 50 + 40).cast("int"), "capabilities": F.array(F.substring("title", 1, 1), F.substring("title", 2, 1)),
@@ -285,13 +289,12 @@ rolled AS (SELECT component, arg_min(struct_pack(id := id, url := url, title :=
 events_ AS (SELECT substring(sha256(concat_ws('|', p.org, coalesce(product, ''), coalesce(model, ''), coalesce(version, ''), strftime(published_at, '%Y-%m-%d'), component)), 1, 16) AS event_id, p.id AS primary_id, p.org AS org, p.title AS title, component, published_at, authority, n_sources, product, model, version, version_conflict, impact_score, novelty_score, capabilities FROM rolled)"""
 
 
-def pairs(spark, d):
-    rows = typed_records(spark, d)
+def pairs(rows):
     return rows, match.candidate_pairs(rows)
 
 
-def matched(spark, d):
-    rows, found = pairs(spark, d)
+def matched(rows):
+    rows, found = pairs(rows)
     decided = match.decide(found, rows)
     from gleanery.functions.text import pair_key
 
@@ -299,62 +302,58 @@ def matched(spark, d):
     return rows, match.resolve(decided, table)
 
 
-def events(spark, d):
-    rows, m = matched(spark, d)
+def events(rows):
+    rows, m = matched(rows)
     return match.roll_up_events(rows, components.connected_components(rows, m.filter("matched")))
 
 
 @query("j4_blocked_pairs", f"WITH {TYPED} SELECT * FROM pairs")
 def j4(spark, d):
-    return pairs(spark, d)[1]
+    return pairs(typed_records(spark, d))[1]
 
 
 @query("j5_pair_decisions", f"WITH {DECIDED} SELECT left_id, right_id, round(similarity, 6) AS similarity, decision FROM decided")
 def j5(spark, d):
-    rows, found = pairs(spark, d)
+    rows, found = pairs(typed_records(spark, d))
     return match.decide(found, rows).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("j6_resolved_pairs", f"WITH {MATCHED} SELECT * FROM matched")
 def j6(spark, d):
-    return matched(spark, d)[1]
+    return matched(typed_records(spark, d))[1]
 
 
 @query("a11_components", f"WITH {COMPONENTS} SELECT id, component FROM comp")
 def a11(spark, d):
-    rows, m = matched(spark, d)
+    rows, m = matched(typed_records(spark, d))
     return components.connected_components(rows, m.filter("matched"))
 
 
 @query("a3_event_roll_up", f"WITH {EVENTS} SELECT * FROM events_")
 def a3(spark, d):
-    return events(spark, d)
+    return events(typed_records(spark, d))
 
 
 @query("g6_primary_source", f"WITH {EVENTS} SELECT component, primary_id FROM events_")
 def g6(spark, d):
-    return events(spark, d).select("component", "primary_id")
+    return events(typed_records(spark, d)).select("component", "primary_id")
 
 
 LIMITS = "(VALUES ('example.com', 60, 60), ('example.net', 70, 50), ('example.org', 50, 70)) t(o, novelty, impact)"
 PUBLISHABLE = f"{EVENTS}, ok AS (SELECT e.* FROM events_ e JOIN {LIMITS} ON org = o WHERE novelty_score >= novelty AND impact_score >= impact AND authority >= 70)"
 
 
-def publishable(spark, d):
+def publishable(rows):
+    spark = rows.sparkSession
     limits = spark.createDataFrame([("example.com", 60, 60), ("example.net", 70, 50), ("example.org", 50, 70)], "o string, novelty int, impact int")
-    return events(spark, d).join(F.broadcast(limits), F.col("org") == F.col("o")).filter("novelty_score >= novelty and impact_score >= impact and authority >= 70")
+    return events(rows).join(F.broadcast(limits), F.col("org") == F.col("o")).filter("novelty_score >= novelty and impact_score >= impact and authority >= 70")
 
 
 @query("c12_publication_thresholds", f"WITH {PUBLISHABLE} SELECT event_id FROM ok")
 def c12(spark, d):
-    return publishable(spark, d).select("event_id")
+    return publishable(typed_records(spark, d)).select("event_id")
 
 
 @query("t5_published_events", f"WITH {PUBLISHABLE} SELECT event_id, published_at, impact_score FROM ok ORDER BY published_at DESC, impact_score DESC, event_id LIMIT 50")
 def t5(spark, d):
-    return publishable(spark, d).select("event_id", "published_at", "impact_score").orderBy(F.desc("published_at"), F.desc("impact_score"), "event_id").limit(50)
-
-
-@query("e1_launch_events", f"WITH {PUBLISHABLE} SELECT event_id, primary_id, org, title, n_sources, product, model, version FROM ok")
-def e1(spark, d):
-    return publishable(spark, d).select("event_id", "primary_id", "org", "title", "n_sources", "product", "model", "version")
+    return publishable(typed_records(spark, d)).select("event_id", "published_at", "impact_score").orderBy(F.desc("published_at"), F.desc("impact_score"), "event_id").limit(50)

@@ -5,9 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from gleanery.operators import insights, ranking, findings, windows
+from gleanery.operators import findings, insights, ranking
 from gleanery.plans import views
-from gleanery.plans.queries_items import PAPER, paper_gated
 from gleanery.plans.registry import query
 
 c = F.col
@@ -137,26 +136,6 @@ def g7(spark, d):
     return ranking.rank_feed(ranked_items(spark, d), "lang", 20)
 
 
-@query("e5_unified_feed", f"""WITH RECURSIVE {RANKED}, pool AS (SELECT * FROM classed QUALIFY row_number() OVER (PARTITION BY title, source ORDER BY published_at DESC, id) = 1), {SEATED}
-  SELECT s.lang, s.seat, s.id, p.title, s.role, coalesce(p.tier, '') AS tier, CASE class WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'BACKGROUND' END AS attention FROM seats s JOIN pool p ON p.id = s.id WHERE seat > 0""")
-def e5(spark, d):
-    """Keep-first by title and source, then the ranking with its cues."""
-    from gleanery.operators.dedupe import keep_first
-
-    rows = keep_first(ranked_items(spark, d), ["title", "source"], [F.desc("published_at"), c("id")])
-    seats = ranking.rank_feed(rows, "lang", 20)
-    return seats.join(rows.drop("lang"), "id").select("lang", "seat", "id", "title", "role", F.coalesce("tier", F.lit("")).alias("tier"), "attention")
-
-
-@query("e2_research_papers", PAPER + """, o AS (SELECT g.doc_id, source, n_chars, reason IS NULL OR coalesce(toxic = 1, false) AS publish FROM g JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id)),
-  r AS (SELECT *, row_number() OVER (PARTITION BY source, publish ORDER BY n_chars DESC, doc_id) AS n FROM o) SELECT doc_id, CASE WHEN publish AND n <= 6 THEN 'PUBLISH' WHEN publish THEN 'WATCH' ELSE 'REJECT' END AS status, CASE WHEN publish AND n > 6 THEN 'capped' END AS cap FROM r""")
-def e2(spark, d):
-    forced = views.table(spark, d, "labels").filter("toxic = 1").select("doc_id", F.lit(True).alias("forced"))
-    rows = paper_gated(spark, d).join(forced, "doc_id", "left")
-    rows = rows.select("doc_id", "source", "n_chars", F.when(c("publish") | F.coalesce("forced", F.lit(False)), "PUBLISH").otherwise("REJECT").alias("status"), F.lit(None).cast("string").alias("cap"))
-    return windows.publish_cap(rows, ["source"], [F.desc("n_chars"), c("doc_id")], 6, reason="cap").select("doc_id", "status", "cap")
-
-
 @query("p26_unique_parts", "WITH p AS (SELECT doc_id, list_distinct(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) AS parts FROM documents) SELECT doc_id, len(list_filter(parts, lambda a: len(list_filter(parts, lambda b: b <> a AND contains(b, a))) = 0))::BIGINT AS n FROM p")
 def p26(spark, d):
     parts = F.array_distinct(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))

@@ -354,11 +354,15 @@ def c10(spark, d):
 
 
 def paper_gated(spark, d):
+    return gated_papers(docs(spark, d))
+
+
+def gated_papers(papers):
     from gleanery.operators.papers import paper_gate
 
     t, title = c("text"), F.split_part("text", F.lit("\n"), F.lit(1))
     cue = rules.classify_first(t, [Rule("Agents", r"\b(the|that)\b"), Rule("Video", r"\b(le|les)\b")], "")
-    return paper_gate(docs(spark, d), theory=rules.found(t, r"\bidiot\b"), users=rules.found(t, r"\b(they|une)\b"), infra=rules.found(t, r"\bworthless\b"), incremental=rules.found(title, r"bench|\bof\b"), cue=F.nullif(cue, F.lit("")), implication=rules.found(t, r"\b(with|avec)\b") & ~rules.found(t, r"\bclown\b"))
+    return paper_gate(papers, theory=rules.found(t, r"\bidiot\b"), users=rules.found(t, r"\b(they|une)\b"), infra=rules.found(t, r"\bworthless\b"), incremental=rules.found(title, r"bench|\bof\b"), cue=F.nullif(cue, F.lit("")), implication=rules.found(t, r"\b(with|avec)\b") & ~rules.found(t, r"\bclown\b"))
 
 
 @query("c11_enrichment_eligibility", f"""WITH {views.RECORDS} SELECT id, CASE WHEN authority < 70 THEN 'untrusted-channel' WHEN length(summary) >= 200 THEN 'rich-surface' WHEN regexp_matches(title, '(?i)\\bidiot\\b') THEN 'excluded' WHEN product IS NULL AND version IS NULL THEN 'no-entity' WHEN org <> 'example.com' THEN 'third-party' END AS skip FROM v_rec""")

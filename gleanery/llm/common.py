@@ -20,12 +20,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only a session without it
-    (a test on one machine) gets a temporary one.
+    A cluster names it in ``spark.checkpoint.dir``; only a session on one machine
+    without it, as in tests, gets a temporary one.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 

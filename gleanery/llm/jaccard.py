@@ -22,8 +22,9 @@ PIVOTS = 16
 DEPTH = 4
 CELL_SETS = 4000  # sets of a cell that one task holds against each other
 HOT_ROUNDS = 3
-SKETCH_BITS = 7
-SKETCH = 1 << SKETCH_BITS
+SALTS = 32
+SKETCH_BITS = 7  # of the smallest sketch; there is a part for every SKETCH_SHINGLES shingles at least
+SKETCH_SHINGLES = 4
 SLICE = 1000  # texts worked on at once
 
 
@@ -127,14 +128,22 @@ class Classes:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Distances to ``SKETCH`` pivots: how many shingles lie in each of so many parts of the universe.
+    """Distances to pivots: how many shingles lie in each part of the universe.
 
     The parts are disjoint, so the differences of two sketches add up to at most
     the symmetric difference of the sets (counts stop at 255, which only lessens
-    them): the triangle inequality over all pivots at once.
+    them): the triangle inequality over all pivots at once.  Large sets are
+    told by more parts; neighbouring parts together are a part of a smaller sketch.
     """
-    part = (mix(s ^ np.uint64(0x589965CC75374CC3)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-    return np.minimum(np.bincount(part, minlength=SKETCH), 255).astype(np.uint8).tobytes()
+    bits = max(SKETCH_BITS, int(np.ceil(np.log2(max(1, len(s)) / SKETCH_SHINGLES))))
+    part = (mix(s ^ np.uint64(0x589965CC75374CC3)) >> np.uint64(64 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(part, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def read_sketches(values) -> np.ndarray:
+    """Sketches as rows of one matrix, all with as many parts as the smallest has."""
+    least = min(map(len, values))
+    return np.array([np.frombuffer(v, dtype=np.uint8).reshape(least, -1).sum(1, dtype=np.int32) for v in values])
 
 
 def keyed_sets(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -195,10 +204,6 @@ def cell_edges(keys: np.ndarray, n: np.ndarray, sketches: np.ndarray, percent: i
     return edges
 
 
-def read_sketches(values) -> np.ndarray:
-    return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int16)
-
-
 def joined_cells(members: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) of all cells of (cell, key, n, sketch); a task holds one cell at a time."""
 
@@ -213,16 +218,11 @@ def joined_cells(members: DataFrame, percent: int) -> DataFrame:
             held, rows = rows.iloc[done:], rows.iloc[:done]
             if not done:
                 continue
-            cells, keys, n, sketches = cells[:done], rows["key"].to_numpy(), rows["n"].to_numpy(), read_sketches(rows["sketch"])
+            cells, keys, n, sketches = cells[:done], rows["key"].to_numpy(), rows["n"].to_numpy(), rows["sketch"].to_numpy()
             starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
-            ends = np.append(starts[1:], done)
-            two = starts[ends - starts == 2]
-            apart = np.abs(sketches[two] - sketches[two + 1]).sum(1, dtype=np.int64)
-            near = two[(apart <= most_apart(n[two], n[two + 1], percent)) & (np.minimum(n[two], n[two + 1]) * 100 >= percent * np.maximum(n[two], n[two + 1]))]
-            edges = list(zip(keys[near].tolist(), keys[near + 1].tolist()))
-            for lo, hi in zip(starts, ends):
-                if hi - lo > 2:
-                    edges += cell_edges(keys[lo:hi], n[lo:hi], sketches[lo:hi], percent)
+            edges = []
+            for lo, hi in zip(starts, np.append(starts[1:], done)):
+                edges += cell_edges(keys[lo:hi], n[lo:hi], read_sketches(sketches[lo:hi]), percent)
             yield pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
 
     return members.select("cell", "key", "n", "sketch").repartition("cell").sortWithinPartitions("cell").mapInPandas(run, "a long, b long")
@@ -247,9 +247,10 @@ def hot_cells(members: DataFrame, percent: int, cell_sets: int, most_pivots: int
         def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 links, settled = [], []
-                for n, own, around in zip(batch["n"], read_sketches(batch["sketch"]), batch["pivots"]):
+                for n, own, around in zip(batch["n"], batch["sketch"], batch["pivots"]):
                     pn = np.array([p["n"] for p in around], dtype=np.int64)
-                    apart = np.abs(read_sketches([p["sketch"] for p in around]) - own).sum(1, dtype=np.int64)
+                    told = read_sketches([own, *(p["sketch"] for p in around)])
+                    apart = np.abs(told[1:] - told[0]).sum(1, dtype=np.int64)
                     near = apart <= most_apart(n, pn, percent)
                     partner = 100 * n // percent + 1  # a set that links with this one is no larger
                     reach = most_apart(n, partner, percent) + most_apart(partner, pn, percent) + 2
@@ -465,7 +466,9 @@ def link_sets(sets: DataFrame, percent: int = PERCENT, region_sets: int = REGION
         tasks.append(gridded(homes.unionByName(guests)).withColumn("region", F.col("region") + level * most_pivots))
         rest = dealt.filter("settled < 0")
         size = rest.groupBy(F.col("island").alias("of")).agg(blocks(F.count("*"), F.sum("n")).alias("need"))
-        rest = rest.join(size, F.col("island") == F.col("of")).select("island", "key", "n", "shingles", "need")
+        salt = F.pmod(F.xxhash64("key", F.lit(6)), F.lit(SALTS))  # an island may hold most rows
+        size = size.withColumn("of_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        rest = rest.join(size, (F.col("island") == F.col("of")) & (salt == F.col("of_salt"))).select("island", "key", "n", "shingles", "need")
         tasks.append(whole(rest.filter("need <= 1")).withColumn("region", F.lit(-2 - level)))
         large = staged(rest.filter("need > 1"), "islands")
     else:

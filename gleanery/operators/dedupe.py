@@ -79,10 +79,8 @@ def suppress_recent(rows: DataFrame, keys: Sequence[str], ts: str, id_col: str,
 
     These are the starts of anchored windows, open at their end.
     """
-    width = int(days * 86_400_000_000)
-    t = F.unix_micros(ts)
-    starts = rows.groupBy(*keys).agg(
-        F.aggregate(F.array_sort(F.collect_set(t)), F.array().cast("array<long>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, F.lit(-1)) >= width), F.concat(acc, F.array(x))).otherwise(acc)).alias("starts")
-    )
-    first = keep_first(rows.withColumn("_t", t), [*keys, "_t"], [F.col(id_col)])
-    return first.join(starts, list(keys)).filter(F.array_contains("starts", F.col("_t"))).drop("_t", "starts")
+    from gleanery.operators.windows import DAY, window_starts
+
+    starts = window_starts(rows, keys, F.col(ts), int(days * DAY), closed=False).withColumnRenamed("_key", "_of")
+    first = keep_first(rows.withColumns({"_t": F.unix_micros(ts), "_key": F.to_json(F.struct(*keys))}), ["_key", "_t"], [F.col(id_col)])
+    return first.join(starts, F.col("_key") == F.col("_of")).filter(F.array_contains("_starts", F.col("_t"))).drop("_t", "_starts", "_key", "_of")

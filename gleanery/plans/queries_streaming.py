@@ -35,7 +35,7 @@ def closed(spark, d, extra: dict):
 def st1(spark, d):
     stream, _ = events(spark, d)
     out = scratch(spark, "snapshot")
-    jobs.snapshot(stream, lambda rows: rows.groupBy("event_type").agg(F.count("*").alias("n")), out, scratch(spark, "st1"))
+    jobs.snapshot(stream, lambda rows: rows.groupBy("event_type").agg(F.count("*").alias("n")), out, scratch(spark, "st1"), merge=lambda both: both.groupBy("event_type").agg(F.sum("n").alias("n")))
     return jobs.latest(spark, out)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -30,10 +31,19 @@ def to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def snapshot(stream: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
-    """ST1: each batch is appended to a log and replaces a versioned snapshot of ``build`` over all rows so far."""
+def snapshot(stream: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, merge: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """ST1: each batch replaces a versioned snapshot of ``build`` over all rows so far.
+
+    ``merge`` combines the union of the snapshot before and ``build`` of the
+    batch, so only that is read; without it the batch is appended to a log and all of that is built anew.
+    """
 
     def step(rows: DataFrame, n: int) -> None:
+        if merge:
+            own = build(rows)
+            before = rows.sparkSession.read.schema(own.schema).parquet(f"{path}/snapshot/version={n - 1}") if n else own.limit(0)
+            merge(before.unionByName(own)).write.mode("overwrite").parquet(f"{path}/snapshot/version={n}")
+            return
         rows.write.mode("overwrite").parquet(f"{path}/log/batch={n}")
         whole = rows.sparkSession.read.parquet(f"{path}/log")
         build(whole.filter(F.col("batch") <= n).drop("batch")).write.mode("overwrite").parquet(f"{path}/snapshot/version={n}")
@@ -55,34 +65,37 @@ def first_seen(stream: DataFrame, keys: list[str], ts: str, horizon: str) -> Dat
 def anchored_counts(stream: DataFrame, keys: list[str], ts: str, days: float, late: str = "0 seconds") -> DataFrame:
     """ST3: start-anchored windows with their counts, emitted when the watermark has passed their end.
 
-    The state of a key is the start and count of its open windows; rows of one
-    trigger may come in any order, so starts are settled only for times up to
-    the watermark.
+    The state of a key is the start and count of its open window, and the times
+    that the watermark has not reached yet: rows may come in any order until
+    then, so only times before it settle.
     """
     width = int(days * 86_400_000)
     schema = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys) + ", window_start timestamp, n long"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
+        start, n, times = (state.get[0], state.get[1], list(state.get[2])) if state.exists else (None, 0, [])
         for rows in batches:
             times += [int(t.value // 1_000_000) if hasattr(t, "value") else int(t) for t in pd.to_datetime(rows[ts])]
         times.sort()
-        mark, out, at = state.getCurrentWatermarkMs(), [], 0
-        while at < len(times) and times[at] + width < mark:
-            end = at
-            while end < len(times) and times[end] - times[at] <= width:
-                end += 1
-            out.append((*key, pd.Timestamp(times[at], unit="ms"), end - at))
-            at = end
-        times = times[at:]
-        if times:
-            state.update((times,))
-            state.setTimeoutTimestamp(max(times[0] + width + 1, mark + 1))
+        mark, out = state.getCurrentWatermarkMs(), []
+        settled = bisect_left(times, mark)
+        for t in times[:settled]:
+            if start is not None and t - start > width:
+                out.append((*key, pd.Timestamp(start, unit="ms"), n))
+                start = None
+            start, n = (t, 1) if start is None else (start, n + 1)
+        if start is not None and start + width < mark:
+            out.append((*key, pd.Timestamp(start, unit="ms"), n))
+            start, n = None, 0
+        times = times[settled:]
+        if times or start is not None:
+            state.update((start, n, times))
+            state.setTimeoutTimestamp(max((times[0] if start is None else start + width) + 1, mark + 1))
         else:
             state.remove()
         yield pd.DataFrame(out, columns=[*keys, "window_start", "n"])
 
-    return stream.withWatermark(ts, late).groupBy(*keys).applyInPandasWithState(step, schema, "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return stream.withWatermark(ts, late).groupBy(*keys).applyInPandasWithState(step, schema, "start long, n long, times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def tumbling_counts(stream: DataFrame, keys: list[str], ts: str, width: str, late: str) -> DataFrame:

@@ -105,6 +105,60 @@ def test_ten_launches_leave_room_for_the_other_roles():
     assert order[0].startswith("t") and {"adopt", "paper"} <= set(order)
 
 
+@pytest.mark.parametrize("closed", [True, False])
+def test_window_starts_equal_the_loop(spark, closed):
+    from gleanery.operators import windows
+
+    rng = random.Random(31)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2, None]), datetime(2024, 1, 1) + timedelta(hours=6 * rng.randrange(400)) if rng.random() < 0.95 else None) for _ in range(3000)]
+    want = {}
+    for key in {r[:2] for r in rows}:
+        for t in sorted({r[2] for r in rows if r[:2] == key and r[2]}):
+            starts = want.setdefault(key, [])
+            if not starts or t - starts[-1] > timedelta(days=3) or (not closed and t - starts[-1] == timedelta(days=3)):
+                starts.append(t)
+    frame = spark.createDataFrame(rows, "k string, n long, t timestamp")
+    got = windows.window_starts(frame, ["k", "n"], F.col("t"), 3 * windows.DAY, closed).collect()
+    epoch = lambda t: int((t - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    assert sorted(r["_starts"] for r in got) == sorted([epoch(t) for t in v] for v in want.values())
+
+
+def test_a_long_chain_of_shared_keys_is_decided_to_its_end(spark):
+    from gleanery.operators import dedupe
+
+    rng = random.Random(32)
+    rows = [(k, f"x{rng.randrange(60)}", f"y{rng.randrange(60)}") for k in range(400)]
+    seen, want = set(), []
+    for k, a, b in rows:
+        want.append((k, not ({a, b} & seen)))
+        if want[-1][1]:
+            seen |= {a, b}
+    frame = spark.createDataFrame(rows, "id long, a string, b string")
+    got = dedupe.greedy_dedupe(frame, "id", [F.col("id")], [F.col("a"), F.col("b")]).collect()
+    assert sorted((r["id"], r["kept"]) for r in got) == want
+
+
+def test_headlines_and_presented_briefs(spark):
+    from gleanery.operators import briefs
+
+    rows = [
+        ("v1.2.0", "It reads maps now. More follows", "lab", None, "Lab: It reads maps now. More follows"),
+        ("v1.2.0", "", "lab", None, "Lab ships a new model release"),
+        ("Changelog", "The new planner finds routes in half the time. More", "lab", None, "The new planner finds routes in half the time"),
+        ("Short", "The new planner finds routes in half the time. More", "exempt", None, "Short"),
+        ("A title that is long enough to stay - Official Blog", "x", "lab", None, "A title that is long enough to stay"),
+        ("x", "", "hub", "me/great-API_kit", "Great API Kit — x"),
+        ("v2.0", "", "hub", "me/great-API_kit", "Great API Kit: notable open-source AI project trending on GitHub"),
+        ("", "", "lab", None, "AI update"),
+    ]
+    frame = spark.createDataFrame(rows, "title string, summary string, source string, repo string, want string")
+    for r in briefs.with_headlines(frame, "exempt").collect():
+        assert r["headline"] == r["want"]
+    brief = [("It failed. 3 independent authors across 5 evidence records.", "structured triage template", "the session was lost again and again", "The session was lost again and again https://a.b/c")]
+    got = briefs.presented(spark.createDataFrame(brief, "what_happened string, why_it_matters string, potential_impact string, key_takeaway string")).first()
+    assert tuple(got) == ("It failed.", "", "the session was lost again and again", "")
+
+
 def test_the_rules_of_the_seats():
     def seats(*rows):
         at = [{"attention": "HIGH", "role": "SUPPLY", "tier": None, "organization": f"o{k}", "topic": f"t{k}", "published_at": datetime(2024, 1, 1), "impact": 1, "novelty": 1, "id": f"{k:02d}"} | r for k, r in enumerate(rows)]

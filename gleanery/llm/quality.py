@@ -14,7 +14,7 @@ from gleanery.llm.common import map_rows, mix, sliced, staged, text_or_empty, wi
 
 #: Trusted positive rows that the fit uses at most; unlabelled text is summed up over all rows.
 FIT_ROWS = 20000
-#: Points that stand for all unlabelled rows, each weighted by the rows nearest to it.
+#: Regions of unlabelled rows, each of which one of its rows stands for, weighted by its share.
 POINTS = 2048
 EPOCHS = 400
 PUNCTUATION = "#*$%&|<>!?.,;:"
@@ -198,32 +198,40 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, weights: np.nda
 
 
 def weighted_points(features: DataFrame, points: int = POINTS) -> tuple[np.ndarray, np.ndarray, int]:
-    """Means and shares of the rows nearest to each of a few drawn rows, and how many rows there are.
+    """Rows that stand for all, their weights, and how many rows there are.
 
-    Every row counts; what reaches the driver is bounded by ``points``.
+    A few drawn rows part all rows into regions by the nearest of them; a random
+    member of each region, the one with the least hash, stands for it with the
+    region's share of all rows as its weight, so that weighted sums over
+    the members have the mean of those over all rows.  What reaches the driver is bounded by ``points``.
     """
-    drawn = features.select(F.xxhash64("doc_id", "features").alias("h"), "features").orderBy("h", "features").limit(points).select("features").toPandas()
+    rows = features.select("doc_id", "features", F.xxhash64("doc_id", "features").alias("h"))
+    drawn = rows.orderBy("h", "features").limit(points).select("features").toPandas()
     if not len(drawn):
         return np.empty((0, N_FEATURES)), np.empty(0), 0
     centres = np.unique(np.array(drawn["features"].tolist(), dtype=np.float64), axis=0)
-    scale = centres.std(0) + 1e-6
-    near = (centres / scale).astype(np.float32)
+    middle, scale = centres.mean(0), np.where(centres.std(0) > 1e-6, centres.std(0), 1.0)
+    near = ((centres - middle) / scale).astype(np.float32)
     offset = (near**2).sum(1) / 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, sums = np.zeros(len(near), dtype=np.int64), np.zeros((len(near), N_FEATURES))
+        n, least, member = np.zeros(len(near), dtype=np.int64), np.full(len(near), np.iinfo(np.int64).max), np.zeros((len(near), N_FEATURES))
         for part in sliced(batches, SLICE):
-            x = np.array(part["features"].tolist(), dtype=np.float64).reshape(-1, N_FEATURES)
-            at = np.argmax((x / scale).astype(np.float32) @ near.T - offset, axis=1)
+            x, h = np.array(part["features"].tolist(), dtype=np.float64).reshape(-1, N_FEATURES), part["other"].to_numpy()
+            at = np.argmax(((x - middle) / scale).astype(np.float32) @ near.T - offset, axis=1)
             np.add.at(n, at, 1)
-            np.add.at(sums, at, x)
+            order = np.lexsort((h, at))
+            first = order[np.unique(at[order], return_index=True)[1]]
+            first = first[h[first] <= least[at[first]]]
+            least[at[first]], member[at[first]] = h[first], x[first]
         some = np.flatnonzero(n)
-        yield pd.DataFrame({"point": some, "n": n[some], "sums": list(sums[some])})
+        yield pd.DataFrame({"point": some, "n": n[some], "h": least[some], "member": list(member[some])})
 
-    each = features.select("features").mapInPandas(run, "point int, n long, sums array<double>")
-    total = each.groupBy("point").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[k]) for k in range(N_FEATURES)]).alias("sums")).orderBy("point").toPandas()
+    other = F.xxhash64("doc_id", "features", F.lit(1)).alias("other")  # not the hash that drew the centres
+    each = rows.select("features", other).mapInPandas(run, "point int, n long, h long, member array<double>")
+    total = each.groupBy("point").agg(F.sum("n").alias("n"), F.min(F.struct("h", "member"))["member"].alias("member")).orderBy("point").toPandas()
     n = total["n"].to_numpy(dtype=np.float64)
-    return np.array(total["sums"].tolist()) / n[:, None], n / n.sum(), int(n.sum())
+    return np.array(total["member"].tolist()), n / n.sum(), int(n.sum())
 
 
 def train(features: DataFrame, positives: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
@@ -240,7 +248,9 @@ def train(features: DataFrame, positives: DataFrame, fit_rows: int = FIT_ROWS) -
         return None
     x = np.array(marked["features"].tolist(), dtype=np.float64)
     unlabelled, weights, rows = weighted_points(features)
-    return fit(x, unlabelled, weights, estimate_prior(x, unlabelled, weights, rows))
+    prior = estimate_prior(x, unlabelled, weights, rows)
+    # too large a prior lets all text be positive, one that is a little too small does no harm: a standard error less
+    return fit(x, unlabelled, weights, max(0.02, prior - np.sqrt(prior * (1 - prior) / len(x))))
 
 
 def held_out(column: str = "doc_id"):

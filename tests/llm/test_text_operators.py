@@ -400,7 +400,8 @@ def test_weighted_points_cover_all_rows(spark):
     rows = spark.createDataFrame([(k, [float(v) for v in f]) for k, f in enumerate(x)], "doc_id long, features array<float>")
     points, weights, n = quality.weighted_points(rows, points=40)
     assert n == 500 and len(points) <= 40 and weights.sum() == pytest.approx(1)
-    assert weights @ points == pytest.approx(x.astype(np.float64).mean(0), abs=1e-6)
+    assert {tuple(p) for p in points} <= {tuple(f) for f in x.astype(np.float64)}
+    assert abs(weights @ points - x.mean(0)).max() < 0.8  # one row stands for each region
     every, even, _ = quality.weighted_points(rows, points=500)
     assert len(every) == 500 and even == pytest.approx(1 / 500)
 

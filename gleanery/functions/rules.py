@@ -28,7 +28,7 @@ def _words(part: str, last: bool) -> bool:
 
 def ascii_edges(pattern: str) -> str:
     """The pattern with each word edge as one look-around, where what stands beside it tells the side of the word."""
-    pattern = re.sub(r"\\b(?=[A-Za-z0-9_])", "(?<![A-Za-z0-9_])", pattern)
+    pattern = re.sub(r"\\b(?=[A-Za-z0-9_](?![?*{]))", "(?<![A-Za-z0-9_])", pattern)
     pattern = re.sub(r"\\b(?=\((?:\?:)?([\w |'-]+)\))", lambda m: "(?<![A-Za-z0-9_])" if _words(m[1], False) else m[0], pattern)
     pattern = re.sub(r"(?<=[A-Za-z0-9_])(?<!\\[A-Za-z])\\b", "(?![A-Za-z0-9_])", pattern)
     pattern = re.sub(r"(\((?:\?:)?([\w |'-]+)\))\\b", lambda m: m[1] + "(?![A-Za-z0-9_])" if _words(m[2], True) else m[0], pattern)

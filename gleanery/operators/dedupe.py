@@ -8,7 +8,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.operators.storage import saved
+from gleanery.operators.storage import stored
 
 
 def greedy_dedupe(rows: DataFrame, id_col: str, order: Sequence[Column], keys: Sequence[Column], most_rounds: int | None = None) -> DataFrame:
@@ -26,10 +26,14 @@ def greedy_dedupe(rows: DataFrame, id_col: str, order: Sequence[Column], keys: S
     ord_ = F.struct(*order)
     listed = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), k.cast("string").alias("key")) for i, k in enumerate(keys)]), lambda x: x["key"].isNotNull())
     base = rows.select(F.col(id_col).alias("id"), ord_.alias("ord"), listed.alias("keys"))
-    open_rows = saved(base)
+    if len(keys) == 1:  # the first of each key is kept: no rounds
+        one = rows.select(F.col(id_col).alias("id"), ord_.alias("ord"), keys[0].cast("string").alias("hit_key"))
+        first = one.filter("hit_key is not null").groupBy(F.col("hit_key").alias("of")).agg(F.min_by("id", "ord").alias("winner"))
+        won = F.col("winner").isNull() | (F.col("winner") == F.col("id"))
+        return one.join(first, F.col("hit_key") == F.col("of"), "left").select("id", won.alias("kept"), F.when(~won, F.col("winner")).alias("target_id"), F.when(~won, F.col("hit_key")).alias("hit_key"))
+    open_rows = stored(base, "round")
     done = open_rows.filter(F.size("keys") == 0).select("id", F.lit(True).alias("kept"), F.lit(None).cast(rows.schema[id_col].dataType).alias("target_id"), F.lit(None).cast("string").alias("hit_key"))
     open_rows = open_rows.filter(F.size("keys") > 0)
-    kept_keys = None
     for done_rounds in count():
         if open_rows.isEmpty():
             break
@@ -41,12 +45,13 @@ def greedy_dedupe(rows: DataFrame, id_col: str, order: Sequence[Column], keys: S
         winners = open_rows.join(led.filter("leads").select("id"), "id", "left_semi")
         winner_keys = winners.select(F.explode("keys").alias("k"), F.col("id").alias("winner"), F.col("ord").alias("winner_ord")).select(F.col("k.key").alias("key"), "winner")
         hits = exploded.join(winner_keys, "key").filter(F.col("id") != F.col("winner")).groupBy("id").agg(F.min(F.struct("i", "winner", "key")).alias("hit"))
-        now = open_rows.select("id").join(hits, "id", "left").join(winners.select("id", F.lit(True).alias("won")), "id", "left")
-        now = saved(now.select("id", F.when(F.col("won"), True).when(F.col("hit").isNotNull(), False).alias("kept"), F.when(F.col("won").isNull(), F.col("hit.winner")).alias("target_id"), F.when(F.col("won").isNull(), F.col("hit.key")).alias("hit_key")))
-        done = done.unionByName(now.filter("kept is not null"))
+        won = winners.select("id", F.lit(True).alias("won"))
+        now = open_rows.join(hits, "id", "left").join(won, "id", "left")
+        now = stored(now.select("id", "ord", "keys", F.when(F.col("won"), True).when(F.col("hit").isNotNull(), False).alias("kept"), F.when(F.col("won").isNull(), F.col("hit.winner")).alias("target_id"), F.when(F.col("won").isNull(), F.col("hit.key")).alias("hit_key")), "round")
+        done = done.unionByName(now.filter("kept is not null").select(*done.columns))
         if done_rounds % 50 == 49:
-            done = saved(done)  # a union of many tables is slow to plan
-        open_rows = saved(open_rows.join(now.filter("kept is null").select("id"), "id", "left_semi"))
+            done = stored(done, "done")  # a union of many tables is slow to plan
+        open_rows = now.filter("kept is null").select("id", "ord", "keys")
     return done
 
 

@@ -14,10 +14,10 @@ def join_groups(evidence: DataFrame, groups: DataFrame) -> DataFrame:
     the groups in an equi-join, not in a product.
     """
     rules = groups.select("group_id", F.explode("keys").alias("_key"), "required", F.col("role").alias("_role"))
-    hits = evidence.withColumn("_key", F.explode(F.array_distinct("capability_keys"))).join(F.broadcast(rules), "_key")
+    hits = evidence.withColumn("_key", F.explode(F.array_distinct("capability_keys"))).join(rules, "_key")
     members = hits.filter(F.col("_role").isNull() | (F.col("_role") == F.col("role"))).drop("_key", "_role").dropDuplicates(["group_id", "object_id"])
     held = members.select("group_id", "required", F.explode("capability_keys").alias("key")).filter(F.array_contains("required", F.col("key"))).groupBy("group_id").agg(F.count_distinct("key").alias("n"), F.first(F.size(F.array_distinct("required"))).alias("need"))
-    return members.join(F.broadcast(held.filter("n = need").select("group_id")), "group_id").drop("required")
+    return members.join(held.filter("n = need").select("group_id"), "group_id").drop("required")
 
 
 def cluster_facts(members: DataFrame, friction_keys: list[str]) -> DataFrame:
@@ -64,7 +64,7 @@ def route(facts: DataFrame) -> DataFrame:
 def suppress_overlap(routed: DataFrame, weaker: str, stronger: str) -> DataFrame:
     """The weaker group yields if the stronger one is published."""
     winner = routed.filter((F.col("group_id") == stronger) & (F.col("status") == "PUBLISH")).select(F.lit(weaker).alias("_weak"))
-    out = routed.join(F.broadcast(winner), F.col("group_id") == F.col("_weak"), "left")
+    out = routed.join(winner, F.col("group_id") == F.col("_weak"), "left")
     yields = F.col("_weak").isNotNull()
     return out.withColumns({"status": F.when(yields, "WATCH").otherwise(F.col("status")), "reason": F.when(yields, "overlap").otherwise(F.col("reason"))}).drop("_weak")
 

@@ -65,3 +65,24 @@ def test_page_parsers_survive_nulls(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "https://a.com/x", "")], "page_id long, url string, html string")
     assert html.release_notes(pages, "page_id", "html", "html").count() == 0
     assert html.listed_links(pages, "page_id", "url", "html", "/", 3).count() == 0
+
+
+def test_ascii_edges_say_what_word_edges_say():
+    import random
+    import re
+
+    from gleanery.functions import lexicons as lex
+    from gleanery.functions.rules import Rule, ascii_edges
+
+    patterns = [r"\bidiot\b", r"\b(they|une)\b", r"bench|\bof\b", r"\ba?b", r"x\d\b", r"\b(a|-b)\b", r"\b(?:ab |c)\b", r"(ab|c)?\b"]
+    for value in vars(lex).values():
+        rows = value.values() if isinstance(value, dict) else value if isinstance(value, list) else []
+        patterns += [r.pattern if isinstance(r, Rule) else r for r in rows if isinstance(r, Rule) or (isinstance(r, str) and "\\b" in r)]
+    rng = random.Random(41)
+    words = sorted({w for p in patterns for w in re.findall(r"[A-Za-z]+", p)}) + ["é", "1", "_", "-", ".", " ", "ab", "of", "x"]
+    assert len(patterns) > 60
+    for p in patterns:
+        own, plain = re.compile("(?i)" + ascii_edges(p), re.ASCII), re.compile("(?i)" + p, re.ASCII)
+        for _ in range(60):
+            t = "".join(rng.choice(words) + rng.choice(["", " ", "é", "-"]) for _ in range(8))
+            assert bool(own.search(t)) == bool(plain.search(t)), (p, t)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import chat, collocations, extraction, fingerprints, jaccard, lines, middle, mixing, packing, pii, quality, rules
+from gleanery.llm import chat, collocations, extraction, fingerprints, jaccard, lines, middle, mixing, packing, pii, quality, rules, warc
 from gleanery.llm.common import read_table
 
 
@@ -49,6 +49,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read_table(spark, sf_dir, "documents")).drop("redacted")
 
 
+def op11_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.digests(middle.fill_in_middle(read_table(spark, sf_dir, "documents")))
 
@@ -61,9 +65,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_html_extraction, op3_best_fit_packing, op4_ngram_jaccard_join, op5_document_fingerprints,
-        op6_source_mixing, op7_quality_classifier, op8_chat_formatting, op9_quality_rules, op10_pii, op12_fill_in_middle,
+        op6_source_mixing, op7_quality_classifier, op8_chat_formatting, op9_quality_rules, op10_pii, op11_warc_packages, op12_fill_in_middle,
         op13_phrase_collocations,
     )
 }
 
-ORACLES = {"op1_line_dedup": lines.ORACLE_SQL, "op12_fill_in_middle": middle.ORACLE_SQL, "op13_phrase_collocations": collocations.ORACLE_SQL}
+ORACLES = {"op1_line_dedup": lines.ORACLE_SQL, "op11_warc_packages": warc.ORACLE_SQL, "op12_fill_in_middle": middle.ORACLE_SQL, "op13_phrase_collocations": collocations.ORACLE_SQL}

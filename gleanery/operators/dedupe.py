@@ -84,8 +84,8 @@ def suppress_recent(rows: DataFrame, keys: Sequence[str], ts: str, id_col: str,
 
     These are the starts of anchored windows, open at their end.
     """
-    from gleanery.operators.windows import DAY, window_starts
+    from gleanery.operators.anchors import same, start_rows
 
-    starts = window_starts(rows, keys, F.col(ts), int(days * DAY), closed=False).withColumnRenamed("_key", "_of")
-    first = keep_first(rows.withColumns({"_t": F.unix_micros(ts), "_key": F.to_json(F.struct(*keys))}), ["_key", "_t"], [F.col(id_col)])
-    return first.join(starts, F.col("_key") == F.col("_of")).filter(F.array_contains("_starts", F.col("_t"))).drop("_t", "_starts", "_key", "_of")
+    starts = start_rows(rows, keys, F.col(ts), int(days * 86_400_000_000), closed=False)
+    first = keep_first(rows.withColumn("_t", F.unix_micros(ts)), [*keys, "_t"], [F.col(id_col)])
+    return first.alias("a").join(starts.alias("b"), same(keys, "a", "b") & (F.col("a._t") == F.col("b._start")), "left_semi").drop("_t")

@@ -2,58 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.operators.anchors import FOLD_TIMES, lookup, start_rows
+
 DAY = 86_400_000_000  # microseconds
 
 
 def window_starts(rows: DataFrame, keys: Sequence[str], ts: Column, width: int, closed: bool) -> DataFrame:
-    """_key, _starts: the ascending starts of the windows of each key, in microseconds.
+    """keys, _starts: the ascending starts of the windows of each key, in microseconds."""
+    return start_rows(rows, keys, ts, width, closed).groupBy(*keys).agg(F.array_sort(F.collect_list("_start")).alias("_starts"))
 
-    A window opens at the first time over ``width`` after the start before
-    (``closed``), or at least that far.  Only distinct times are moved; a task
-    reads those of a key in order, a batch at a time, and holds no more than the
-    last start, so a key of any share of the rows fits.
-    """
-    times = rows.filter(ts.isNotNull()).select(F.to_json(F.struct(*keys)).alias("_key"), F.unix_micros(ts).alias("_t")).distinct()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, limit = None, 0  # the next window of the key opens at this time or later
-        for batch in batches:
-            names, t, out = batch["_key"].to_numpy(), batch["_t"].to_numpy(), []
-            edges = np.flatnonzero(names[1:] != names[:-1]) + 1
-            for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(t)]):
-                if not hi:
-                    continue
-                if names[lo] != key:
-                    key, limit = names[lo], t[lo]
-                at = lo + int(np.searchsorted(t[lo:hi], limit))
-                while at < hi:
-                    out.append((key, int(t[at])))
-                    limit = t[at] + width + closed
-                    at = lo + int(np.searchsorted(t[lo:hi], limit))
-            yield pd.DataFrame(out, columns=["_key", "_start"])
-
-    found = times.repartition("_key").sortWithinPartitions("_key", "_t").mapInPandas(run, "_key string, _start long")
-    return found.groupBy("_key").agg(F.array_sort(F.collect_list("_start")).alias("_starts"))  # windows, not rows
-
-
-def anchored_windows(rows: DataFrame, keys: Sequence[str], ts: str, days: float) -> DataFrame:
+
+def anchored_windows(rows: DataFrame, keys: Sequence[str], ts: str, days: float, most: int = FOLD_TIMES) -> DataFrame:
     """G1: ``window_start`` for each row: rows join while t - start <= width, a later one opens a new window.
 
-    Only the distinct times of a key are moved, never its rows, and each row
-    looks its start up among the key's few window starts.  Null times get null.
+    Only the distinct times of a key are moved to find the starts; each row then
+    looks its own up.  Null times get null.  A key with over ``most`` distinct
+    times is worked on by many tasks.
     """
-    at = F.col(ts).cast("timestamp")
-    starts = window_starts(rows, keys, at, int(days * DAY), closed=True).withColumnRenamed("_key", "_of")
-    joined = rows.withColumn("_key", F.to_json(F.struct(*keys))).join(starts, F.col("_key") == F.col("_of"), "left")
-    start = F.array_max(F.filter("_starts", lambda a: a <= F.unix_micros(at)))
-    return joined.withColumn("window_start", F.timestamp_micros(start)).drop("_starts", "_key", "_of")
+    at, width = F.col(ts).cast("timestamp"), int(days * DAY)
+    found = lookup(rows, keys, F.unix_micros(at), start_rows(rows, keys, at, width, True, most), width + 1)
+    return found.withColumn("window_start", F.timestamp_micros("_start")).drop("_start")
 
 
 def epoch_bucket(ts: Column, days: int) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanery.operators import components, dedupe, findings, match, windows
-from gleanery.operators.storage import stored
 from gleanery.plans import views
 from gleanery.plans.registry import query
 
@@ -39,8 +38,8 @@ capped AS (SELECT * EXCLUDE (status, reason, place), CASE WHEN status = 'PUBLISH
 
 
 def placed(rows):
-    """Evidence with its window; both are read several times, so both are stored."""
-    return stored(windows.anchored_windows(stored(rows, "evidence"), ["product", "topic"], "created_at", 14), "placed")
+    """Evidence with its window."""
+    return windows.anchored_windows(rows, ["product", "topic"], "created_at", 14)
 
 
 def rolled(spark, d):
@@ -61,7 +60,7 @@ def published(rows):
 
 @query("g1_anchored_windows", f"WITH {views.EVIDENCE}, {ANCHORED} SELECT evidence_id, window_start FROM placed")
 def g1(spark, d):
-    return windows.anchored_windows(stored(views.evidence(spark, d).select("evidence_id", "product", "topic", "created_at"), "evidence"), ["product", "topic"], "created_at", 14).select("evidence_id", "window_start")
+    return placed(views.evidence(spark, d)).select("evidence_id", "window_start")
 
 
 @query("a1_cluster_roll_up", f"WITH {views.EVIDENCE}, {ROLLED} SELECT * FROM findings")

@@ -187,4 +187,48 @@ def test_round_caps_do_not_end_silently(spark):
     assert sorted((r["id"], r["kept"]) for r in got) == [(k, k % 2 == 0) for k in range(8)]
     pairs = spark.createDataFrame([(k, k + 1) for k in range(8)], "a long, b long")
     with pytest.raises(RuntimeError):
-        components.connected_components(chain, pairs.withColumnsRenamed({"a": "left_id", "b": "right_id"}), most_rounds=1)
\ No newline at end of file
+        components.connected_components(chain, pairs.withColumnsRenamed({"a": "left_id", "b": "right_id"}), most_rounds=1)
+
+@pytest.mark.parametrize("shape", ["even", "bursts", "gaps", "dense"])
+def test_hot_keys_have_the_starts_of_the_loop(spark, shape, monkeypatch):
+    """Keys over the fold's limit, by contracted pointers, with lookup buckets of a few times."""
+    from gleanery.operators import anchors
+
+    monkeypatch.setattr(anchors, "BUCKET_TIMES", 3)
+    monkeypatch.setattr(anchors, "BLOCK", 2)
+    rng, width = random.Random(len(shape)), 1000
+    pick = {
+        "even": lambda: rng.randrange(60_000), "bursts": lambda: rng.choice([0, 7_000, 50_000]) + rng.randrange(900), "gaps": lambda: 1001 * rng.randrange(90) + rng.choice([0, 0, 1, -1]),
+        "dense": lambda: rng.randrange(1500),
+    }[shape]
+    rows = [("hot" if rng.random() < 0.9 else rng.choice(["a", None]), pick() - 5_000) for _ in range(700)]
+    frame = spark.createDataFrame(rows, "k string, us long").withColumn("ts", F.timestamp_micros("us"))
+    for closed in (True, False):
+        want = set()
+        for key in {k for k, _ in rows}:
+            limit = None
+            for at in sorted({t for k, t in rows if k == key}):
+                if limit is None or at >= limit:
+                    want.add((key, at))
+                    limit = at + width + closed
+        got = [tuple(r) for r in anchors.start_rows(frame, ["k"], F.col("ts"), width, closed, most=20).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_one_key_with_most_rows_is_spread_over_tasks(spark):
+    """90 % of the rows have one key: tasks that look windows up and that build pointers get like shares."""
+    from gleanery.operators import anchors
+
+    rows = spark.range(120_000, numPartitions=8).select(F.when(F.col("id") % 10 < 9, 0).otherwise(F.col("id")).alias("k"), F.timestamp_micros(F.col("id") * 977).alias("ts"))
+    times = rows.filter("k = 0").select(F.lit(0).cast("long").alias("_k"), F.count("*").over(anchors.Window.partitionBy("k")).alias("_n"), F.unix_micros("ts").alias("_t"), F.lit(120_000 * 977).cast("long").alias("_span"))
+    own = times.withColumn("_b", F.floor(F.col("_t") / F.ceil(F.col("_span") / F.ceil(F.col("_n") / anchors.BUCKET_TIMES))))
+    shares = [r["n"] for r in own.groupBy("_b").agg(F.count("*").alias("n")).collect()]
+    assert max(shares) <= 2 * sorted(shares)[len(shares) // 2] and max(shares) <= 2 * anchors.BUCKET_TIMES
+    got = windows.anchored_windows(rows, ["k"], "ts", 1_000_000 / windows.DAY)
+    starts = sorted(r[0] for r in got.filter("k = 0").select(F.unix_micros("window_start")).distinct().collect())
+    limit, want = -1, []
+    for at in (i * 977 for i in range(120_000) if i % 10 < 9):
+        if at >= limit:
+            want.append(at)
+            limit = at + 1_000_001
+    assert starts == want

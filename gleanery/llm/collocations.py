@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
@@ -52,41 +51,46 @@ def segments(raw: bytes, size: int = SEGMENT) -> Iterator[bytes]:
     yield raw[lo:]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, np.ndarray]]:
-    """(language, words and marks) of about ``size`` words each; every text ends with a mark."""
-    held: dict[str, list[bytes]] = {}
+class Vocabulary(dict):
+    """Codes of words in the order in which they come; 0 is the mark."""
+
+    def __init__(self):
+        super().__init__({MARK: 0})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        return code
+
+
+def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+    """(language, words by code, codes) of about ``size`` words and marks each; every text ends with a mark.
+
+    Words are coded as they come, so a task holds each word of a chunk once.
+    """
+    held: dict[str, tuple[Vocabulary, list[np.ndarray]]] = {}
     n = 0
+
+    def passed() -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+        while held:
+            lang, (known, parts) = held.popitem()
+            yield lang, list(known), np.concatenate(parts).astype(np.int64)
+
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             raw = text.as_py().encode("utf-8", "surrogatepass").lower().translate(TO_MARK)
             for part in segments(raw):
+                known, parts = held.setdefault(lang, (Vocabulary(), []))
                 words = part.replace(MARK, b" \xff ").split()
-                own = held.setdefault(lang, [])
-                own += words
-                own.append(MARK)
-                n += len(words) + 1
+                words.append(MARK)
+                parts.append(np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words)))
+                n += len(words)
                 if n >= size:
-                    for key, tokens in held.items():
-                        yield key, as_objects(tokens)
-                    held, n = {}, 0
-    for key, tokens in held.items():
-        yield key, as_objects(tokens)
-
-
-def as_objects(tokens: list[bytes]) -> np.ndarray:
-    out = np.empty(len(tokens), dtype=object)
-    out[:] = tokens
-    return out
-
-
-def coded(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code of each token, the words by code, and where words (not marks) stand.  Code 0 is the mark."""
-    codes, words = pd.factorize(np.concatenate([as_objects([MARK]), tokens]))
-    codes = codes[1:].astype(np.int64)
-    return codes, words, codes > 0
+                    yield from passed()
+                    n = 0
+    yield from passed()
 
 
-def rows_of(lang: str, words: np.ndarray, columns: list[np.ndarray | None], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def rows_of(lang: str, words: list[bytes], columns: list[np.ndarray | None], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     named = pa.array(words, type=pa.binary())
     for lo in range(0, len(counts), 100_000):
         part = slice(lo, lo + 100_000)
@@ -97,9 +101,8 @@ def rows_of(lang: str, words: np.ndarray, columns: list[np.ndarray | None], coun
 
 def count_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words, pairs and (all words null) the number of words of each chunk."""
-    for lang, tokens in chunks(batches, CHUNK):
-        codes, words, real = coded(tokens)
-        single = np.bincount(codes, minlength=len(words))
+    for lang, words, codes in chunks(batches, CHUNK):
+        real, single = codes > 0, np.bincount(codes, minlength=len(words))
         if len(words) < 2:
             continue
         words[0] = b""
@@ -124,10 +127,10 @@ def count_grown(prefixes, suffixes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = xxhash.xxh64_intdigest
-        for lang, tokens in chunks(batches, CHUNK):
-            codes, words, real = coded(tokens)
+        for lang, words, codes in chunks(batches, CHUNK):
             if len(codes) < 3:
                 continue
+            real = codes > 0
             h = np.array([key(w, 42) for w in words], dtype=np.uint64)[codes]
             at = slots(np.uint64(key(lang.encode(), 42)), h[:-1], h[1:])
             grow, back = (((f.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) for f in (prefixes, suffixes))

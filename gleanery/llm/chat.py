@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from decimal import Decimal
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,7 @@ CHECKED = frozenset("""type enum const properties required additionalProperties
 minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength maxLength pattern allOf anyOf oneOf not if then else $ref""".split())
 NOTES = frozenset("title description default examples example deprecated readOnly writeOnly format $schema $id $comment $defs definitions contentMediaType contentEncoding strict".split())
 DEEPEST = 64  # schemas within schemas, as $ref may turn in circles
+STEPS, STEPS_A_CHARACTER = 20_000, 4  # what evaluating one call may cost, whatever its schema says
 
 
 def same(a, b) -> bool:
@@ -80,25 +83,64 @@ def referred(root, ref: str):
     return root
 
 
+class Unchecked(Exception):
+    """A schema says what problem() does not evaluate."""
+
+
+class Work:
+    """The root schema of one call, results known so far and the steps that are left."""
+
+    def __init__(self, root, steps: int):
+        self.root, self.left, self.known = root, steps, {}
+
+    def spend(self, steps: int) -> None:
+        self.left -= steps
+        if self.left < 0:
+            raise Unchecked("too much work")
+
+    def matches(self, pattern: str, text: str) -> bool:
+        """Whether ``pattern`` is found, in time linear in the text; what that rules out (back references, looking around) is unchecked."""
+        self.spend(1 + len(text) // 64)
+        try:
+            return pc.match_substring_regex(pa.array([text], pa.string()), pattern)[0].as_py()
+        except (pa.ArrowInvalid, UnicodeEncodeError):
+            raise Unchecked("pattern") from None
+
+
 def problem(value, schema, at: str = "") -> str | None:
     """What is wrong with ``value`` under a JSON schema; None if nothing.
 
-    A schema with a keyword that is neither evaluated nor a mere note, or that
-    cannot be read, makes the value ``unchecked``, never valid.
+    A schema with a keyword that is neither evaluated nor a mere note, one that
+    cannot be read, and one that takes more steps than the value's size
+    allows, makes the value ``unchecked``, never valid.
     """
     try:
-        return first_problem(value, schema, at, schema, 0)
+        return first_problem(value, schema, at, Work(schema, STEPS + STEPS_A_CHARACTER * len(json.dumps(value))), 0)
     except Unchecked as e:
         return f"{at or '/'}: unchecked, {e}"
-    except (TypeError, ValueError, AttributeError, KeyError, ArithmeticError, RecursionError, re.error):
+    except (TypeError, ValueError, AttributeError, KeyError, ArithmeticError, RecursionError):
         return f"{at or '/'}: unchecked, schema cannot be read"
 
 
-class Unchecked(Exception):
-    """A schema says what problem() does not evaluate."""
+def mark(value):
+    """A hashable that is equal where ``same`` is true."""
+    if isinstance(value, list):
+        return ("list", *map(mark, value))
+    if isinstance(value, dict):
+        return frozenset((k, mark(v)) for k, v in value.items())
+    return (isinstance(value, bool), value)
+
+
+def first_problem(value, schema, at: str, work: Work, depth: int) -> str | None:
+    """The result for one (schema, value) is worked out once, however often ``$ref`` leads there."""
+    key = (id(schema), id(value), at)
+    if key not in work.known:
+        work.known[key] = evaluated(value, schema, at, work, depth)
+    return work.known[key]
 
 
-def first_problem(value, schema, at: str, root, depth: int) -> str | None:
+def evaluated(value, schema, at: str, work: Work, depth: int) -> str | None:
+    work.spend(1)
     if isinstance(schema, bool):
         return None if schema else f"{at or '/'}: not allowed"
     if not isinstance(schema, dict):
@@ -109,10 +151,10 @@ def first_problem(value, schema, at: str, root, depth: int) -> str | None:
         raise Unchecked(other[0])
     if isinstance(schema.get("items"), list):
         raise Unchecked("items as a list")
-    go = lambda v, s, to=at: first_problem(v, s, to, root, depth + 1)
+    go = lambda v, s, to=at: first_problem(v, s, to, work, depth + 1)
     here = at or "/"
     if "$ref" in schema:
-        target = referred(root, schema["$ref"])
+        target = referred(work.root, schema["$ref"])
         if target is None:
             raise Unchecked("$ref")
         if found := go(value, target):
@@ -123,6 +165,7 @@ def first_problem(value, schema, at: str, root, depth: int) -> str | None:
         fits = any(isinstance(value, TYPES[k]) and not (isinstance(value, bool) and k in ("integer", "number")) or k == "integer" and isinstance(value, float) and value.is_integer() for k in kinds)
         if not fits:
             return f"{here}: not {' or '.join(kinds)}"
+    work.spend(len(schema.get("enum", ())) + len(schema.get("required", ())))
     if "enum" in schema and not any(same(value, x) for x in schema["enum"]):
         return f"{here}: not one of the allowed values"
     if "const" in schema and not same(value, schema["const"]):
@@ -137,7 +180,7 @@ def first_problem(value, schema, at: str, root, depth: int) -> str | None:
     if isinstance(value, str):
         if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
             return f"{here}: wrong length"
-        if "pattern" in schema and not re.search(schema["pattern"], value):
+        if "pattern" in schema and not work.matches(schema["pattern"], value):
             return f"{here}: does not match the pattern"
     if isinstance(value, dict):
         known, patterns, other = schema.get("properties", {}), schema.get("patternProperties", {}), schema.get("additionalProperties", True)
@@ -154,7 +197,7 @@ def first_problem(value, schema, at: str, root, depth: int) -> str | None:
             if "propertyNames" in schema and go(name, schema["propertyNames"]):
                 return f"{at}/{name}: name not allowed"
             under = [known[name]] if name in known else []
-            under += [s for p, s in patterns.items() if re.search(p, name)]
+            under += [s for p, s in patterns.items() if work.matches(p, name)]
             if not under and other is False:
                 return f"{at}/{name}: unknown"
             for s in under or [other]:
@@ -163,7 +206,7 @@ def first_problem(value, schema, at: str, root, depth: int) -> str | None:
     if isinstance(value, list):
         if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
             return f"{here}: wrong number of items"
-        if schema.get("uniqueItems") and any(same(x, y) for k, x in enumerate(value) for y in value[:k]):
+        if schema.get("uniqueItems") and len(set(map(mark, value))) < len(value):
             return f"{here}: items repeat"
         heads = schema.get("prefixItems", [])
         for k, item in enumerate(value):

@@ -32,14 +32,16 @@ DIGITS = {w: str(k) for names in DIGIT_NAMES for k, w in enumerate(names.split()
 
 UNUSUAL = re.compile(r"[^\x00-ɏ]|[­²³·¹ ]")
 _DIGIT = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
-_BETWEEN = r"(?:[ \t]*[,.-]?[ \t]*)"
-SPELLED = re.compile(rf"(?<!\w)(?:plus[ \t]+)?(?:{_DIGIT}|[0-9]){_BETWEEN}(?:(?:{_DIGIT}|[0-9]+){_BETWEEN}){{5,}}(?!\w)", re.I)
+# One digit a step and one way to read each run of blanks: a run that fails costs what it is long.
+_BETWEEN = r"(?:[ \t]*(?:[,.-][ \t]*)?)"
+SPELLED = re.compile(rf"(?<!\w)(?:plus[ \t]+)?(?:{_DIGIT}|[0-9]){_BETWEEN}(?:(?:{_DIGIT}|[0-9]){_BETWEEN}){{5,}}(?!\w)", re.I)
 SPELLED_WORD = re.compile(rf"(?<!\w){_DIGIT}(?!\w)", re.I)
 DIGIT_TOKEN = re.compile(rf"plus|{_DIGIT}|[0-9]+", re.I)
 _AT = r"(?:at|arroba|arobase|klammeraffe)"
 _DOT = r"(?:dot|punto|point|punkt)"
-BRACKET_AT = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:{_AT}|@)[ \t]*[\])}}>][ \t]*", re.I)
-BRACKET_DOT = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:{_DOT}|\.)[ \t]*[\])}}>][ \t]*", re.I)
+_LEAD = r"(?:(?<![ \t])[ \t]+)?"  # blanks before, from where they begin
+BRACKET_AT = re.compile(rf"{_LEAD}[\[({{<][ \t]*(?:{_AT}|@)[ \t]*[\])}}>][ \t]*", re.I)
+BRACKET_DOT = re.compile(rf"{_LEAD}[\[({{<][ \t]*(?:{_DOT}|\.)[ \t]*[\])}}>][ \t]*", re.I)
 WORD_DOT = re.compile(rf"(?<=[A-Za-z0-9])[ \t]+{_DOT}[ \t]+(?=[A-Za-z0-9])", re.I)
 WORD_AT = re.compile(rf"(?<=[A-Za-z0-9])[ \t]+{_AT}[ \t]+(?=[A-Za-z0-9])", re.I)
 ESCAPED = re.compile(r"&(?:#0*64|#[xX]0*40|commat|#0*46|#[xX]0*2[eE]|period);|%40")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.operators.state import merge_queue
 from gleanery.operators.storage import scratch
 from gleanery.plans import views
 from gleanery.plans.registry import query
 from gleanery.streaming import jobs
+from gleanery.streaming.tables import BucketTable, Snapshots
 
 c = F.col
 FAR = "2100-01-01"
@@ -74,21 +74,43 @@ def st5(spark, d):
     return spark.read.parquet(out)
 
 
+TWO_SINKS = """WITH p AS (SELECT event_id, user_id, CASE WHEN ts > TIMESTAMP '2024-01-20' THEN 'future' WHEN ts < TIMESTAMP '2024-01-20' - INTERVAL 10 DAY THEN 'late' END AS reason FROM events)
+  SELECT 'accepted' AS sink, event_id, user_id, CAST(NULL AS VARCHAR) AS reason FROM p WHERE reason IS NULL UNION ALL SELECT 'rejected', event_id, user_id, reason FROM p WHERE reason IS NOT NULL"""
+
+
+@query("st5_two_sinks", TWO_SINKS)
+def st5_sinks(spark, d):
+    """Rows outside the window go to a table of their own, with the reason, from the same batches."""
+    stream, _ = events(spark, d)
+    accepted, rejected = scratch(spark, "accepted"), scratch(spark, "rejected")
+    rows = jobs.with_policy(stream, "ts", F.lit("2024-01-20").cast("timestamp"), 10).select("event_id", "user_id", c("policy_reason").alias("reason"))
+    jobs.split_sinks(rows, "reason", accepted, rejected, scratch(spark, "st5"))
+    kept = spark.read.parquet(accepted).select(F.lit("accepted").alias("sink"), "event_id", "user_id", F.lit(None).cast("string").alias("reason"))
+    return kept.unionByName(spark.read.parquet(rejected).select(F.lit("rejected").alias("sink"), "event_id", "user_id", "reason"))
+
+
+@query("st1_served_snapshot", "SELECT event_type, count(*) AS n, 3::BIGINT AS version, 'fresh' AS state FROM events GROUP BY event_type")
+def st1_served(spark, d):
+    """The snapshot after four batches, as a reader gets it within its time to live."""
+    stream, path = events(spark, d)
+    out = scratch(spark, "snapshot")
+    one_by_one = jobs.read_files(spark, path, spark.read.parquet(path).schema, per_trigger=1)
+    jobs.snapshot(one_by_one, lambda rows: rows.groupBy("event_type").agg(F.count("*").alias("n")), out, scratch(spark, "st1"), merge=lambda both: both.groupBy("event_type").agg(F.sum("n").alias("n")))
+    return Snapshots(spark, f"{out}/snapshot").served(F.current_timestamp(), ttl_seconds=86_400).select("event_type", "n", "version", "state")
+
+
 @query("st6_continuous_upsert", "SELECT user_id, max(event_id) AS v, false AS locked FROM events GROUP BY user_id")
 def st6(spark, d):
     stream, _ = events(spark, d)
-    out = scratch(spark, "upsert")
+    out, schema = scratch(spark, "upsert"), "user_id long, v long, locked boolean"
 
     def merge(before, rows):
         new = rows.groupBy("user_id").agg(F.max("event_id").alias("v"))
-        if before is None:
-            return new.withColumn("locked", F.lit(False))
         both = before.select("user_id", "v").unionByName(new).groupBy("user_id").agg(F.max("v").alias("v"))
-        return merge_queue(before, both, "user_id", "v", "locked", 1 << 30)
+        return both.join(before.select("user_id", "locked"), "user_id", "left").select("user_id", "v", F.coalesce("locked", F.lit(False)).alias("locked"))
 
-    jobs.upsert(stream, merge, out, scratch(spark, "st6"))
-    rows = spark.read.parquet(out)
-    return rows.join(F.broadcast(rows.agg(F.max("version").alias("version"))), "version").drop("version")
+    jobs.upsert(stream, ["user_id"], merge, schema, out, scratch(spark, "st6"))
+    return BucketTable(spark, out, ["user_id"], schema).read()
 
 
 @query("w8_snapshot_write", "SELECT event_type, user_id % 3 AS run_id, count(*) AS n FROM events WHERE user_id % 3 = 2 GROUP BY ALL")

@@ -8,7 +8,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from gleanery.streaming.tables import BucketTable, Snapshots
 
 
 def read_files(spark: SparkSession, path: str, schema, per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
@@ -35,26 +37,30 @@ def snapshot(stream: DataFrame, build: Callable[[DataFrame], DataFrame], path: s
     """ST1: each batch replaces a versioned snapshot of ``build`` over all rows so far.
 
     ``merge`` combines the union of the snapshot before and ``build`` of the
-    batch, so only that is read; without it the batch is appended to a log and all of that is built anew.
+    batch, so only that is read; without it the batch is appended to a log and
+    all of that is built anew.  A version carries the time of the trigger
+    that built it, the same if the batch is repeated.
     """
+    kept = Snapshots(stream.sparkSession, f"{path}/snapshot")
 
     def step(rows: DataFrame, n: int) -> None:
+        at = rows.agg(F.max("_trigger")).first()[0]
+        rows = rows.drop("_trigger")
         if merge:
             own = build(rows)
-            before = rows.sparkSession.read.schema(own.schema).parquet(f"{path}/snapshot/version={n - 1}") if n else own.limit(0)
-            merge(before.unionByName(own)).write.mode("overwrite").parquet(f"{path}/snapshot/version={n}")
+            before = kept.version(n - 1, own.schema) if n else own.limit(0)
+            kept.publish(merge(before.unionByName(own)), n, at)
             return
         rows.write.mode("overwrite").parquet(f"{path}/log/batch={n}")
         whole = rows.sparkSession.read.parquet(f"{path}/log")
-        build(whole.filter(F.col("batch") <= n).drop("batch")).write.mode("overwrite").parquet(f"{path}/snapshot/version={n}")
+        kept.publish(build(whole.filter(F.col("batch") <= n).drop("batch")), n, at)
 
-    drain(stream, step, checkpoint)
+    drain(stream.withColumn("_trigger", F.current_timestamp()), step, checkpoint)
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest snapshot; only its partition is read."""
-    rows = spark.read.parquet(f"{path}/snapshot")
-    return rows.join(F.broadcast(rows.agg(F.max("version").alias("version"))), "version").drop("version")
+    """The newest finished snapshot; only its version is read."""
+    return Snapshots(spark, f"{path}/snapshot").latest()
 
 
 def first_seen(stream: DataFrame, keys: list[str], ts: str, horizon: str) -> DataFrame:
@@ -62,40 +68,70 @@ def first_seen(stream: DataFrame, keys: list[str], ts: str, horizon: str) -> Dat
     return stream.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(keys)
 
 
-def anchored_counts(stream: DataFrame, keys: list[str], ts: str, days: float, late: str = "0 seconds") -> DataFrame:
-    """ST3: start-anchored windows with their counts, emitted when the watermark has passed their end.
+class AnchoredWindows(StatefulProcessor):
+    """ST3 for one key: a value state for the open window, a map state for times the watermark has not reached.
 
-    The state of a key is the start and count of its open window, and the times
-    that the watermark has not reached yet: rows may come in any order until
-    then, so only times before it settle.
+    A time that waits is written once, when it comes.  Event-time timers wake
+    the key when its earliest time settles or its window ends.
     """
-    width = int(days * 86_400_000)
-    schema = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys) + ", window_start timestamp, n long"
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, n, times = (state.get[0], state.get[1], list(state.get[2])) if state.exists else (None, 0, [])
-        for rows in batches:
-            times += [int(t.value // 1_000_000) if hasattr(t, "value") else int(t) for t in pd.to_datetime(rows[ts])]
-        times.sort()
-        mark, out = state.getCurrentWatermarkMs(), []
-        settled = bisect_left(times, mark)
-        for t in times[:settled]:
-            if start is not None and t - start > width:
+    def __init__(self, keys: list[str], ts: str, width: int):
+        self.keys, self.ts, self.width = keys, ts, width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "start long, n long")
+        self.waiting = handle.getMapState("waiting", "t long", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        times = pd.concat([pd.to_datetime(frame[self.ts]) for frame in rows]).astype("datetime64[us]").astype("int64") // 1000
+        yield from self.settle(key, times.value_counts().to_dict(), timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.settle(key, {}, timerValues)
+
+    def settle(self, key, new: dict[int, int], timerValues) -> Iterator[pd.DataFrame]:
+        """Work through all times before the watermark in order; later ones wait."""
+        mark, out = timerValues.getCurrentWatermarkInMs(), []
+        start, n = self.window.get() if self.window.exists() else (None, 0)
+        held = {t: count for (t,), (count,) in self.waiting.iterator()}
+        counts = held | {t: held.get(t, 0) + count for t, count in new.items()}
+        for t in sorted(t for t in counts if t < mark):
+            if start is not None and t - start > self.width:
                 out.append((*key, pd.Timestamp(start, unit="ms"), n))
-                start = None
-            start, n = (t, 1) if start is None else (start, n + 1)
-        if start is not None and start + width < mark:
+                start, n = None, 0
+            start, n = t if start is None else start, n + counts[t]
+            if t in held:
+                self.waiting.removeKey((t,))
+        if start is not None and start + self.width < mark:
             out.append((*key, pd.Timestamp(start, unit="ms"), n))
-            start, n = None, 0
-        times = times[settled:]
-        if times or start is not None:
-            state.update((start, n, times))
-            state.setTimeoutTimestamp(max((times[0] if start is None else start + width) + 1, mark + 1))
+            start = None
+        for t in new:
+            if t >= mark:
+                self.waiting.updateValue((t,), (counts[t],))
+        if start is None:
+            self.window.clear()
         else:
-            state.remove()
-        yield pd.DataFrame(out, columns=[*keys, "window_start", "n"])
+            self.window.update((start, n))
+        later = min((t for t in counts if t >= mark), default=None)
+        if later is not None or start is not None:
+            self.handle.registerTimer(max((later if start is None else start + self.width) + 1, mark + 1))
+        yield pd.DataFrame(out, columns=[*self.keys, "window_start", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+def anchored_counts(stream: DataFrame, keys: list[str], ts: str, days: float, late: str = "0 seconds") -> DataFrame:
+    """ST3: start-anchored windows with their counts, emitted when the watermark has passed their end.
 
-    return stream.withWatermark(ts, late).groupBy(*keys).applyInPandasWithState(step, schema, "start long, n long, times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    Rows may come in any order until the watermark reaches them; only then do
+    they settle.  Needs a state store that keeps states apart (RocksDB).
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys) + ", window_start timestamp, n long"
+    rows = stream.withWatermark(ts, late).select(*keys, ts)
+    return rows.groupBy(*keys).transformWithStateInPandas(AnchoredWindows(keys, ts, int(days * 86_400_000)), schema, "Append", "EventTime")
 
 
 def tumbling_counts(stream: DataFrame, keys: list[str], ts: str, width: str, late: str) -> DataFrame:
@@ -109,12 +145,23 @@ def with_policy(stream: DataFrame, ts: str, as_of: Column, days: int) -> DataFra
     return stream.withColumn("policy_reason", F.when(t.isNull(), "no-time").when(t > as_of, "future").when(t < as_of - F.make_dt_interval(days=F.lit(days)), "late"))
 
 
-def upsert(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], path: str, checkpoint: str) -> None:
-    """ST6: each batch is merged into a keyed table, written as a new version; a repeated batch gives the same version."""
+def split_sinks(stream: DataFrame, reason: str, accepted: str, rejected: str, checkpoint: str) -> None:
+    """ST5: each batch goes to two tables, rows with a ``reason`` to the second, each exactly once.
+
+    A batch owns the partition ``batch=n`` of both tables and overwrites it, so
+    one that is repeated after a failure between the two writes changes nothing.
+    """
 
     def step(rows: DataFrame, n: int) -> None:
-        spark = rows.sparkSession
-        before = spark.read.parquet(f"{path}/version={n - 1}") if n else None
-        merge(before, rows).write.mode("overwrite").parquet(f"{path}/version={n}")
+        rows.persist()
+        rows.filter(F.col(reason).isNull()).drop(reason).write.mode("overwrite").parquet(f"{accepted}/batch={n}")
+        rows.filter(F.col(reason).isNotNull()).write.mode("overwrite").parquet(f"{rejected}/batch={n}")
+        rows.unpersist()
 
     drain(stream, step, checkpoint)
+
+
+def upsert(stream: DataFrame, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame], schema: str, path: str, checkpoint: str, buckets: int = 64) -> None:
+    """ST6: each batch is merged into a keyed table of hash buckets, of which only those it touches are written anew."""
+    table = BucketTable(stream.sparkSession, path, keys, schema, buckets)
+    drain(stream, lambda rows, n: table.apply(rows, n, merge), checkpoint)

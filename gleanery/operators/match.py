@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.rules import found
 from gleanery.functions.text import hash_id, launch_title, pair_key
+from gleanery.operators.storage import stored
 
+#: Records of one block that one part holds.
+BLOCK_ROWS = 2_000
 RELEASE = r"\b(introducing|announcing|launch|release|released|available)\b"
 
 
@@ -17,23 +20,39 @@ def tokens(product: str = "product", model: str = "model") -> Column:
     return F.array_distinct(F.array_compact(F.array(clean(product), clean(model))))
 
 
-def candidate_pairs(records: DataFrame, days: float = 7) -> DataFrame:
+def candidate_pairs(records: DataFrame, days: float = 7, most: int = BLOCK_ROWS) -> DataFrame:
     """Pairs of one organisation that share a token, are at most ``days`` apart and have no conflicting versions.
 
-    Blocks are further cut into buckets of ``days``: a record meets its own and
-    the next bucket only, so a token shared by all of a large organisation costs
-    what its rows in a period do.  Each unordered pair comes once, from the
-    least token that both have, so nothing has to be made distinct.
+    Blocks (organisation, token) are cut into spans of ``days``: a record meets
+    its own span and the next one.  A span of over ``most`` records is dealt by id
+    into parts of about that many, and each pair of parts is a cell of
+    its own: no task's group holds more than two parts, however many records
+    share a token.  Each unordered pair comes once, from the least token that
+    both have, so nothing has to be made distinct.
     """
     width = int(days * 86_400_000_000)
-    rows = records.select("id", "org", "version", F.unix_micros("published_at").alias("t"), tokens().alias("tokens")).filter("t is not null")
-    rows = rows.withColumn("token", F.explode("tokens"))
-    rows = rows.withColumn("bucket", F.floor(F.col("t") / width))
-    left = rows.select(F.col("id").alias("left_id"), F.col("version").alias("lv"), F.col("t").alias("lt"), F.col("tokens").alias("lk"), "org", "token", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    right = rows.select(F.col("id").alias("right_id"), F.col("version").alias("rv"), F.col("t").alias("rt"), F.col("tokens").alias("rk"), "org", "token", "bucket")
-    conflict = F.coalesce(F.lower("lv") != F.lower("rv"), F.lit(False))
-    pairs = left.join(right, ["org", "token", "bucket"]).filter((F.col("left_id") < F.col("right_id")) & (F.abs(F.col("lt") - F.col("rt")) <= width) & ~conflict)
-    return pairs.filter(F.col("token") == F.array_min(F.array_intersect("lk", "rk"))).select("left_id", "right_id")
+    rows = records.select("id", "org", F.lower("version").alias("version"), F.unix_micros("published_at").alias("t"), tokens().alias("tokens")).filter("t is not null")
+    rows = stored(rows.withColumn("token", F.explode("tokens")).withColumn("span", F.floor(F.col("t") / width)), "blocks")  # read four times, and narrow
+    block = ["org", "token", "span"]
+    large = rows.groupBy(*block).agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).filter("parts > 1")
+    own = rows.join(large, block, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = own.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    side = F.struct("id", "version", "t", "tokens")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+
+    near = own.select(*block, side.alias("l"), F.col("part").alias("i"), every(F.col("parts")).alias("j"))
+    far = own.select(*block, side.alias("r"), every(F.col("parts")).alias("i"), F.col("part").alias("j"))
+    within = near.join(far, [*block, "i", "j"]).filter("l.id < r.id").select("l", "r", "token")
+
+    after = large.select("org", "token", (F.col("span") - 1).alias("span"), F.col("parts").alias("next_parts"))
+    before = large.select("org", "token", (F.col("span") + 1).alias("span"), F.col("parts").alias("last_parts"))
+    near = own.join(after, block, "left").select("org", "token", (F.col("span") + 1).alias("span"), side.alias("l"), F.col("part").alias("i"), every(F.coalesce("next_parts", F.lit(1))).alias("j"))
+    far = own.join(before, block, "left").select(*block, side.alias("r"), every(F.coalesce("last_parts", F.lit(1))).alias("i"), F.col("part").alias("j"))
+    across = near.join(far, [*block, "i", "j"]).filter(F.col("r.t") - F.col("l.t") <= width).select("l", "r", "token")
+
+    conflict = F.coalesce(F.col("l.version") != F.col("r.version"), F.lit(False))
+    pairs = within.unionByName(across).filter(~conflict & (F.col("token") == F.array_min(F.array_intersect("l.tokens", "r.tokens"))) & (F.col("l.id") != F.col("r.id")))
+    return pairs.select(F.least("l.id", "r.id").alias("left_id"), F.greatest("l.id", "r.id").alias("right_id"))
 
 
 def title_jaccard(a: Column, b: Column) -> Column:

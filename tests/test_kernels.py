@@ -232,3 +232,27 @@ def test_one_key_with_most_rows_is_spread_over_tasks(spark):
             want.append(at)
             limit = at + 1_000_001
     assert starts == want
+
+
+@pytest.mark.parametrize("most", [3, 10_000])
+def test_blocked_pairs_equal_all_pairs_also_in_parts(spark, most):
+    """One token that all rows share, spans of any size, ids that repeat, versions that conflict."""
+    from gleanery.operators import match
+
+    rng, base = random.Random(most), datetime(2024, 1, 1)
+    rows = [(f"r{k:03d}", rng.choice(["o", "p"]), rng.choice(["All", "ALL", None]), rng.choice(["m1", "m2", None]), rng.choice(["1", "2", None, None]), base + timedelta(hours=rng.choice([rng.randrange(30), rng.randrange(900)])) if rng.random() < 0.95 else None) for k in range(160)]
+    rows.append(("r999", "o", "", "?!", "1", base))
+    clean = lambda r: {x.lower() for x in (r[2], r[3]) if x and x != "?!"}
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and clean(a) & clean(b) and a[5] and b[5] and abs(a[5] - b[5]) <= timedelta(days=7) and not (a[4] and b[4] and a[4] != b[4])}
+    got = match.candidate_pairs(spark.createDataFrame(rows, "id string, org string, product string, model string, version string, published_at timestamp"), most=most).collect()
+    assert len(got) == len(set(map(tuple, got))) and {tuple(r) for r in got} == want and len(want) > 1000
+
+
+def test_parts_bound_the_rows_of_a_cell(spark):
+    """A block of n records in parts of m: every cell of the join has about 2 m rows, whatever n."""
+    from gleanery.operators import match
+
+    frame = spark.range(4_000).select(F.concat(F.lit("r"), "id").alias("id"), F.lit("o").alias("org"), F.lit("t").alias("product"), F.lit(None).cast("string").alias("model"), F.col("id").cast("string").alias("version"), F.lit(datetime(2024, 1, 2)).alias("published_at"))
+    assert match.candidate_pairs(frame, most=200).count() == 0  # all versions conflict
+    parts = frame.select(F.pmod(F.xxhash64("id"), F.lit(20)).alias("part")).groupBy("part").count().collect()
+    assert len(parts) == 20 and max(r["count"] for r in parts) < 2 * 200

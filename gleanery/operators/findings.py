@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.rules import cascade
+from gleanery.operators.anchors import same
 
 CLUSTER_DAYS, RECURRENCE_DAYS, PUBLISH_CAP = 14, 7, 4
 
@@ -19,15 +20,18 @@ def roll_up(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     update.  finding_type is the most frequent one; of equally frequent ones the
     one seen first.  Ties in time go by evidence_id.
     """
-    seen = F.struct("created_at", "evidence_id")
-    types = rows.groupBy(*keys, "finding_type").agg(F.count("*").alias("n"), F.min(seen).alias("since"))
-    best = types.groupBy(*keys).agg(F.min_by("finding_type", F.struct(-F.col("n"), "since")).alias("finding_type"))
-    parts = rows.groupBy(*keys).agg(
-        F.count("*").alias("n_evidence"), F.min("created_at").alias("first_seen_at"), F.max_by("updated_at", seen).alias("last_seen_at"), F.count_distinct("author_id").alias("n_authors"), F.count_distinct("family").alias("n_families"),
-        F.count_distinct("thread").alias("n_threads"), F.count_distinct(F.when(F.col("allowed"), F.col("author_id"))).alias("n_allowed_authors"), F.bool_or("implication").alias("implication"), F.bool_or("artifact").alias("artifact"),
-        F.min_by("family", seen).alias("first_family"),
+    seen, c = F.struct("created_at", "evidence_id"), F.col
+    types = rows.groupBy(*keys, "finding_type").agg(
+        F.count("*").alias("n"), F.min(seen).alias("since"), F.max(seen).alias("until"), F.max_by("updated_at", seen).alias("updated"), F.min_by("family", seen).alias("family"), F.bool_or("implication").alias("implication"), F.bool_or("artifact").alias("artifact"),
     )
-    return parts.join(best, list(keys)).withColumn("confidence", F.when((F.col("n_authors") >= 3) & (F.col("n_families") >= 2), "high").otherwise("medium"))
+    parts = types.groupBy(*keys).agg(
+        F.sum("n").alias("n_evidence"), F.min("since.created_at").alias("first_seen_at"), F.max_by("updated", "until").alias("last_seen_at"), F.bool_or("implication").alias("implication"), F.bool_or("artifact").alias("artifact"),
+        F.min_by("family", "since").alias("first_family"), F.min_by("finding_type", F.struct(-c("n"), "since")).alias("finding_type"),
+    )
+    # who and where: numbers that hash aggregation takes, apart from the sorted one above
+    counts = rows.groupBy(*keys).agg(F.count_distinct("author_id").alias("n_authors"), F.count_distinct("family").alias("n_families"), F.count_distinct("thread").alias("n_threads"), F.count_distinct(F.when(c("allowed"), c("author_id"))).alias("n_allowed_authors"))
+    both = parts.alias("a").join(counts.alias("b"), same(keys, "a", "b")).select("a.*", *[f"b.{n}" for n in ("n_authors", "n_families", "n_threads", "n_allowed_authors")])
+    return both.withColumn("confidence", F.when((c("n_authors") >= 3) & (c("n_families") >= 2), "high").otherwise("medium"))
 
 
 def gate(findings: DataFrame, weak_types: Sequence[str] = ("BACKLASH", "EMERGING_TOOL"), lone_family: str = "hn", no_topic: str = "other") -> DataFrame:

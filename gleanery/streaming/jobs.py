@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,10 +70,11 @@ def first_seen(stream: DataFrame, keys: list[str], ts: str, horizon: str) -> Dat
 
 
 class AnchoredWindows(StatefulProcessor):
-    """ST3 for one key: a value state for the open window, a map state for times the watermark has not reached.
+    """ST3 for one key: a value state for the open window, a list state for times the watermark has not reached.
 
-    A time that waits is written once, when it comes.  Event-time timers wake
-    the key when its earliest time settles or its window ends.
+    Arriving times are appended without reading what waits.  Event-time timers
+    wake the key when its earliest time settles or its window ends; only then
+    is the list read, and what waits on is kept.
     """
 
     def __init__(self, keys: list[str], ts: str, width: int):
@@ -81,41 +83,45 @@ class AnchoredWindows(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.window = handle.getValueState("window", "start long, n long")
-        self.waiting = handle.getMapState("waiting", "t long", "n long")
+        self.waiting = handle.getListState("waiting", "t long, n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = pd.concat([pd.to_datetime(frame[self.ts]) for frame in rows]).astype("datetime64[us]").astype("int64") // 1000
-        yield from self.settle(key, times.value_counts().to_dict(), timerValues)
+        times = np.concatenate([frame[self.ts].to_numpy(dtype="datetime64[us]").astype(np.int64) // 1000 for frame in rows])
+        times, counts = np.unique(times, return_counts=True)
+        self.waiting.appendList(list(zip(times.tolist(), counts.tolist())))
+        mark = timerValues.getCurrentWatermarkInMs()
+        if times[0] < mark:
+            yield from self.settle(key, mark)
+        else:
+            self.handle.registerTimer(int(times[0]) + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.settle(key, {}, timerValues)
+        yield from self.settle(key, timerValues.getCurrentWatermarkInMs())
 
-    def settle(self, key, new: dict[int, int], timerValues) -> Iterator[pd.DataFrame]:
+    def settle(self, key, mark: int) -> Iterator[pd.DataFrame]:
         """Work through all times before the watermark in order; later ones wait."""
-        mark, out = timerValues.getCurrentWatermarkInMs(), []
-        start, n = self.window.get() if self.window.exists() else (None, 0)
-        held = {t: count for (t,), (count,) in self.waiting.iterator()}
-        counts = held | {t: held.get(t, 0) + count for t, count in new.items()}
-        for t in sorted(t for t in counts if t < mark):
+        start, n = self.window.get() or (None, 0)
+        held, out = sorted(self.waiting.get()), []
+        due = bisect_left(held, (mark,))
+        for t, count in held[:due]:
             if start is not None and t - start > self.width:
                 out.append((*key, pd.Timestamp(start, unit="ms"), n))
                 start, n = None, 0
-            start, n = t if start is None else start, n + counts[t]
-            if t in held:
-                self.waiting.removeKey((t,))
+            start, n = t if start is None else start, n + count
         if start is not None and start + self.width < mark:
             out.append((*key, pd.Timestamp(start, unit="ms"), n))
             start = None
-        for t in new:
-            if t >= mark:
-                self.waiting.updateValue((t,), (counts[t],))
+        later = held[due:]
+        if later and due:
+            self.waiting.put(later)
+        elif due:
+            self.waiting.clear()
         if start is None:
             self.window.clear()
         else:
             self.window.update((start, n))
-        later = min((t for t in counts if t >= mark), default=None)
-        if later is not None or start is not None:
-            self.handle.registerTimer(max((later if start is None else start + self.width) + 1, mark + 1))
+        if later or start is not None:
+            self.handle.registerTimer(max((later[0][0] if start is None else start + self.width) + 1, mark + 1))
         yield pd.DataFrame(out, columns=[*self.keys, "window_start", "n"])
 
     def close(self) -> None:

@@ -29,11 +29,19 @@ NEVER = frozenset("head nav footer aside form script style template noscript ifr
 CLOSES = {"p": frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 SCOPES = frozenset("html body article main section div table td th ul ol dl blockquote aside nav footer header form".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-# Words in class and id names of page furniture.
-ASIDE_NAMES = re.compile(
-    r"(?:.*[-_])?(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar\w*|nav|navbar|navigation|menu\w*|breadcrumb\w*|masthead|footer|cookies?|consent|gdpr|notices?|popup|modal|overlay|comments?|commentlist|disqus\w*|"
-    r"respond|responses?|replies|share|sharing|social\w*|related\w*|recommend\w*|newsletter|subscri\w*|signup|login|search|searchform|widgets?|toolbar|pager|pagination|skip|copyright)(?:[-_].*)?", re.I,
+# Words in class and id names of page furniture; those that follow may also name a topic of the text.
+ASIDE_WORDS = re.compile(
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|sidebar\w*|nav|navbar|menu\w*|breadcrumbs?|masthead|footer|cookies?|gdpr|popup|modal|comments?|commentlist|disqus\w*|share|sharing|newsletter|subscri\w*|signup|login|searchform|widgets?|toolbar|pager|pagination", re.I,
 )
+TOPIC_WORDS = re.compile(r"banner|navigation|consent|notices?|overlay|respond|responses?|replies|social\w*|related\w*|recommend\w*|search|skip|copyright", re.I)
+# Words that say nothing of the topic; beside one of the above they leave a name what it is.
+PLAIN_WORDS = frozenset("""area article articles bar block body bottom box button buttons col collapse column container content count cta desktop dialog dropdown fixed floating form global google group header holder icon icons inline inner item
+items js label left link links list lower main message mobile module native note outer page panel post posts primary reader responsive right row secondary section sidebar site slot small sticky stories story text thread title top unit upper
+user widget wp wrap wrapper zone""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BLOCKS = frozenset("p pre table thead tbody tfoot tr td th caption blockquote figure figcaption li dl dt dd code".split())
+SURE, MAYBE = 1, 2  # furniture by name; only if its text is template or links, too
+SHORT = 80  # a line of furniture that a host of two or three pages repeats is no longer than this
 # Names that also stand for parts of an article: they only count outside of article and main elements.
 SIDE_NAMES = re.compile(r"(?:site|page|top|global|main)?[-_]?header|head|foot|side|side[-_]?(?:nav|menu|col\w*|panel|rail)|(?:left|right)[-_]?(?:side|bar|col\w*|rail)|alert|form|tags|legal|reply", re.I)
 ARTICLE_NAMES = re.compile(r"(?:entry|article|post|story|content)[-_]?(?:header|head|title|content|body|text|main)", re.I)
@@ -45,28 +53,49 @@ SPACES = re.compile(r"\s+")
 class Node:
     __slots__ = ("tag", "label", "aside", "children", "text", "links", "parent", "fixed", "key", "heavy")
 
-    def __init__(self, tag: str, parent: Node | None, label: str = "", aside: bool = False):
+    def __init__(self, tag: str, parent: Node | None, label: str = "", aside: int = 0):
         self.tag, self.parent, self.label, self.aside = tag, parent, label or tag, aside
         self.children: list[Node] = []
         self.text, self.links, self.fixed, self.heavy = "", 0, 0, 0
 
 
-def named_aside(names: list[str], within: bool) -> bool:
-    """Whether class or id names are those of page furniture; ``within`` an article fewer are."""
-    if any(ARTICLE_NAMES.fullmatch(n) for n in names):
-        return False
-    return any(ASIDE_NAMES.fullmatch(n) or (not within and SIDE_NAMES.fullmatch(n)) for n in names)
+def name_says(name: str, alone: bool) -> int:
+    """Whether a class or id name is that of page furniture: 0, SURE or MAYBE.  ``alone``: a word that may be a topic is sure by itself."""
+    words = [w for w in re.split(r"[-_]+", name.lower()) if w and not w.isdigit()]
+    sure, topic = [w for w in words if ASIDE_WORDS.fullmatch(w)], [w for w in words if TOPIC_WORDS.fullmatch(w)]
+    if not sure and not topic:
+        return 0
+    plain = all(w in PLAIN_WORDS or ASIDE_WORDS.fullmatch(w) or TOPIC_WORDS.fullmatch(w) for w in words)
+    return SURE if plain and (sure or alone and len(words) == 1) else MAYBE
+
+
+def named_aside(tag: str, classes: list[str], ident: str, within: bool) -> int:
+    """Whether an element's names mark page furniture: 0, SURE or MAYBE.
+
+    Ids of headings and of blocks of text are slugs of what they say and never
+    count; within an article or main element neither do the classes of such blocks.
+    """
+    if tag in HEADINGS or any(ARTICLE_NAMES.fullmatch(n) for n in (*classes, ident)):
+        return 0
+    if tag in BLOCKS:
+        classes, ident = [] if within else classes, ""
+    if not within and any(SIDE_NAMES.fullmatch(n) for n in (*classes, ident)):
+        return SURE
+    said = {name_says(n, True) for n in classes} | {name_says(ident, False)}
+    return SURE if SURE in said else MAYBE if MAYBE in said else 0
 
 
 def element(tag: str, raw: str, parent: Node, within: bool = False) -> Node:
     """A node with its label (tag and class) and whether its name marks page furniture."""
-    aside, label = tag in NEVER, tag
+    aside, label = SURE if tag in NEVER else 0, tag
     if raw and ("class" in raw or "id" in raw or "role" in raw or "hidden" in raw or "style" in raw):
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)}
-        name = f"{found.get('class', '')} {found.get('id', '')}"
         label = f"{tag}.{found.get('class', '')}"
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
-        aside = aside or bool(hidden) or found.get("role", "").lower() in ASIDE_ROLES or (tag not in ("body", "html", "article", "main") and named_aside(name.split(), within))
+        if hidden or found.get("role", "").lower() in ASIDE_ROLES:
+            aside = SURE
+        elif not aside and tag not in ("body", "html", "article", "main"):
+            aside = named_aside(tag, found.get("class", "").split(), found.get("id", "").strip(), within)
     return Node(tag, parent, label, aside)
 
 
@@ -300,10 +329,42 @@ def main_nodes(root: Node, texts: list[Node]) -> list[Node]:
     return [here]
 
 
+def settle_names(root: Node, template: set[int]) -> None:
+    """Elements whose names may mark furniture are furniture if four fifths of their text are template or links."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack += x.children
+    size: dict[int, tuple[int, int]] = {}
+    for x in reversed(order):
+        if x.tag == "#text":
+            n = len(x.text)
+            size[id(x)] = n, n if id(x) in template else min(n, x.links)
+        else:
+            size[id(x)] = tuple(map(sum, zip(*(size[id(c)] for c in x.children)))) or (0, 0)
+        if x.aside == MAYBE:
+            x.aside = SURE if 5 * size[id(x)][1] >= 4 * size[id(x)][0] else 0
+
+
+def in_article(x: Node) -> bool:
+    while x is not None and x.tag not in ("article", "main"):
+        x = x.parent
+    return x is not None
+
+
+def is_template(x: Node, references: int) -> bool:
+    """Whether enough references repeat a text; where a host has few, all must, and only short lines outside of an article count."""
+    if references >= AGREE:
+        return x.fixed >= AGREE and x.fixed * 10 >= 6 * references
+    return 0 < references == x.fixed and len(x.text) <= SHORT and not in_article(x)
+
+
 def extract(root: Node, references: int) -> str:
     """The content slots of an aligned page, block by block."""
-    every = leaves(root)
-    varying = [(x, aside) for x, aside in every if not (references >= AGREE and x.fixed >= AGREE and x.fixed * 10 >= 6 * references)]
+    template = {id(x) for x, _ in leaves(root) if is_template(x, references)}
+    settle_names(root, template)
+    varying = [(x, aside) for x, aside in leaves(root) if id(x) not in template]
     tops = main_nodes(root, [x for x, aside in varying if not aside])
     # headings and bylines of <header> inside the article belong to it
     held = {id(x): top for top in tops for x, _ in leaves(top)}

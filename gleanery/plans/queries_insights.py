@@ -5,6 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from gleanery.functions import summaries
+from gleanery.functions.contained import uncontained
+from gleanery.functions.rules import found
 from gleanery.operators import findings, insights, ranking
 from gleanery.plans import views
 from gleanery.plans.registry import query
@@ -139,8 +142,7 @@ def g7(spark, d):
 @query("p26_unique_parts", "WITH p AS (SELECT doc_id, list_distinct(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) AS parts FROM documents) SELECT doc_id, len(list_filter(parts, lambda a: len(list_filter(parts, lambda b: b <> a AND contains(b, a))) = 0))::BIGINT AS n FROM p")
 def p26(spark, d):
     parts = F.array_distinct(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
-    kept = F.filter("parts", lambda a: ~F.exists("parts", lambda b: (a != b) & F.contains(b, a)))
-    return views.table(spark, d, "documents").select("doc_id", parts.alias("parts")).select("doc_id", F.size(kept).cast("long").alias("n"))
+    return views.table(spark, d, "documents").select("doc_id", F.size(uncontained(parts)).cast("long").alias("n"))
 
 
 @query("p25_summary_composition", """WITH s AS (SELECT page_id, title, summary, list_filter(string_split(regexp_replace(trim(regexp_replace(summary, '\\s+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS leads FROM v)
@@ -151,6 +153,19 @@ def p25(spark, d):
     return rows.select(F.substring("id", 2, 9).cast("long").alias("page_id"), F.md5(F.concat_ws(" ", "title", F.nullif(F.array_join(F.slice(leads, 1, 2), " "), F.lit("")))).alias("text"))
 
 
+@query("p25_enrichment_summary")
+def p25_enrichment(spark, d):
+    """Whole pages: their heading if the last part of the URL does not identify it, leads, and later sentences on one topic."""
+    pages = views.table(spark, d, "pages").filter("html is not null")
+    body = F.coalesce(F.nullif(F.regexp_extract("html", r"(?is)<article\b[^>]*>(.*?)</article>", 1), F.lit("")), c("html"))
+    lead, later = summaries.lead_and_later(body)
+    h1 = F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)
+    og = F.regexp_extract("html", r"(?is)<meta[^>]+property=[\"']og:description[\"'][^>]*content=[\"']([^\"']*)", 1)
+    parts = pages.select("page_id", h1.alias("h1"), og.alias("og"), F.element_at(F.split("url", "/"), -1).alias("listing"), lead.alias("lead"), later.alias("later"))
+    text = summaries.compose(c("h1"), c("og"), c("lead"), c("later"), c("listing"), lambda s: found(s, r"\b(the|la|der)\b"))
+    return parts.select("page_id", F.md5(text).alias("summary"), F.length(text).cast("long").alias("n_chars"))
+
+
 @query("p2_decode_entities", "SELECT page_id, md5(text) AS text FROM (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h FROM pages), LATERAL (SELECT replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&') AS text)")
 def p2(spark, d):
     from gleanery.functions.entities import decode

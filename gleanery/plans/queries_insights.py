@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import summaries
 from gleanery.functions.contained import uncontained
 from gleanery.functions.rules import found
-from gleanery.operators import findings, insights, ranking
+from gleanery.operators import findings, insights, names, ranking
 from gleanery.plans import views
 from gleanery.plans.registry import query
 
@@ -107,6 +107,34 @@ def c21(spark, d):
     return insights.ungrounded(rows, ["brass", "steel", "tin"]).select("p_partkey", F.array_join("violations", ",").alias("violations"))
 
 
+NAMES = "names AS (SELECT DISTINCT trim(n) AS name FROM (SELECT regexp_extract(p_name, '([a-z]+)$', 1) AS n FROM part UNION ALL SELECT regexp_extract(p_name, '([a-z]+ [a-z]+)$', 1) FROM part UNION ALL SELECT lower(p_type) FROM part) WHERE n <> '')"
+
+
+def part_names(spark, d):
+    """A dimension of names that grows with its table: ends of part names, and types."""
+    part = views.table(spark, d, "part")
+    ends = [F.regexp_extract("p_name", p, 1) for p in ("([a-z]+)$", "([a-z]+ [a-z]+)$")]
+    return part.select(F.explode(F.array(*ends, F.lower("p_type"))).alias("name")).filter("name != ''").select(F.trim("name").alias("name")).distinct()
+
+
+@query("p19_known_names", f"""WITH {NAMES}, t AS (SELECT p_partkey, p_name || ' ' || lower(p_type) AS text FROM part), m AS (SELECT p_partkey, name FROM t JOIN names ON contains(text, name))
+  SELECT p_partkey, arg_min(name, struct_pack(a := -length(name), b := name)) AS longest, count(*) AS n_names FROM m GROUP BY p_partkey""")
+def p19_known(spark, d):
+    """The longest known name, by one automaton over the whole dimension."""
+    part = views.table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("text"))
+    found = names.names_in(part, "text", part_names(spark, d))
+    return found.filter(F.size("names") > 0).select("p_partkey", names.longest_name().alias("longest"), F.size("names").cast("long").alias("n_names"))
+
+
+@query("c21_named_grounding", f"""WITH {NAMES}, m AS (SELECT p_partkey, name FROM part JOIN names ON contains(p_name || ' ' || lower(p_type), name) AND NOT contains(p_name, name) AND NOT contains(lower(p_brand), name))
+  SELECT p_partkey, string_agg(name, ',' ORDER BY name) AS violations FROM m GROUP BY p_partkey""")
+def c21_named(spark, d):
+    """Names in a thesis that none of its members' texts holds."""
+    part = views.table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("text"), F.array("p_name", F.lower("p_brand")).alias("members"))
+    found = names.names_in(part, "text", part_names(spark, d)).withColumn("bad", F.array_sort(names.uncovered("names", "members")))
+    return found.filter(F.size("bad") > 0).select("p_partkey", F.array_join("bad", ",").alias("violations"))
+
+
 def ranked_items(spark, d):
     rows = views.items(spark, d)
     rows = rows.withColumn("tier", ranking.business_tier(c("role"), c("impact") >= 80, c("impact") >= 60, F.lit(False)))

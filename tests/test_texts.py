@@ -88,3 +88,32 @@ def test_leads_end_at_the_first_heading_below_the_title(spark):
     row = spark.createDataFrame([(html,), ("",)], "h string").coalesce(1).select(*[x.alias(n) for x, n in zip(S.lead_and_later(F.col("h")), ("lead", "later"))]).collect()
     assert row[0]["lead"] == [long, "Second sentence, just as long!"] and row[0]["later"] == ["After the heading comes this."]
     assert row[1]["lead"] == [] and row[1]["later"] == []
+
+
+def test_names_by_automaton_and_by_join_equal_a_loop(spark):
+    from gleanery.operators import names as N
+
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abc é😀") for _ in range(n))
+    known = [say(rng.randrange(0, 7)) for _ in range(60)] + [None, "", "abc", "abcabc", "x"]
+    texts = [(k, say(rng.randrange(0, 30)), "names") for k in range(80)] + [(90, None, ""), (91, "", ""), (92, "abcabc", ""), (92, "abcabc", "")]
+    rows, dim = spark.createDataFrame(texts, "id int, text string, name string"), spark.createDataFrame([(n,) for n in known], "name string")
+    want = sorted((i, sorted({n for n in known if n and n in (t or "")}, key=lambda n: (-len(n), n))) for i, t, _ in texts)
+    for most in (10_000, 10):
+        got = N.names_in(rows, "text", dim, most_chars=most).withColumn("best", N.longest_name()).collect()
+        assert sorted((r["id"], r["names"]) for r in got) == want
+        assert all(r["best"] == (r["names"][0] if r["names"] else None) for r in got)
+    assert [r["names"] for r in N.names_in(rows, "text", dim.limit(0)).limit(2).collect()] == [[], []]
+    cover = N.names_in(rows, "text", dim).withColumn("cover", F.array(F.lit("abcab"), F.lit("c"))).select("names", N.uncovered("names", "cover").alias("bad")).collect()
+    assert all(r["bad"] == [n for n in r["names"] if n not in "abcab" and n not in "c"] for r in cover)
+
+
+def test_a_hundred_thousand_names(spark):
+    from gleanery.operators import names as N
+
+    dim = spark.range(100_000).select(F.concat(F.lit("product "), F.col("id") * 7).alias("name"))
+    rows = spark.range(2_000).select("id", F.concat(F.lit("the product "), F.col("id") * 7, F.lit(" and more")).alias("text"))
+    began = time.perf_counter()
+    got = N.names_in(rows, "text", dim).select("id", N.longest_name().alias("best")).collect()
+    assert time.perf_counter() - began < 60
+    assert all(r["best"] == f"product {r['id'] * 7}" for r in got) and len(got) == 2_000

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import summaries
 from gleanery.functions.contained import uncontained
 from gleanery.functions.rules import found
-from gleanery.operators import findings, insights, names, ranking
+from gleanery.operators import copy, findings, insights, names, ranking
 from gleanery.plans import views
 from gleanery.plans.registry import query
 
@@ -101,6 +101,48 @@ def p31_stance(spark, d):
     return members(spark, d).select("group_id", "object_id", F.when((c("role") == "ADOPTION") & rough, "contradicts").when(c("role") == "CAPABILITY", "enables").otherwise("supports").alias("stance"))
 
 
+# Templates over the test groups: one with roles of its own, one for many suppliers, one for all others.
+TEMPLATES = [
+    ("metal", 1, ["SUPPLY", "ADOPTION"], [], 0, "FRICTION_PATTERN", "Steel is the gate", "{supply} are shipping steel, while {families} {families?reports|report} it failing.", "It blocks.", "Reconsider steel.", "reconsider"),
+    ("brass-supply", 2, ["SUPPLY"], ["ADOPTION"], 3, "CONVERGENCE", "Brass from {supply}", "{supply} {supply?is|are} converging on brass.", "It spreads.", "Watch brass.", "watch"),
+    ("reader", 3, [], [], 0, "EXPECTATION_SHIFT", "Readers wait", "Readers expected Brand#99 or Brand#9 to ship.", "It waits.", "Ask readers.", "ask"),
+    (None, 9, [], [], 0, "ADOPTION_SHIFT", "{all} show a shared change", "{all} {all?is|are} changing.", "It repeats.", "Watch it.", "watch"),
+]
+
+
+def listed(names: str) -> str:
+    return f"CASE len({names}) WHEN 0 THEN '' WHEN 1 THEN {names}[1] WHEN 2 THEN {names}[1] || ' and ' || {names}[2] ELSE array_to_string({names}[1:len({names}) - 1], ', ') || ', and ' || {names}[len({names})] END"
+
+
+COPY = f"""{EVIDENCE},
+slot AS (SELECT group_id, coalesce(list_sort(list(DISTINCT organization) FILTER (WHERE role = 'SUPPLY')), []) AS s, coalesce(list_sort(list(DISTINCT product_family) FILTER (WHERE role = 'ADOPTION')), []) AS f, list_sort(list(DISTINCT organization)) AS a, bool_or(role = 'ADOPTION') AS adoption FROM x GROUP BY group_id),
+copy AS (SELECT *, CASE WHEN group_id = 'metal' AND len(s) > 0 AND adoption THEN 1 WHEN group_id = 'brass-supply' AND len(s) >= 3 AND NOT adoption THEN 2 WHEN group_id = 'reader' THEN 3 ELSE 9 END AS place FROM slot),
+said AS (SELECT *, CASE place WHEN 1 THEN 'FRICTION_PATTERN' WHEN 2 THEN 'CONVERGENCE' WHEN 3 THEN 'EXPECTATION_SHIFT' ELSE 'ADOPTION_SHIFT' END AS type,
+  CASE place WHEN 1 THEN 'Steel is the gate' WHEN 2 THEN 'Brass from ' || {listed("s")} WHEN 3 THEN 'Readers wait' ELSE {listed("a")} || ' show a shared change' END AS headline,
+  CASE place WHEN 1 THEN {listed("s")} || ' are shipping steel, while ' || {listed("f")} || CASE WHEN len(f) = 1 THEN ' reports' ELSE ' report' END || ' it failing.' WHEN 2 THEN {listed("s")} || CASE WHEN len(s) = 1 THEN ' is' ELSE ' are' END || ' converging on brass.' WHEN 3 THEN 'Readers expected Brand#99 or Brand#9 to ship.'
+    ELSE {listed("a")} || CASE WHEN len(a) = 1 THEN ' is' ELSE ' are' END || ' changing.' END AS thesis FROM copy),
+brands AS (SELECT DISTINCT lower(p_brand) AS name FROM part UNION SELECT 'brand#99'),
+wrong AS (SELECT group_id, string_agg(name, ',' ORDER BY name) AS violations FROM said JOIN brands ON contains(lower(thesis), name) AND len(list_filter(list_concat(a, f), lambda t: contains(lower(t), name))) = 0 GROUP BY group_id)"""
+
+
+def copies(spark, d):
+    brands = views.table(spark, d, "part").select(c("p_brand").alias("name")).unionByName(spark.createDataFrame([("Brand#99",)], "name string")).distinct()
+    return copy.synthesize(members(spark, d), spark.createDataFrame(TEMPLATES, copy.TEMPLATE), brands)
+
+
+@query("p31_copy", f"WITH {COPY} SELECT group_id, type, headline, thesis, coalesce(violations, '') AS violations FROM said LEFT JOIN wrong USING (group_id)")
+def p31_copy(spark, d):
+    """Copy of each group from templates, with the names that its members do not cover."""
+    return copies(spark, d).select("group_id", "type", "headline", "thesis", F.array_join("violations", ",").alias("violations"))
+
+
+@query("e4_insight_copy", f"WITH {COPY} SELECT group_id, confidence, updated_at, type, thesis FROM final JOIN said USING (group_id) WHERE status = 'PUBLISH' AND group_id NOT IN (SELECT group_id FROM wrong)")
+def e4_copy(spark, d):
+    """Published insights whose thesis is grounded, with their copy."""
+    text = copies(spark, d).filter(F.size("violations") == 0)
+    return final(spark, d).filter("status = 'PUBLISH'").join(text, "group_id").select("group_id", "confidence", "updated_at", "type", "thesis")
+
+
 @query("c21_grounding", "SELECT p_partkey, array_to_string(list_filter(['brass', 'steel', 'tin'], lambda n: contains(lower(p_type), n) AND NOT contains(lower(p_name), n)), ',') AS violations FROM part")
 def c21(spark, d):
     rows = views.table(spark, d, "part").select("p_partkey", c("p_type").alias("thesis"), F.filter(F.array(F.lit("brass"), F.lit("steel"), F.lit("tin")), lambda n: F.contains(F.lower("p_name"), n)).alias("tokens"))

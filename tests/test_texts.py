@@ -117,3 +117,20 @@ def test_a_hundred_thousand_names(spark):
     got = N.names_in(rows, "text", dim).select("id", N.longest_name().alias("best")).collect()
     assert time.perf_counter() - began < 60
     assert all(r["best"] == f"product {r['id'] * 7}" for r in got) and len(got) == 2_000
+
+
+def test_copy_takes_the_first_template_that_fits(spark):
+    from gleanery.operators import copy
+
+    who = [("g", "SUPPLY", "Ada", "fa"), ("g", "SUPPLY", "Ada", "fb"), ("g", "ADOPTION", "Bo", "fx"), ("h", "CAPABILITY", "Cy", "fc"), ("h", "CAPABILITY", "Di", "fc"), ("h", "CAPABILITY", "Ed", ""), ("k", "ADOPTION", "Bo", "fx")]
+    members = spark.createDataFrame(who, "group_id string, role string, organization string, product_family string")
+    rows = [
+        ("g", 1, ["SUPPLY"], ["ADOPTION"], 0, "A", "x", "never changing", "", "", "v"), ("g", 2, ["SUPPLY", "ADOPTION"], [], 2, "B", "x", "too few, changing", "", "", "v"), ("g", 3, ["SUPPLY"], [], 1, "C", "{supply}", "{supply} {supply?is|are} shipping; {families} fails $1", "{all}", "i", "v"),
+        (None, 5, ["CAPABILITY"], ["SUPPLY"], None, "D", "{capability}", "{capability} {capability?is|are} converging, says Zed", "", "", "w"), (None, 9, [], [], 0, "E", "{all}", "no direction", "", "", "w"),
+    ]
+    known = spark.createDataFrame([("Zed",), ("Cy",), ("ada",)], "name string")
+    got = {r["group_id"]: r for r in copy.synthesize(members, spark.createDataFrame(rows, copy.TEMPLATE), known).collect()}
+    assert set(got) == {"g", "h"}  # the thesis of k has no direction
+    assert (got["g"]["type"], got["g"]["thesis"], got["g"]["why"], got["g"]["violations"]) == ("C", "Ada is shipping; fx fails $1", "Ada and Bo", [])
+    assert (got["h"]["headline"], got["h"]["thesis"], got["h"]["violations"]) == ("Cy, Di, and Ed", "Cy, Di, and Ed are converging, says Zed", ["zed"])
+    assert copy.synthesize(members.limit(0), spark.createDataFrame(rows, copy.TEMPLATE)).collect() == []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.operators import components, dedupe, findings, match, windows
+from gleanery.operators import components, deciders, dedupe, findings, match, windows
 from gleanery.plans import views
 from gleanery.plans.registry import query
 
@@ -322,6 +322,20 @@ def j6(spark, d):
     return matched(typed_records(spark, d))[1]
 
 
+@query("u1_undecided_pairs", f"WITH {DECIDED} SELECT left_id, right_id, {PAIR_KEY} AS pair_key, coalesce(decision, CASE WHEN length(lt) % 5 = 0 THEN false ELSE length(lt) % 2 = length(rt) % 2 END) AS matched, CASE WHEN decision IS NULL AND length(lt) % 5 = 0 THEN 'ValueError: no opinion' END AS error FROM decided")
+def u1_undecided(spark, d):
+    """What the rules leave open goes to a decider that fails on some pairs."""
+
+    def decider(pairs):
+        n = pairs["left_title"].str.len()
+        if (n % 5 == 0).any():
+            raise ValueError("no opinion")
+        return n % 2 == pairs["right_title"].str.len() % 2
+
+    rows, found = pairs(typed_records(spark, d))
+    return deciders.decide_rest(match.decide(found, rows), rows, ["title"], decider)
+
+
 @query("a11_components", f"WITH {COMPONENTS} SELECT id, component FROM comp")
 def a11(spark, d):
     rows, m = matched(typed_records(spark, d))

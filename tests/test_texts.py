@@ -134,3 +134,35 @@ def test_copy_takes_the_first_template_that_fits(spark):
     assert (got["g"]["type"], got["g"]["thesis"], got["g"]["why"], got["g"]["violations"]) == ("C", "Ada is shipping; fx fails $1", "Ada and Bo", [])
     assert (got["h"]["headline"], got["h"]["thesis"], got["h"]["violations"]) == ("Cy, Di, and Ed", "Cy, Di, and Ed are converging, says Zed", ["zed"])
     assert copy.synthesize(members.limit(0), spark.createDataFrame(rows, copy.TEMPLATE)).collect() == []
+
+
+def test_a_decider_that_raises_leaves_other_pairs_alone(spark):
+    from gleanery.operators import deciders
+
+    asked = []
+
+    def decider(pairs):
+        asked.append(len(pairs))
+        if (pairs["left_n"] % 13 == 7).any():
+            raise RuntimeError("boom")
+        return pairs["left_n"].lt(pairs["right_n"]).astype(object).where(pairs["left_n"] != 3, None)
+
+    import pandas as pd
+
+    frame = pd.DataFrame({"left_n": range(100), "right_n": [50] * 100})
+    got = deciders.answers(frame, decider)
+    assert [bool(a) for a in got["answer"]] == [n < 50 and n % 13 != 7 and n != 3 for n in range(100)]
+    assert [e for e in got["error"] if e] == ["RuntimeError: boom"] * 8 and len(asked) < 100
+    assert set(deciders.answers(frame, lambda p: [])["error"]) == {"ValueError: 0 answers to 1 pairs"} and not len(deciders.answers(frame[:0], decider))
+    records = spark.createDataFrame([(f"r{k}", k) for k in range(40)], "id string, n int")
+    decided = spark.createDataFrame([(f"r{k}", f"r{k + 1}", [True, False, None][k % 3]) for k in range(39)], "left_id string, right_id string, decision boolean")
+
+    def strict(pairs):
+        if (pairs["left_n"] % 3 != 2).any():
+            raise AssertionError("decided pairs must not be asked")
+        if (pairs["left_n"] == 5).any():
+            raise KeyError("five")
+        return pairs["left_n"] > 20
+
+    rows = {int(r["left_id"][1:]): (r["matched"], r["error"]) for r in deciders.decide_rest(decided, records, ["n"], strict).collect()}
+    assert rows == {k: ([True, False][k % 3], None) if k % 3 < 2 else (k > 20, "KeyError: 'five'" if k == 5 else None) for k in range(39)}

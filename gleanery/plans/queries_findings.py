@@ -322,7 +322,11 @@ def j6(spark, d):
     return matched(typed_records(spark, d))[1]
 
 
-@query("u1_undecided_pairs", f"WITH {DECIDED} SELECT left_id, right_id, {PAIR_KEY} AS pair_key, coalesce(decision, CASE WHEN length(lt) % 5 = 0 THEN false ELSE length(lt) % 2 = length(rt) % 2 END) AS matched, CASE WHEN decision IS NULL AND length(lt) % 5 = 0 THEN 'ValueError: no opinion' END AS error FROM decided")
+UNDECIDED = f"""WITH {DECIDED}, titled AS (SELECT d.*, length(l.title) AS ln, length(r.title) AS rn FROM decided d JOIN typed l ON l.id = left_id JOIN typed r ON r.id = right_id)
+  SELECT left_id, right_id, {PAIR_KEY} AS pair_key, coalesce(decision, CASE WHEN ln % 5 = 0 THEN false ELSE ln % 2 = rn % 2 END) AS matched, CASE WHEN decision IS NULL AND ln % 5 = 0 THEN 'ValueError: no opinion' END AS error FROM titled"""
+
+
+@query("u1_undecided_pairs", UNDECIDED)
 def u1_undecided(spark, d):
     """What the rules leave open goes to a decider that fails on some pairs."""
 

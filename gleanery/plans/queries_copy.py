@@ -35,7 +35,7 @@ def hit(x, pattern):
 # RE2 has no look-ahead: the word edge stands for it
 NO_SUMMARY, GENERIC = (p.replace("(?![A-Za-z0-9_])", r"\b") for p in (briefs.NO_SUMMARY, briefs.GENERIC_START))
 RAW = """raws AS (SELECT doc_id, source, substring(split_part(text, chr(10), 1), 1, 60 + doc_id % 90) AS line, text FROM documents),
-titled AS (SELECT doc_id, source, CASE doc_id % 8 WHEN 0 THEN 'v' || CAST(doc_id AS VARCHAR) || '.2-rc1' WHEN 1 THEN 'Changelog' WHEN 2 THEN line || ' - Official Blog' WHEN 3 THEN 'Release: ' || line WHEN 4 THEN substring(line, 1, 20) ELSE line END AS title, substring(text, 1, 300) AS summary,
+titled AS (SELECT doc_id, source, CASE doc_id % 8 WHEN 0 THEN 'v' || CAST(doc_id AS VARCHAR) || '.2-rc1' WHEN 1 THEN 'Changelog' WHEN 2 THEN line || ' - Official Blog' WHEN 3 THEN 'Release: ' || line WHEN 4 THEN substring(line, 1, 20) ELSE line END AS title, coalesce(text, '') AS summary,
   CASE doc_id % 5 WHEN 0 THEN source || '/my-API_toolKit' || CAST(doc_id % 10 AS VARCHAR) WHEN 1 THEN '' END AS repo FROM raws)"""
 HEADLINES = f"""WITH {RAW}, t AS (SELECT *, {squeezed('title')} AS raw, {squeezed('summary')} AS about FROM titled),
 u AS (SELECT *, {clause('about', 110)} AS cl, trim(regexp_replace(regexp_replace(raw, '{briefs.TITLE_ENDS}', ''), '{briefs.TITLE_STARTS}', '')) AS plain, nullif(trim(repo), '') AS name, CASE WHEN about <> '' THEN about WHEN NOT {hit('raw', briefs.VERSION_TAG)} THEN raw ELSE '' END AS said FROM t),
@@ -54,7 +54,7 @@ def titled(spark, d):
     k, line = c("doc_id"), F.split_part("text", F.lit("\n"), F.lit(1)).substr(F.lit(1), (60 + c("doc_id") % 90).cast("int"))
     title = F.when(k % 8 == 0, F.concat(F.lit("v"), k.cast("string"), F.lit(".2-rc1"))).when(k % 8 == 1, "Changelog").when(k % 8 == 2, F.concat(line, F.lit(" - Official Blog"))).when(k % 8 == 3, F.concat(F.lit("Release: "), line)).when(k % 8 == 4, F.substring(line, 1, 20)).otherwise(line)
     repo = F.when(k % 5 == 0, F.concat("source", F.lit("/my-API_toolKit"), (k % 10).cast("string"))).when(k % 5 == 1, "")
-    return views.table(spark, d, "documents").select("doc_id", "source", title.alias("title"), F.substring("text", 1, 300).alias("summary"), repo.alias("repo"))
+    return views.table(spark, d, "documents").select("doc_id", "source", title.alias("title"), F.coalesce("text", F.lit("")).alias("summary"), repo.alias("repo"))
 
 
 @query("p16_headline_rules", HEADLINES)
@@ -72,14 +72,14 @@ def case_of(table, default):
     return "CASE cue " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE '{default}' END"
 
 
-PAPER_BRIEFS = f"""WITH p AS (SELECT doc_id, substring(split_part(text, chr(10), 1), 1, 240) AS finding, CASE lang WHEN 'en' THEN 'Agents' WHEN 'fr' THEN 'Video' END AS cue, CASE WHEN n_chars > 2000 THEN 'code available' ELSE 'preprint; maturity unproven' END AS maturity FROM documents),
+PAPER_BRIEFS = f"""WITH p AS (SELECT doc_id, split_part(text, chr(10), 1) AS finding, CASE lang WHEN 'en' THEN 'Agents' WHEN 'fr' THEN 'Video' END AS cue, CASE WHEN n_chars > 2000 THEN 'code available' ELSE 'preprint; maturity unproven' END AS maturity FROM documents),
 b AS (SELECT doc_id, finding AS what_happened, {case_of(WHY, NEITHER[0])} AS why_it_matters, {case_of(IMPACT, NEITHER[1])} AS potential_impact, CASE WHEN cue IS NOT NULL THEN cue || ': ' || substring(finding, 1, 140) ELSE substring(finding, 1, 160) END || ' (' || maturity || ').' AS key_takeaway FROM p)"""
 
 
 def paper_briefs(spark, d):
     docs = views.table(spark, d, "documents")
     cue = F.when(c("lang") == "en", "Agents").when(c("lang") == "fr", "Video")
-    finding = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 240)
+    finding = F.split_part("text", F.lit("\n"), F.lit(1))
     maturity = F.when(c("n_chars") > 2000, "code available").otherwise("preprint; maturity unproven")
     return docs.select("doc_id", *[v.alias(k) for k, v in briefs.paper_brief(finding, cue, maturity, WHY, IMPACT, NEITHER).items()])
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.rules import ascii_edges
 from gleanery.functions.text import spaced, squeeze
 
 
@@ -24,17 +25,17 @@ def headline(title: Column, summary: Column, boilerplate: str, short: int = 22,
 
 
 # What marks a title as a version, as vague, or as framed by boilerplate; words that are written in capitals; set phrases.
-VERSION_TAG = r"(?i)^v?[0-9]+([.][0-9]+){1,3}([-._a-z0-9]*)?$"
+VERSION_TAG = r"(?i)^v?\d+(\.\d+){1,3}([-._a-z0-9]*)?$"
 VAGUE_TITLE = r"(?i)^(release notes?|changelog|update|news|blog|readme)$"
 TITLE_ENDS = r"(?i)\s*[|–—-]\s*(Official Blog|Blog|Newsroom|News)\s*$"
 TITLE_STARTS = r"(?i)^(Release notes from|Release:)\s+"
-NO_SUMMARY = r"(?i)^(discussion\s*[|]\s*link|read more|comments?|share)(?![A-Za-z0-9_])"
+NO_SUMMARY = r"(?i)^(discussion\s*\|\s*link|read more|comments?|share)\b"
 CAPITALS = ("ai", "llm", "gpt", "ml", "nlp", "rag", "ui", "api", "sdk", "vl")
 NEW_MODEL = " ships a new model release"
 QUIET_PROJECT = ": notable open-source AI project trending on GitHub"
 ACTIVE_PROJECT = " sees fresh activity on GitHub"
 NAMES_ITSELF = r"(?i)^(the|a|an|building|open|new)"
-GENERIC_START = r"(?i)^(a|an|the)\s+(library|toolkit|framework|tool)(?![A-Za-z0-9_])"
+GENERIC_START = r"(?i)^(a|an|the)\s+(library|toolkit|framework|tool)\b"
 HAN = "[\u4e00-\u9fff]"
 
 
@@ -76,7 +77,7 @@ def with_headlines(rows: DataFrame, exempt: str, name: str = "headline") -> Data
     steps = steps.withColumns({"_clause": first_clause(c("_about"), 110), "_plain": plain, "_tag": tag, "_said": said, "_slug": slug, "_project": humanised(slug)})
     dense = c("_plain").rlike(HAN) & (F.length("_plain") >= 8)
     weak = (c("source") != exempt) & ~dense & ((F.length("_plain") < 28) | c("_plain").rlike(VAGUE_TITLE))
-    better = weak & (c("_clause") != "") & (F.length("_clause") > F.length("_plain")) & ~c("_clause").rlike(NO_SUMMARY)
+    better = weak & (c("_clause") != "") & (F.length("_clause") > F.length("_plain")) & ~c("_clause").rlike(ascii_edges(NO_SUMMARY))
     steps = steps.withColumns({"_chosen": F.when(better, c("_clause")).otherwise(c("_plain")), "_core": first_clause(c("_said"), 100)})
     low = F.lower("_core")
     steps = steps.withColumns({"_short": first_clause(c("_chosen"), 118), "_same": low.isin(F.lower("_slug"), F.lower("_repo"), F.lower("_project"))})
@@ -84,7 +85,7 @@ def with_headlines(rows: DataFrame, exempt: str, name: str = "headline") -> Data
         F.when((c("_core") == "") | c("_said").rlike(VERSION_TAG), F.concat("_project", F.lit(QUIET_PROJECT)))
         .when(c("_same"), F.concat("_project", F.lit(ACTIVE_PROJECT)))
         .when((F.length("_core") < 48) & ~c("_core").rlike(NAMES_ITSELF), F.concat("_project", F.lit(" — "), "_core"))
-        .when(c("_core").rlike(GENERIC_START), F.concat("_project", F.lit(": "), "_core"))
+        .when(c("_core").rlike(ascii_edges(GENERIC_START)), F.concat("_project", F.lit(": "), "_core"))
         .otherwise(c("_core"))
     )
     of_version = F.when((c("_clause") != "") & ~c("_clause").rlike(VERSION_TAG), F.concat("source", F.lit(": "), "_clause")).otherwise(F.concat("source", F.lit(NEW_MODEL)))

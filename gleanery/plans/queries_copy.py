@@ -32,8 +32,7 @@ def hit(x, pattern):
     return f"regexp_matches({x}, '{pattern.replace(chr(39), chr(39) * 2)}')"
 
 
-# RE2 has no look-ahead: the word edge stands for it
-NO_SUMMARY, GENERIC = (p.replace("(?![A-Za-z0-9_])", r"\b") for p in (briefs.NO_SUMMARY, briefs.GENERIC_START))
+NO_SUMMARY, GENERIC = briefs.NO_SUMMARY, briefs.GENERIC_START
 RAW = """raws AS (SELECT doc_id, source, substring(split_part(text, chr(10), 1), 1, 60 + doc_id % 90) AS line, text FROM documents),
 titled AS (SELECT doc_id, source, CASE doc_id % 8 WHEN 0 THEN 'v' || CAST(doc_id AS VARCHAR) || '.2-rc1' WHEN 1 THEN 'Changelog' WHEN 2 THEN line || ' - Official Blog' WHEN 3 THEN 'Release: ' || line WHEN 4 THEN substring(line, 1, 20) ELSE line END AS title, coalesce(text, '') AS summary,
   CASE doc_id % 5 WHEN 0 THEN source || '/my-API_toolKit' || CAST(doc_id % 10 AS VARCHAR) WHEN 1 THEN '' END AS repo FROM raws)"""

@@ -137,3 +137,21 @@ SOURCE_WEIGHTS = {
     "ByteDance": 12.0, "Black Forest Labs": 11.0, "Thinking Machines": 11.0, "Hugging Face": 10.0, "Tech Blog": 7.0, "Foreign Media": 9.0, "Embodied AI": 9.0, "机器之心": 9.0, "新智元": 9.0, "量子位": 9.0,
     "Product Hunt": 8.0, "Developer Community": 8.0, "GitHub · Articles": 9.0, "GitHub · Skills": 10.0, "GitHub · Projects": 9.0,
 }
+LAUNCH_MODELS = r"\b(gpt[-\s]?\d|claude|gemini|grok|llama|qwen|deepseek|minimax|mistral|kimi)\b"
+PLAIN_TAGS = ["live", "developer-community", "friction", "adoption", "workflow-shift", "migration", "unexpected-use"]  # tags that name no product
+PLAIN_TAG_PREFIX = "evidence:"
+TAGGED_TOPICS = ["mcp-runtime", "session-failure", "tool-calling", "install-platform"]
+ADOPTION_TOPICS = [Rule("mcp", r"\bmcp\b"), Rule("session", r"\bsession\b"), Rule("tool-calling", r"\btool call"), Rule("install", r"\binstall\b")]
+PAPER_TOPICS = [
+    Rule("memory", r"\bmemory\b"), Rule("skill", r"\bskill\b"), Rule("hci", r"\bhci\b|harassment|safety vs"), Rule("video", r"\bvideo\b"), Rule("voice", r"\bvoice\b"), Rule("agents", r"\bagent\b"),
+]
+VALUE_CUES = {"SUPPLY": "High Impact", "CAPABILITY": "New Capability", "ADOPTION": "Developer Signal"}
+EVIDENCE_ROLES = {"SUPPLY": "Launch", "CAPABILITY": "Research"}
+OTHER_EVIDENCE_ROLE = "In the wild"
+REASON_STATUSES = {"outside-window": "outside-window", "duplicate": "duplicate", "capped": "capped"}
+OTHER_REASON_STATUS = "rejected"
+SOURCE_GROUPS = {
+    "labs": ["OpenAI", "Anthropic", "Google DeepMind", "Meta AI", "xAI", "DeepSeek", "Qwen", "Mistral AI", "Kimi", "MiniMax", "Prime Intellect", "ByteDance", "Black Forest Labs", "Thinking Machines"],
+    "research": ["arXiv", "Hugging Face"],
+}
+OTHER_SOURCE_GROUP = "community"

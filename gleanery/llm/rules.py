@@ -58,29 +58,33 @@ def totals(counts: DataFrame) -> np.ndarray:
 
 
 def log_ratios(texts: list[str], all_counts: np.ndarray) -> np.ndarray:
-    """Mean log p(n-gram) - log q(n-gram) of each text; 0 without words or trusted text.
-
-    p is the multinomial of trusted text, q that of raw text, both over all
-    buckets.  A text's own n-grams are taken from the raw counts first, so that
-    it is judged by the others; a trusted text stays in the target.  p is
-    smoothed by one occurrence a bucket, q by as many as make up the same share
-    of its mass (the ratio of the totals): so rare n-grams say little, frequent
-    ones that trusted text lacks say much.
+    """Mean log p(n-gram) - log q(n-gram) of each text; 0 without words or other trusted text.
+
+    Two rows: the ratios of texts outside of the target, and those of trusted
+    ones.  p is the multinomial of trusted text, q that of raw text, both over
+    all buckets.  A text's own n-grams are taken from the raw counts first, and
+    of a trusted text from the target too: each is judged by the others alone,
+    labelled or not.  p is smoothed by one occurrence a bucket, q by as many as
+    make up the same share of its mass (the ratio of the totals): so rare
+    n-grams say little, frequent ones that trusted text lacks say much.
     """
     buckets, owner = ngram_buckets(*split_words(texts, lower=True))
-    sizes = np.bincount(owner, minlength=len(texts))
-    raw_total, target_total = all_counts[0].sum(), all_counts[1].sum()
-    if not len(buckets) or not target_total:
-        return np.zeros(len(texts))
+    sizes, out = np.bincount(owner, minlength=len(texts)), np.zeros((2, len(texts)))
     pairs, own = np.unique(owner * BUCKETS + buckets, return_counts=True)
     who, bucket = pairs // BUCKETS, pairs % BUCKETS
-    left = (raw_total - sizes)[who]
-    alpha = SMOOTHING * np.maximum(left, target_total) / target_total
-    p = (all_counts[1][bucket] + SMOOTHING) / (target_total + SMOOTHING * BUCKETS)
-    q = (all_counts[0][bucket] - own + alpha) / (left + alpha * BUCKETS)
-    each = np.log(p) - np.log(q)
-    sums = np.bincount(who, weights=own * each, minlength=len(texts))
-    return np.divide(sums, sizes, out=np.zeros(len(texts)), where=sizes > 0)
+    raw, target = all_counts[0][bucket] - own, all_counts[1][bucket]
+    left = (all_counts[0].sum() - sizes)[who]
+    for within in (0, 1):
+        good = all_counts[1].sum() - within * sizes[who]
+        some = good > 0
+        alpha = SMOOTHING * np.maximum(left, good) / np.where(some, good, 1)
+        p = (target - within * own + SMOOTHING) / (good + SMOOTHING * BUCKETS)
+        q = (raw + alpha) / (left + alpha * BUCKETS)
+        # a text outside of the target may hold more of a bucket than trusted text does: its second row is not for use
+        each = np.log(np.where(some, p, 1.0), where=p > 0, out=np.zeros(len(p))) - np.log(np.where(some, q, 1.0))
+        sums = np.bincount(who, weights=own * each, minlength=len(texts))
+        np.divide(sums, sizes, out=out[within], where=sizes > 0)
+    return out
 
 
 def symbol_count(text: str) -> int:
@@ -112,14 +116,15 @@ def repeated_words(hashes: np.ndarray, size: int = REPEAT_WINDOW) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ratio double, kept boolean"
+SCORED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, outside double, inside double"
 
 
 def apply_rules(docs: DataFrame, trusted: DataFrame, least_ratio: float = LEAST_RATIO, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts and a verdict for every document.
 
     ``trusted`` has the ids of trusted documents; their n-grams are the target
-    multinomial, those of all documents the raw one.  log_ratio is the mean over
+    multinomial, those of all documents the raw one, each without the text's own
+    n-grams.  log_ratio is the mean over
     a text's unigrams and bigrams of the log-likelihood ratio (0 for a text
     without words); a document is kept if it passes the base rules and
     log_ratio >= ``least_ratio``.
@@ -129,7 +134,7 @@ def apply_rules(docs: DataFrame, trusted: DataFrame, least_ratio: float = LEAST_
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     marks = trusted.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(True).alias("trusted")).distinct()
-    # the marks grow with the labels, so they are never broadcast: texts are shuffled once, at every size
+    # the marks grow with the labels, so they are never broadcast: texts are shuffled once, at every size, and only counts and ratios again
     counted = totals(bucket_counts(rows.join(marks.hint("merge"), "doc_id", "left")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,15 +142,17 @@ def apply_rules(docs: DataFrame, trusted: DataFrame, least_ratio: float = LEAST_
             texts = part["text"].tolist()
             hashes, counts = split_words(texts)
             ends = np.cumsum(counts)
-            mean = log_ratios(texts, counted)
+            outside, inside = log_ratios(texts, counted)
             repeats = np.array([repeated_words(hashes[e - c : e]) for e, c in zip(ends, counts)], dtype=np.int64)
             failed = (counts < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * counts)
             yield pd.DataFrame({
                 "doc_id": part["doc_id"].array, "n_words": counts, "word_chars": [word_chars(t) for t in texts], "n_symbols": [symbol_count(t) for t in texts],
-                "n_dup_lines": [repeated_lines(t) for t in texts], "n_repeat_words": repeats, "base_failed": failed, "log_ratio": mean, "kept": ~failed & (mean >= least_ratio),
+                "n_dup_lines": [repeated_lines(t) for t in texts], "n_repeat_words": repeats, "base_failed": failed, "outside": outside, "inside": inside,
             })
 
-    return map_rows(rows, run, SCHEMA)
+    scored = map_rows(rows, run, SCORED).join(marks.hint("merge"), "doc_id", "left")
+    scored = scored.withColumn("log_ratio", F.when(F.col("trusted"), F.col("inside")).otherwise(F.col("outside")))
+    return scored.drop("outside", "inside", "trusted").withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= least_ratio))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

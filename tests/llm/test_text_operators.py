@@ -461,14 +461,28 @@ def test_log_ratios_equal_the_two_multinomials():
             counts[0, b] += 1
             counts[1, b] += good
     got = rules.log_ratios(texts, counts)
-    for g, ratio in zip(grams, got):
-        raw = counts[0].astype(float)
-        np.subtract.at(raw, g, 1)
-        alpha = max(1.0, raw.sum() / counts[1].sum())
-        p, q = counts[1] + 1.0, raw + alpha
-        p, q = p / p.sum(), q / q.sum()
-        assert p.sum() == pytest.approx(1) and q.sum() == pytest.approx(1)
-        assert ratio == pytest.approx(np.mean([np.log(p[b]) - np.log(q[b]) for b in g]) if g else 0.0)
+    for k, (g, good) in enumerate(zip(grams, trusted)):
+        for within in (False, True)[: 1 + good]:  # a trusted text leaves both multinomials
+            raw, target = counts.astype(float)
+            np.subtract.at(raw, g, 1)
+            np.subtract.at(target, g, within)
+            alpha = max(1.0, raw.sum() / target.sum())
+            p, q = target + 1.0, raw + alpha
+            p, q = p / p.sum(), q / q.sum()
+            assert p.sum() == pytest.approx(1) and q.sum() == pytest.approx(1)
+            assert got[int(within), k] == pytest.approx(np.mean([np.log(p[b]) - np.log(q[b]) for b in g]) if g else 0.0)
+
+
+def test_a_text_is_judged_by_the_others_whether_trusted_or_not(spark):
+    rng = random.Random(23)
+    rows = [(k, prose(rng, 60)) for k in range(80)] + [(80, " ".join(f"only{k}" for k in range(40)))]
+    ratio = lambda ids: {r["doc_id"]: r["log_ratio"] for r in rules.apply_rules(documents(spark, rows), spark.createDataFrame([(k,) for k in ids], "doc_id long")).collect()}
+    half = list(range(0, 80, 2))
+    assert ratio([*half, 80])[80] == pytest.approx(ratio(half)[80])  # a mark on itself does not help a text
+    assert ratio([80])[80] == 0.0  # no other trusted text
+    means = ratio(half)
+    inside, outside = np.mean([means[k] for k in half]), np.mean([means[k] for k in range(1, 80, 2)])
+    assert abs(inside - outside) < 0.05
 
 
 def test_the_verdict_is_the_base_rules_and_the_threshold(spark):

@@ -125,9 +125,17 @@ brands AS (SELECT DISTINCT lower(p_brand) AS name FROM part UNION SELECT 'brand#
 wrong AS (SELECT group_id, string_agg(name, ',' ORDER BY name) AS violations FROM said JOIN brands ON contains(lower(thesis), name) AND len(list_filter(list_concat(a, f), lambda t: contains(lower(t), name))) = 0 GROUP BY group_id)"""
 
 
+def synthesized(spark, cited, known):
+    """Copy of the groups of ``cited`` by the templates above."""
+    return copy.synthesize(cited, spark.createDataFrame(TEMPLATES, copy.TEMPLATE), known)
+
+
+def brand_names(spark, d):
+    return views.table(spark, d, "part").select(c("p_brand").alias("name")).unionByName(spark.createDataFrame([("Brand#99",)], "name string")).distinct()
+
+
 def copies(spark, d):
-    brands = views.table(spark, d, "part").select(c("p_brand").alias("name")).unionByName(spark.createDataFrame([("Brand#99",)], "name string")).distinct()
-    return copy.synthesize(members(spark, d), spark.createDataFrame(TEMPLATES, copy.TEMPLATE), brands)
+    return synthesized(spark, members(spark, d), brand_names(spark, d))
 
 
 @query("p31_copy", f"WITH {COPY} SELECT group_id, type, headline, thesis, coalesce(violations, '') AS violations FROM said LEFT JOIN wrong USING (group_id)")

@@ -6,9 +6,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gleanery.functions import rules
+from gleanery.functions import lexicons, rules
 from gleanery.functions.text import first_sentence, spaced
-from gleanery.operators import dedupe, findings, launches, projections, ranking, windows
+from gleanery.operators import dedupe, findings, identity, insights, launches, links, projections, ranking, windows
 from gleanery.operators.state import merge_queue
 from gleanery.operators.storage import scratch, stored
 from gleanery.plans import queries_findings as qf
@@ -197,6 +197,47 @@ def e5(spark, d):
     return spark.read.schema(out.schema).parquet(path)
 
 
+# Capability keys of feed rows, by words of their titles, and the rules of E4 over them.
+FEED_KEYS = [rules.Rule("STEEL", r"\b(the|steel)\b"), rules.Rule("METAL", r"\b(of|la|der)\b"), rules.Rule("BRASS", r"\b(brass|in|around|de)\b"), rules.Rule("ECONOMY", r"\b(economy|et|und)\b"), rules.Rule("RETURN", r"\bfriction\b"), rules.Rule("BIG", r"\b(in|is|en)\b")]
+FEED_SINCE = "2001-10-01"
+FEED_INSIGHTS = f"""said0 AS (SELECT DISTINCT regexp_replace(id, '^dc-', '') AS object_id, role, list_filter([{", ".join(f"CASE WHEN regexp_matches(title, '(?i){r.pattern}') THEN '{r.label}' END" for r in FEED_KEYS)}], lambda x: x IS NOT NULL) AS capability_keys, organization, topic AS product_family,
+  CASE WHEN contains(title, 'friction') THEN 'FRICTION' END AS finding_type, published_at >= TIMESTAMP '{FEED_SINCE}' AS current, false AS hidden, published_at AS updated_at FROM pool WHERE role <> 'BACKGROUND'),
+q AS (SELECT * FROM said0 QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY updated_at DESC, role DESC) = 1),
+{qi.COPY[qi.COPY.index("g(group_id"):]},
+cited AS (SELECT object_id, group_id, headline, f.updated_at, CASE confidence WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END AS rank FROM m JOIN (SELECT group_id, updated_at, confidence FROM final WHERE status = 'PUBLISH') f USING (group_id) JOIN (SELECT group_id, headline FROM said) USING (group_id) WHERE group_id NOT IN (SELECT group_id FROM wrong)),
+named AS (SELECT object_id AS ref, * EXCLUDE (object_id) FROM cited UNION ALL SELECT 'dc-' || object_id, * EXCLUDE (object_id) FROM cited UNION ALL SELECT object_id[4:], * EXCLUDE (object_id) FROM cited WHERE starts_with(object_id, 'dc-')),
+linked AS (SELECT ref, group_id AS insight, headline FROM named QUALIFY row_number() OVER (PARTITION BY ref ORDER BY updated_at DESC, rank, group_id) = 1)"""
+
+
+def feed_insights(spark, rows, known):
+    """E4 over feed rows: C20's evidence, C2's keys, D4, J7, A4, C14, A6, P31 and C21; a row per published insight and cited object."""
+    said = rows.filter("role != 'BACKGROUND'").select(
+        F.regexp_replace("id", "^dc-", "").alias("object_id"), "role", rules.classify_all(c("title"), FEED_KEYS).alias("capability_keys"), "organization", c("topic").alias("product_family"),
+        F.when(F.contains("title", F.lit("friction")), "FRICTION").alias("finding_type"), (c("published_at") >= F.lit(FEED_SINCE).cast("timestamp")).alias("current"), F.lit(False).alias("hidden"), c("published_at").alias("updated_at"),
+    )
+    members = insights.join_groups(dedupe.keep_last(said, ["object_id"], F.struct("updated_at", "role")), qi.groups(spark))
+    stated = insights.suppress_overlap(insights.route(insights.cluster_facts(members, ["RETURN"])), "promo", "metal").filter("status = 'PUBLISH'")
+    told = qi.synthesized(spark, members, known).filter(F.size("violations") == 0).select("group_id", "headline")
+    rank = F.when(c("confidence") == "HIGH", 0).when(c("confidence") == "MEDIUM", 1).otherwise(2)
+    published = stated.select("group_id", "updated_at", rank.alias("rank")).join(told, "group_id")
+    return members.select("group_id", "object_id").join(published, "group_id")
+
+
+@query("e5_linked_feed", f"""WITH RECURSIVE {views.ITEMS}, {FEED}, {qi.SEATED}, {FEED_INSIGHTS}
+  SELECT s.lang AS feed, CAST(s.seat AS INTEGER) AS seat, s.id, p.branch, CASE p.role {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lexicons.VALUE_CUES.items())} END AS cue, insight, headline,
+    CAST(row_number() OVER (PARTITION BY s.lang ORDER BY p.published_at DESC, s.seat) AS INTEGER) AS newest, CAST(row_number() OVER (PARTITION BY s.lang ORDER BY p.impact DESC, s.seat) AS INTEGER) AS by_impact, CAST(row_number() OVER (PARTITION BY s.lang ORDER BY p.novelty DESC, s.seat) AS INTEGER) AS by_trend
+  FROM seats s JOIN pool p ON p.id = s.id LEFT JOIN linked ON ref = s.id WHERE seat > 0""")
+def e5_linked(spark, d):
+    """E5 with the insights that its items bear out (E4, J11), their cues (P32) and the orders of T2."""
+    rows = feed_rows(spark, d)
+    seated = ranking.rank_feed(rows, "source", 20).withColumnRenamed("source", "feed").join(rows.drop("source"), "id")
+    order = [-F.unix_micros("updated_at"), c("rank"), c("group_id")]
+    cited = feed_insights(spark, rows, qi.brand_names(spark, d)).withColumn("insight", c("group_id"))
+    out = links.insight_links(seated, cited, "id", "object_id", order, ["insight", "headline"])
+    places = [links.sort_place("feed", mode).alias(name) for mode, name in (("newest", "newest"), ("impact", "by_impact"), ("trend", "by_trend"))]
+    return out.select("feed", "seat", "id", "branch", identity.value_cue(c("role")).alias("cue"), "insight", "headline", *places)
+
+
 @query("a12_feed_report", f"WITH RECURSIVE {views.ITEMS}, {FEED} SELECT branch, role, count(*) AS n, max(published_at) AS latest FROM pool GROUP BY ALL")
 def a12_feed(spark, d):
     """A12 over the union that E5 ranks."""

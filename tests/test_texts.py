@@ -166,3 +166,17 @@ def test_a_decider_that_raises_leaves_other_pairs_alone(spark):
 
     rows = {int(r["left_id"][1:]): (r["matched"], r["error"]) for r in deciders.decide_rest(decided, records, ["n"], strict).collect()}
     assert rows == {k: ([True, False][k % 3], None) if k % 3 < 2 else (k > 20, "KeyError: 'five'" if k == 5 else None) for k in range(39)}
+
+
+def test_upper_case_keeps_the_number_of_letters(spark):
+    import duckdb
+
+    from gleanery.functions.text import LONG_UPPER, upper_word
+    from gleanery.operators.briefs import capitalised, humanised
+
+    words = [*LONG_UPPER, "ßa", "aß", "éß", "ab"]
+    want = dict(duckdb.connect().execute("SELECT x, upper(x) FROM (SELECT unnest(?) AS x)", [words]).fetchall())
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", upper_word(F.col("w")).alias("up")).collect()
+    assert {r["w"]: r["up"] for r in got} == want
+    row = spark.createDataFrame([("ßheit und",)], "t string").select(capitalised(F.col("t")).alias("a"), humanised(F.lit("ß-ßab")).alias("b")).first()
+    assert tuple(row) == ("ẞheit und", "ẞ ẞab")

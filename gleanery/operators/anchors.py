@@ -116,10 +116,11 @@ def lookup(rows: DataFrame, keys: Sequence[str], at: Column, starts: DataFrame,
     Starts of a key are ``gap`` or more apart, so a bucket of that length
     holds one at most, and a row's start lies in its own bucket or the one before:
     an equi-join on key and bucket, in which even one key spreads over all its buckets.
+    The starts are stored, so that their size is known when the join is planned: few are broadcast and no row is shuffled.
     """
     bucket = F.floor(F.col("_start") / gap)
     both = starts.select(*keys, F.inline(F.array(F.struct(bucket.alias("_b"), F.col("_start").alias("_own"), F.lit(None).cast("long").alias("_prev")), F.struct((bucket + 1).alias("_b"), F.lit(None).cast("long").alias("_own"), F.col("_start").alias("_prev")))))
-    slots = both.groupBy(*keys, "_b").agg(F.max("_own").alias("_own"), F.max("_prev").alias("_prev"))
+    slots = stored(both.groupBy(*keys, "_b").agg(F.max("_own").alias("_own"), F.max("_prev").alias("_prev")), "slots")
     asked = rows.withColumns({"_at": at, "_b": F.floor(at / gap)})
     joined = asked.alias("a").join(slots.alias("b"), same(keys, "a", "b") & (F.col("a._b") == F.col("b._b")), "left")
     start = F.when(F.col("b._own") <= F.col("a._at"), F.col("b._own")).otherwise(F.col("b._prev"))

@@ -67,7 +67,18 @@ def keep_last(rows: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
 
 
 def capped_accept(rows: DataFrame, group: str, id_col: str, order: Sequence[Column], keys: Sequence[Column], reject: Column, cap: int) -> DataFrame:
-    """Id, outcome of each row up to the cap: a reject reason, ``duplicate`` or ``accepted``; what follows the last accepted row is not reported."""
+    """Id, outcome of each row up to the cap: a reject reason, ``duplicate`` or ``accepted``; what follows the last accepted row is not reported.
+
+    With one key a row is accepted if it is the first of its group and key, so one shuffle by group does all.
+    """
+    if len(keys) == 1:
+        place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+        placed = rows.withColumn("_place", place).withColumns({"_reject": reject, "_key": keys[0].cast("string")})
+        first = F.min(F.when(F.col("_reject").isNull(), F.col("_place"))).over(Window.partitionBy(group, "_key"))
+        outcome = F.coalesce(F.col("_reject"), F.when(F.col("_key").isNull() | (F.col("_place") == first), "accepted").otherwise("duplicate"))
+        before = Window.partitionBy(group).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+        counted = placed.withColumn("outcome", outcome).withColumn("_n", F.coalesce(F.sum((F.col("outcome") == "accepted").cast("int")).over(before), F.lit(0)))
+        return counted.filter(F.col("_n") < cap).select(*rows.columns, "outcome")
     named = rows.withColumn("_reject", reject)
     inside = named.filter(F.col("_reject").isNull())
     scoped = [F.when(k.isNotNull(), F.concat_ws("|", F.col(group).cast("string"), F.lit(str(i)), k.cast("string"))) for i, k in enumerate(keys)]

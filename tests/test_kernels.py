@@ -256,3 +256,36 @@ def test_parts_bound_the_rows_of_a_cell(spark):
     assert match.candidate_pairs(frame, most=200).count() == 0  # all versions conflict
     parts = frame.select(F.pmod(F.xxhash64("id"), F.lit(20)).alias("part")).groupBy("part").count().collect()
     assert len(parts) == 20 and max(r["count"] for r in parts) < 2 * 200
+
+
+def test_capped_accept_by_one_key_shuffles_once(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from gleanery.operators import dedupe
+
+    rng = random.Random(5)
+    rows = [(f"e{i:03}", rng.choice(["a", "b", None]), rng.randrange(40), rng.choice(["x", "y", "z", "u", None]), rng.random() < 0.3) for i in range(200)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "id string, g string, t int, k string, bad boolean")
+    got = dedupe.capped_accept(frame, "g", "id", [F.col("t"), F.col("id")], [F.col("k")], F.when(F.col("bad"), "bad"), 3)
+    want, seen, taken = set(), set(), {}
+    for i, g, t, k, bad in sorted(rows, key=lambda r: (r[2], r[0])):
+        outcome = "bad" if bad else "duplicate" if k is not None and (g, k) in seen else "accepted"
+        if taken.get(g, 0) < 3:
+            want.add((i, outcome))
+        seen |= {(g, k)} if not bad else set()
+        taken[g] = taken.get(g, 0) + (outcome == "accepted")
+    assert {(r["id"], r["outcome"]) for r in got.collect()} == want
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_few_starts_are_not_met_by_a_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from gleanery.operators import windows
+
+    rows = spark.range(1000).select((F.col("id") % 7).alias("k"), F.timestamp_seconds(F.col("id") * 3600).alias("t"))
+    plan = windows.anchored_windows(rows, ["k"], "t", 1)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan

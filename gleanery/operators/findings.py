@@ -19,6 +19,7 @@ def roll_up(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     last_seen_at is the update time of the row created last, not the latest
     update.  finding_type is the most frequent one; of equally frequent ones the
     one seen first.  Ties in time go by evidence_id.
+    ``rows`` are read twice: store what is dear to compute.
     """
     seen, c = F.struct("created_at", "evidence_id"), F.col
     types = rows.groupBy(*keys, "finding_type").agg(
@@ -28,8 +29,13 @@ def roll_up(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum("n").alias("n_evidence"), F.min("since.created_at").alias("first_seen_at"), F.max_by("updated", "until").alias("last_seen_at"), F.bool_or("implication").alias("implication"), F.bool_or("artifact").alias("artifact"),
         F.min_by("family", "since").alias("first_family"), F.min_by("finding_type", F.struct(-c("n"), "since")).alias("finding_type"),
     )
-    # who and where: numbers that hash aggregation takes, apart from the sorted one above
-    counts = rows.groupBy(*keys).agg(F.count_distinct("author_id").alias("n_authors"), F.count_distinct("family").alias("n_families"), F.count_distinct("thread").alias("n_threads"), F.count_distinct(F.when(c("allowed"), c("author_id"))).alias("n_allowed_authors"))
+    # who and where: a narrow row for each value, equal ones combined before and after the shuffle
+    who, where, family, none = c("author_id"), c("thread"), c("family"), lambda name: F.lit(None).cast(rows.schema[name].dataType)
+    told = lambda a, t, f, allowed: F.struct(a.alias("author"), t.alias("thread"), f.alias("family"), allowed.alias("allowed"))
+    allowed, no = F.coalesce(c("allowed"), F.lit(False)), F.lit(False)
+    values = F.array(told(who, none("thread"), none("family"), allowed), told(none("author_id"), where, none("family"), no), told(none("author_id"), none("thread"), family, no))
+    single = rows.select(*keys, F.inline(values)).groupBy(*keys, "author", "thread", "family").agg(F.bool_or("allowed").alias("allowed"))
+    counts = single.groupBy(*keys).agg(F.count("author").alias("n_authors"), F.count("family").alias("n_families"), F.count("thread").alias("n_threads"), F.count(F.when(c("allowed"), c("author"))).alias("n_allowed_authors"))
     both = parts.alias("a").join(counts.alias("b"), same(keys, "a", "b")).select("a.*", *[f"b.{n}" for n in ("n_authors", "n_families", "n_threads", "n_allowed_authors")])
     return both.withColumn("confidence", F.when((c("n_authors") >= 3) & (c("n_families") >= 2), "high").otherwise("medium"))
 

@@ -44,3 +44,16 @@ def test_query_equals_oracle(spark, duck, sf_dir, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_roll_up_joins_evidence_once_and_counts_without_expansion(spark, sf_dir):
+    from gleanery.plans import queries_findings as qf
+
+    plan = qf.rolled(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "Expand" not in plan
+
+
+def test_community_briefs_join_evidence_once(spark, sf_dir):
+    from gleanery.plans import queries_copy
+
+    assert "l_orderkey" not in queries_copy.community_briefs(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()

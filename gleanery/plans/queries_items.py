@@ -130,9 +130,7 @@ def p14(spark, d):
 @query("p15_rebuild_text", "SELECT doc_id, md5(array_to_string(list_filter(string_split_regex(text, '[ \\n\\r\\t\\f\\v]+'), lambda w: w <> ''), ' ')) AS text_md5 FROM documents")
 def p15(spark, d):
     words = F.filter(F.split("text", r"[ \n\r\t\f\x0B]+"), lambda w: w != "")
-    rows = docs(spark, d).select("doc_id", F.posexplode(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("at"))  # positions of one word in one document
-    index = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("index"))
-    out = docs(spark, d).select("doc_id").join(index, "doc_id", "left")
+    out = docs(spark, d).select("doc_id", text.inverted(words).alias("index"))
     return out.select("doc_id", F.md5(F.coalesce(text.rebuild(c("index")), F.lit(""))).alias("text_md5"))
 
 

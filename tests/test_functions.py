@@ -94,3 +94,30 @@ def test_references_end_in_a_semicolon(spark):
     cases = {"Ly &amp;&amp;&amp": "Ly &&&amp", "&amp;lt;": "&lt;", "&lt &gt;": "&lt >", "&notit; &nosuch;": "&notit; &nosuch;", "&#39;&#x41;&eacute;&#65": "'Aé&#65", "a & b": "a & b"}
     rows = spark.createDataFrame(list(cases.items()), "raw string, want string").select("want", decode(F.col("raw")).alias("got")).collect()
     assert [r["got"] for r in rows] == [r["want"] for r in rows]
+
+
+def test_quick_patterns_find_the_same(spark):
+    import random
+    import re
+
+    from gleanery.functions import lexicons as lex
+
+    rng = random.Random(3)
+    patterns = [r.pattern for r in [*lex.TOPICS, *lex.PRODUCTS]] + list(lex.FINDING_TYPES.values()) + list(lex.EXCLUSIONS.values()) + [r"(a|bc)?d", r"^x", r"a?b", r"(?=q)q", r"[ab]c", r"x|\b(y|(z|w)v)", r"a|"]
+    words = [w for p in patterns for w in re.findall(r"[A-Za-z]+|[^A-Za-z]", p)] + ["the", " "]
+    for p in patterns:
+        own, plain = re.compile("(?i)" + rules.quick(p), re.ASCII), re.compile("(?i)" + rules.ascii_edges(p), re.ASCII)
+        for _ in range(80):
+            t = "".join(rng.choice(words) + rng.choice(["", " ", "é", "-"]) for _ in range(6))
+            assert bool(own.search(t)) == bool(plain.search(t)), (p, t)
+    assert rules.first_letters(r"x|\b(y|(z|w)v)") == {"x", "y", "z", "w"}
+    assert all(rules.quick(r.pattern).startswith("(?=[") for r in lex.TOPICS)
+
+
+def test_rebuilt_texts_are_not_shuffled(spark):
+    from gleanery.plans import catalog
+
+    for name in ("p15_rebuild_text", "s11_works_with_abstract"):
+        assert "Exchange" not in catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    words = spark.createDataFrame([(["b", "a", "b"],), ([],), (None,)], "w array<string>").select(text.inverted(F.col("w")).alias("m")).collect()
+    assert [r["m"] for r in words] == [{"b": [0, 2], "a": [1]}, {}, None]

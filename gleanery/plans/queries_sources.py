@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanery.functions.rules import found
+from gleanery.functions.text import inverted
 from gleanery.plans import views
 from gleanery.plans.registry import query
 from gleanery.sources import feeds, html, payloads
@@ -150,8 +151,7 @@ def s10(spark, d):
 def s11(spark, d):
     docs = views.table(spark, d, "documents")
     words = F.filter(F.split("text", "[^A-Za-z]+"), lambda w: w != "")
-    index = docs.select("doc_id", F.posexplode(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("m"))
-    rows = docs.select("doc_id").join(index, "doc_id", "left").select(F.to_json(F.struct(F.array(F.struct(c("doc_id").cast("string").alias("id"), F.lit("t").alias("title"), c("m").alias("abstract_inverted_index"))).alias("results"))).alias("body"))
+    rows = docs.select("doc_id", inverted(words).alias("m")).select(F.to_json(F.struct(F.array(F.struct(c("doc_id").cast("string").alias("id"), F.lit("t").alias("title"), c("m").alias("abstract_inverted_index"))).alias("results"))).alias("body"))
     return payloads.works(rows, "body").select("id", F.md5(F.coalesce("abstract", F.lit(""))).alias("abstract"))
 
 

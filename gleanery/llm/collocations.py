@@ -24,7 +24,7 @@ from gleanery.llm.common import staged, text_or_empty
 #: Bits of the filters that tell tasks which pairs of words to grow: 8 MB each, whatever the input.
 FILTER_BITS = 26
 #: Words counted together before a task passes counts on.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Bytes after which a longer text is worked on piece by piece.
 SEGMENT = 4_000_000
 #: The first batch ends where a language has this many times ``top`` pairs; each later one holds as many times more.
@@ -133,7 +133,9 @@ def count_grown(prefixes, suffixes):
             real = codes > 0
             h = np.array([key(w, 42) for w in words], dtype=np.uint64)[codes]
             at = slots(np.uint64(key(lang.encode(), 42)), h[:-1], h[1:])
+            del h
             grow, back = (((f.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) for f in (prefixes, suffixes))
+            del at
             (where,) = np.nonzero(real[:-2] & real[1:-1] & real[2:] & (grow[:-1] | back[1:]))
             starts, which = np.unique(codes[where] * len(words) + codes[where + 1], return_inverse=True)
             triples, f = np.unique(which * len(words) + codes[where + 2], return_counts=True)

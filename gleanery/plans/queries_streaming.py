@@ -54,7 +54,7 @@ def st3(spark, d):
     stream = closed(spark, d, {"event_type": F.lit("~end"), "user_id": F.lit(-1).cast("long")})
     out = scratch(spark, "anchored")
     jobs.to_table(jobs.anchored_counts(stream, ["event_type", "user_id"], "ts", 2, "60 days"), out, scratch(spark, "st3"))
-    return spark.read.parquet(out).filter("event_type != '~end'")
+    return spark.read.parquet(out).filter("event_type != '~end'").withColumn("window_start", F.date_trunc("millisecond", "window_start"))
 
 
 @query("st4_tumbling_counts", "SELECT make_timestamp(CAST(floor(epoch_ms(ts) / 1209600000.0) * 1209600000000 AS BIGINT)) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -69,75 +68,110 @@ def first_seen(stream: DataFrame, keys: list[str], ts: str, horizon: str) -> Dat
     return stream.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(keys)
 
 
+#: Groups of keys that share their calls and their state; fixed for the life of a stream.
+KEY_BUCKETS = 512
+
+
+def packed(rows: pd.DataFrame) -> tuple[bytes]:
+    """Rows as a value of a state: one compressed Arrow stream."""
+    batch, sink = pa.RecordBatch.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as stream:
+        stream.write_batch(batch)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def unpacked(value: tuple[bytes]) -> pd.DataFrame:
+    return pa.ipc.open_stream(value[0]).read_pandas()
+
+
 class AnchoredWindows(StatefulProcessor):
-    """ST3 for one key: a value state for the open window, a list state for times the watermark has not reached.
+    """ST3 for a bucket of keys: a value state for their open windows, a map state for times the watermark has not reached.
 
-    Arriving times are appended without reading what waits.  Event-time timers
-    wake the key when its earliest time settles or its window ends; only then
-    is the list read, and what waits on is kept.
+    A call and its round trips cost more than a key's few rows, so keys share
+    them by the bucket.  Waiting times lie in spans of four widths: arriving ones
+    touch their own spans, settled ones those that the watermark has reached,
+    and what waits beyond is not read.  Event-time timers wake the bucket when
+    its first window may end.  Times are microseconds.
     """
 
-    def __init__(self, keys: list[str], ts: str, width: int):
-        self.keys, self.ts, self.width = keys, ts, width
+    def __init__(self, width: int):
+        self.width, self.span = width, 4 * max(width, 1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.window = handle.getValueState("window", "start long, n long")
-        self.waiting = handle.getListState("waiting", "t long, n long")
+        self.windows = handle.getValueState("windows", "rows binary")
+        self.waiting = handle.getMapState("waiting", "span long", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = np.concatenate([frame[self.ts].to_numpy(dtype="datetime64[us]").astype(np.int64) // 1000 for frame in rows])
-        times, counts = np.unique(times, return_counts=True)
-        self.waiting.appendList(list(zip(times.tolist(), counts.tolist())))
-        mark = timerValues.getCurrentWatermarkInMs()
-        if times[0] < mark:
-            yield from self.settle(key, mark)
+        new = pd.concat([frame[["item", "t"]] for frame in rows]).groupby(["item", "t"], sort=False).size().reset_index(name="n")
+        for span, own in new.groupby(new["t"] // self.span):
+            self.wait(int(span), own)
+        first, mark = int(new["t"].min()), timerValues.getCurrentWatermarkInMs() * 1000
+        if first + self.width < mark:
+            yield from self.settle(mark)
         else:
-            self.handle.registerTimer(int(times[0]) + 1)
+            self.wake(first, mark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.settle(key, timerValues.getCurrentWatermarkInMs())
+        yield from self.settle(timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def wait(self, span: int, rows: pd.DataFrame) -> None:
+        if self.waiting.containsKey((span,)):
+            rows = pd.concat([unpacked(self.waiting.getValue((span,))), rows])
+        self.waiting.updateValue((span,), packed(rows))
 
-    def settle(self, key, mark: int) -> Iterator[pd.DataFrame]:
+    def wake(self, start: int, mark: int) -> None:
+        """A timer for the end of a window that opens at ``start``."""
+        self.handle.registerTimer(max(start + self.width, mark) // 1000 + 1)
+
+    def settle(self, mark: int) -> Iterator[pd.DataFrame]:
         """Work through all times before the watermark in order; later ones wait."""
-        start, n = self.window.get() or (None, 0)
-        held, out = sorted(self.waiting.get()), []
-        due = bisect_left(held, (mark,))
-        for t, count in held[:due]:
-            if start is not None and t - start > self.width:
-                out.append((*key, pd.Timestamp(start, unit="ms"), n))
-                start, n = None, 0
-            start, n = t if start is None else start, n + count
-        if start is not None and start + self.width < mark:
-            out.append((*key, pd.Timestamp(start, unit="ms"), n))
-            start = None
-        later = held[due:]
-        if later and due:
-            self.waiting.put(later)
-        elif due:
-            self.waiting.clear()
-        if start is None:
-            self.window.clear()
-        else:
-            self.window.update((start, n))
-        if later or start is not None:
-            self.handle.registerTimer(max((later[0][0] if start is None else start + self.width) + 1, mark + 1))
-        yield pd.DataFrame(out, columns=[*self.keys, "window_start", "n"])
+        spans = sorted(span for (span,) in self.waiting.keys())
+        due = [span for span in spans if span * self.span < mark]
+        held, out = self.windows.get(), []
+        windows = {k: (start, n) for k, start, n in unpacked(held).itertuples(index=False)} if held else {}
+        if due:
+            rows = pd.concat([unpacked(self.waiting.getValue((span,))) for span in due])
+            for span in due:
+                self.waiting.removeKey((span,))
+            later = rows[rows["t"] >= mark]
+            if len(later):
+                self.waiting.updateValue((due[-1],), packed(later))
+            for k, t, n in rows[rows["t"] < mark].sort_values("t").itertuples(index=False):
+                start, count = windows.get(k, (t, 0))
+                if t - start > self.width:
+                    out.append((k, start, count))
+                    start, count = t, 0
+                windows[k] = start, count + n
+            spans = [*due[-1:], *spans[len(due) :]] if len(later) else spans[len(due) :]
+        ended = [(k, *w) for k, w in windows.items() if w[0] + self.width < mark]
+        for k, *_ in ended:
+            del windows[k]
+        if windows:
+            self.windows.update(packed(pd.DataFrame([(k, *w) for k, w in windows.items()], columns=["item", "start", "n"])))
+        elif held:
+            self.windows.clear()
+        if windows or spans:
+            self.wake(min([start for start, _ in windows.values()] + [max(span * self.span, mark) for span in spans[:1]]), mark)
+        yield pd.DataFrame(out + ended, columns=["item", "start", "n"])
 
     def close(self) -> None:
         pass
 
 
-def anchored_counts(stream: DataFrame, keys: list[str], ts: str, days: float, late: str = "0 seconds") -> DataFrame:
+def anchored_counts(stream: DataFrame, keys: list[str], ts: str, days: float, late: str = "0 seconds", buckets: int = KEY_BUCKETS) -> DataFrame:
     """ST3: start-anchored windows with their counts, emitted when the watermark has passed their end.
 
     Rows may come in any order until the watermark reaches them; only then do
     they settle.  Needs a state store that keeps states apart (RocksDB).
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    schema = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys) + ", window_start timestamp, n long"
-    rows = stream.withWatermark(ts, late).select(*keys, ts)
-    return rows.groupBy(*keys).transformWithStateInPandas(AnchoredWindows(keys, ts, int(days * 86_400_000)), schema, "Append", "EventTime")
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    key, bucket = F.to_json(F.struct(*keys), exact), F.pmod(F.xxhash64(*keys), F.lit(buckets))
+    rows = stream.withWatermark(ts, late).filter(F.col(ts).isNotNull()).select(bucket.alias("bucket"), key.alias("item"), F.unix_micros(F.col(ts)).alias("t"), F.col(ts).alias("at"))  # the watermark is that of the last column
+    counted = rows.groupBy("bucket").transformWithStateInPandas(AnchoredWindows(int(days * 86_400_000_000)), "item string, start long, n long", "Append", "EventTime")
+    read = F.from_json("item", ", ".join(f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in keys), exact)
+    return counted.select(read.alias("_k"), F.timestamp_micros("start").alias("window_start"), "n").select(*[F.col("_k")[k].alias(k) for k in keys], "window_start", "n")
 
 
 def tumbling_counts(stream: DataFrame, keys: list[str], ts: str, width: str, late: str) -> DataFrame:

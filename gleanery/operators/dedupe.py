@@ -72,12 +72,12 @@ def capped_accept(rows: DataFrame, group: str, id_col: str, order: Sequence[Colu
     With one key a row is accepted if it is the first of its group and key, so one shuffle by group does all.
     """
     if len(keys) == 1:
-        place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-        placed = rows.withColumn("_place", place).withColumns({"_reject": reject, "_key": keys[0].cast("string")})
-        first = F.min(F.when(F.col("_reject").isNull(), F.col("_place"))).over(Window.partitionBy(group, "_key"))
-        outcome = F.coalesce(F.col("_reject"), F.when(F.col("_key").isNull() | (F.col("_place") == first), "accepted").otherwise("duplicate"))
-        before = Window.partitionBy(group).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-        counted = placed.withColumn("outcome", outcome).withColumn("_n", F.coalesce(F.sum((F.col("outcome") == "accepted").cast("int")).over(before), F.lit(0)))
+        named = rows.repartition(group).withColumn("_reject", reject).withColumn("_key", F.when(F.col("_reject").isNull(), keys[0].cast("string")))
+        at = F.xxhash64(group, "_key")  # sorted by first, so that few rows compare their keys
+        first = F.row_number().over(Window.partitionBy(at, group, "_key").orderBy(*order)) == 1
+        outcome = F.coalesce(F.col("_reject"), F.when(F.col("_key").isNull() | first, "accepted").otherwise("duplicate"))
+        before = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        counted = named.withColumn("outcome", outcome).drop("_key").withColumn("_n", F.coalesce(F.sum((F.col("outcome") == "accepted").cast("int")).over(before), F.lit(0)))
         return counted.filter(F.col("_n") < cap).select(*rows.columns, "outcome")
     named = rows.withColumn("_reject", reject)
     inside = named.filter(F.col("_reject").isNull())

@@ -49,7 +49,7 @@ def far(spark, sf_dir, tmp_path_factory):
     return str(to)
 
 
-@pytest.mark.parametrize("name", ["g7_greedy_ranking", "e5_linked_feed"])
+@pytest.mark.parametrize("name", ["g7_greedy_ranking", "e5_linked_feed", "e5_unified_feed"])
 def test_feeds_of_far_documents_equal_the_oracle(spark, far, name):
     con = duckdb.connect()
     con.sql("SET timezone = 'UTC'")
